@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import media, secrets, token_counts
+from . import chat, media, packing, pages, secrets, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_media_avi": media.op1_media_avi,
+        "op3_chat_format": chat.op3_chat_format,
+        "op4_page_text": pages.op4_page_text,
+        "op6_pack": packing.op6_pack,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op10_token_counts": token_counts.op10_token_counts,
     }

@@ -50,6 +50,16 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def byte_letters() -> dict[int, str]:
+    """For str.translate of a text whose characters are its bytes."""
+    return {b: c for c, b in byte_alphabet().items()}
+
+
+def as_letters(token: str, letters: dict[int, str]) -> str:
+    """A pre-token as the model takes it: each UTF-8 byte as its letter."""
+    return token.encode().decode("latin-1").translate(letters)
+
+
 @lru_cache(maxsize=2)
 def whole_tokens(path: str) -> frozenset[str]:
     """The vocabulary strings that, encoded alone, give exactly their own id."""
@@ -73,44 +83,32 @@ class Counter:
         import regex
 
         self.tok = library(path)
+        self.model, self.letters = self.tok.model, byte_letters()
         self.pre = regex.compile(public_tokenizers.PATTERN)
         self.whole, self.kept, self.chunks = whole, {}, {}
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
 
-    def merged(self, tokens: list[str]) -> int:
-        total, new = 0, []
-        for t in tokens:
-            if t in self.whole:
-                total += 1
-            elif (k := self.kept.get(t)) is not None:
-                total += k
-            else:
-                new.append(t)
-        if new:
+    def pieces(self, token: str) -> int:
+        """The tokens of one pre-token: one if it is a whole token, else what the library's model merges it to."""
+        if token in self.whole:
+            return 1
+        n = self.kept.get(token)
+        if n is None:
             if len(self.kept) > CACHE:
                 self.kept.clear()
-            once = list(dict.fromkeys(new))
-            for t, e in zip(once, self.tok.encode_batch_fast(once, add_special_tokens=False), strict=True):
-                self.kept[t] = len(e)
-            total += sum(self.kept[t] for t in new)
-        return total
+            n = self.kept[token] = len(self.model.tokenize(as_letters(token, self.letters)))
+        return n
+
+    def merged(self, tokens: list[str]) -> int:
+        return sum(map(self.pieces, tokens))
 
     def warm(self, texts: list[list[str]]) -> None:
-        """Count the chunks of many texts that are not yet known, in one call of the library."""
+        """Count the chunks of some texts that are not yet known."""
         if len(self.chunks) > CACHE:
             self.chunks.clear()
-        once = {c for t in texts for c in t}.difference(self.chunks)
-        parts = {c: self.pre.findall(c) for c in once}
-        rest = {t for p in parts.values() for t in p if t not in self.whole and t not in self.kept}
-        if len(self.kept) > CACHE:
-            self.kept.clear()
-            rest = {t for p in parts.values() for t in p if t not in self.whole}
-        rest = list(rest)
-        for t, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.kept[t] = len(e)
-        for c, p in parts.items():
-            self.chunks[c] = sum(1 if t in self.whole else self.kept[t] for t in p)
+        for c in {c for t in texts for c in t}.difference(self.chunks):
+            self.chunks[c] = self.merged(self.pre.findall(c))
 
     def count_many(self, texts: list[str]) -> list[int]:
         out, cut = [0] * len(texts), {}
