@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_rows, read, to_arrow
+from .common import python_ready, map_rows, read, to_arrow
 from .token_counts import byte_alphabet, default_path, library
 
 CONTROL, ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
@@ -136,7 +136,7 @@ def read_back(formatted: DataFrame, tokenizer_path: str | None = None) -> DataFr
             yield arrow(done, out)
         yield arrow([state] if state else [], out)
 
-    bounded_batches(formatted.sparkSession)
+    python_ready(formatted.sparkSession)
     return formatted.select("conv_id", "turn_no", "ids", "loss_mask").mapInArrow(digests, schema)
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +20,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches of the session at BATCH_ROWS rows at most."""
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once a Spark context: their Python may not have it."""
+    context = spark.sparkContext
+    if getattr(context, "_ledgerline_shipped", None):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="ledgerline-code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._ledgerline_shipped = True
+
+
+def python_ready(spark: SparkSession) -> None:
+    """Code on the executors, and the session's Arrow batches at BATCH_ROWS rows at most."""
+    ship_code(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -47,7 +64,7 @@ def map_rows(
 ) -> DataFrame:
     """Send ``columns`` to Python in Arrow batches. ``make()`` runs once a task and returns a
     function from the columns' lists to the lists of the output columns."""
-    bounded_batches(df.sparkSession)
+    python_ready(df.sparkSession)
     arrow_schema = to_arrow(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, media, packing, pages, secrets, token_counts
+from . import chat, decontaminate, lines, media, packing, pages, secrets, simhash, token_counts
 
 
 def queries() -> dict:
@@ -10,11 +10,17 @@ def queries() -> dict:
         "op1_media_avi": media.op1_media_avi,
         "op3_chat_format": chat.op3_chat_format,
         "op4_page_text": pages.op4_page_text,
+        "op5_simhash": simhash.op5_simhash,
         "op6_pack": packing.op6_pack,
         "op7_secret_scan": secrets.op7_secret_scan,
+        "op8_line_dedup": lines.op8_line_dedup,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op8_line_dedup": lines.line_dedup_sql(),
+        "op9_decontaminate": decontaminate.leaks_sql(),
+    }
