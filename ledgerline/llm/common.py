@@ -83,6 +83,7 @@ def to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
         "bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(),
         "float": pa.float32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()),
         "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<boolean>": pa.list_(pa.bool_()),
+        "array<binary>": pa.list_(pa.binary()),
     }
     return pa.schema([(n, kinds[t]) for n, t in (part.strip().rsplit(" ", 1) for part in schema.split(","))])
 

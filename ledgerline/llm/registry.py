@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lines, media, packing, pages, secrets, simhash, token_counts
+from . import chat, decontaminate, lines, media, packing, pages, quality, secrets, simhash, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_media_avi": media.op1_media_avi,
+        "op2_quality": quality.op2_quality,
         "op3_chat_format": chat.op3_chat_format,
         "op4_page_text": pages.op4_page_text,
         "op5_simhash": simhash.op5_simhash,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op2_quality": quality.quality_sql(),
         "op8_line_dedup": lines.line_dedup_sql(),
         "op9_decontaminate": decontaminate.leaks_sql(),
     }
