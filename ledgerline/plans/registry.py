@@ -1,4 +1,6 @@
 """The registered queries over the driver tables and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from ledgerline.plans.oracle import ORACLE
+from ledgerline.plans.queries import QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
