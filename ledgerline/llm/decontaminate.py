@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import read, sized, written
 
 WORDS, CONTAINED = 5, 0.8
 #: Sketches and shingles of the test items are broadcast up to this many rows; beyond it they are shuffled.
@@ -69,16 +69,11 @@ def sketches(shingles: DataFrame) -> DataFrame:
     return shingles.withColumn("rank", rank).where(F.col("rank") <= k).select("item_id", "n_words", "h")
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """``df``, with a hint to broadcast it where its counted rows are within the bound."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared and containment of every pair at CONTAINED or more."""
     shingles = written(item_shingles(items), "items")
     lengths = sorted(r[0] for r in shingles.select("n_words").distinct().collect())  # 1 to WORDS
-    sketch = sized(written(sketches(shingles), "sketches"))
+    sketch = sized(written(sketches(shingles), "sketches"), BROADCAST_ROWS)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words(F.col("text")).alias("w")).where("doc_id IS NOT NULL")
 
     def exploded(source: DataFrame, make, name: str) -> DataFrame:
@@ -91,9 +86,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     if not lengths:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, n_shingles bigint, n_shared bigint, containment double")
     pairs = written(exploded(texts, hashed, "h").join(sketch, ["n_words", "h"]).select("doc_id", "item_id").distinct(), "candidates")
-    suspects = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    suspects = docs.join(sized(written(pairs.select("doc_id").distinct(), "suspects")), "doc_id", "left_semi")
     suspects = suspects.select(F.col("doc_id").cast("bigint").alias("doc_id"), words(F.col("text")).alias("w"))
-    found = exploded(suspects, spelled, "shingle").join(sized(shingles), ["n_words", "shingle"])
+    found = exploded(suspects, spelled, "shingle").join(sized(shingles, BROADCAST_ROWS), ["n_words", "shingle"])
     found = found.groupBy("doc_id", "item_id", "n_shingles", "shingle").agg(F.lit(1).alias("one")).groupBy("doc_id", "item_id", "n_shingles").agg(F.count("*").alias("n_shared"))
     exact = found.where(F.col("n_shared") >= F.lit(CONTAINED) * F.col("n_shingles")).join(pairs, ["doc_id", "item_id"], "left_semi")
     return exact.select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
@@ -101,7 +96,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that no item leaks into."""
-    return docs.join(leaks(docs, items).select("doc_id").distinct(), "doc_id", "left_anti")
+    return docs.join(sized(written(leaks(docs, items).select("doc_id").distinct(), "leaks")), "doc_id", "left_anti")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,71 +13,92 @@ without doc_id are kept as they are; rows of one doc_id count as one document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import BROADCAST_ROWS, read, sized, written
 
-DEPTH, MIN_TOKENS, SIMILAR = 3, 4, 0.7
+DEPTH, MIN_TOKENS, SIMILAR = 4, 4, 0.7
 FIELD = "<*>"
 
 
-def numbered_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, masked, n_tokens, lead and the masked line's hash h, of lines that can be templates."""
+def normal_line(line: Column) -> Column:
+    """One space between tokens and none at the ends; most lines are so already."""
+    odd = line.contains("\t") | line.contains("\r") | line.contains("  ")
+    return F.trim(F.when(odd, F.regexp_replace(line, "[ \t\r]+", " ")).otherwise(line))
+
+
+def template_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, n_tokens, masked (tokens with a digit are FIELD) and lead (the hash of the
+    leading tokens) of lines that can be templates."""
     lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
-    norm = F.trim(F.regexp_replace("line", "[ \t\r]+", " "))
-    tokens = F.length("norm") - F.length(F.translate("norm", " ", "")) + 1
+    lines = lines.select("doc_id", "line_no", normal_line(F.col("line")).alias("norm"))
+    tokens = F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1
+    lines = lines.withColumn("n_tokens", tokens).where(F.col("n_tokens") >= MIN_TOKENS)
     masked = F.when(F.col("norm").rlike("[0-9]"), F.regexp_replace("norm", "[^ 0-9]*[0-9][^ ]*", FIELD)).otherwise(F.col("norm"))
-    out = lines.withColumn("norm", norm).withColumn("n_tokens", tokens).where(F.col("n_tokens") >= MIN_TOKENS).withColumn("masked", masked)
-    return out.select("doc_id", "line_no", "masked", "n_tokens", F.substring_index("masked", " ", DEPTH).alias("lead"), F.md5(F.col("masked").cast("binary")).alias("h"))
+    lines = lines.select("doc_id", "line_no", "n_tokens", masked.alias("masked"))
+    return lines.withColumn("lead", F.xxhash64(F.substring_index("masked", " ", DEPTH)))
+
+
+def hashes() -> list[Column]:
+    """A masked line's two hashes: 128 bits together."""
+    return [F.xxhash64("masked").alias("h1"), F.xxhash64(F.lit(1), "masked").alias("h2")]
 
 
-def leaf_templates(distinct_lines: DataFrame) -> DataFrame:
-    """h and template of the lines that share their leaf's template. ``distinct_lines``: h, masked, n_tokens, lead."""
+def leaf_templates(docs: DataFrame, different: DataFrame) -> DataFrame:
+    """h1, h2 and leaf of the lines that share their leaf's template. The texts are read again for
+    the lines of leaves that hold several different ones, one copy of each."""
     leaf = ["n_tokens", "lead"]
-    shared = distinct_lines.groupBy(*leaf).agg(F.count("*").alias("n_lines")).where("n_lines > 1")
-    lines = distinct_lines.join(shared, leaf)
-    places = lines.select(*leaf, "n_lines", "h", F.posexplode(F.split("masked", " ")).alias("place", "token"))
-    counts = places.groupBy(*leaf, "n_lines", "place", "token").agg(F.count("*").alias("n"))
+    shared = written(different.groupBy(*leaf).agg(F.count("*").alias("n_lines")).where("n_lines > 1"), "leaves")
+    rows = template_lines(docs).join(sized(shared), leaf).select("n_lines", *leaf, "masked", *hashes())
+    rows = rows.groupBy("h1", "h2").agg(F.any_value("masked").alias("masked"), *(F.any_value(c).alias(c) for c in (*leaf, "n_lines")))
+    tokens = rows.select(*leaf, "n_lines", "h1", "h2", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+    tokens = written(tokens.withColumn("token", F.xxhash64("token")), "tokens")
+    counts = tokens.groupBy(*leaf, "n_lines", "place", "token").agg(F.count("*").alias("n"))
     # more than half of the lines: at most one token of a place
     constant = counts.where(F.col("n") * 2 > F.col("n_lines")).select(*leaf, "place", "token")
-    agree = places.join(constant, [*leaf, "place", "token"], "left_semi").groupBy(*leaf, "h").agg(F.count("*").alias("agree"))
-    return agree.where(F.col("agree") >= F.lit(SIMILAR) * F.col("n_tokens")).select("h", F.md5(F.concat_ws(" ", F.col("n_tokens").cast("string"), F.col("lead")).cast("binary")).alias("template"))
+    agree = tokens.join(constant, [*leaf, "place", "token"], "left_semi").groupBy(*leaf, "h1", "h2").agg(F.count("*").alias("agree"))
+    return agree.where(F.col("agree") >= F.lit(SIMILAR) * F.col("n_tokens")).select("h1", "h2", *(F.col(c).alias(f"leaf_{c}") for c in leaf))
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """doc_id and line_no of every line whose template recurs, except in the first document that has it."""
-    lines = numbered_lines(docs)
-    different = written(
-        lines.groupBy("h").agg(
-            F.max("masked").alias("masked"), F.max("n_tokens").alias("n_tokens"), F.max("lead").alias("lead"),
-            F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"),
-        ), "lines",
-    )
-    shared = leaf_templates(different.select("h", "masked", "n_tokens", "lead"))
-    templates = different.select("h", "first_doc", "last_doc").join(shared, "h", "left").withColumn("template", F.coalesce("template", "h"))
-    spread = templates.groupBy("template").agg(F.min("first_doc").alias("keeper"), F.max("last_doc").alias("last")).where("keeper < last")
-    dropped = templates.join(spread, "template").where("last_doc > keeper").select("h", "keeper")
-    return lines.select("doc_id", "line_no", "h").join(dropped, "h").where("doc_id > keeper").select("doc_id", "line_no")
-
-
-def drop_recurring_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with text reduced to the lines that stay, and n_lines and n_dropped."""
-    gone = recurring_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone_lines"))
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("gone_lines"), i))
-    out = docs.join(gone, "doc_id", "left")
-    return (
-        out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("bigint"))
-        .withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("n_lines")))
-        .withColumn("n_dropped", F.when(F.col("gone_lines").isNull(), 0).otherwise(F.size("gone_lines")).cast("bigint"))
-        .withColumn("text", F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .drop("gone_lines")
+    lines = written(template_lines(docs).select("doc_id", "line_no", "n_tokens", "lead", *hashes()), "lines")
+    different = lines.groupBy("h1", "h2").agg(
+        F.max("n_tokens").alias("n_tokens"), F.max("lead").alias("lead"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
     )
+    different = written(different, "different")
+    shared = leaf_templates(docs, different)
+    # A template is a leaf or a line of its own: both are two numbers, told apart by a third.
+    own = F.col("leaf_lead").isNull()
+    template = [own.alias("own"), F.when(own, F.col("h1")).otherwise(F.col("leaf_lead")).alias("t1"), F.when(own, F.col("h2")).otherwise(F.col("leaf_n_tokens")).alias("t2")]
+    templates = written(different.select("h1", "h2", "first_doc", "last_doc").join(shared, ["h1", "h2"], "left").select("h1", "h2", "first_doc", "last_doc", *template), "templates")
+    spread = templates.groupBy("own", "t1", "t2").agg(F.min("first_doc").alias("keeper"), F.max("last_doc").alias("last")).where("keeper < last")
+    dropped = templates.join(spread, ["own", "t1", "t2"]).where("last_doc > keeper").select("h1", "h2", "keeper")
+    return lines.select("doc_id", "line_no", "h1", "h2").join(dropped, ["h1", "h2"]).where("doc_id > keeper").select("doc_id", "line_no")
+
+
+def drop_recurring_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
+    """``docs`` with text reduced to the lines that stay; with ``counts`` also n_lines and n_dropped,
+    which replace columns of these names."""
+    gone = written(recurring_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("doc_id", "__doc"), "gone")
+    # what a broadcast would hold is the lines, not the documents
+    n_gone = gone.agg(F.sum(F.size("__gone"))).first()[0] or 0
+    gone = F.broadcast(gone) if n_gone <= BROADCAST_ROWS else gone
+    text, gone_lines, all_lines = F.col("text").cast("string"), F.col("__gone"), F.col("__lines")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), gone_lines)
+    some = F.col("__doc").isNotNull() & F.col("text").isNotNull()
+    out = docs.join(gone, docs["doc_id"] == F.col("__doc"), "left").withColumn("__lines", F.split(text, "\n", -1))
+    kept = F.when(some, F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n")).otherwise(F.col("text"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("bigint")
+    n_dropped = F.when(some, F.size(gone_lines)).otherwise(0).cast("bigint")
+    more = {"n_lines": n_lines, "n_dropped": n_dropped} if counts else {}
+    columns = [kept.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in more]
+    return out.select(*columns, *(c.alias(n) for n, c in more.items()))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_recurring_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return drop_recurring_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
 
 
 def line_dedup_sql(docs: str = "documents") -> str:
