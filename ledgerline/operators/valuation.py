@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import calendar, weights
+from ledgerline.sources.staging import written
 
 BPS = 10_000.0
 
@@ -48,26 +49,30 @@ def nav_daily(specs: DataFrame, panel: DataFrame, benchmark: DataFrame) -> DataF
     """run_id, date, portfolio_value, portfolio_return, benchmark_value, benchmark_return, turnover,
     costs_paid. ``panel`` and ``benchmark`` (panel_id, ticker, date, close) are clean and aligned;
     runs with violations have to be left out of ``specs``."""
-    dates = run_dates(specs, panel)
-    all_trades = trades(specs, dates)
-    targets = weights.target_weights(all_trades, specs, panel)
+    dates = written(run_dates(specs, panel).select("run_id", "panel_id", "rebalance", "date"), "dates")
+    all_trades = written(trades(specs, dates), "trades")
     price = panel.select("panel_id", "ticker", "date", "close")
     at_trade = price.withColumnRenamed("date", "rebalance_date").withColumnRenamed("close", "trade_price")
-    targets = targets.join(at_trade, ["panel_id", "ticker", "rebalance_date"]).withColumn("units", F.col("weight") / F.col("trade_price"))
+    targets = weights.target_weights(all_trades, specs, panel).join(at_trade, ["panel_id", "ticker", "rebalance_date"])
+    targets = written(targets.withColumn("units", F.col("weight") / F.col("trade_price")), "targets")
 
     # The trade in force on each day, valued before a trade of the day itself.
     w = Window.partitionBy("run_id").orderBy("date")
     days = dates.select("run_id", "panel_id", "date").join(all_trades.select("run_id", F.col("rebalance_date").alias("date"), F.lit(True).alias("is_trade")), ["run_id", "date"], "left")
     in_force = F.last(F.when(F.col("is_trade"), F.col("date")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     days = days.withColumn("rebalance_date", in_force)
-    held = days.where("rebalance_date IS NOT NULL").join(targets.select("run_id", "rebalance_date", "ticker", "units"), ["run_id", "rebalance_date"]).join(price, ["panel_id", "ticker", "date"])
-    held = held.withColumn("part", F.col("units") * F.col("close"))
-    growth = held.groupBy("run_id", "date").agg(F.sum("part").alias("growth"))
+
+    def held(on: DataFrame) -> DataFrame:
+        """What each ticker is worth on the days ``on``, for one unit of value at the trade in force."""
+        rows = on.where("rebalance_date IS NOT NULL").join(targets.select("run_id", "rebalance_date", "ticker", "units"), ["run_id", "rebalance_date"])
+        return rows.join(price, ["panel_id", "ticker", "date"]).withColumn("part", F.col("units") * F.col("close"))
+
+    growth = held(days).groupBy("run_id", "date").agg(F.sum("part").alias("growth"))
 
     # Turnover on the days of trades: what each ticker drifted to against its new target.
     new = targets.select("run_id", F.col("rebalance_date").alias("date"), "ticker", F.col("weight").alias("target"))
-    drifted = held.where("is_trade").select("run_id", "date", "ticker", "part").join(growth, ["run_id", "date"]).join(new, ["run_id", "date", "ticker"])
-    turnover = drifted.groupBy("run_id", "date").agg((0.5 * F.sum(F.abs(F.col("target") - F.try_divide(F.col("part"), F.col("growth"))))).alias("turnover"))
+    drifted = held(days.where("is_trade")).withColumn("whole", F.sum("part").over(Window.partitionBy("run_id", "date"))).join(new, ["run_id", "date", "ticker"])
+    turnover = drifted.groupBy("run_id", "date").agg((0.5 * F.sum(F.abs(F.col("target") - F.try_divide(F.col("part"), F.col("whole"))))).alias("turnover"))
 
     rate = specs.select("run_id", "initial_capital", (F.col("transaction_cost_bps") / BPS).alias("rate"))
     rows = days.select("run_id", "date", "is_trade", "rebalance_date").join(growth, ["run_id", "date"], "left").join(turnover, ["run_id", "date"], "left").join(rate, "run_id")

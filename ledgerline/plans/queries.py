@@ -39,7 +39,7 @@ def clean_pair(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The panel of part types and its benchmark, cleaned each on its own dates and aligned."""
     panel = clean.cleaned(written(panel_of(type_prices(spark, sf), "TYPE"), "prices"))
     other = clean.cleaned(written(panel_of(T.benchmark_prices(spark, sf), "TYPE"), "benchmark"))
-    a, b = clean.aligned(written(panel, "panel"), written(other, "other"))
+    a, b = clean.aligned(panel, other)
     return written(a, "panel"), written(b, "other")
 
 
@@ -190,8 +190,8 @@ def rebalance_calendar(spark: SparkSession, sf: str) -> DataFrame:
 
 def weights_of(spark: SparkSession, sf: str, scheme: str) -> DataFrame:
     panel, _ = clean_pair(spark, sf)
-    runs = sound_runs(spark, panel).where((F.col("weighting") == scheme) & (F.col("transaction_cost_bps") == 0))
-    all_trades = valuation.trades(runs, valuation.run_dates(runs, panel))
+    runs = written(sound_runs(spark, panel).where((F.col("weighting") == scheme) & (F.col("transaction_cost_bps") == 0)), "runs")
+    all_trades = written(valuation.trades(runs, valuation.run_dates(runs, panel)), "trades")
     return rounded(weights.target_weights(all_trades, runs, panel).select("run_id", "rebalance_date", "ticker", "weight"))
 
 
