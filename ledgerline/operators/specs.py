@@ -54,3 +54,10 @@ def violations(specs: DataFrame) -> DataFrame:
 def sound(specs: DataFrame) -> DataFrame:
     """The runs that break no rule."""
     return specs.join(violations(specs).select("run_id").distinct(), "run_id", "left_anti")
+
+
+def require_none(found: DataFrame) -> None:
+    """Raise for the first rows of a table of violations; for callers with a single run, who want an error."""
+    rows = found.limit(5).collect()
+    if rows:
+        raise ValueError("; ".join(", ".join(str(x) for x in r) for r in rows))

@@ -19,10 +19,9 @@ def prices_by(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     """ticker (the part's ``column``), date, close."""
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("date"), "l_discount")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col(column).alias("ticker"))
-    # Sums by part and day first: the join then meets one row for each of them, however many lines a part has.
-    daily = lines.groupBy("l_partkey", "date").agg(F.sum("l_discount").alias("total"), F.count("l_discount").alias("n"))
-    joined = daily.join(parts, "l_partkey").groupBy("ticker", "date")
-    return joined.agg((F.lit(100) * (1 + F.sum("total") / F.sum("n"))).alias("close"))
+    # The aggregate has one row per ticker and day, so what is shuffled in full is narrow lines by part, once;
+    # where the part table is small Spark broadcasts it and not even that.
+    return lines.join(parts, "l_partkey").groupBy("ticker", "date").agg(close_index())
 
 
 def benchmark_prices(spark: SparkSession, sf_dir: str) -> DataFrame:

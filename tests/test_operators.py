@@ -254,6 +254,9 @@ def test_spec_rules(spark):
     ok = normal.where("run_id = 'ok'").first()
     assert (ok["tickers"], ok["benchmark"], ok["weighting"], ok["end"]) == (["SPY", "AGG"], "SPY", "custom", dt.date(2020, 12, 31))
     assert [r["run_id"] for r in specs.sound(normal).collect()] == ["ok"]
+    specs.require_none(specs.violations(normal.where("run_id = 'ok'")))
+    with pytest.raises(ValueError, match="tickers missing"):
+        specs.require_none(specs.violations(normal.where("run_id = 'tickers missing'")))
 
 
 def test_bootstrap(spark):
@@ -304,3 +307,13 @@ def test_streaming_closes(spark, tmp_path):
 
 def test_daily_rate(spark):
     assert spark.range(1).select(M.daily_rate(F.lit(0.02)).alias("x")).first()["x"] == pytest.approx(1.02 ** (1 / 252) - 1)
+
+
+def test_tables_between_steps(spark):
+    from pathlib import Path
+
+    from ledgerline.sources import staging
+
+    df = staging.written(spark.range(3), "three")
+    folder = Path(staging.shared_dir(spark)) / f"ledgerline-{spark.sparkContext.applicationId}"
+    assert df.count() == 3 and any(folder.glob("three-*"))
