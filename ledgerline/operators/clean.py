@@ -39,22 +39,24 @@ def late_tickers(panel: DataFrame, starts: DataFrame) -> DataFrame:
     return late.select("panel_id", "ticker", "first_date", reason.alias("reason"))
 
 
+def with_kept(rows: DataFrame) -> DataFrame:
+    """``rows`` with whether their ticker stays; the window has the partitioning of ``filled``."""
+    missing = F.avg(F.when(F.col("close").isNull(), 1.0).otherwise(0.0)).over(Window.partitionBy("panel_id", "ticker"))
+    return rows.withColumn("kept", missing <= MISSING_LIMIT)
+
+
 def cleaned(panel: DataFrame) -> DataFrame:
-    """panel_id, ticker, date, close of the tickers that stay, on the dates where all of them have a price."""
-    rows = filled(grid(panel))
-    stay = ticker_shares(rows).where("kept").select("panel_id", "ticker")
-    rows = rows.join(stay, ["panel_id", "ticker"], "left_semi")
-    complete = rows.groupBy("panel_id", "date").agg(F.count("close").alias("have"), F.count(F.lit(1)).alias("all"))
-    complete = complete.where("have = all").select("panel_id", "date")
-    return rows.join(complete, ["panel_id", "date"], "left_semi").select("panel_id", "ticker", "date", "close")
+    """panel_id, ticker, date, close of the tickers that stay, on the dates where all of them have a
+    price. One shuffle by ticker and one by date, and the grid is built once."""
+    rows = with_kept(filled(grid(panel))).where("kept")
+    gaps = F.count_if(F.col("close").isNull()).over(Window.partitionBy("panel_id", "date"))
+    return rows.withColumn("gaps", gaps).where("gaps = 0").select("panel_id", "ticker", "date", "close")
 
 
 def panel_facts(panel: DataFrame) -> DataFrame:
     """Per panel: dates and tickers before and after, and the dates dropped as incomplete."""
-    rows = filled(grid(panel))
-    marked = rows.join(ticker_shares(rows).select("panel_id", "ticker", "kept"), ["panel_id", "ticker"])
     kept = F.col("kept")
-    by_date = marked.groupBy("panel_id", "date").agg(F.count_if(kept).alias("all"), F.count_if(kept & F.col("close").isNotNull()).alias("have"), F.count(F.lit(1)).alias("tickers"))
+    by_date = with_kept(filled(grid(panel))).groupBy("panel_id", "date").agg(F.count_if(kept).alias("all"), F.count_if(kept & F.col("close").isNotNull()).alias("have"), F.count(F.lit(1)).alias("tickers"))
     return by_date.groupBy("panel_id").agg(
         F.count(F.lit(1)).alias("dates"), F.max("tickers").alias("tickers"), F.max("all").alias("tickers_kept"),
         F.count_if((F.col("all") > 0) & (F.col("have") == F.col("all"))).alias("complete_dates"),
