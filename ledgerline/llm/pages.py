@@ -45,6 +45,8 @@ BOILER = frozenset(
     " contentinfo complementary search skip".split()
 )
 WORD = re.compile(r"[a-z]+")
+#: Elements nested deeper stand for their ancestor at this depth, as in browsers; no text is lost.
+DEEPEST = 512
 
 
 class Node:
@@ -118,7 +120,7 @@ def text_nodes(page: str) -> list[tuple[Node, int, str]]:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else len(page)
-        if not m[3].endswith("/") or tag in BLOCK:
+        if (not m[3].endswith("/") or tag in BLOCK) and len(stack) < DEEPEST:
             stack.append(node)
     return out
 
