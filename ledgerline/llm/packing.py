@@ -27,8 +27,8 @@ from .common import map_rows, read, text_or_empty, written
 from .token_counts import as_letters, byte_letters, library
 
 CAPACITY, END_ID, GROUP = 4096, 1, 50_000
-#: Chunks whose ids a worker keeps.
-CACHE = 500_000
+#: Chunks, and words, whose ids a task keeps: the first ones it meets, among which the frequent ones are.
+CACHE = 250_000
 #: Texts with other characters, or with what may be a special string, are encoded whole by the library.
 UNSAFE = re.compile("[^\x00-\x1b\x20-˿]|<\\|")
 
@@ -39,6 +39,20 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Chunks(dict):
+    """The ids of the text between white space."""
+
+    def __init__(self, pre, word):
+        super().__init__()
+        self.pre, self.word = pre, word
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = b"".join(map(self.word, self.pre.findall(chunk)))
+        if len(self) < CACHE:
+            self[chunk] = got
+        return got
+
+
 class Encoder:
     """Gives a text's ids as little-endian unsigned 32-bit bytes, as the library encodes it. The
     library drops white space and merges inside words only, so ids are kept by word."""
@@ -46,30 +60,23 @@ class Encoder:
     def __init__(self, path: str):
         import regex
 
-        self.tok, self.kept, self.letters = library(path), {}, byte_letters()
+        self.tok, self.letters = library(path), byte_letters()
         self.model = self.tok.model
-        self.pre = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.words: dict[str, bytes] = {}
+        self.kept = Chunks(regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), self.word)
 
     def word(self, w: str) -> bytes:
         got = self.words.get(w)
         if got is None:
-            if len(self.words) > CACHE:
-                self.words.clear()
-            ids = [t.id for t in self.model.tokenize(as_letters(w, self.letters))]
-            got = self.words[w] = b"".join(i.to_bytes(4, "little") for i in ids)
+            got = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(as_letters(w, self.letters)))
+            if len(self.words) < CACHE:
+                self.words[w] = got
         return got
 
     def encode(self, text: str) -> bytes:
         if UNSAFE.search(text):
             return b"".join(i.to_bytes(4, "little") for i in self.tok.encode(text, add_special_tokens=False).ids)
-        chunks = text.lower().split()
-        for c in set(chunks).difference(self.kept):
-            if len(self.kept) > CACHE:
-                self.kept.clear()
-                return self.encode(text)
-            self.kept[c] = b"".join(map(self.word, self.pre.findall(c)))
-        return b"".join(map(self.kept.__getitem__, chunks))
+        return b"".join(map(self.kept.__getitem__, text.lower().split()))
 
 
 def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None) -> DataFrame:

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, read, text_or_empty
 
-#: Chunks and pre-tokens whose counts a worker keeps.
-CACHE = 600_000
+#: Chunks, and pre-tokens, whose counts a task keeps: the first ones it meets, among which the frequent ones are.
+CACHE = 300_000
 #: A space where cutting before it could split one pre-token.
 UNSAFE_CUT = re.compile(r"\s (?:\s|\Z)")
 #: Outside this range letters' classes may differ between Unicode versions.
@@ -75,6 +75,20 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(s for s, i, e in zip(strings, ids, got, strict=True) if e.ids == [i])
 
 
+class Chunks(dict):
+    """The tokens of a piece of text that starts at a space."""
+
+    def __init__(self, counter: "Counter"):
+        super().__init__()
+        self.counter = counter
+
+    def __missing__(self, chunk: str) -> int:
+        n = self.counter.merged(self.counter.pre.findall(chunk))
+        if len(self) < CACHE:
+            self[chunk] = n
+        return n
+
+
 class Counter:
     """Counts the tokens of texts as the library does."""
 
@@ -85,7 +99,7 @@ class Counter:
         self.tok = library(path)
         self.model, self.letters = self.tok.model, byte_letters()
         self.pre = regex.compile(public_tokenizers.PATTERN)
-        self.whole, self.kept, self.chunks = whole, {}, {}
+        self.whole, self.kept, self.chunks = whole, {}, Chunks(self)
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
 
@@ -95,39 +109,20 @@ class Counter:
             return 1
         n = self.kept.get(token)
         if n is None:
-            if len(self.kept) > CACHE:
-                self.kept.clear()
-            n = self.kept[token] = len(self.model.tokenize(as_letters(token, self.letters)))
+            n = len(self.model.tokenize(as_letters(token, self.letters)))
+            if len(self.kept) < CACHE:
+                self.kept[token] = n
         return n
 
     def merged(self, tokens: list[str]) -> int:
         return sum(map(self.pieces, tokens))
 
-    def warm(self, texts: list[list[str]]) -> None:
-        """Count the chunks of some texts that are not yet known."""
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
-        for c in {c for t in texts for c in t}.difference(self.chunks):
-            self.chunks[c] = self.merged(self.pre.findall(c))
-
-    def count_many(self, texts: list[str]) -> list[int]:
-        out, cut = [0] * len(texts), {}
-        for i, text in enumerate(texts):
-            if UNSAFE_CHAR.search(text) or (self.special and self.special.search(text)):
-                out[i] = len(self.tok.encode(text, add_special_tokens=False))
-            elif UNSAFE_CUT.search(text):
-                out[i] = self.merged(self.pre.findall(text))
-            else:
-                words = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else None
-                if words is None:
-                    out[i] = self.merged(self.pre.findall(text))
-                else:
-                    cut[i] = words
-        self.warm(list(cut.values()))
-        get = self.chunks.__getitem__
-        for i, words in cut.items():
-            out[i] = sum(map(get, words))
-        return out
+    def count(self, text: str) -> int:
+        if UNSAFE_CHAR.search(text) or (self.special and self.special.search(text)):
+            return len(self.tok.encode(text, add_special_tokens=False))
+        if "\x00" in text or UNSAFE_CUT.search(text):
+            return self.merged(self.pre.findall(text))
+        return sum(map(self.chunks.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
 
 
 def count_tokens(
@@ -142,7 +137,7 @@ def count_tokens(
         counter = Counter(path, whole.value)
 
         def f(ids, texts):
-            n = counter.count_many(texts)
+            n = list(map(counter.count, texts))
             return ids, [len(t.encode()) for t in texts], n, [k > limit for k in n]
 
         return f
