@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a folder of our own only where it names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="ledgerline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return path or own_dir(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=None)
+def own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"ledgerline-{application}-")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
