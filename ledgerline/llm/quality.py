@@ -1,14 +1,13 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney bigram model.
 
-The model is trained on all trusted documents (labelled quality 1). Its vocabulary is their
-VOCABULARY most frequent words; other words become one of three classes by their shape, and a
-rare word shares its class's probability with all different rare words of the trusted text. Bigram
-counts cover all trusted text. They are sharded by the bigram's key; documents are
-encoded in blocks, each block asks every shard once for the counts of its different bigrams, and
-the answers come back to the block. So what is shuffled is the different bigrams of blocks, not
-the occurrences, and no task holds more than a block or a shard (at most 65,536 counts).
-What depends on single words only (context totals, interpolation weights, continuation
-probabilities) has one number per vocabulary entry and is sent to all tasks.
+The model is trained on all trusted documents (labelled quality 1), and every word of theirs is in its
+vocabulary. Words are known by 64-bit hashes. Bigram counts, and what depends on single words (context
+totals, interpolation weights, continuation probabilities), are tables that grow with the trusted text.
+Both are sharded by hash; documents are encoded in blocks, each block asks every shard once for its
+different bigrams and words, and the answers come back to the block. So what is shuffled is the different
+bigrams of blocks, not the occurrences, no task holds more than a block or a shard (about 65,536 keys),
+and the driver holds a few totals only. Words that are in no trusted document have the probability that
+the discounts leave for them.
 
 A document's score is its mean negative log probability, drawn towards its language's median by
 PRIOR tokens, so that short texts need more evidence. Trusted documents are scored without
@@ -25,7 +24,6 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pandas as pd
@@ -35,103 +33,123 @@ from pyspark.sql import functions as F
 
 from .common import python_ready, read, sized, to_arrow, written
 
-VOCABULARY, PRIOR, QUANTILE, MARGIN, LEAST = 4096, 20, 0.995, 0.5, 50
-#: Ids: 0 start of a document, 1 to 3 the classes of rare words, then the vocabulary.
+#: The vocabulary has no limit; the SQL's LIMIT is a number no vocabulary reaches.
+VOCABULARY, PRIOR, QUANTILE, MARGIN, LEAST = 2**40, 20, 0.995, 0.5, 50
+#: Ids of the SQL: 0 start of a document, 1 to 3 the classes of words outside the vocabulary, then the vocabulary.
 START, SYMBOLS, CAPITALS, LETTERS, FIRST = 0, 1, 2, 3, 4
-#: Tokens of a block, bigram keys of a shard, blocks that ask one copy of a shard, width of a score's bin.
-BLOCK, SHARD, ASKERS, BIN = 1_000_000, 65_536, 512, 0.001
+#: Tokens of a block, keys of a shard, blocks that ask one copy of a shard, rows of a batch, width of a score's bin.
+BLOCK, SHARD, ASKERS, ROWS, BIN = 1_000_000, 65_536, 512, 65_536, 0.001
 SPACE = "[ \t\n\x0b\f\r]+"
 
 
-def vocabulary(trusted: DataFrame) -> tuple[list[str], int]:
-    """The vocabulary, and the number of different words outside it."""
-    words = trusted.select(F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''")
-    counts = written(words.groupBy("word").agg(F.count("*").alias("n")), "words")
-    top = counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY)
-    kept = [r["word"] for r in top.collect()]  # at most VOCABULARY rows
-    return kept, counts.count() - len(kept)
+class Numbers(dict):
+    """Word to its number in a block; number 0 is the start of a document."""
 
+    def __init__(self):
+        super().__init__({b"": 0})
 
-class Ids(dict):
-    """Word to id; words outside the vocabulary get the id of their class."""
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        return k
 
-    def __init__(self, words: list[str]):
-        import regex
 
-        super().__init__((w.encode(), i) for i, w in enumerate(words, FIRST))
-        self.symbol, self.small, self.room = regex.compile(r"[^\p{L}.,]"), regex.compile(r"\p{Ll}"), 150_000
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], "<u8").view("<i8")
+
+
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The keys of bigrams, from the hashes of their words."""
+    w = w.view("<u8")
+    return v ^ (w << np.uint64(1) | w >> np.uint64(63)).view("<i8")
 
-    def __missing__(self, word: bytes) -> int:
-        w = word.decode()
-        k = SYMBOLS if self.symbol.search(w) else LETTERS if self.small.search(w) else CAPITALS
-        if self.room:
-            self.room -= 1
-            self[word] = k
-        return k
 
+def pair_key(v: Column, w: Column) -> Column:
+    return v.bitwiseXOR(F.shiftleft(w, 1).bitwiseOR(F.shiftrightunsigned(w, 63)))
 
-def shards_of(size: int) -> int:
-    """The number of shards: a key's shard is its remainder, which spreads frequent contexts over all
-    of them, and no shard has more than SHARD keys."""
-    return -(-size * size // SHARD)
 
+def shard_order(keys: np.ndarray, n_shards: int) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+    """The order of keys by shard (a key's remainder) and key, and where each shard's keys are in it."""
+    shard = keys % n_shards
+    order = np.lexsort((keys, shard))
+    shards, at = np.unique(shard[order], return_index=True)
+    return order, dict(zip(shards.tolist(), zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=True), strict=True))
 
-def shard_rows(keys: np.ndarray, n_shards: int, values: np.ndarray | None = None) -> tuple[list[int], list[bytes], list[bytes | None]]:
-    """Keys (and values) by shard: shard, its keys' quotients in order, packed, and the packed values."""
-    order = np.lexsort((keys // n_shards, keys % n_shards))
-    keys, values = keys[order], None if values is None else values[order]
-    shards, at = np.unique(keys % n_shards, return_index=True)
-    low = (keys // n_shards).astype("<u2")
-    packed = [zlib.compress(p.tobytes(), 1) for p in np.split(low, at[1:])]
-    more = [None] * len(packed) if values is None else [zlib.compress(p.astype("<i8").tobytes(), 1) for p in np.split(values, at[1:])]
-    return shards.tolist(), packed, more
 
+def batch_of(schema: pa.Schema, *columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, schema, strict=True)], schema=schema)
 
-def encoded_blocks(docs: DataFrame, words: list[str]) -> DataFrame:
-    """Blocks of documents: their rows and ids, what to ask each shard, and the trusted bigrams' counts.
+
+def encoded_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of documents: their rows, the hashes of their different words, and the words' numbers in order.
 
     ``docs``: doc_id, lang, trusted, text."""
     spark = docs.sparkSession
     python_ready(spark)
-    schema = (
-        "block string, docs array<long>, langs array<string>, trusted array<boolean>, lengths array<int>, ids binary, "
-        "shards array<int>, asked array<binary>, own_keys array<int>, own_counts array<long>"
-    )
-    out, size = to_arrow(spark, schema), FIRST + len(words)
+    schema = "block string, docs array<long>, langs array<string>, trusted array<boolean>, lengths array<int>, words binary, ids binary"
+    out = to_arrow(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(words)
-        rows, parts, total = [], [], 0
+        number, rows, parts, total = Numbers(), [], [], 0
 
         def block() -> pa.RecordBatch:
-            lengths = [len(p) for p in parts]
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
-            key = flat[:-1].astype(np.int64) * size + flat[1:]
-            real = np.ones(len(key), bool)
-            real[np.cumsum(lengths)[:-1] - 1] = False  # from one document's end to the next one's start
-            good = np.repeat([r[2] for r in rows], lengths)[1:]
-            own, counts = np.unique(key[real & good], return_counts=True)
-            shards, asked, _ = shard_rows(np.unique(key[real]), shards_of(size))
             docs_, langs, trusted = (list(x) for x in zip(*rows, strict=True))
-            name = uuid.uuid4().hex
-            data = [[name], [docs_], [langs], [trusted], [lengths], [zlib.compress(flat.astype("<u2").tobytes(), 1)], [shards], [asked], [own], [counts]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(data, out, strict=True)], schema=out)
+            ids = zlib.compress(np.concatenate(parts).tobytes(), 1)
+            return batch_of(out, [uuid.uuid4().hex], [docs_], [langs], [trusted], [[len(p) for p in parts]], [word_hashes(list(number)).tobytes()], [ids])
 
         for batch in batches:
             for doc, lang, good, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = text.encode().split()
                 rows.append((doc, lang, good))
-                parts.append(np.array([START, *map(ids.__getitem__, tokens)], np.uint16))
+                parts.append(np.array([0, *map(number.__getitem__, text.encode().split())], "<i4"))
                 total += len(parts[-1])
                 if total >= BLOCK:
                     yield block()
-                    rows, parts, total = [], [], 0
+                    number, rows, parts, total = Numbers(), [], [], 0
         if rows:
             yield block()
 
     return docs.select("doc_id", "lang", "trusted", "text").mapInArrow(run, schema)
 
 
+class Block:
+    """A block's words (hashes) and bigrams: ``pair`` numbers every place's, as first word times ``size`` plus second;
+    ``real`` is false from one document's end to the next one's start."""
+
+    def __init__(self, lengths: list[int], words: bytes, ids: bytes):
+        self.words = np.frombuffer(words, "<i8")
+        self.size = len(self.words)
+        flat = np.frombuffer(zlib.decompress(ids), "<i4").astype(np.int64)
+        self.pair = flat[:-1] * self.size + flat[1:]
+        self.lengths = np.asarray(lengths, np.int64)
+        self.real = np.ones(len(self.pair), bool)
+        self.real[np.cumsum(self.lengths)[:-1] - 1] = False
+
+    def hashes(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.words[pairs // self.size], self.words[pairs % self.size]
+
+    def keys(self, kind: int) -> np.ndarray:
+        """What to ask for: the words (kind 0), or the different bigrams in the order of their numbers."""
+        return self.words if kind == 0 else pair_keys(*self.hashes(np.unique(self.pair[self.real])))
+
+
+def trusted_pairs(blocks: DataFrame) -> DataFrame:
+    """v, w (the hashes of two words) and n of each block's trusted bigrams."""
+    schema = "v long, w long, n long"
+    out = to_arrow(blocks.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for trusted, lengths, words, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                b = Block(lengths, words, ids)
+                pairs, n = np.unique(b.pair[b.real & np.repeat(trusted, lengths)[1:]], return_counts=True)
+                v, w = b.hashes(pairs)
+                for k in range(0, len(n), ROWS):
+                    yield batch_of(out, v[k : k + ROWS], w[k : k + ROWS], n[k : k + ROWS])
+
+    return blocks.select("trusted", "lengths", "words", "ids").mapInArrow(run, schema)
+
+
 def discounts(n: list[int]) -> list[float]:
     """The modified Kneser-Ney discounts of counts 1, 2 and 3 or more, from the numbers of counts 1 to 4."""
     if min(n) == 0:
@@ -141,106 +159,116 @@ def discounts(n: list[int]) -> list[float]:
 
 
 class Model:
-    """What the model keeps for single words, and its discounts; sizes depend on the vocabulary only."""
-
-    def __init__(self, counts: DataFrame, size: int, rare: int):
-        """``counts``: key (context * size + word) and n of every trusted bigram; ``rare``: the number of rare words."""
-        self.rare = log(max(rare, 1))
-        level = F.least(F.col("n"), F.lit(5))
-        of = {r["k"]: r["c"] for r in counts.groupBy(level.alias("k")).agg(F.count("*").alias("c")).collect()}  # 5 rows at most
-        self.size, self.d = size, discounts([of.get(k, 0) for k in (1, 2, 3, 4)])
-        context = counts.groupBy(F.floor(F.col("key") / size).alias("v")).agg(
-            F.sum("n").alias("n"), *(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2)), F.count_if(F.col("n") > 2).alias("n3")
-        )
-        self.total, self.weight, self.cont = np.zeros(size), np.zeros(size), np.zeros(size)
-        for r in context.collect():  # one row per vocabulary entry at most
-            self.total[r["v"]] = r["n"]
-            self.weight[r["v"]] = (self.d[0] * r["n1"] + self.d[1] * r["n2"] + self.d[2] * r["n3"]) / r["n"]
-        follow = {r["w"]: r["n"] for r in counts.groupBy((F.col("key") % size).alias("w")).agg(F.count("*").alias("n")).collect()}
-        e = discounts([sum(n == k for n in follow.values()) for k in (1, 2, 3, 4)])
-        types = sum(follow.values())
-        rest = sum(e[min(n, 3) - 1] for n in follow.values()) / types if types else 1.0
-        self.cont[:] = rest / size
-        for w, n in follow.items():
-            self.cont[w] += (n - e[min(n, 3) - 1]) / types
-
-    def nll(self, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Minus the log probability of w after v, whose bigram count is c."""
-        cut = np.array([0.0, *self.d])[np.minimum(c, 3)]
-        total = self.total[v]
-        p = np.where(total > 0, (c - cut) / np.maximum(total, 1) + self.weight[v] * self.cont[w], self.cont[w])
-        return -np.log(p) + np.where((w > START) & (w < FIRST), self.rare, 0.0)
-
-
-def answers(blocks: DataFrame, counts: DataFrame, size: int) -> DataFrame:
-    """block, shard, low, n: the shards' answers to what the blocks asked."""
-    spark, n_shards = blocks.sparkSession, shards_of(size)
+    """The model's totals, and its tables: ``pairs`` (key, n) and ``words`` (key, total, weight, cont)."""
+
+    def __init__(self, counts: DataFrame):
+        """``counts``: v, w and n of every trusted bigram."""
+        n = F.col("n")
+
+        def levels(rows: DataFrame) -> list[int]:
+            of = {r["k"]: r["c"] for r in rows.groupBy(F.least(n, F.lit(5)).alias("k")).agg(F.count("*").alias("c")).collect()}  # 5 rows at most
+            return [of.get(k, 0) for k in (1, 2, 3, 4)]
+
+        def cut(by: list[float]) -> Column:
+            return F.when(n == 1, by[0]).when(n == 2, by[1]).otherwise(by[2])
+
+        follow = written(counts.groupBy(F.col("w").alias("key")).agg(F.count("*").alias("n")), "follow")
+        self.d, e = discounts(levels(counts)), discounts(levels(follow))
+        types, left, known = follow.agg(F.sum("n"), F.sum(cut(e)), F.count("*")).first()
+        size = FIRST + known
+        self.floor = left / types / size if types else 1.0 / size
+        context = counts.groupBy(F.col("v").alias("key")).agg(F.sum("n").cast("double").alias("total"), (F.sum(cut(self.d)) / F.sum("n")).alias("weight"))
+        cont = follow.select("key", (self.floor + (n - cut(e)) / (types or 1)).alias("cont"))
+        self.pairs = counts.select(pair_key(F.col("v"), F.col("w")).alias("key"), n.cast("double").alias("n"))
+        words = context.join(cont, "key", "full").select("key", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("total", "weight", "cont")))
+        self.words = written(words, "words")
+        self.shards = [max(1, -(-t.count() // SHARD)) for t in (self.words, self.pairs)]
+
+    @staticmethod
+    def nll(d: list[float], total: np.ndarray, weight: np.ndarray, cont: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Minus the log probability of a word with ``cont`` after one with ``total`` and ``weight``; c is their bigram's count."""
+        cut = np.array([0.0, *d])[np.minimum(c, 3).astype(np.int64)]
+        return -np.log(np.where(total > 0, (c - cut) / np.maximum(total, 1) + weight * cont, cont))
+
+
+def answers(blocks: DataFrame, table: DataFrame, n_shards: int, kind: int) -> DataFrame:
+    """block, kind, shard, hits and numbers: which of the asked keys the shards of ``table`` have, and their numbers."""
+    spark, columns = blocks.sparkSession, [c for c in table.columns if c != "key"]
     copies = max(1, -(-blocks.count() // ASKERS))
-    pack_schema = "shard int, low binary, n binary"
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        shards, low, n = shard_rows(pdf["key"].to_numpy(), n_shards, pdf["n"].to_numpy())
-        return pd.DataFrame({"shard": shards, "low": low, "n": n})
+        pdf = pdf.sort_values("key")
+        numbers = zlib.compress(pdf[columns].to_numpy("<f8").T.tobytes(), 1)
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "have": [pdf["key"].to_numpy("<i8").tobytes()], "numbers": [numbers]})
 
-    shards = counts.withColumn("s", F.col("key") % n_shards).groupBy("s").applyInPandas(pack, pack_schema)
+    shards = table.withColumn("shard", F.pmod("key", F.lit(n_shards)).cast("int")).groupBy("shard").applyInPandas(pack, "shard int, have binary, numbers binary")
     shards = shards.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    asked = blocks.select("block", F.explode(F.arrays_zip("shards", "asked")).alias("a")).select(
-        "block", F.col("a.shards").alias("shard"), F.col("a.asked").alias("asked"), F.pmod(F.xxhash64("block"), F.lit(copies)).cast("int").alias("copy")
-    )
-    schema = "block string, shard int, low binary, n binary"
-    out = to_arrow(spark, schema)
+    ask_schema, schema = "block string, shard int, asked binary", "block string, kind int, shard int, hits binary, numbers binary"
+    ask_out, out = to_arrow(spark, ask_schema), to_arrow(spark, schema)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, lengths, words, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys = Block(lengths, words, ids).keys(kind)
+                order, at = shard_order(keys, n_shards)
+                keys = keys[order]
+                yield batch_of(ask_out, [block] * len(at), list(at), [keys[lo:hi].tobytes() for lo, hi in at.values()])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[], [], [], []]
-            for block, shard, want, low, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                want, have = (np.frombuffer(zlib.decompress(x), "<u2") for x in (want, low))
-                both, _, at = np.intersect1d(want, have, assume_unique=True, return_indices=True)
-                found = np.frombuffer(zlib.decompress(n), "<i8")[at]
-                for column, x in zip(rows, (block, shard, zlib.compress(both.tobytes(), 1), zlib.compress(found.tobytes(), 1)), strict=True):
+            rows = [[], [], [], [], []]
+            for block, shard, want, have, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                want, have = np.frombuffer(want, "<i8"), np.frombuffer(have, "<i8")
+                at = np.minimum(np.searchsorted(have, want), len(have) - 1)
+                hits = have[at] == want
+                found = np.frombuffer(zlib.decompress(numbers), "<f8").reshape(len(columns), -1)[:, at[hits]]
+                for column, x in zip(rows, (block, kind, shard, np.packbits(hits).tobytes(), zlib.compress(found.tobytes(), 1)), strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(rows, out, strict=True)], schema=out)
+            yield batch_of(out, *rows)
+
+    asked = blocks.select("block", "lengths", "words", "ids").mapInArrow(ask, ask_schema).withColumn("copy", F.pmod(F.xxhash64("block"), F.lit(copies)).cast("int"))
+    return asked.join(shards, ["shard", "copy"]).select("block", "shard", "asked", "have", "numbers").mapInArrow(look, schema)
 
-    return asked.join(shards, ["shard", "copy"]).select("block", "shard", "asked", "low", "n").mapInArrow(look, schema)
 
+def filled(keys: np.ndarray, found: pd.DataFrame, n_shards: int, columns: int) -> np.ndarray:
+    """The numbers of keys, column by column, from the shards' answers; zero where a key was not found."""
+    order, at = shard_order(keys, n_shards)
+    out = np.zeros((columns, len(keys)))
+    for shard, hits, numbers in zip(found["shard"], found["hits"], found["numbers"], strict=True):
+        lo, hi = at[shard]
+        mine = order[lo:hi][np.unpackbits(np.frombuffer(hits, np.uint8), count=hi - lo).astype(bool)]
+        out[:, mine] = np.frombuffer(zlib.decompress(numbers), "<f8").reshape(columns, -1)
+    return out
 
-def scored(blocks: DataFrame, found: DataFrame, model: Model) -> DataFrame:
+
+def scored(blocks: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, trusted, n_tokens and nll (the sum) of every document."""
-    n_shards = shards_of(model.size)
+    shards, d, floor, nll = model.shards, model.d, model.floor, Model.nll
+    found = answers(blocks, model.words, shards[0], 0).unionByName(answers(blocks, model.pairs, shards[1], 1))
 
-    def score(payload: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        if len(payload) == 0:
-            return pd.DataFrame({"doc_id": [], "lang": [], "trusted": [], "n_tokens": [], "nll": []})
+    def score(payload: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         row = payload.iloc[0]
-        keys = [np.zeros(0, np.int64)] + [s + n_shards * np.frombuffer(zlib.decompress(x), "<u2").astype(np.int64) for s, x in zip(counts["shard"], counts["low"], strict=True)]
-        n = [np.zeros(0, np.int64)] + [np.frombuffer(zlib.decompress(x), "<i8") for x in counts["n"]]
-        keys, n = np.concatenate(keys), np.concatenate(n)
-        order = np.argsort(keys)
-        keys, n = np.append(keys[order], np.iinfo(np.int64).max), np.append(n[order], 0)
-        flat = np.frombuffer(zlib.decompress(row["ids"]), "<u2").astype(np.int64)
-        ends = np.cumsum(row["lengths"])
-        v, w = flat[:-1], flat[1:]
-        key = v * model.size + w
-        at = np.searchsorted(keys, key)
-        c = np.where(keys[at] == key, n[at], 0)
-        for k, good in enumerate(row["trusted"]):  # without a trusted document's own counts
-            lo, hi = int(ends[k] - row["lengths"][k]), int(ends[k]) - 1
-            if good and hi > lo:
-                _, back, own = np.unique(key[lo:hi], return_inverse=True, return_counts=True)
-                c[lo:hi] = np.maximum(c[lo:hi] - own[back], 0)
-        lo, hi = ends - np.array(row["lengths"]), ends - 1
-        total = np.array([nll_sum(model, v[a:b], w[a:b], c[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
-        return pd.DataFrame({"doc_id": row["docs"], "lang": row["langs"], "trusted": row["trusted"], "n_tokens": np.array(row["lengths"], np.int64) - 1, "nll": total})
+        b = Block(row["lengths"], row["words"], row["ids"])
+        total, weight, cont = filled(b.words, found[found["kind"] == 0], shards[0], 3)
+        cont = np.where(cont > 0, cont, floor)
+        different, at = np.unique(b.pair[b.real], return_inverse=True)
+        count = np.zeros(len(b.pair))
+        count[b.real] = filled(pair_keys(*b.hashes(different)), found[found["kind"] == 1], shards[1], 1)[0][at]
+        ends, sums = np.cumsum(b.lengths), []
+        for good, lo, hi in zip(row["trusted"], (ends - b.lengths).tolist(), (ends - 1).tolist(), strict=True):
+            pair, c = b.pair[lo:hi], count[lo:hi]
+            if good and hi > lo:  # without a trusted document's own counts
+                _, back, own = np.unique(pair, return_inverse=True, return_counts=True)
+                c = np.maximum(c - own[back], 0)
+            v, w = pair // b.size, pair % b.size
+            sums.append(float(nll(d, total[v], weight[v], cont[w], c).sum()))
+        return pd.DataFrame({"doc_id": row["docs"], "lang": row["langs"], "trusted": row["trusted"], "n_tokens": b.lengths - 1, "nll": sums})
 
     schema = "doc_id bigint, lang string, trusted boolean, n_tokens bigint, nll double"
-    payload = blocks.select("block", "docs", "langs", "trusted", "lengths", "ids")
+    payload = blocks.select("block", "docs", "langs", "trusted", "lengths", "words", "ids")
     return payload.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(score, schema)
 
 
-def nll_sum(model: Model, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> float:
-    return float(model.nll(v, w, c).sum()) if len(v) else 0.0
-
-
 def binned(x: Column) -> Column:
     return F.floor(x / BIN)
 
@@ -260,13 +288,9 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = sized(written(good, "trusted"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    words, rare = vocabulary(rows.where("trusted"))
-    blocks = written(encoded_blocks(rows, words), "blocks")
-    pairs = F.explode(F.arrays_zip("own_keys", "own_counts")).alias("p")
-    counts = blocks.select(pairs).select(F.col("p.own_keys").alias("key"), F.col("p.own_counts").alias("c")).groupBy("key").agg(F.sum("c").alias("n"))
-    counts = written(counts, "bigrams")
-    size = FIRST + len(words)
-    return scored(blocks, answers(blocks, counts, size), Model(counts, size, rare))
+    blocks = written(encoded_blocks(rows), "blocks")
+    counts = written(trusted_pairs(blocks).groupBy("v", "w").agg(F.sum("n").alias("n")), "bigrams")
+    return scored(blocks, Model(counts))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -68,6 +68,16 @@ def test_quality_on_labels(spark):
     assert sum(good) / len(good) >= 0.98 and sum(bad) / len(bad) <= 0.5
 
 
+def test_rare_words_keep_their_identity(spark):
+    letters = "bcdfghklmnprstvz"
+    words = [a + "a" + b + "o" + c + "e" for a in letters for b in letters for c in letters + "jqwx"]  # 5,120 words
+    rare, unseen = "ulmu arbu selku tindu", "opru kelbu minsu vartu"
+    rows = [(k, " ".join(words), "en") for k in (1, 2, 3)] + [(4, rare, "en"), (5, rare, "en"), (10, rare, "en"), (11, unseen, "en")]
+    labels = spark.createDataFrame([(k, 1, 0) for k in (1, 2, 3, 4, 5)], "doc_id bigint, quality int, toxic int")
+    out = {r["doc_id"]: r["perplexity"] for r in quality.classify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), labels).collect()}
+    assert out[10] < out[11] / 10
+
+
 def test_discounts_by_hand():
     y = 10 / (10 + 2 * 5)
     assert quality.discounts([10, 5, 3, 2]) == [1 - 2 * y * 5 / 10, 2 - 3 * y * 3 / 5, 3 - 4 * y * 2 / 3]
