@@ -29,6 +29,8 @@ FRAME = WIDE * HIGH
 FPS = 25
 #: Shot detection: bins of a histogram, frames on either side of a difference, deviations, least difference.
 BINS, AROUND, K, LEAST = 16, 8, 2.5, 0.35
+#: Standard deviations of normal values in one median absolute deviation.
+SPREAD = 1.4826
 
 # The order in which a block's coefficients are stored (fixed by the JPEG standard), as its rule: diagonals, turning.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
@@ -238,20 +240,27 @@ def decode_samples(data: bytes) -> tuple[float, np.ndarray]:
     return fps, (np.cumsum(d, axis=1, dtype=np.int16) + 128).astype(np.uint8)
 
 
+def middles(rows: np.ndarray) -> np.ndarray:
+    """The median of each row, without its missing values; 0 for rows that have none."""
+    ordered, n = np.sort(rows, axis=1), np.count_nonzero(~np.isnan(rows), axis=1)  # missing values last
+    at = np.stack([np.maximum(n - 1, 0) // 2, np.minimum(n // 2, rows.shape[1] - 1)], axis=1)
+    return np.nan_to_num(np.take_along_axis(ordered, at, axis=1).mean(axis=1))
+
+
 def shot_starts(frames: np.ndarray) -> np.ndarray:
-    """The first frame of each shot. The threshold adapts to the differences around each frame."""
+    """The first frame of each shot. The threshold adapts to the differences around each frame, by their median
+    and its deviation, in which neither the tested difference nor a few other cuts count."""
     n = len(frames)
     if n < 2:
         return np.zeros(min(n, 1), np.int64)
     flat = (frames >> 4).astype(np.int64) + BINS * np.arange(n)[:, None]
     hist = np.bincount(flat.ravel(), minlength=BINS * n).reshape(n, BINS) / frames.shape[1]
     d = np.abs(np.diff(hist, axis=0)).sum(axis=1) / 2
-    sums = np.concatenate([[[0.0, 0.0]], np.cumsum(np.stack([d, d * d], axis=1), axis=0)])
-    lo, hi = np.maximum(np.arange(n - 1) - AROUND, 0), np.minimum(np.arange(n - 1) + AROUND + 1, n - 1)
-    count = hi - lo
-    mean = (sums[hi, 0] - sums[lo, 0]) / count
-    var = np.maximum((sums[hi, 1] - sums[lo, 1]) / count - mean**2, 0)
-    return np.concatenate([[0], 1 + np.flatnonzero((d > mean + K * np.sqrt(var)) & (d >= LEAST))])
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(d, AROUND, constant_values=np.nan), 2 * AROUND + 1)
+    around = np.delete(around, AROUND, axis=1)
+    middle = middles(around)
+    spread = SPREAD * middles(np.abs(around - middle[:, None]))
+    return np.concatenate([[0], 1 + np.flatnonzero((d > middle + K * spread) & (d >= LEAST))])
 
 
 def padded(text: str) -> bytes:

@@ -45,6 +45,16 @@ def test_shots_start_where_the_picture_changes():
     assert media.shot_starts(np.concatenate([dark, light, dark])).tolist() == [0, 30, 50]
 
 
+def test_cuts_of_short_files_and_quick_cuts():
+    dark, light = np.full((1, 192), 20, np.uint8), np.full((1, 192), 220, np.uint8)
+    shot = lambda *sizes: np.concatenate([np.repeat((dark, light)[k % 2], n, axis=0) for k, n in enumerate(sizes)])
+    for n in range(2, 10):
+        for at in {1, n // 2, n - 1}:
+            assert media.shot_starts(shot(at, n - at)).tolist() == [0, at]
+    assert media.shot_starts(shot(20, 2, 2, 20)).tolist() == [0, 20, 22, 24]
+    assert media.shot_starts(shot(20, 2, 2, 2, 2, 20)).tolist() == [0, 20, 22, 24, 26, 28]
+
+
 def test_media_query(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in media.op1_media_avi(spark, sf).collect():
