@@ -12,7 +12,7 @@ the discounts leave for them.
 A document's score is its mean negative log probability, drawn towards its language's median by
 PRIOR tokens, so that short texts need more evidence. Trusted documents are scored without
 their own counts. A document is rejected if its score is above the QUANTILE of its language's
-trusted documents, and MARGIN of that quantile's distance from the median beyond it. All trusted
+trusted documents (MARGIN would add to it, in parts of its distance from the median). All trusted
 documents count as one language for languages with fewer than LEAST of them.
 
 Documents without words have a null perplexity and are kept; null languages are one language.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import python_ready, read, sized, to_arrow, written
 
 #: The vocabulary has no limit; the SQL's LIMIT is a number no vocabulary reaches.
-VOCABULARY, PRIOR, QUANTILE, MARGIN, LEAST = 2**40, 20, 0.995, 0.5, 50
+VOCABULARY, PRIOR, QUANTILE, MARGIN, LEAST = 2**40, 20, 0.995, 0.0, 50
 #: Ids of the SQL: 0 start of a document, 1 to 3 the classes of words outside the vocabulary, then the vocabulary.
 START, SYMBOLS, CAPITALS, LETTERS, FIRST = 0, 1, 2, 3, 4
 #: Tokens of a block, keys of a shard, blocks that ask one copy of a shard, rows of a batch, width of a score's bin.

@@ -78,6 +78,14 @@ def test_quality_on_labels(spark):
     assert sum(good) / len(good) >= 0.98 and sum(bad) / len(bad) <= 0.5
 
 
+def test_threshold_is_a_quantile_of_trusted_scores(spark):
+    words = "the old river ran past green hills and small towns until it met a wide grey sea".split()
+    rows = [(k, " ".join(words[(k * j) % len(words)] for j in range(1, 30 + k)), "en") for k in range(1, 61)]
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id bigint, quality int, toxic int")
+    out = quality.classify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), labels).collect()
+    assert max(r["threshold"] for r in out) <= max(r["score"] for r in out) + 2 * quality.BIN
+
+
 def test_rare_words_keep_their_identity(spark):
     letters = "bcdfghklmnprstvz"
     words = [a + "a" + b + "o" + c + "e" for a in letters for b in letters for c in letters + "jqwx"]  # 5,120 words
