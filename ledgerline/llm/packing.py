@@ -1,7 +1,7 @@
 """Best-two-fit packing of tokenised documents into sequences of bounded length.
 
 A document's ids are those of the library plus an end id; only documents longer than a sequence
-are cut, into full pieces and a rest. Pieces are dealt at random (by a hash of their key) into
+are cut, into full pieces and a rest. Pieces are dealt at random (by a hash of their row) into
 groups of about GROUP pieces, so that neither a task nor the driver ever holds them all; each
 group is packed by itself, which costs at most the last, partly filled sequence of each group.
 
@@ -159,8 +159,9 @@ def fill_sequences(lengths: list[int], capacity: int = CAPACITY) -> list[list[in
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset. It is read
-    twice: to count it and to pack it."""
+    """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset. They are
+    written with a number of each row, which deals them to groups whatever their keys."""
+    pieces = written(pieces.withColumn("pack_row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // group))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -175,14 +176,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP)
                 at += lengths[i]
         return pdf.drop(columns="pack_group").assign(sequence_id=sequence, offset=offset)
 
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("pack_row"), F.lit(groups))).drop("pack_row")
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     return dealt.groupBy("pack_group").applyInPandas(pack, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None) -> DataFrame:
     """The pieces of all documents and their places."""
-    return pack_pieces(written(tokenised_pieces(docs, capacity, tokenizer_path), "pieces"), capacity)
+    return pack_pieces(tokenised_pieces(docs, capacity, tokenizer_path), capacity)
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,6 +230,14 @@ def test_two_pieces_replace_the_smallest():
     assert sorted(sorted([6, 3, 2, 2][i] for i in b) for b in packing.fill_sequences([6, 3, 2, 2], 10)) == [[2, 2, 6], [3]]
 
 
+def test_groups_stay_small_without_ids(spark):
+    rows = [(None, 0, 0, 5, k) for k in range(600)]
+    pieces = spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    out = packing.pack_pieces(pieces, 10, 100).collect()
+    groups = [r["sequence_id"] >> 32 for r in out]
+    assert sorted(r["ids_crc32"] for r in out) == list(range(600)) and max(map(groups.count, set(groups))) < 200
+
+
 def test_packing_query(spark, sf):
     tok = token_counts.library(packing.default_path())
     docs = {r["doc_id"]: tok.encode(r["text"] or "", add_special_tokens=False).ids + [1] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
