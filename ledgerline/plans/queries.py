@@ -15,7 +15,7 @@ from ledgerline.sources import prices as P
 from ledgerline.sources import tables as T
 from ledgerline.sources.staging import written
 
-RF, CAPITAL, PATHS = 0.02, 100_000.0, 200
+RF, CAPITAL, PATHS = 0.02, 100_000.0, resample.N_PATHS
 TICKERS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 CUSTOM = (0.10, 0.15, 0.20, 0.25, 0.20, 0.10)
 WINDOW = (dt.date(1996, 1, 1), dt.date(1997, 12, 31))

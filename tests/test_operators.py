@@ -317,3 +317,9 @@ def test_tables_between_steps(spark):
     df = staging.written(spark.range(3), "three")
     folder = Path(staging.shared_dir(spark)) / f"ledgerline-{spark.sparkContext.applicationId}"
     assert df.count() == 3 and any(folder.glob("three-*"))
+
+
+def test_bootstrap_is_registered_with_all_paths():
+    from ledgerline.plans import queries
+
+    assert queries.PATHS == resample.N_PATHS == 10_000
