@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.sources.staging import written
 
-__all__ = ["map_rows", "python_ready", "read", "sized", "text_or_empty", "to_arrow", "written"]
+__all__ = ["free_name", "map_rows", "python_ready", "read", "sized", "text_or_empty", "to_arrow", "written"]
 
 #: Rows in one Arrow batch sent to Python; texts may be very long, so batches stay small.
 BATCH_ROWS = 256
@@ -52,6 +52,14 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer if need be, so that it clashes with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_rows(
     df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., tuple[list, ...]]]
 ) -> DataFrame:
