@@ -3,11 +3,14 @@
 Every text node has a path of tags from the root. Per path, text length and punctuation are
 summed over its nodes; the ratio of text to nodes and the ratio of text to punctuation-weighted
 spread are smoothed over the paths in page order and fused, and the paths above the threshold
-select the content nodes. The lowest block that holds the selected nodes is the article; all its
-text is kept, in page order, except what stands in parts that are never content (navigation,
-headers, footers, asides, forms, scripts, comments and the like, by tag, role or class name).
-
-Null and empty pages, and pages without text, give an empty text. Repeated rows give repeated results.
+select the content nodes. The lowest block that holds the selected nodes is the article; its text is
+kept in page order. Parts of the kinds that an article goes without (menus, headers, footers, sidebars, forms,
+notices, adverts, comments) are marked by tag, role or class name; their paths are worth DEMERIT of their
+ratio, and inside the article they go unless their path is selected all the same. Elements nest as deep as
+they do in the page, and a page takes time in proportion to its length.
+
+White space is what Python's ``\\s`` matches. Null and empty pages, and pages whose text is all marked, give an
+empty text. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -21,108 +24,164 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, read
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|[\s"'])(?:hidden(?=[\s/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
-SPACE = re.compile(r"[ \t\n\r\f\v  -     　]+")
+# Possessive pieces, so that no text is gone over twice.
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
+ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
+ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
+HIDDEN = re.compile(r"""(?:^|[\s"'])(?:hidden(?=[\s/]|$)|aria-hidden\s*+=\s*+["']?true|style\s*+=\s*+["'][^"']*?display\s*+:\s*+none)""", re.I)
+SPACE = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、]")
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noframes".split())
-NEVER = RAW | frozenset("head nav header footer aside form button select option menu dialog svg math canvas object audio video figcaption label fieldset".split())
+#: What a browser does not show as text of the page.
+UNSEEN = RAW | frozenset("head select option datalist svg canvas object audio video".split())
+#: Menus, headers (outside of articles), footers, sidebars, forms and notices by tag.
+MARKED = frozenset("nav footer aside form button menu dialog fieldset label".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4"
     " h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption html body".split())
-SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-#: Words in class and id names, and roles, of parts that are no content.
+#: Elements whose end tag may be left out: what a start tag closes, and what it does not reach across.
+SELF_CLOSING = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
+}
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
+#: Words in class and id names of parts that are no content, and words that may stand beside them.
 BOILER = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb"
     " breadcrumbs header masthead footer foot comment comments reply replies respond disqus cookie cookies consent notice notices gdpr alert popup modal overlay"
     " newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager copyright legal disclaimer"
     " contentinfo complementary search skip".split()
 )
+NEUTRAL = frozenset(
+    "a b c js site page top bottom left right main block box section container wrapper wrap area bar list item items inner outer group panel content body links link"
+    " text row col column region slot unit module component the of to and my user reader form buttons button thread primary secondary global local mobile desktop".split()
+)
 WORD = re.compile(r"[a-z]+")
-#: Elements nested deeper stand for their ancestor at this depth, as in browsers; no text is lost.
-DEEPEST = 512
+#: What the fused ratio of a marked part is multiplied by.
+DEMERIT = 0.001
 
 
 class Node:
-    __slots__ = ("tag", "parent", "never", "path", "block", "depth")
+    """An element. ``path`` numbers its tags from the root together with whether it is marked."""
+
+    __slots__ = ("tag", "parent", "unseen", "marked", "article", "path", "depth", "at")
 
-    def __init__(self, tag: str, parent: "Node | None", never: bool):
-        self.tag, self.parent, self.never = tag, parent, never or bool(parent and parent.never)
-        self.path = f"{parent.path}/{tag}" if parent else tag
-        self.block = self if tag in BLOCK or not parent else parent.block
+    def __init__(self, tag: str, parent: "Node | None", unseen: bool, marked: bool, paths: dict, at: int):
+        self.tag, self.parent, self.at = tag, parent, at
+        self.unseen, self.marked = unseen or bool(parent and parent.unseen), marked or bool(parent and parent.marked)
+        self.article = tag in ("article", "main") or bool(parent and parent.article)
         self.depth = parent.depth + 1 if parent else 0
+        self.path = paths.setdefault((parent.path if parent else -1, tag, self.marked), len(paths))
 
 
-def is_boiler(tag: str, attrs: str) -> bool:
-    if tag in NEVER or attrs and HIDDEN.search(attrs):
+def is_marked(tag: str, attrs: str, parent: Node) -> bool:
+    """Whether an element is of a kind that the article goes without: by tag, role or all of a class name's words."""
+    if tag in MARKED or tag == "header" and not parent.article or attrs and HIDDEN.search(attrs):
         return True
     if tag in ("html", "body", "main", "article"):
         return False
     for m in ATTR.finditer(attrs):
-        names = (m[2] or m[3] or m[4] or "").lower()
-        if any(w in BOILER for w in WORD.findall(names)):
-            return True
+        value = (m[2] or m[3] or m[4] or "").lower()
+        if m[1].lower() == "role":
+            if value.strip() in ROLES:
+                return True
+            continue
+        for name in value.split():
+            words = WORD.findall(name)
+            if any(w in BOILER for w in words) and all(w in BOILER or w in NEUTRAL for w in words):
+                return True
     return False
 
 
-def text_nodes(page: str) -> list[tuple[Node, int, str]]:
-    """The text nodes in page order: element, number of the run of text without a block border, text."""
-    out, root = [], Node("", None, False)
-    stack, run, at = [root], 0, 0
+class Stack:
+    """The open elements, and where each tag and the last block stand, so that nothing is searched for."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        """Close the elements from place ``at`` on."""
+        while len(self.nodes) > at:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
+def text_nodes(page: str) -> tuple[list[tuple[Node, int, str]], list[Node]]:
+    """The text nodes in page order (element, number of the run of text without a block border, text), and all
+    elements, parents first. Every character is looked at a bounded number of times."""
+    paths: dict = {}
+    root = Node("", None, False, False, paths, 0)
+    out, elements, stack, run, at = [], [root], Stack(root), 0, 0
 
     def add(text: str) -> None:
         if text:
-            out.append((stack[-1], run, text))
+            out.append((stack.nodes[-1], run, text))
 
     while at < len(page):
-        m = TAG.search(page, at)
-        if not m:
+        lt = page.find("<", at)
+        if lt < 0:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        m = NAME.match(page, lt + 1)
+        if not m:
+            if page.startswith("<!--", lt):
+                end, n = page.find("-->", lt + 4), 3
+            elif page.startswith(("<!", "<?", "</"), lt):
+                end, n = page.find(">", lt), 1
+            else:  # a plain sign
+                add(page[at : lt + 1])
+                at = lt + 1
+                continue
+            add(page[at:lt])
+            at = end + n if end >= 0 else len(page)
             continue
-        tag = m[2].lower()
+        add(page[at:lt])
+        end = ATTRIBUTES.match(page, m.end()).end()
+        if end < len(page) and page[end] != ">":  # a quote that never ends
+            end = page.find(">", m.end())
+            end = end if end >= 0 else len(page)
+        attrs, at, tag = page[m.end() : end], end + 1, m[1].lower()
         if tag in BLOCK:
             run += 1
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+        if page[lt + 1] == "/":
+            if stack.places.get(tag):
+                stack.cut(stack.places[tag][-1])
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
+        if tag in CLOSES_P and stack.blocks and stack.nodes[stack.blocks[-1]].tag == "p":
+            stack.cut(stack.blocks[-1])
         if tag in SELF_CLOSING:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag or {stack[i].tag, tag} <= {"td", "th"} or {stack[i].tag, tag} <= {"dt", "dd"}:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SELF_CLOSING[tag]:
-                    break
+            closed, across = SELF_CLOSING[tag]
+            if (place := stack.last(closed)) > stack.last(across):
+                stack.cut(place)
         if tag == "br":
             add(" ")
         if tag in VOID:
             continue
-        node = Node(tag, stack[-1], is_boiler(tag, m[3]))
+        parent = stack.nodes[-1]
+        node = Node(tag, parent, tag in UNSEEN, is_marked(tag, attrs, parent), paths, len(elements))
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-            at = end.start() if end else len(page)
-        if (not m[3].endswith("/") or tag in BLOCK) and len(stack) < DEEPEST:
-            stack.append(node)
-    return out
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            at = close.start() if close else len(page)
+        if not attrs.endswith("/") or tag in BLOCK:
+            elements.append(node)
+            stack.push(node)
+    return out, elements
 
 
 def smoothed(x: list[float]) -> list[float]:
@@ -135,9 +194,10 @@ def smoothed(x: list[float]) -> list[float]:
     return out
 
 
-def path_weights(nodes: list[tuple[str, str]]) -> tuple[dict[str, float], float]:
-    """The fused ratio of each path, and the threshold, of (path, text) in page order."""
-    stats: dict[str, list[list[int]]] = {}
+def path_weights(nodes: list[tuple[int, str]], marked: frozenset[int] | set[int] = frozenset()) -> tuple[dict[int, float], float]:
+    """The fused ratio of each path, and the threshold, of (path, text) in page order. Paths in ``marked`` are
+    worth DEMERIT of theirs."""
+    stats: dict[int, list[list[int]]] = {}
     for path, text in nodes:
         s = stats.setdefault(path, [[], []])
         s[0].append(len(text))
@@ -150,49 +210,49 @@ def path_weights(nodes: list[tuple[str, str]]) -> tuple[dict[str, float], float]
     paths = list(stats)
     length = smoothed([sum(stats[p][0]) / len(stats[p][0]) for p in paths])
     marks = smoothed([(sum(stats[p][1]) + 1) / len(stats[p][1]) * (1 + math.log1p(spread(stats[p][0])) + math.log1p(spread(stats[p][1]))) for p in paths])
-    fused = [a * b for a, b in zip(length, marks, strict=True)]
-    total = [sum(stats[p][0]) for p in paths]
     # A path's own text counts as well as that of its neighbours in the page.
-    fused = [f * t for f, t in zip(fused, total, strict=True)]
+    fused = [a * b * sum(stats[p][0]) * (DEMERIT if p in marked else 1) for a, b, p in zip(length, marks, paths, strict=True)]
     mean = sum(fused) / len(fused)
     return dict(zip(paths, fused, strict=True)), min(math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused)), max(fused))
 
 
-def extract(page: str) -> str:
-    """The main text of a page: its blocks, each in one line."""
-    nodes = text_nodes(page)
-    usable = [(n, run, SPACE.sub(" ", entities.unescape(t))) for n, run, t in nodes if not n.never]
-    ranked = [(n.path, t.strip()) for n, _, t in usable if t.strip()]
-    if not ranked:
-        return ""
-    weight, threshold = path_weights(ranked)
-    chosen = [n for n, _, t in usable if t.strip() and weight[n.path] >= threshold]
-    # The lowest element that holds all selected nodes; where it is only a paragraph or the like, its container.
-    top = chosen[0].block
-    for n in chosen[1:]:
-        other = n.block
-        while top is not other:
-            if top.depth >= other.depth:
-                top = top.parent
-            else:
-                other = other.parent
-    lines = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "td", "th", "tr", "tbody", "table", "dd", "dt", "dl"}
-    while top.parent and top.tag in lines:
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre td th tr tbody table dd dt dl".split())
+
+
+def content_block(chosen: list[Node], elements: list[Node]) -> Node:
+    """The lowest block that holds all chosen elements; where it is only a paragraph or the like, its container,
+    and inside an article the whole article."""
+    below = [0] * len(elements)
+    for n in chosen:
+        below[n.at] += 1
+    for n in reversed(elements[1:]):
+        below[n.parent.at] += below[n.at]
+    top = max((n for n in elements if below[n.at] == len(chosen)), key=lambda n: n.depth)
+    while top.parent and (top.tag not in BLOCK or top.tag in LINES):
         top = top.parent
     near = top
-    while near.parent:  # inside an article, the whole article
-        if near.tag in ("article", "main"):
-            top = near
-            break
+    while near.parent and near.tag not in ("article", "main"):
         near = near.parent
+    return near if near.parent else top
+
+
+def extract(page: str) -> str:
+    """The main text of a page: its blocks, each in one line."""
+    nodes, elements = text_nodes(page)
+    seen = [(n, run, SPACE.sub(" ", entities.unescape(t))) for n, run, t in nodes if not n.unseen]
+    ranked = [(n, t) for n, _, t in seen if t.strip()]
+    if all(n.marked for n, _ in ranked):
+        return ""
+    weight, threshold = path_weights([(n.path, t.strip()) for n, t in ranked], {n.path for n, _ in ranked if n.marked})
+    top = content_block([n for n, _ in ranked if weight[n.path] >= threshold], elements)
+    inside = [False] * len(elements)
+    for n in elements:
+        inside[n.at] = n is top or bool(n.parent and inside[n.parent.at])
     blocks: dict[int, list[str]] = {}
-    for n, run, t in usable:
-        up = n
-        while up.depth > top.depth:
-            up = up.parent
-        if up is top:
+    for n, run, t in seen:
+        if inside[n.at] and (not n.marked or weight.get(n.path, 0) >= threshold):
             blocks.setdefault(run, []).append(t)
-    out = (SPACE.sub(" ", "".join(b)).strip(" ") for b in blocks.values())
+    out = (SPACE.sub(" ", "".join(b)).strip() for b in blocks.values())
     return "\n".join(b for b in out if b)
 
 
