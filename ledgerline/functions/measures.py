@@ -41,9 +41,9 @@ def sharpe(excess: Column) -> Column:
 
 
 def sortino(excess: Column) -> Column:
-    """The downside deviation is over the full sample."""
+    """The downside deviation is over the full sample, which has to have two returns at least."""
     down = F.sqrt(F.avg(F.when(excess.isNotNull(), F.pow(F.least(excess, F.lit(0.0)), 2))))
-    return ratio(F.avg(excess) * DAYS, down * sqrt(DAYS), down >= ZERO)
+    return ratio(F.avg(excess) * DAYS, down * sqrt(DAYS), (F.count(excess) >= 2) & (down >= ZERO))
 
 
 def beta(excess: Column, other: Column) -> Column:

@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 FILL_ROWS, MISSING_LIMIT, START_SLACK = 5, 0.10, 7
 
 
+#: Parts in which the dates of one panel meet its tickers.
+GRID_PARTS = 32
+
+
 def grid(panel: DataFrame) -> DataFrame:
-    """Every date of a panel with every ticker of it; close is NULL where there is none."""
-    dates = panel.select("panel_id", "date").distinct()
-    tickers = panel.select("panel_id", "ticker").distinct()
-    return dates.join(tickers, "panel_id").join(panel, ["panel_id", "ticker", "date"], "left")
+    """Every date of a panel with every ticker of it; close is NULL where there is none. A panel's dates are
+    dealt to GRID_PARTS parts and its tickers copied to each, so that a single large panel is not one task."""
+    dates = panel.select("panel_id", "date").distinct().withColumn("part", F.pmod(F.xxhash64("date"), F.lit(GRID_PARTS)).cast("int"))
+    tickers = panel.select("panel_id", "ticker").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(GRID_PARTS - 1))))
+    return dates.join(tickers, ["panel_id", "part"]).drop("part").join(panel, ["panel_id", "ticker", "date"], "left")
 
 
 def filled(rows: DataFrame) -> DataFrame:
@@ -34,7 +39,7 @@ def ticker_shares(rows: DataFrame) -> DataFrame:
 def late_tickers(panel: DataFrame, starts: DataFrame) -> DataFrame:
     """Tickers whose first price is more than START_SLACK days after the panel's ``start``, or that have none."""
     first = panel.groupBy("panel_id", "ticker").agg(F.min(F.when(F.col("close").isNotNull(), F.col("date"))).alias("first_date"))
-    late = first.join(F.broadcast(starts), "panel_id").where(F.col("first_date").isNull() | (F.col("first_date") > F.date_add("start", START_SLACK)))
+    late = first.join(starts, "panel_id").where(F.col("first_date").isNull() | (F.col("first_date") > F.date_add("start", START_SLACK)))
     reason = F.when(F.col("first_date").isNull(), "no prices").otherwise("starts late")
     return late.select("panel_id", "ticker", "first_date", reason.alias("reason"))
 
@@ -45,18 +50,28 @@ def with_kept(rows: DataFrame) -> DataFrame:
     return rows.withColumn("kept", missing <= MISSING_LIMIT)
 
 
+def marked(panel: DataFrame) -> DataFrame:
+    """The grid of a panel, filled, with whether each ticker stays: one shuffle by ticker after the grid's."""
+    return with_kept(filled(grid(panel)))
+
+
+def complete(rows: DataFrame) -> DataFrame:
+    """The ``marked`` rows of tickers that stay, on the dates where all of them have a price. Complete dates are a
+    partial aggregate, joined back as dates."""
+    rows = rows.where("kept").select("panel_id", "ticker", "date", "close")
+    dates = rows.groupBy("panel_id", "date").agg(F.count_if(F.col("close").isNull()).alias("gaps")).where("gaps = 0")
+    return rows.join(dates.select("panel_id", "date"), ["panel_id", "date"], "left_semi").select("panel_id", "ticker", "date", "close")
+
+
 def cleaned(panel: DataFrame) -> DataFrame:
-    """panel_id, ticker, date, close of the tickers that stay, on the dates where all of them have a
-    price. One shuffle by ticker and one by date, and the grid is built once."""
-    rows = with_kept(filled(grid(panel))).where("kept")
-    gaps = F.count_if(F.col("close").isNull()).over(Window.partitionBy("panel_id", "date"))
-    return rows.withColumn("gaps", gaps).where("gaps = 0").select("panel_id", "ticker", "date", "close")
+    """panel_id, ticker, date, close of the tickers that stay, on the dates where all of them have a price."""
+    return complete(marked(panel))
 
 
 def panel_facts(panel: DataFrame) -> DataFrame:
     """Per panel: dates and tickers before and after, and the dates dropped as incomplete."""
     kept = F.col("kept")
-    by_date = with_kept(filled(grid(panel))).groupBy("panel_id", "date").agg(F.count_if(kept).alias("all"), F.count_if(kept & F.col("close").isNotNull()).alias("have"), F.count(F.lit(1)).alias("tickers"))
+    by_date = marked(panel).groupBy("panel_id", "date").agg(F.count_if(kept).alias("all"), F.count_if(kept & F.col("close").isNotNull()).alias("have"), F.count(F.lit(1)).alias("tickers"))
     return by_date.groupBy("panel_id").agg(
         F.count(F.lit(1)).alias("dates"), F.max("tickers").alias("tickers"), F.max("all").alias("tickers_kept"),
         F.count_if((F.col("all") > 0) & (F.col("have") == F.col("all"))).alias("complete_dates"),

@@ -103,3 +103,9 @@ def both_series(daily: DataFrame, keys: list[str]) -> DataFrame:
 def long_measures(table: DataFrame, keys: list[str]) -> DataFrame:
     """key columns, measure, value: one row per measure."""
     return table.unpivot(keys, list(MEASURES), "measure", "value")
+
+
+def measures_by_series(table: DataFrame, keys: list[str], series: tuple[str, ...] = ("portfolio", "benchmark")) -> DataFrame:
+    """One row per measure of each run, a column per series. ``table``: keys, series and the measures."""
+    long = long_measures(table, [*keys, "series"])
+    return long.groupBy(*keys, "measure").pivot("series", list(series)).agg(F.first("value"))

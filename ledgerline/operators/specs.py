@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The names that a run definition may use.
@@ -12,13 +12,28 @@ DEFAULT_BENCHMARK = "SPY"
 SUM_TOLERANCE = 1e-6
 
 
+def iso_date(text: Column) -> Column:
+    """A calendar date (2020-01-31 or 20200131) or week date (2020-W05-5, 2020W055, 2020-W05 for its Monday); NULL if it is none."""
+    text = F.trim(text)
+    plain = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text).when(text.rlike(r"^\d{8}$"), F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))
+    week = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?$"
+    dashes = text.rlike(r"^\d{4}-W\d{2}(-[1-7])?$") | text.rlike(r"^\d{4}W\d{2}[1-7]?$")
+    part = lambda k: F.nullif(F.regexp_extract(text, week, k), F.lit("")).cast("int")
+    year, number, day = part(1), part(2), F.coalesce(part(3), F.lit(1))
+    # the year's first week holds 4 January
+    fourth = F.try_to_date(F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-01-04")))
+    monday = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (number - 1) * 7)
+    by_week = F.when(dashes & (number >= 1) & (year >= 1) & (F.year(F.date_add(monday, 3)) == year), F.date_add(monday, day - 1))
+    return F.coalesce(F.when(plain >= "0001", F.try_to_date(plain, "yyyy-MM-dd")), by_week)
+
+
 def normalised(specs: DataFrame) -> DataFrame:
-    """Names trimmed and in one case, dates parsed (NULL if they are none), the default benchmark filled in."""
+    """Names trimmed and in one case, ISO dates parsed (NULL if they are none), the default benchmark filled in."""
     return specs.withColumns({
         "tickers": F.transform("tickers", lambda t: F.upper(F.trim(t))),
         "benchmark": F.upper(F.trim(F.coalesce(F.nullif(F.col("benchmark"), F.lit("")), F.lit(DEFAULT_BENCHMARK)))),
         "weighting": F.lower(F.trim("weighting")), "rebalance": F.lower(F.trim("rebalance")),
-        "start": F.try_to_date(F.trim("start")), "end": F.try_to_date(F.trim("end")),
+        "start": iso_date(F.col("start")), "end": iso_date(F.col("end")),
     })
 
 
@@ -47,6 +62,8 @@ def violations(specs: DataFrame) -> DataFrame:
         "lookback_days missing": inverse & c("lookback_days").isNull(),
         "lookback_days below two": inverse & (c("lookback_days") < 2),
     }
+    if "unknown_keys" in specs.columns:
+        rules["unknown keys"] = F.size("unknown_keys") > 0
     found = F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())))
     return specs.select("run_id", F.explode(found).alias("rule"))
 

@@ -18,6 +18,22 @@ from ledgerline.sources.staging import written
 BPS = 10_000.0
 
 
+#: What a run's weights and growth depend on; cost, capital and rate come in last.
+STRATEGY = ("panel_id", "weighting", "rebalance", "lookback_days", "tickers", "custom_weights")
+
+
+def with_strategy(specs: DataFrame) -> DataFrame:
+    """``specs`` with strategy_id, alike for runs that differ in costs, capital, rate or dates only."""
+    used = {"lookback_days": "inverse_vol", "tickers": "custom", "custom_weights": "custom"}
+    parts = [F.when(F.col("weighting") == used[c], F.col(c)).alias(c) if c in used else F.col(c) for c in STRATEGY]
+    return specs.withColumn("strategy_id", F.md5(F.to_json(F.struct(*parts))))
+
+
+def strategies(specs: DataFrame) -> DataFrame:
+    """The different strategies of ``specs``, with their id as run_id."""
+    return with_strategy(specs).select(F.col("strategy_id").alias("run_id"), *STRATEGY).dropDuplicates(["run_id"])
+
+
 def run_dates(specs: DataFrame, panel: DataFrame) -> DataFrame:
     """The invested dates of each run: inverse volatility starts after its lookback, others at once."""
     w = Window.partitionBy("panel_id").orderBy("date")
@@ -45,16 +61,18 @@ def trades(specs: DataFrame, dates: DataFrame) -> DataFrame:
     return entry.unionByName(scheduled).join(specs.select("run_id", "panel_id", "weighting", "lookback_days"), "run_id")
 
 
-def nav_daily(specs: DataFrame, panel: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """run_id, date, portfolio_value, portfolio_return, benchmark_value, benchmark_return, turnover,
-    costs_paid. ``panel`` and ``benchmark`` (panel_id, ticker, date, close) are clean and aligned;
-    runs with violations have to be left out of ``specs``."""
-    dates = written(run_dates(specs, panel).select("run_id", "panel_id", "rebalance", "date"), "dates")
-    all_trades = written(trades(specs, dates), "trades")
+def planned(plans: DataFrame, panel: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The trades of strategies (``plans``), and what each ticker is to weigh and how many units one unit of value buys."""
+    all_trades = written(trades(plans, run_dates(plans, panel)), "trades")
+    price = panel.select("panel_id", "ticker", F.col("date").alias("rebalance_date"), F.col("close").alias("trade_price"))
+    targets = weights.target_weights(all_trades, plans, panel).join(price, ["panel_id", "ticker", "rebalance_date"])
+    return all_trades, written(targets.withColumn("units", F.try_divide("weight", "trade_price")), "targets")
+
+
+def strategy_steps(plans: DataFrame, panel: DataFrame, all_trades: DataFrame, targets: DataFrame) -> DataFrame:
+    """strategy_id, panel_id, date, is_trade, rebalance_date (of the trade in force), growth since it and turnover."""
+    dates = run_dates(plans, panel).select("run_id", "panel_id", "rebalance", "date")
     price = panel.select("panel_id", "ticker", "date", "close")
-    at_trade = price.withColumnRenamed("date", "rebalance_date").withColumnRenamed("close", "trade_price")
-    targets = weights.target_weights(all_trades, specs, panel).join(at_trade, ["panel_id", "ticker", "rebalance_date"])
-    targets = written(targets.withColumn("units", F.col("weight") / F.col("trade_price")), "targets")
 
     # The trade in force on each day, valued before a trade of the day itself.
     w = Window.partitionBy("run_id").orderBy("date")
@@ -69,29 +87,43 @@ def nav_daily(specs: DataFrame, panel: DataFrame, benchmark: DataFrame) -> DataF
 
     growth = held(days).groupBy("run_id", "date").agg(F.sum("part").alias("growth"))
 
-    # Turnover on the days of trades: what each ticker drifted to against its new target.
+    # Turnover on the few days of trades: what each ticker drifted to against its new target.
     new = targets.select("run_id", F.col("rebalance_date").alias("date"), "ticker", F.col("weight").alias("target"))
     drifted = held(days.where("is_trade")).withColumn("whole", F.sum("part").over(Window.partitionBy("run_id", "date"))).join(new, ["run_id", "date", "ticker"])
-    turnover = drifted.groupBy("run_id", "date").agg((0.5 * F.sum(F.abs(F.col("target") - F.try_divide(F.col("part"), F.col("whole"))))).alias("turnover"))
+    moved = F.abs(F.col("target") - F.try_divide(F.col("part"), F.col("whole")))
+    turnover = drifted.groupBy("run_id", "date").agg((0.5 * F.sum(moved)).alias("turnover"))
+    facts = growth.join(turnover, ["run_id", "date"], "left")
+    out = days.join(facts, ["run_id", "date"], "left")
+    return out.select(F.col("run_id").alias("strategy_id"), "panel_id", "date", "is_trade", "rebalance_date", "growth", "turnover")
+
 
-    rate = specs.select("run_id", "initial_capital", (F.col("transaction_cost_bps") / BPS).alias("rate"))
-    rows = days.select("run_id", "date", "is_trade", "rebalance_date").join(growth, ["run_id", "date"], "left").join(turnover, ["run_id", "date"], "left").join(rate, "run_id")
+def nav_daily(specs: DataFrame, panel: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """run_id, date, portfolio_value, portfolio_return, benchmark_value, benchmark_return, turnover,
+    costs_paid. ``panel`` and ``benchmark`` (panel_id, ticker, date, close) are clean and aligned;
+    runs with problems have to be left out of ``specs`` (operators/guard.py does it)."""
+    return nav_of(specs, panel, benchmark, *planned(strategies(specs), panel))
+
+
+def nav_of(specs: DataFrame, panel: DataFrame, benchmark: DataFrame, all_trades: DataFrame, targets: DataFrame) -> DataFrame:
+    """``nav_daily`` from trades and targets that are there already."""
+    steps = strategy_steps(strategies(specs), panel, all_trades, targets).join(benchmark.select("panel_id", "date", F.col("close").alias("level")), ["panel_id", "date"])
+    rate = with_strategy(specs).select("run_id", "strategy_id", "initial_capital", (F.col("transaction_cost_bps") / BPS).alias("rate"))
+    rows = rate.join(steps.drop("panel_id"), "strategy_id")
+    w = Window.partitionBy("run_id").orderBy("date")
     first = F.col("rebalance_date").isNull()
-    rows = rows.withColumn("turnover", F.when(first, 1.0).otherwise(F.coalesce("turnover", F.lit(0.0))))
+    rows = rows.withColumn("turnover", F.when(first, 1.0).when(F.col("is_trade"), F.col("turnover")).otherwise(0.0))
     keep = 1 - F.col("rate") * F.col("turnover")
     factor = F.when(first, F.col("initial_capital") * keep).when(F.col("is_trade"), F.col("growth") * keep).otherwise(1.0)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("base", F.product(factor).over(upto))
+    # product() passes over NULL, but what follows a refused date has no value
+    rows = rows.withColumn("base", F.when(F.min(factor.isNotNull()).over(upto), F.product(factor).over(upto)))
     value = F.when(first | F.col("is_trade"), F.col("base")).otherwise(F.col("base") * F.col("growth"))
     rows = rows.withColumn("portfolio_value", value)
-    before = F.coalesce(F.lag("base").over(w), F.col("initial_capital"))
+    before = F.when(first, F.col("initial_capital")).otherwise(F.lag("base").over(w))
     cost = before * F.when(first, 1.0).otherwise(F.col("growth")) * F.col("turnover") * F.col("rate")
     rows = rows.withColumn("costs_paid", F.when(F.col("turnover") > 0, cost).otherwise(0.0))
     rows = rows.withColumn("portfolio_return", F.coalesce(F.try_divide(F.col("portfolio_value"), F.lag("portfolio_value").over(w)) - 1, F.lit(0.0)))
-
-    other = benchmark.select("panel_id", "date", F.col("close").alias("level"))
-    out = rows.join(specs.select("run_id", "panel_id"), "run_id").join(other, ["panel_id", "date"])
-    out = out.withColumn("benchmark_value", F.col("initial_capital") * F.col("level") / F.first("level").over(upto))
+    out = rows.withColumn("benchmark_value", F.col("initial_capital") * F.col("level") / F.first("level").over(upto))
     out = out.withColumn("benchmark_return", F.coalesce(F.try_divide(F.col("level"), F.lag("level").over(w)) - 1, F.lit(0.0)))
     return out.select("run_id", "date", "portfolio_value", "portfolio_return", "benchmark_value", "benchmark_return", "turnover", "costs_paid")
 

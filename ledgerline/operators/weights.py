@@ -23,27 +23,34 @@ def custom_weights(trades: DataFrame, specs: DataFrame) -> DataFrame:
     return trades.select("run_id", "panel_id", "rebalance_date").join(pairs, "run_id").select("run_id", "panel_id", "rebalance_date", "ticker", "weight")
 
 
-def trailing_volatility(panel: DataFrame, lookbacks: list[int]) -> DataFrame:
-    """panel_id, ticker, date, lookback_days, sigma: the sample deviation of the last returns. One
-    window pass for each lookback of the sweep, over one shuffle."""
-    rets = daily_returns(panel, ["panel_id", "ticker"])
+def trailing_volatility(asked: DataFrame, panel: DataFrame) -> DataFrame:
+    """``asked`` (panel_id, rebalance_date, lookback_days) with ticker and sigma, the sample deviation of the ticker's
+    last ``lookback_days`` returns up to the date. Only the rows in the windows asked for are joined, each window as
+    so many places, so any number of settings goes through one plan."""
     w = Window.partitionBy("panel_id", "ticker").orderBy("date")
-    wide = rets.select("panel_id", "ticker", "date", *(F.stddev_samp("ret").over(w.rowsBetween(-(k - 1), 0)).alias(f"s{k}") for k in lookbacks))
-    pairs = F.array(*(F.struct(F.lit(k).alias("lookback_days"), F.col(f"s{k}").alias("sigma")) for k in lookbacks))
-    return wide.select("panel_id", "ticker", "date", F.explode(pairs).alias("p")).select("panel_id", "ticker", "date", "p.lookback_days", "p.sigma")
+    rets = daily_returns(panel, ["panel_id", "ticker"]).select("panel_id", "ticker", "date", "ret", F.row_number().over(w).alias("place"))
+    at = asked.distinct().join(rets.select("panel_id", "ticker", F.col("date").alias("rebalance_date"), F.col("place").alias("last")), ["panel_id", "rebalance_date"])
+    places = F.sequence(F.greatest(F.col("last") - F.col("lookback_days") + 1, F.lit(1)), F.col("last"))
+    rows = at.where("lookback_days > 0").withColumn("place", F.explode(places)).join(rets.drop("date"), ["panel_id", "ticker", "place"])
+    return rows.groupBy("panel_id", "rebalance_date", "lookback_days", "ticker").agg(F.stddev_samp("ret").alias("sigma"))
+
+
+def refused_dates(trades: DataFrame, panel: DataFrame) -> DataFrame:
+    """run_id and rebalance_date of inverse volatility trades at which no ticker has a positive deviation."""
+    asked = trades.where("weighting = 'inverse_vol'").select("run_id", "panel_id", "rebalance_date", "lookback_days")
+    key = ["panel_id", "rebalance_date", "lookback_days"]
+    usable = trailing_volatility(asked.select(*key), panel).where("sigma > 0").select(*key).distinct()
+    return asked.join(usable, key, "left_anti").select("run_id", "rebalance_date")
 
 
 def inverse_volatility_weights(trades: DataFrame, panel: DataFrame) -> DataFrame:
     """``trades`` has lookback_days too. Tickers without a positive deviation get zero; a date where
     none has one gets no weights."""
-    lookbacks = sorted(r[0] for r in trades.select("lookback_days").distinct().collect() if r[0])  # the settings of a sweep
-    if not lookbacks:
-        return trades.select("run_id", "panel_id", "rebalance_date", F.lit(None).cast("string").alias("ticker"), F.lit(None).cast("double").alias("weight")).where("false")
-    sigma = trailing_volatility(panel, lookbacks).withColumnRenamed("date", "rebalance_date")
-    rows = trades.join(sigma, ["panel_id", "rebalance_date", "lookback_days"]).withColumn("inverse", F.when(F.col("sigma") > 0, F.try_divide(F.lit(1.0), F.col("sigma"))))
-    total = F.sum("inverse").over(Window.partitionBy("run_id", "rebalance_date"))
-    rows = rows.withColumn("weight", F.coalesce(F.try_divide(F.col("inverse"), total), F.lit(0.0))).withColumn("total", total)
-    return rows.where("total IS NOT NULL").select("run_id", "panel_id", "rebalance_date", "ticker", "weight")
+    key = ["panel_id", "rebalance_date", "lookback_days"]
+    sigma = trailing_volatility(trades.select(*key), panel).withColumn("inverse", F.when(F.col("sigma") > 0, F.try_divide(F.lit(1.0), F.col("sigma"))))
+    total = F.sum("inverse").over(Window.partitionBy(*key))
+    shares = sigma.withColumn("total", total).where("total IS NOT NULL").select(*key, "ticker", F.coalesce(F.try_divide(F.col("inverse"), F.col("total")), F.lit(0.0)).alias("weight"))
+    return trades.join(shares, key).select("run_id", "panel_id", "rebalance_date", "ticker", "weight")
 
 
 def target_weights(trades: DataFrame, specs: DataFrame, panel: DataFrame) -> DataFrame:
@@ -54,7 +61,8 @@ def target_weights(trades: DataFrame, specs: DataFrame, panel: DataFrame) -> Dat
     custom = custom_weights(of("custom"), specs)
     inverse = inverse_volatility_weights(of("inverse_vol").select(*cols, "lookback_days"), panel)
     rows = equal.unionByName(custom).unionByName(inverse)
-    # Every ticker of the panel has a row: a zero weight counts in the turnover.
+    # Every ticker of the panel has a row: a zero weight counts in the turnover. A refused date has no weights
+    # at all; they stay NULL there, and so does what is valued by them.
     tickers = panel.select("panel_id", "ticker").distinct()
-    full = trades.select(*cols).join(tickers, "panel_id")
-    return full.join(rows, [*cols, "ticker"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    full = trades.select(*cols, "weighting").join(tickers, "panel_id").join(rows, [*cols, "ticker"], "left")
+    return full.withColumn("weight", F.when(F.col("weighting") == "inverse_vol", F.col("weight")).otherwise(F.coalesce("weight", F.lit(0.0)))).drop("weighting")

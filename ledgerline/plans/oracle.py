@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgerline.operators import specs
-from ledgerline.plans.queries import CAPITAL, CUSTOM, PATHS, RF, TICKERS, WINDOW
+from ledgerline.plans.queries import CAPITAL, CUSTOM, FAULTS, LATE_DAY, PATHS, RF, TICKERS, WINDOW
 
 TAIL = "0.050000000000000044::DOUBLE"
 RATE = f"(pow(1 + {RF}::DOUBLE, 1 / 252::DOUBLE) - 1)"
@@ -58,7 +58,7 @@ def measures(rel: str, keys: str) -> str:
     pair = "s_pair >= 1e-12 AND s_pair_other >= 1e-12"
     return f"""SELECT {keys}, cagr, CASE WHEN s_ret < 1e-12 THEN 0 ELSE s_ret * sqrt(252::DOUBLE) END AS volatility,
   CASE WHEN s_excess >= 1e-12 THEN m_excess * 252 / (s_excess * sqrt(252::DOUBLE)) END AS sharpe,
-  CASE WHEN down >= 1e-12 THEN m_excess * 252 / (down * sqrt(252::DOUBLE)) END AS sortino, max_drawdown,
+  CASE WHEN n_excess >= 2 AND down >= 1e-12 THEN m_excess * 252 / (down * sqrt(252::DOUBLE)) END AS sortino, max_drawdown,
   CASE WHEN max_drawdown < 0 THEN cagr / abs(max_drawdown) END AS calmar,
   CASE WHEN {guard} THEN slope END AS beta, CASE WHEN {guard} THEN intercept * 252 END AS alpha,
   s_active * sqrt(252::DOUBLE) AS tracking_error, CASE WHEN s_active >= 1e-12 THEN m_active * 252 / (s_active * sqrt(252::DOUBLE)) END AS information_ratio,
@@ -66,7 +66,7 @@ def measures(rel: str, keys: str) -> str:
   CASE WHEN {pair} THEN pow(c_pair / (s_pair * s_pair_other), 2) END AS r_squared
 FROM (SELECT {keys},
     CASE WHEN product(1 + coalesce(ret, 0)) > 0 THEN pow(product(1 + coalesce(ret, 0)), 252::DOUBLE / count(*)) - 1 END AS cagr,
-    stddev_samp(ret) AS s_ret, stddev_samp(ret - rf) AS s_excess, avg(ret - rf) AS m_excess, sqrt(avg(pow(least(ret - rf, 0), 2)) FILTER (WHERE ret IS NOT NULL)) AS down,
+    stddev_samp(ret) AS s_ret, stddev_samp(ret - rf) AS s_excess, avg(ret - rf) AS m_excess, count(ret - rf) AS n_excess, sqrt(avg(pow(least(ret - rf, 0), 2)) FILTER (WHERE ret IS NOT NULL)) AS down,
     min(drawdown) AS max_drawdown, regr_slope(pair, pair_other) AS slope, regr_intercept(pair, pair_other) AS intercept, stddev_samp(pair_other) AS s_pair_other, stddev_samp(pair) AS s_pair,
     covar_samp(pair, pair_other) AS c_pair, stddev_samp(active) AS s_active, avg(active) AS m_active, stddev_samp(own) AS s_own, stddev_samp(bench) AS s_bench, covar_samp(own, bench) AS c_own,
     -max(tail) AS var_95, -avg(ret) FILTER (WHERE ret <= tail) AS cvar_95
@@ -147,10 +147,24 @@ draws AS (SELECT n_obs, path, step, (floor(u * n_obs)::BIGINT + step - from_step
 NUMBERED = f"""{TYPE_RETURNS},
 numbered AS (SELECT * FROM (SELECT ticker, ret, other, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS idx, count(*) OVER (PARTITION BY ticker) AS n_obs
   FROM rets WHERE ret IS NOT NULL AND other IS NOT NULL) WHERE n_obs >= 21)"""
-PATHS_SQL = f"""{NUMBERED}, {draws_sql(PATHS, 1260, "SELECT DISTINCT n_obs FROM numbered")},
+
+
+def paths_sql(n_paths: int) -> str:
+    return f"""{NUMBERED}, {draws_sql(n_paths, 1260, "SELECT DISTINCT n_obs FROM numbered")},
 wealth AS (SELECT ticker, path, step, {CAPITAL} * product(1 + ret) OVER v AS value, {CAPITAL} * product(1 + other) OVER v AS other_value
   FROM draws JOIN numbered USING (n_obs, idx) WINDOW v AS (PARTITION BY ticker, path ORDER BY step ROWS UNBOUNDED PRECEDING))"""
 
+
+def bootstrap_sql(n_paths: int) -> dict[str, str]:
+    return {
+        "bootstrap_horizons": f"""WITH {paths_sql(n_paths)} SELECT ticker, ((step + 1) / 252)::INTEGER AS years, round(quantile_cont(value, 0.5), 2) AS median, round(quantile_cont(value, 0.1), 2) AS p10, round(quantile_cont(value, 0.9), 2) AS p90,
+  round(avg(CASE WHEN value < {CAPITAL} THEN 1.0::DOUBLE ELSE 0 END), 8) AS p_below, round(avg(CASE WHEN value > other_value THEN 1.0::DOUBLE ELSE 0 END), 8) AS p_beats, round(quantile_cont(other_value, 0.5), 2) AS benchmark_median
+FROM wealth WHERE step IN (251, 755, 1259) GROUP BY ticker, step""",
+        "bootstrap_fan": f"""WITH {paths_sql(n_paths)} SELECT ticker, step, round(quantile_cont(value, 0.1), 2) AS p10, round(quantile_cont(value, 0.5), 2) AS p50, round(quantile_cont(value, 0.9), 2) AS p90, round(quantile_cont(other_value, 0.5), 2) AS benchmark_p50
+FROM wealth WHERE step % 5 = 0 GROUP BY ticker, step""",
+    }
+
+
 EPISODES = f"""{TYPE_RETURNS}, dd AS ({curve("rets", "ticker")}),
 marked AS (SELECT *, drawdown < 0 AS under, coalesce(lag(date) OVER v, date) AS before, lead(date) OVER v AS after,
   CASE WHEN drawdown < 0 AND NOT coalesce(lag(drawdown) OVER v < 0, false) THEN 1 ELSE 0 END AS starts FROM dd WINDOW v AS (PARTITION BY ticker ORDER BY date)),
@@ -159,20 +173,76 @@ episodes AS (SELECT ticker, min(before) AS peak, arg_min(date, (drawdown, date))
   FROM islands WHERE under GROUP BY ticker, episode),
 closed AS (SELECT ticker, peak, trough, nullif(after, DATE '9999-12-31') AS recovery, depth, CASE WHEN after < DATE '9999-12-31' THEN days END AS days_to_recover FROM episodes)"""
 
-_customer = f"""SELECT c_name AS run_id, [trim(upper(c_mktsegment)), 'ALL', 'N' || (c_nationkey % 5), CASE WHEN c_custkey % 7 = 0 THEN 'ALL' ELSE 'X' END] AS tickers,
-  CASE WHEN c_custkey % 2 = 0 THEN 'SPX' ELSE 'SPY' END AS benchmark, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE DATE '1995-01-02' END AS start,
-  CASE WHEN c_custkey % 5 = 0 THEN DATE '1994-01-01' ELSE DATE '2000-12-31' END AS "end", c_acctbal AS capital,
+_customer = """SELECT c_name AS run_id, CASE WHEN c_custkey % 17 = 3 THEN [] WHEN c_custkey % 17 = 4 THEN ['A', '', 'B', 'C']
+    ELSE [trim(upper(c_mktsegment)), 'ALL', 'N' || (c_nationkey % 5), CASE WHEN c_custkey % 7 = 0 THEN 'ALL' ELSE 'X' END] END AS tickers,
+  CASE WHEN c_custkey % 2 = 0 THEN 'SPX' ELSE 'SPY' END AS benchmark, CASE WHEN c_custkey % 11 < 5 THEN DATE '1995-01-02' END AS start,
+  CASE WHEN c_custkey % 19 = 5 THEN NULL WHEN c_custkey % 5 = 0 THEN DATE '1994-01-01' ELSE DATE '2000-12-31' END AS "end", c_acctbal AS capital,
   CASE c_custkey % 4 WHEN 0 THEN 'equal' WHEN 1 THEN 'custom' WHEN 2 THEN 'inverse_vol' ELSE 'market' END AS weighting,
-  CASE c_custkey % 3 WHEN 0 THEN 'monthly' WHEN 1 THEN 'annual' ELSE 'weekly' END AS rebalance, c_nationkey - 2 AS bps,
-  CASE c_custkey % 8 WHEN 1 THEN [0.25, 0.25, 0.25, 0.25] WHEN 5 THEN [0.5, 0.25, 0.5, -0.5] END AS w, c_custkey % 6 AS lookback FROM customer"""
+  CASE c_custkey % 3 WHEN 0 THEN 'monthly' WHEN 1 THEN 'annual' ELSE 'weekly' END AS rebalance, c_nationkey - 2 AS bps, c_custkey % 23 <> 6 AS has_rate,
+  CASE WHEN c_custkey % 24 = 9 THEN [0.5, 0.5] WHEN c_custkey % 8 = 1 THEN [0.25, 0.25, 0.25, 0.25] WHEN c_custkey % 8 = 5 THEN [0.5, 0.25, 0.5, -0.5] END AS w,
+  CASE WHEN c_custkey % 12 <> 10 THEN c_custkey % 6 END AS lookback,
+  list_filter([CASE WHEN c_custkey % 10 = 0 THEN 'colour' END, CASE WHEN c_custkey % 15 = 0 THEN 'currency' END], lambda k: k IS NOT NULL) AS keys FROM customer"""
 _rules = {
-    "tickers duplicated": "len(list_distinct(tickers)) < len(tickers)", "start not a date": "start IS NULL", "start not before end": 'start >= "end"',
+    "tickers missing": "len(tickers) = 0", "tickers blank": "list_contains(tickers, '')", "tickers duplicated": "len(list_distinct(tickers)) < len(tickers)",
+    "start not a date": "start IS NULL", "end not a date": '"end" IS NULL', "start not before end": 'start >= "end"', "risk_free_rate missing": "NOT has_rate",
     "initial_capital not positive": "capital <= 0", "transaction_cost_bps negative": "bps < 0", "weighting unknown": f"weighting NOT IN {specs.WEIGHTINGS}",
     "rebalance unknown": f"rebalance NOT IN {specs.REBALANCES}", "custom_weights missing": "weighting = 'custom' AND w IS NULL",
-    "custom_weights negative": "weighting = 'custom' AND list_min(w) < 0", "custom_weights do not sum to one": "weighting = 'custom' AND abs(list_sum(w) - 1) > 1e-6",
-    "lookback_days below two": "weighting = 'inverse_vol' AND lookback < 2",
+    "custom_weights not one per ticker": "weighting = 'custom' AND len(w) <> len(tickers)", "custom_weights negative": "weighting = 'custom' AND list_min(w) < 0",
+    "custom_weights do not sum to one": "weighting = 'custom' AND abs(list_sum(w) - 1) > 1e-6", "lookback_days missing": "weighting = 'inverse_vol' AND lookback IS NULL",
+    "lookback_days below two": "weighting = 'inverse_vol' AND lookback < 2", "unknown keys": "len(keys) > 0",
 }
 
+_panels = ("TYPE", *FAULTS)
+_odd = "(date - DATE '1990-01-01') % 20 < 10"
+
+
+def cleaned_by_panel(rel: str, p: str) -> str:
+    """As ``cleaning``, for a relation panel_id, ticker, date, close."""
+    return f"""
+{p}_grid AS (SELECT d.panel_id, d.date, t.ticker, s.close FROM (SELECT DISTINCT panel_id, date FROM {rel}) d JOIN (SELECT DISTINCT panel_id, ticker FROM {rel}) t USING (panel_id) LEFT JOIN {rel} s USING (panel_id, date, ticker)),
+{p}_filled AS (SELECT panel_id, date, ticker, last_value(close IGNORE NULLS) OVER (PARTITION BY panel_id, ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS close FROM {p}_grid),
+{p}_share AS (SELECT panel_id, ticker, avg(CASE WHEN close IS NULL THEN 1.0::DOUBLE ELSE 0.0 END) <= 0.10::DOUBLE AS kept FROM {p}_filled GROUP BY panel_id, ticker),
+{p}_left AS (SELECT * FROM {p}_filled JOIN {p}_share USING (panel_id, ticker) WHERE kept),
+{p}_clean AS (SELECT panel_id, ticker, date, close FROM {p}_left JOIN (SELECT panel_id, date FROM {p}_left GROUP BY panel_id, date HAVING count(close) = count(*)) USING (panel_id, date))"""
+
+
+PROBLEMS = f"""types AS ({prices("p_type")}), bench AS ({BENCHMARK}), kinds AS (SELECT unnest({list(_panels)}) AS panel_id),
+p AS (SELECT panel_id, ticker, date, CASE WHEN panel_id = 'FLAT' THEN 100 WHEN panel_id = 'SUNK' THEN close - 105 WHEN panel_id = 'NONE' OR panel_id = 'THIN' AND {_odd} THEN NULL ELSE close END AS close
+  FROM types, kinds WHERE panel_id <> 'LATE' OR date >= DATE '{LATE_DAY}'),
+b AS (SELECT panel_id, ticker, CASE WHEN panel_id = 'APART' THEN date + 36500 ELSE date END AS date, CASE WHEN panel_id = 'BENCH' AND {_odd} THEN NULL ELSE close END AS close
+  FROM bench, kinds WHERE panel_id <> 'SHORT' OR date = DATE '{WINDOW[0]}'),{cleaned_by_panel("p", "p")},{cleaned_by_panel("b", "b")},
+panel AS (SELECT * FROM p_clean SEMI JOIN b_clean USING (panel_id, date)),
+r AS (SELECT k || '-' || w AS run_id, k AS panel_id, w AS weighting, {list(TICKERS)} AS tickers, 'ALL' AS benchmark, DATE '1995-01-01' AS start, 100000 AS capital, 63 AS lookback
+      FROM (SELECT unnest({[*_panels, "ABSENT"]}) AS k), (SELECT unnest({list(specs.WEIGHTINGS)}) AS w)
+  UNION ALL SELECT 'own-ticker', 'TYPE', 'equal', ['PROMO', 'GONE'], 'ALL', DATE '1995-01-01', 100000, NULL UNION ALL SELECT 'own-benchmark', 'TYPE', 'equal', {list(TICKERS)}, 'GONE', DATE '1995-01-01', 100000, NULL
+  UNION ALL SELECT 'own-start', 'TYPE', 'equal', {list(TICKERS)}, 'ALL', DATE '1990-01-01', 100000, NULL UNION ALL SELECT 'own-capital', 'TYPE', 'equal', {list(TICKERS)}, 'ALL', DATE '1995-01-01', 0, NULL
+  UNION ALL SELECT 'own-lookback', 'TYPE', 'inverse_vol', {list(TICKERS)}, 'ALL', DATE '1995-01-01', 100000, 4000),
+wanted AS (SELECT run_id, panel_id, start, 'ticker' AS what, unnest(tickers) AS ticker FROM r UNION ALL SELECT run_id, panel_id, start, 'benchmark', benchmark FROM r),
+firsts AS (SELECT 'ticker' AS what, panel_id, ticker, min(date) FILTER (WHERE close IS NOT NULL) AS first FROM p GROUP BY ALL UNION ALL SELECT 'benchmark', panel_id, ticker, min(date) FILTER (WHERE close IS NOT NULL) FROM b GROUP BY ALL),
+kept AS (SELECT panel_id, count(*) FILTER (WHERE kept) AS kept FROM p_share GROUP BY panel_id),
+shared AS (SELECT panel_id, count(DISTINCT date) AS shared, count(*) FILTER (WHERE close <= 0) AS bad FROM panel GROUP BY panel_id),
+complete AS (SELECT panel_id, count(*) AS complete FROM p_clean GROUP BY panel_id),
+by_panel AS (
+  SELECT panel_id, CASE WHEN kept = 0 THEN 'no ticker left' WHEN complete IS NULL THEN 'no date left' WHEN coalesce(shared, 0) < 2 THEN 'fewer than two shared dates' END AS rule
+  FROM kept LEFT JOIN complete USING (panel_id) LEFT JOIN shared USING (panel_id)
+  UNION ALL SELECT panel_id, 'non-positive prices' FROM shared WHERE bad > 0 UNION ALL SELECT panel_id, 'fewer than two dates' FROM shared WHERE shared < 2),
+days AS (SELECT run_id, panel_id, lookback, date, place FROM r JOIN (SELECT panel_id, date, row_number() OVER (PARTITION BY panel_id ORDER BY date) - 1 AS place FROM (SELECT DISTINCT panel_id, date FROM panel)) USING (panel_id)
+  WHERE weighting = 'inverse_vol' AND place >= lookback),
+trades AS (SELECT run_id, panel_id, lookback, date FROM (SELECT *, max(date) OVER (PARTITION BY run_id, date_trunc('month', date)) AS month_end, min(date) OVER (PARTITION BY run_id) AS lo, max(date) OVER (PARTITION BY run_id) AS hi FROM days)
+  WHERE date = lo OR date = month_end AND date < hi),
+rets AS (SELECT panel_id, ticker, date, close / lag(close) OVER (PARTITION BY panel_id, ticker ORDER BY date) - 1 AS ret FROM panel WHERE panel_id <> 'SUNK'),
+sigmas AS (SELECT panel_id, date, max(sigma) AS sigma FROM (SELECT panel_id, date, stddev_samp(ret) OVER (PARTITION BY panel_id, ticker ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) AS sigma FROM rets) GROUP BY ALL),
+sizes AS (SELECT panel_id, count(DISTINCT date) AS n FROM panel GROUP BY panel_id),
+problems AS (
+  SELECT run_id, 'initial_capital not positive' AS rule, NULL AS subject FROM r WHERE capital <= 0
+  UNION ALL SELECT run_id, 'panel without prices', panel_id FROM r WHERE panel_id NOT IN (SELECT panel_id FROM p)
+  UNION ALL SELECT run_id, what || CASE WHEN first IS NULL THEN ' without prices' ELSE ' starts late' END, ticker FROM wanted LEFT JOIN firsts USING (what, panel_id, ticker) WHERE first IS NULL OR first > start + 7
+  UNION ALL SELECT run_id, 'benchmark dropped', benchmark FROM r JOIN b_share s ON s.panel_id = r.panel_id AND s.ticker = r.benchmark WHERE NOT kept
+  UNION ALL SELECT run_id, rule, panel_id FROM r JOIN by_panel USING (panel_id) WHERE rule IS NOT NULL
+  UNION ALL SELECT run_id, 'a ticker of a custom run was dropped', ticker FROM (SELECT run_id, panel_id, unnest(tickers) AS ticker FROM r WHERE weighting = 'custom') ANTI JOIN panel USING (panel_id, ticker)
+  UNION ALL SELECT run_id, 'history too short for the lookback', coalesce(n, 0)::VARCHAR FROM r LEFT JOIN sizes USING (panel_id) WHERE weighting = 'inverse_vol' AND coalesce(n, 0) <= lookback + 1
+  UNION ALL SELECT run_id, 'no ticker with a usable deviation', date::VARCHAR FROM trades JOIN sigmas USING (panel_id, date) WHERE coalesce(sigma, 0) <= 0)"""
+
 BRANDS = f"brands AS ({prices('p_brand')}),{cleaning('brands', 'c')}"
 
 
@@ -196,9 +266,9 @@ SELECT ticker, count(*) AS days, round(pow(product(1 + coalesce(ret, 0)), 252::D
   round(CASE WHEN stddev_samp(ret) < 1e-12 THEN 0 ELSE stddev_samp(ret) * sqrt(252::DOUBLE) END, 8) AS volatility, round(min(drawdown), 8) AS max_drawdown FROM dd GROUP BY ticker""",
     "universe_window": f"""WITH brands AS ({prices("p_brand")}) SELECT 'BRANDS' AS panel_id, ticker, count(*) AS days, min(date) AS first_date, max(date) AS last_date, round(avg(close), 8) AS mean_close
 FROM brands WHERE date BETWEEN DATE '{WINDOW[0]}' AND DATE '{WINDOW[1]}' GROUP BY ticker""",
-    "missing_tickers": f"""WITH names AS ({prices("p_name")}), weeks AS (SELECT DISTINCT CAST(date_trunc('week', o_orderdate) AS DATE) AS start FROM orders)
-SELECT CAST(start AS VARCHAR) AS panel_id, ticker FROM weeks, (SELECT DISTINCT p_name AS ticker FROM part)
-WHERE NOT EXISTS (SELECT 1 FROM names n WHERE n.ticker = part.ticker AND n.date BETWEEN weeks.start AND weeks.start + 6)""".replace("(SELECT DISTINCT p_name AS ticker FROM part)", "(SELECT DISTINCT p_name AS ticker FROM part) part"),
+    "missing_tickers": f"""WITH names AS ({prices("p_name")}), asked AS (
+  SELECT DISTINCT CAST(date_trunc('week', o_orderdate) AS DATE) AS start, p_name AS ticker FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey)
+SELECT CAST(start AS VARCHAR) AS panel_id, ticker FROM asked WHERE NOT EXISTS (SELECT 1 FROM names n WHERE n.ticker = asked.ticker AND n.date BETWEEN asked.start AND asked.start + 6)""",
     "clean_panel": f"WITH {BRANDS} SELECT 'BRAND' AS panel_id, ticker, date, round(close, 8) AS close FROM c_clean",
     "dropped_tickers": f"WITH {BRANDS} SELECT 'BRAND' AS panel_id, ticker, round(missing_share, 8) AS missing_share, missing_share <= 0.10::DOUBLE AS kept FROM c_share",
     "coverage_violations": f"""WITH brands AS ({prices("p_brand")}) SELECT 'BRAND' AS panel_id, ticker, min(date) AS first_date, 'starts late' AS reason
@@ -246,20 +316,26 @@ SELECT run_id, round(final_value, 2) AS final_value, round(benchmark_final, 2) A
 SELECT run_id, round(sum(costs_paid), 4) AS total_cost, round(min_by(costs_paid, date), 4) AS entry_cost, count(*) FILTER (WHERE turnover > 0) - 1 AS rebalances,
   round(coalesce(avg(turnover) FILTER (WHERE turnover > 0 AND date > lo), 0), 8) AS mean_turnover, round(sum(costs_paid) / {CAPITAL}, 8) AS cost_share FROM nav JOIN firsts USING (run_id) GROUP BY run_id""",
     "run_window": f"WITH {NAV} SELECT run_id, min(date) AS first_date, max(date) AS last_date, count(*) AS days, min(date) > DATE '1995-01-01' AS starts_late FROM nav GROUP BY run_id",
-    "run_violations": f"""WITH year_brands AS (SELECT * FROM ({prices("p_brand")}) WHERE year(date) = 2001),{cleaning("year_brands", "y")},
+    "run_problems": f"WITH {PROBLEMS} SELECT DISTINCT run_id, rule, subject FROM problems",
+    "sound_run_values": f"""WITH {NAV}, t AS (SELECT split_part(run_id, '-', 1) AS w, max(date) AS last_date, round(max_by(portfolio_value, date), 2) AS final_value, round(min(portfolio_value), 2) AS least_value FROM nav WHERE run_id LIKE '%-monthly-10' GROUP BY 1)
+SELECT 'TYPE-' || w AS run_id, last_date, final_value, least_value FROM t UNION ALL SELECT 'FLAT-' || w, last_date, {CAPITAL} * 0.999, {CAPITAL} * 0.999 FROM t WHERE w <> 'inverse_vol'""",
+    "measures_of_runs": f"""WITH {NAV}, {BOTH}, wide AS ({measures("both_series", "run_id, series")}), long AS (
+  {" UNION ALL ".join(f"SELECT run_id, series, '{m}' AS measure, round({m}, 6) AS value FROM wide" for m in MEASURE_DIGITS)})
+SELECT run_id, measure, max(value) FILTER (WHERE series = 'portfolio') AS portfolio, max(value) FILTER (WHERE series = 'benchmark') AS benchmark FROM long GROUP BY run_id, measure""",
+    "spec_keys": f"SELECT run_id, array_to_string(keys, '|') AS unknown_keys FROM ({_customer}) WHERE len(keys) > 0",
+    "stored_prices": f"""WITH brands AS ({prices("p_brand")}) SELECT ticker, date, round(CASE WHEN year(date) IN (1996, 1998) THEN 2 ELSE 1 END * close, 8) AS close FROM brands WHERE date BETWEEN DATE '1995-07-01' AND DATE '{WINDOW[1]}'""",
+    "stored_nav": f"WITH {NAV} SELECT run_id, count(*) AS days, round(sum(costs_paid), 2) AS costs, max(date) AS last_date FROM nav GROUP BY run_id",
+    "stored_horizons": f"WITH {TYPE_RETURNS} SELECT ticker, year(date)::INTEGER AS year, round(product(1 + ret) - 1, 8) AS ret FROM rets WHERE ret IS NOT NULL GROUP BY 1, 2",
+    "safe_names": """SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'ticker' ELSE trim(regexp_replace(replace(c_name, '#', '/') || '_' || c_mktsegment, '[^A-Za-z0-9]+', '_', 'g'), '_') || '_X' END AS name FROM customer""",
+    "run_violations": f"""WITH year_brands AS ({prices("p_brand")}),{cleaning("year_brands", "y")},
 specs AS (SELECT w || '-' || f || '-' || b AS run_id, w FROM (SELECT unnest({list(specs.WEIGHTINGS)}) AS w), (SELECT unnest({list(specs.REBALANCES)}) AS f), (SELECT unnest([0, 10]) AS b))
 SELECT run_id, 'a ticker of a custom run was dropped' AS rule, ticker AS subject FROM specs, (SELECT unnest({list(TICKERS)}) AS ticker) WHERE w = 'custom' AND ticker NOT IN (SELECT ticker FROM y_clean)
-UNION ALL SELECT run_id, 'history too short for the lookback', CAST(n AS VARCHAR) FROM specs, (SELECT count(DISTINCT date) AS n FROM y_clean) WHERE w = 'inverse_vol' AND n <= 401""",
+UNION ALL SELECT run_id, 'history too short for the lookback', CAST(n AS VARCHAR) FROM specs, (SELECT count(DISTINCT date) AS n FROM y_clean) WHERE w = 'inverse_vol' AND n <= 4001""",
     "spec_violations": f"WITH s AS ({_customer}) " + " UNION ALL ".join(f"SELECT run_id, '{name}' AS rule FROM s WHERE {rule}" for name, rule in _rules.items()),
     "spec_normalised": f"""WITH s AS ({_customer}) SELECT run_id, array_to_string(tickers, '|') AS tickers, benchmark, start, "end", weighting, rebalance FROM s""",
     "benchmark_value": f"""WITH bench AS ({BENCHMARK}) SELECT date, round({CAPITAL} * close / first_value(close) OVER v, 4) AS benchmark_value, round(coalesce(close / lag(close) OVER v - 1, 0), 8) AS benchmark_return FROM bench WINDOW v AS (ORDER BY date)""",
     "bootstrap_draws": f"""WITH {NUMBERED}, {draws_sql(50, 252, "SELECT DISTINCT n_obs FROM numbered")} SELECT n_obs, path, sum(idx)::BIGINT AS sum_idx, min(idx) AS low, max(idx) AS high FROM draws GROUP BY n_obs, path""",
-    "bootstrap_horizons": f"""WITH {PATHS_SQL} SELECT ticker, ((step + 1) / 252)::INTEGER AS years, round(quantile_cont(value, 0.5), 2) AS median, round(quantile_cont(value, 0.1), 2) AS p10, round(quantile_cont(value, 0.9), 2) AS p90,
-  round(avg(CASE WHEN value < {CAPITAL} THEN 1.0::DOUBLE ELSE 0 END), 8) AS p_below, round(avg(CASE WHEN value > other_value THEN 1.0::DOUBLE ELSE 0 END), 8) AS p_beats, round(quantile_cont(other_value, 0.5), 2) AS benchmark_median
-FROM wealth WHERE step IN (251, 755, 1259) GROUP BY ticker, step""",
-    "bootstrap_fan": f"""WITH {PATHS_SQL} SELECT ticker, step, round(quantile_cont(value, 0.1), 2) AS p10, round(quantile_cont(value, 0.5), 2) AS p50, round(quantile_cont(value, 0.9), 2) AS p90, round(quantile_cont(other_value, 0.5), 2) AS benchmark_p50
-FROM wealth WHERE step % 5 = 0 GROUP BY ticker, step""",
     "daily_close_from_ticks": ticks_sql("event_type"), "daily_close_by_user": ticks_sql("user_id"),
 }
 
-ORACLE = {name: without_negative_zero(sql) for name, sql in ORACLE.items()}
+ORACLE = {name: without_negative_zero(sql) for name, sql in (ORACLE | bootstrap_sql(PATHS)).items()}

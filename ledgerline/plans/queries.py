@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ledgerline import schemas
 from ledgerline.functions import measures as M
-from ledgerline.operators import calendar, clean, resample, series, specs, valuation, weights
+from ledgerline.operators import calendar, clean, guard, resample, series, specs, valuation, weights
 from ledgerline.sources import prices as P
 from ledgerline.sources import tables as T
-from ledgerline.sources.staging import written
+from ledgerline.sources.staging import fresh_path, written
 
 RF, CAPITAL, PATHS = 0.02, 100_000.0, resample.N_PATHS
 TICKERS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -35,12 +35,10 @@ def panel_of(prices: DataFrame, name: str) -> DataFrame:
     return prices.select(F.lit(name).alias("panel_id"), "ticker", "date", "close")
 
 
-def clean_pair(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The panel of part types and its benchmark, cleaned each on its own dates and aligned."""
-    panel = clean.cleaned(written(panel_of(type_prices(spark, sf), "TYPE"), "prices"))
-    other = clean.cleaned(written(panel_of(T.benchmark_prices(spark, sf), "TYPE"), "benchmark"))
-    a, b = clean.aligned(panel, other)
-    return written(a, "panel"), written(b, "other")
+def checked_runs(spark: SparkSession, sf: str) -> guard.Checked:
+    """The sweep over part types, validated, cleaned, aligned and checked."""
+    panel = panel_of(type_prices(spark, sf), "TYPE")
+    return guard.checked(sweep(spark), panel, panel_of(T.benchmark_prices(spark, sf), "TYPE"))
 
 
 def type_returns(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,15 +57,9 @@ def sweep(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schemas.RUN_SPEC)
 
 
-def sound_runs(spark: SparkSession, panel: DataFrame) -> DataFrame:
-    runs = specs.sound(sweep(spark))
-    return runs.join(valuation.run_violations(runs, panel).select("run_id").distinct(), "run_id", "left_anti")
-
-
 def valued(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    panel, other = clean_pair(spark, sf)
-    runs = written(sound_runs(spark, panel), "runs")
-    return written(valuation.nav_daily(runs, panel, other), "nav"), runs
+    c = checked_runs(spark, sf)
+    return c.nav_daily(), c.runs
 
 
 # --- prices -----------------------------------------------------------------------------------
@@ -86,11 +78,13 @@ def daily_close(spark: SparkSession, sf: str, ticker: str) -> DataFrame:
 
 
 def weekly_universe(spark: SparkSession, sf: str) -> DataFrame:
-    """Every part name in every week of orders: panel_id is the week's first day."""
-    weeks = T.table(spark, sf, "orders").select(F.to_date(F.date_trunc("week", "o_orderdate")).alias("start")).distinct()
-    names = T.table(spark, sf, "part").select(F.col("p_name").alias("ticker")).distinct()
-    # names are a fixed list of words, weeks a few hundred
-    return weeks.join(names, F.lit(True)).select(F.col("start").cast("string").alias("panel_id"), "ticker", "start", F.date_add("start", 6).alias("end"))
+    """Every part name in the weeks in which it was ordered: panel_id is the week's first day."""
+    week = F.to_date(F.date_trunc("week", "o_orderdate")).alias("start")
+    orders = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), week)
+    lines = T.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").join(orders, "l_orderkey").select("l_partkey", "start").distinct()
+    names = T.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("ticker"))
+    rows = lines.join(names, "l_partkey").select("ticker", "start").distinct()
+    return rows.select(F.col("start").cast("string").alias("panel_id"), "ticker", "start", F.date_add("start", 6).alias("end"))
 
 
 def universe_window(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,18 +183,17 @@ def rebalance_calendar(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def weights_of(spark: SparkSession, sf: str, scheme: str) -> DataFrame:
-    panel, _ = clean_pair(spark, sf)
-    runs = written(sound_runs(spark, panel).where((F.col("weighting") == scheme) & (F.col("transaction_cost_bps") == 0)), "runs")
-    all_trades = written(valuation.trades(runs, valuation.run_dates(runs, panel)), "trades")
-    return rounded(weights.target_weights(all_trades, runs, panel).select("run_id", "rebalance_date", "ticker", "weight"))
+    c = checked_runs(spark, sf)
+    runs = valuation.with_strategy(c.runs.where((F.col("weighting") == scheme) & (F.col("transaction_cost_bps") == 0)))
+    rows = runs.select("run_id", "strategy_id").join(c.targets.withColumnRenamed("run_id", "strategy_id"), "strategy_id")
+    return rounded(rows.select("run_id", "rebalance_date", "ticker", "weight"))
 
 
 NAV_DIGITS = {"portfolio_value": 2, "benchmark_value": 2, "costs_paid": 4, "portfolio_return": 8, "benchmark_return": 8, "turnover": 8}
 
 
 def nav_daily(spark: SparkSession, sf: str) -> DataFrame:
-    panel, other = clean_pair(spark, sf)
-    return rounded(valuation.nav_daily(written(sound_runs(spark, panel), "runs"), panel, other), NAV_DIGITS)
+    return rounded(valued(spark, sf)[0], NAV_DIGITS)
 
 
 def run_measures(daily: DataFrame, runs: DataFrame) -> DataFrame:
@@ -213,8 +206,14 @@ def comparison_table(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(run_measures(*valued(spark, sf)), 6)
 
 
+def measures_of_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The comparison with a row per measure and a column per series."""
+    return rounded(series.measures_by_series(run_measures(*valued(spark, sf)), ["run_id"]), 6)
+
+
 def headline(spark: SparkSession, sf: str) -> DataFrame:
     daily, runs = valued(spark, sf)
+    daily = written(daily, "nav")
     return rounded(valuation.headline(daily, run_measures(daily, runs)), {"final_value": 2, "benchmark_final": 2})
 
 
@@ -227,26 +226,88 @@ def run_window(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """The sweep over brands of the shortest year, as custom runs of types that brands are not."""
-    panel = clean.cleaned(panel_of(T.prices_by(spark, sf, "p_brand").where(F.year("date") == 2001), "TYPE"))
-    runs = sweep(spark).withColumn("lookback_days", F.when(F.col("weighting") == "inverse_vol", 400))
+    """The sweep over brands, as custom runs of types that brands are not, with a lookback longer than the history."""
+    panel = clean.cleaned(panel_of(T.prices_by(spark, sf, "p_brand"), "TYPE"))
+    runs = sweep(spark).withColumn("lookback_days", F.when(F.col("weighting") == "inverse_vol", 4000))
     return valuation.run_violations(runs, written(panel, "panel"))
 
 
-def customer_specs(spark: SparkSession, sf: str) -> DataFrame:
-    """A run definition for each customer, as users might write it, mistakes included."""
+#: Panels that are wrong in one way each, and the day from which the late one has prices.
+FAULTS, LATE_DAY = ("FLAT", "SUNK", "LATE", "THIN", "SHORT", "APART", "NONE", "BENCH"), dt.date(1995, 6, 1)
+
+
+def faulty_prices(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Prices of part types, and their benchmark, once as they are (TYPE) and once for each of FAULTS: FLAT never
+    moves, SUNK goes below zero, LATE begins in LATE_DAY's month, THIN lacks every other day of each ticker, SHORT has
+    a benchmark on one day only and APART one on other days, NONE has no price at all, BENCH lacks much of its benchmark."""
+    kind, odd = F.col("panel_id"), F.pmod(F.datediff("date", F.lit(dt.date(1990, 1, 1))), F.lit(20)) < 10
+    panels = F.explode(F.array(*map(F.lit, ("TYPE", *FAULTS)))).alias("panel_id")
+    prices = type_prices(spark, sf).select(panels, "ticker", "date", "close")
+    close = F.when(kind == "FLAT", 100.0).when(kind == "SUNK", F.col("close") - 105).when((kind == "THIN") & odd, None).when(kind == "NONE", None).otherwise(F.col("close"))
+    prices = prices.withColumn("close", close).where((kind != "LATE") | (F.col("date") >= LATE_DAY))
+    other = T.benchmark_prices(spark, sf).select(panels, "ticker", "date", "close")
+    other = other.where((kind != "SHORT") | (F.col("date") == WINDOW[0])).withColumn("date", F.when(kind == "APART", F.date_add("date", 36_500)).otherwise(F.col("date")))
+    return prices, other.withColumn("close", F.when((kind == "BENCH") & odd, None).otherwise(F.col("close")))
+
+
+def faulty_runs(spark: SparkSession) -> DataFrame:
+    """The monthly runs of the sweep on every panel, and some that are wrong by themselves."""
+    base = sweep(spark).where("rebalance = 'monthly' AND transaction_cost_bps = 10")
+    panels = base.drop("panel_id").withColumn("panel_id", F.explode(F.array(*map(F.lit, ("TYPE", *FAULTS, "ABSENT")))))
+    panels = panels.withColumn("run_id", F.concat_ws("-", "panel_id", "weighting"))
+    equal = base.where("weighting = 'equal'")
+    own = [
+        equal.withColumns({"run_id": F.lit("own-ticker"), "tickers": F.array(F.lit("PROMO"), F.lit("GONE"))}), equal.withColumns({"run_id": F.lit("own-benchmark"), "benchmark": F.lit("GONE")}),
+        equal.withColumns({"run_id": F.lit("own-start"), "start": F.lit(dt.date(1990, 1, 1))}), equal.withColumns({"run_id": F.lit("own-capital"), "initial_capital": F.lit(0.0)}),
+        base.where("weighting = 'inverse_vol'").withColumns({"run_id": F.lit("own-lookback"), "lookback_days": F.lit(4000)}),
+    ]
+    for rows in own:
+        panels = panels.unionByName(rows)
+    return panels
+
+
+def run_problems(spark: SparkSession, sf: str) -> DataFrame:
+    return guard.checked(faulty_runs(spark), *faulty_prices(spark, sf)).problems
+
+
+def sound_run_values(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of the faulty runs, valued: last day and value."""
+    c = guard.checked(faulty_runs(spark), *faulty_prices(spark, sf))
+    daily = c.nav_daily()
+    out = daily.groupBy("run_id").agg(F.max("date").alias("last_date"), F.max_by("portfolio_value", "date").alias("final_value"), F.min("portfolio_value").alias("least_value"))
+    return rounded(out, 2)
+
+
+#: How users write dates: the last six are none.
+STARTS = ("1995-01-02 ", "19950102", " 1995-W01-1", "1995W011", "1995-W01", "1995", "1995-1-2", "1995-01-02 10:00", "1995-13-01", "1995-W53-1", "02.01.1995")
+
+
+def customer_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A run definition for each customer as a line of JSON, as users might write it, mistakes included."""
     key = F.col("c_custkey")
     names = F.array(F.concat(F.lit(" "), F.lower("c_mktsegment")), F.lit("ALL "), F.concat(F.lit("N"), (F.col("c_nationkey") % 5).cast("string")), F.when(key % 7 == 0, F.lit("all")).otherwise(F.lit("X")))
+    names = F.when(key % 17 == 3, F.array().cast("array<string>")).when(key % 17 == 4, F.array(F.lit("A"), F.lit("  "), F.lit("B"), F.lit("C"))).otherwise(names)
     weighting = F.when(key % 4 == 0, "Equal ").when(key % 4 == 1, "custom").when(key % 4 == 2, "INVERSE_VOL").otherwise("market")
     rebalance = F.when(key % 3 == 0, " monthly").when(key % 3 == 1, "Annual").otherwise("weekly")
-    return T.table(spark, sf, "customer").select(
+    doubles = lambda *x: F.array(*map(F.lit, x))
+    custom = F.when(key % 24 == 9, doubles(0.5, 0.5)).when(key % 8 == 1, doubles(0.25, 0.25, 0.25, 0.25)).when(key % 8 == 5, doubles(0.5, 0.25, 0.5, -0.5))
+    start = F.get(F.array(*map(F.lit, STARTS)), (key % len(STARTS)).cast("int"))
+    return T.table(spark, sf, "customer").select(F.to_json(F.struct(
         F.col("c_name").alias("run_id"), F.lit("P").alias("panel_id"), names.alias("tickers"), F.when(key % 2 == 0, "spx ").alias("benchmark"),
-        F.when(key % 11 == 0, "1995-13-01").otherwise("1995-01-02 ").alias("start"), F.when(key % 5 == 0, "1994-01-01").otherwise("2000-12-31").alias("end"),
-        F.col("c_acctbal").alias("initial_capital"), weighting.alias("weighting"), rebalance.alias("rebalance"), F.lit(RF).alias("risk_free_rate"),
-        (F.col("c_nationkey") - 2).cast("double").alias("transaction_cost_bps"),
-        F.when(key % 8 == 1, F.array(*map(F.lit, (0.25, 0.25, 0.25, 0.25)))).when(key % 8 == 5, F.array(*map(F.lit, (0.5, 0.25, 0.5, -0.5)))).alias("custom_weights"),
-        (key % 6).cast("int").alias("lookback_days"),
-    )
+        start.alias("start"), F.when(key % 19 == 5, "never").when(key % 5 == 0, "1994-01-01").otherwise("2000-12-31").alias("end"),
+        F.col("c_acctbal").alias("initial_capital"), weighting.alias("weighting"), rebalance.alias("rebalance"), F.when(key % 23 != 6, F.lit(RF)).alias("risk_free_rate"),
+        (F.col("c_nationkey") - 2).cast("double").alias("transaction_cost_bps"), custom.alias("custom_weights"), F.when(key % 12 != 10, key % 6).cast("int").alias("lookback_days"),
+        F.when(key % 10 == 0, "blue").alias("colour"), F.when(key % 15 == 0, 1).alias("currency"),
+    )).alias("line"))
+
+
+def customer_specs(spark: SparkSession, sf: str) -> DataFrame:
+    return P.parsed_specs(customer_lines(spark, sf), "line")
+
+
+def spec_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The keys that definitions must not have."""
+    return customer_specs(spark, sf).select("run_id", F.array_join("unknown_keys", "|").alias("unknown_keys")).where("unknown_keys <> ''")
 
 
 def spec_violations(spark: SparkSession, sf: str) -> DataFrame:
@@ -264,11 +325,47 @@ def benchmark_value(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows.select("date", (CAPITAL * F.col("close") / first).alias("benchmark_value"), F.coalesce("ret", F.lit(0.0)).alias("benchmark_return")), {"benchmark_value": 4})
 
 
+# --- stored tables ----------------------------------------------------------------------------
+
+
+def stored_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices of brands written by year, two of the years replaced, and a range of dates read again."""
+    path = fresh_path(spark, "stored-prices")
+    prices = T.prices_by(spark, sf, "p_brand")
+    P.write_prices(prices, path)
+    again = prices.where(F.year("date").isin(1996, 1998)).withColumn("close", F.col("close") * 2)
+    P.write_prices(again, path)
+    return rounded(P.read_prices(spark, path, dt.date(1995, 7, 1), WINDOW[1]))
+
+
+def stored_nav(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily result written in folders by run and read again."""
+    path = fresh_path(spark, "stored-nav")
+    P.write_result(valued(spark, sf)[0], path, by="run_id")
+    rows = spark.read.parquet(path).groupBy("run_id").agg(F.count(F.lit(1)).alias("days"), F.sum("costs_paid").alias("costs"), F.max("date").alias("last_date"))
+    return rounded(rows, 2)
+
+
+def stored_horizons(spark: SparkSession, sf: str) -> DataFrame:
+    """Calendar-year returns as a horizon table, written and read again."""
+    path = fresh_path(spark, "stored-horizons")
+    years = type_returns(spark, sf).where("ret IS NOT NULL").groupBy("ticker", F.year("date").alias("year")).agg((F.product(1 + F.col("ret")) - 1).alias("ret"))
+    P.write_result(years, path)
+    return rounded(spark.read.parquet(path))
+
+
+def safe_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' names, made worse, as parts of paths."""
+    key = F.col("c_custkey")
+    raw = F.when(key % 9 == 0, "^^").otherwise(F.concat(F.lit("^"), F.translate("c_name", "#", "/"), F.lit("-."), F.col("c_mktsegment"), F.lit("=X ")))
+    return T.table(spark, sf, "customer").select("c_custkey", P.safe_name(raw).alias("name"))
+
+
 # --- resampling -------------------------------------------------------------------------------
 
 
-def bootstrap_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return resample.paths(written(type_returns(spark, sf), "returns"), ["ticker"], CAPITAL, n_paths=PATHS)
+def bootstrap_paths(spark: SparkSession, sf: str, n_paths: int) -> DataFrame:
+    return resample.paths(written(type_returns(spark, sf), "returns"), ["ticker"], CAPITAL, n_paths=n_paths)
 
 
 def bootstrap_draws(spark: SparkSession, sf: str) -> DataFrame:
@@ -277,12 +374,12 @@ def bootstrap_draws(spark: SparkSession, sf: str) -> DataFrame:
     return table.groupBy("n_obs", "path").agg(F.sum("idx").alias("sum_idx"), F.min("idx").alias("low"), F.max("idx").alias("high"))
 
 
-def bootstrap_horizons(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(resample.horizons(bootstrap_paths(spark, sf), ["ticker"], CAPITAL), {"median": 2, "p10": 2, "p90": 2, "benchmark_median": 2})
+def bootstrap_horizons(spark: SparkSession, sf: str, n_paths: int = PATHS) -> DataFrame:
+    return rounded(resample.horizons(bootstrap_paths(spark, sf, n_paths), ["ticker"], CAPITAL), {"median": 2, "p10": 2, "p90": 2, "benchmark_median": 2})
 
 
-def bootstrap_fan(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(resample.fan(bootstrap_paths(spark, sf), ["ticker"]), 2)
+def bootstrap_fan(spark: SparkSession, sf: str, n_paths: int = PATHS) -> DataFrame:
+    return rounded(resample.fan(bootstrap_paths(spark, sf, n_paths), ["ticker"]), 2)
 
 
 QUERIES = {
@@ -290,7 +387,7 @@ QUERIES = {
     for f in (
         instrument_summary, universe_window, missing_tickers, clean_panel, dropped_tickers, coverage_violations, panel_facts, panel_violations, aligned_dates,
         daily_returns, drawdown_curve, drawdown_episodes, top_drawdowns, rolling_sharpe, monthly_grid, instrument_measures, instrument_measures_long,
-        rebalance_calendar, nav_daily, comparison_table, headline, cost_summary, run_window, run_violations, spec_violations, spec_normalised, benchmark_value,
+        rebalance_calendar, nav_daily, comparison_table, headline, cost_summary, run_window, run_violations, run_problems, sound_run_values, measures_of_runs, spec_keys, spec_violations, spec_normalised, stored_prices, stored_nav, stored_horizons, safe_names, benchmark_value,
         bootstrap_draws, bootstrap_horizons, bootstrap_fan,
     )
 } | {

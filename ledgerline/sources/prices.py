@@ -19,13 +19,20 @@ def normalised_ticks(raw: DataFrame) -> DataFrame:
 
 
 def safe_name(ticker: Column) -> Column:
-    """A ticker as part of a path."""
-    return F.btrim(F.regexp_replace(ticker, "[^A-Za-z0-9._-]+", "_"), F.lit("_"))
+    """A ticker as part of a path: letters and digits, all else as one underscore; ``ticker`` if none are left."""
+    name = F.btrim(F.regexp_replace(ticker, "[^A-Za-z0-9]+", "_"), F.lit("_"))
+    return F.coalesce(F.nullif(name, F.lit("")), F.lit("ticker"))
 
 
-def write_prices(prices: DataFrame, path: str) -> None:
-    """One folder per year; only the years present in ``prices`` are replaced."""
-    out = prices.withColumn("year", F.year("date")).repartition("year")
+#: Tasks that write one year, each a bucket of tickers.
+WRITERS_PER_YEAR = 16
+
+
+def write_prices(prices: DataFrame, path: str, writers: int = WRITERS_PER_YEAR) -> None:
+    """One folder per year; only the years present in ``prices`` are replaced. A year is written by up to ``writers`` tasks."""
+    out = prices.withColumn("year", F.year("date"))
+    bucket = F.pmod(F.xxhash64("ticker"), F.lit(writers))
+    out = out.repartition("year", bucket).sortWithinPartitions("year", "ticker", "date")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
 
@@ -37,8 +44,16 @@ def read_prices(spark: SparkSession, path: str, start: dt.date, end: dt.date) ->
 
 
 def read_specs(spark: SparkSession, path: str) -> DataFrame:
-    """Run definitions, one JSON object per line; unknown keys are dropped by the schema."""
-    return spark.read.schema(schemas.RUN_SPEC_RAW).json(path)
+    """Run definitions, one JSON object per line; unknown_keys has the keys that are none of a definition's."""
+    return parsed_specs(spark.read.text(path), "value")
+
+
+def parsed_specs(lines: DataFrame, column: str) -> DataFrame:
+    """The definitions in a column of JSON objects; a line that is none gives a row of NULLs."""
+    known = [field.split()[0] for field in schemas.RUN_SPEC_RAW.split(", ")]
+    rows = lines.select(F.from_json(column, schemas.RUN_SPEC_RAW).alias("s"), F.json_object_keys(column).alias("keys"))
+    unknown = F.array_sort(F.array_except("keys", F.array(*map(F.lit, known))))
+    return rows.select("s.*", F.coalesce(unknown, F.array().cast("array<string>")).alias("unknown_keys"))
 
 
 def write_result(df: DataFrame, path: str, by: str | None = None) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import schemas
 from ledgerline.functions import measures as M
-from ledgerline.operators import calendar, clean, resample, series, specs, valuation, weights
+from ledgerline.operators import calendar, clean, guard, resample, series, specs, valuation, weights
 from ledgerline.sources import prices as P
 
 
@@ -136,7 +136,7 @@ def test_measures_by_hand(spark):
     rf = (1.02) ** (1 / 252) - 1
     cases = {
         "const": [0.0005] * 252, "vol5": [0.01, -0.02, 0.03, -0.01, 0.005], "dd3": [0.10, -0.20, 0.05], "tail20": [x / 100 for x in range(-10, 10)],
-        "sortino4": [0.02, -0.01, 0.02, -0.01], "up3": [0.01, 0.02, 0.03], "one": [0.01], "none": [None, None],
+        "sortino4": [0.02, -0.01, 0.02, -0.01], "up3": [0.01, 0.02, 0.03], "one": [0.01], "down1": [-0.01], "down2": [-0.01, -0.01], "none": [None, None],
     }
     named = {k: (v, bench[: len(v)]) for k, v in cases.items()}
     named["ols"] = ([rf + 0.0002 + 1.3 * (b - rf) for b in bench], bench)
@@ -151,6 +151,7 @@ def test_measures_by_hand(spark):
     assert got["tail20"]["var_95"] == pytest.approx(0.0905) and got["tail20"]["cvar_95"] == pytest.approx(0.10)
     e = [x - rf for x in cases["sortino4"]]
     assert got["sortino4"]["sortino"] == pytest.approx(sum(e) / 4 * 252 / (math.sqrt(sum(min(x, 0) ** 2 for x in e) / 4) * math.sqrt(252)))
+    assert got["down1"]["sortino"] is None and got["down2"]["sortino"] is not None
     assert got["up3"]["sortino"] is None and got["one"]["volatility"] is None and got["none"]["cagr"] == 0
     assert got["ols"]["beta"] == pytest.approx(1.3) and got["ols"]["alpha"] == pytest.approx(0.0002 * 252) and got["ols"]["r_squared"] == pytest.approx(1)
     assert got["self"]["beta"] == pytest.approx(1) and got["self"]["alpha"] == pytest.approx(0, abs=1e-12) and got["self"]["tracking_error"] == 0 and got["self"]["correlation"] == pytest.approx(1)
@@ -259,6 +260,44 @@ def test_spec_rules(spark):
         specs.require_none(specs.violations(normal.where("run_id = 'tickers missing'")))
 
 
+def test_iso_dates(spark):
+    cases = {
+        "2020-01-31": dt.date(2020, 1, 31), " 20200131 ": dt.date(2020, 1, 31), "2020-W05-5": dt.date(2020, 1, 31), "2020W055": dt.date(2020, 1, 31), "2020-W53": dt.date(2020, 12, 28),
+        "2021-W53-1": None, "1995": None, "1995-1-2": None, "1995-01-02 10:00": None, "2020-02-30": None, "0000-01-01": None, "2020-W05-8": None, "2020-W00": None, "2020-W055": None, "": None,
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "text string").select("text", specs.iso_date(F.col("text")).alias("date"))
+    assert {r["text"]: r["date"] for r in df.collect()} == cases
+
+
+def test_a_run_without_usable_deviation_is_reported_and_never_valued(spark):
+    days = b_days("2020-01-01", 40)
+    flat, other = panel_frame(spark, {"A": [100.0] * 40, "B": [50.0] * 40}, days), panel_frame(spark, {"BM": [50.0] * 40}, days)
+    runs = spec(spark, {"run_id": "flat", "weighting": "inverse_vol", "lookback_days": 5}, {"run_id": "equal"})
+    checked = guard.checked(runs, flat, other)
+    found = checked.problems.collect()
+    assert {(r["run_id"], r["rule"]) for r in found} == {("flat", "no ticker with a usable deviation")} and str(days[5]) in {r["subject"] for r in found}
+    assert {r["run_id"] for r in checked.nav_daily().collect()} == {"equal"}
+    values = valuation.nav_daily(runs.where("run_id = 'flat'"), flat, other).collect()  # unguarded: no value, not zero
+    assert len(values) == 35 and {r["portfolio_value"] for r in values if r["date"] > days[5]} == {None}
+
+
+def test_strategies_are_shared(spark, toy):
+    runs = spec(spark, {"run_id": "a"}, {"run_id": "b", "transaction_cost_bps": 0.0, "initial_capital": 5.0}, {"run_id": "c", "rebalance": "none"})
+    assert valuation.strategies(runs).count() == 2
+    rows = {(r["run_id"], r["date"]): r for r in valuation.nav_daily(runs, *toy).collect()}
+    assert rows["b", dt.date(2020, 1, 31)]["portfolio_value"] == pytest.approx(7.5)
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from ledgerline.sources import staging
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        staging.shared_dir(session)
+
+
 def test_bootstrap(spark):
     n = 60
     df = returns_frame(spark, const=([0.001] * n, [0.001] * n), short=([0.1] * 5, [0.1] * 5))
@@ -285,10 +324,13 @@ def test_ticks_sources_and_sinks(spark, tmp_path):
     assert P.read_prices(spark, f"{tmp_path}/prices", dt.date(2020, 1, 1), dt.date(2020, 12, 31)).count() == 1
     universe = spark.createDataFrame([("P", "A", dt.date(2020, 1, 1), dt.date(2020, 1, 1)), ("P", "B", dt.date(2020, 1, 1), dt.date(2022, 1, 1)), ("P", "C", dt.date(2020, 1, 1), dt.date(2022, 1, 1))], "panel_id string, ticker string, start date, end date")
     assert {r["ticker"] for r in P.missing_tickers(got, universe).collect()} == {"B", "C"}
-    assert spark.range(1).select(P.safe_name(F.lit("^BRK/B=X ")).alias("n")).first()["n"] == "BRK_B_X"
+    names = {"^BRK/B=X ": "BRK_B_X", "BRK-B": "BRK_B", "^^": "ticker", "": "ticker", "a.b": "a_b"}
+    for raw, name in names.items():
+        assert spark.range(1).select(P.safe_name(F.lit(raw)).alias("n")).first()["n"] == name
     (tmp_path / "specs.json").write_text('{"run_id": "r", "tickers": ["a"], "start": "2020-01-01", "unknown": 1}\n')
     read = P.read_specs(spark, f"{tmp_path}/specs.json")
-    assert read.first()["tickers"] == ["a"] and "unknown" not in read.columns
+    assert read.first()["tickers"] == ["a"] and read.first()["unknown_keys"] == ["unknown"] and "unknown" not in read.columns
+    assert {r["rule"] for r in specs.violations(specs.normalised(read)).collect()} >= {"unknown keys", "end not a date"}
     P.write_result(read.select("run_id"), f"{tmp_path}/out", by=None)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
 
