@@ -4,11 +4,13 @@ A line's words are its tokens; tokens with a digit are variable fields. The tree
 depth: token count, then the first DEPTH tokens. In a leaf with several different lines, each
 further position is constant if one token holds more than half of the leaf's different lines and
 variable otherwise; lines that agree with the leaf on SIMILAR of all positions share the leaf's
-template, others are their own template. A template that occurs in two or more documents is
-dropped everywhere but in the document with the smallest doc_id among them.
+template. The lines left over are grouped by the token, shared by two of them at least but not by all, that
+most of them have (the earlier place if equal), and each group is treated like a leaf, for LEVELS levels in all. What
+is left then is its own template. A template that occurs in two or more documents is
+dropped everywhere but in the document with the smallest doc_id among them (with ``everywhere``, there too).
 
-Lines of fewer than MIN_TOKENS tokens are kept. Null texts stay null, empty ones empty; rows
-without doc_id are kept as they are; rows of one doc_id count as one document.
+Lines of fewer than ``min_tokens`` tokens are kept, as they are no passages. Null texts stay null, empty ones
+empty; rows without doc_id are kept as they are and make no template recur; rows of one doc_id count as one document.
 """
 
 from __future__ import annotations
@@ -16,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, read, sized, written
+from .common import BROADCAST_ROWS, free_name, read, sized, written
 
-DEPTH, MIN_TOKENS, SIMILAR = 4, 4, 0.7
+DEPTH, MIN_TOKENS, SIMILAR, LEVELS = 4, 4, 0.7, 3
 FIELD = "<*>"
 
 
@@ -28,13 +30,13 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.when(odd, F.regexp_replace(line, "[ \t\r]+", " ")).otherwise(line))
 
 
-def template_lines(docs: DataFrame) -> DataFrame:
+def template_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id, line_no, n_tokens, masked (tokens with a digit are FIELD) and lead (the hash of the
     leading tokens) of lines that can be templates."""
     lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
     lines = lines.select("doc_id", "line_no", normal_line(F.col("line")).alias("norm"))
     tokens = F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("n_tokens", tokens).where(F.col("n_tokens") >= MIN_TOKENS)
+    lines = lines.withColumn("n_tokens", tokens).where(F.col("n_tokens") >= min_tokens)
     masked = F.when(F.col("norm").rlike("[0-9]"), F.regexp_replace("norm", "[^ 0-9]*[0-9][^ ]*", FIELD)).otherwise(F.col("norm"))
     lines = lines.select("doc_id", "line_no", "n_tokens", masked.alias("masked"))
     return lines.withColumn("lead", F.xxhash64(F.substring_index("masked", " ", DEPTH)))
@@ -45,50 +47,80 @@ def hashes() -> list[Column]:
     return [F.xxhash64("masked").alias("h1"), F.xxhash64(F.lit(1), "masked").alias("h2")]
 
 
-def leaf_templates(docs: DataFrame, different: DataFrame) -> DataFrame:
-    """h1, h2 and leaf of the lines that share their leaf's template. The texts are read again for
+LEAF, LINE = ["n_tokens", "lead"], ["h1", "h2"]
+
+
+def shared_templates(tokens: DataFrame, level: int) -> DataFrame:
+    """h1, h2, t1 and t2 of the lines that share their group's template. ``tokens``: LEAF, part, LINE, place, token."""
+    group = [*LEAF, "part"]
+    counts = tokens.groupBy(*group, "place", "token").agg(F.count("*").alias("n"))
+    sizes = counts.where("place = 0").groupBy(*group).agg(F.sum("n").alias("n_lines")).where("n_lines > 1")
+    # more than half of the lines: at most one token of a place
+    constant = counts.join(sizes, group).where(F.col("n") * 2 > F.col("n_lines")).select(*group, "place", "token")
+    agree = tokens.join(constant, [*group, "place", "token"], "left_semi").groupBy(*group, *LINE).agg(F.count("*").alias("agree"))
+    agree = agree.where(F.col("agree") >= F.lit(SIMILAR) * F.col("n_tokens"))
+    return agree.select(*LINE, F.col("lead").alias("t1"), F.xxhash64("n_tokens", F.lit(level), "part").alias("t2"))
+
+
+def parted(tokens: DataFrame) -> DataFrame:
+    """``tokens`` with their groups parted by the token that most lines of a group share; lines that share none go."""
+    group = [*LEAF, "part"]
+    counts = tokens.groupBy(*group, "place", "token").agg(F.count("*").alias("n"))
+    sizes = counts.where("place = 0").groupBy(*group).agg(F.sum("n").alias("n_lines"))
+    choices = counts.where("n > 1").join(sizes, group).where("n < n_lines").select(*group, "place", "token", "n")
+    best = F.max(F.struct("n", (-F.col("place")).alias("first"), "token")).alias("best")
+    chosen = tokens.join(choices, [*group, "place", "token"]).groupBy(*LINE).agg(best)
+    chosen = chosen.select(*LINE, F.col("best.first").alias("first"), F.col("best.token").alias("by"))
+    return tokens.join(chosen, LINE).withColumn("part", F.xxhash64("part", "first", "by")).drop("first", "by")
+
+
+def leaf_templates(docs: DataFrame, different: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """h1, h2, t1, t2 of the lines that share a template with others of their leaf. The texts are read again for
     the lines of leaves that hold several different ones, one copy of each."""
-    leaf = ["n_tokens", "lead"]
-    shared = written(different.groupBy(*leaf).agg(F.count("*").alias("n_lines")).where("n_lines > 1"), "leaves")
-    rows = template_lines(docs).join(sized(shared), leaf).select("n_lines", *leaf, "masked", *hashes())
-    rows = rows.groupBy("h1", "h2").agg(F.any_value("masked").alias("masked"), *(F.any_value(c).alias(c) for c in (*leaf, "n_lines")))
-    tokens = rows.select(*leaf, "n_lines", "h1", "h2", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+    shared = written(different.groupBy(*LEAF).agg(F.count("*").alias("n_lines")).where("n_lines > 1").select(*LEAF), "leaves")
+    rows = template_lines(docs, min_tokens).join(sized(shared), LEAF).select(*LEAF, "masked", *hashes())
+    rows = rows.groupBy(*LINE).agg(F.any_value("masked").alias("masked"), *(F.any_value(c).alias(c) for c in LEAF))
+    tokens = rows.select(*LEAF, F.lit(0).cast("bigint").alias("part"), *LINE, F.posexplode(F.split("masked", " ")).alias("place", "token"))
     tokens = written(tokens.withColumn("token", F.xxhash64("token")), "tokens")
-    counts = tokens.groupBy(*leaf, "n_lines", "place", "token").agg(F.count("*").alias("n"))
-    # more than half of the lines: at most one token of a place
-    constant = counts.where(F.col("n") * 2 > F.col("n_lines")).select(*leaf, "place", "token")
-    agree = tokens.join(constant, [*leaf, "place", "token"], "left_semi").groupBy(*leaf, "h1", "h2").agg(F.count("*").alias("agree"))
-    return agree.where(F.col("agree") >= F.lit(SIMILAR) * F.col("n_tokens")).select("h1", "h2", *(F.col(c).alias(f"leaf_{c}") for c in leaf))
+    found = written(shared_templates(tokens, 0), "shared")
+    out = found
+    for level in range(1, LEVELS):
+        tokens = written(parted(tokens.join(found, LINE, "left_anti")), "tokens")
+        found = written(shared_templates(tokens, level), "shared")
+        out = out.unionByName(found)
+    return out
 
 
-def recurring_lines(docs: DataFrame) -> DataFrame:
+def recurring_lines(docs: DataFrame, everywhere: bool = False, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id and line_no of every line whose template recurs, except in the first document that has it."""
-    lines = written(template_lines(docs).select("doc_id", "line_no", "n_tokens", "lead", *hashes()), "lines")
-    different = lines.groupBy("h1", "h2").agg(
+    lines = written(template_lines(docs, min_tokens).select("doc_id", "line_no", "n_tokens", "lead", *hashes()), "lines")
+    different = lines.groupBy(*LINE).agg(
         F.max("n_tokens").alias("n_tokens"), F.max("lead").alias("lead"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
     )
     different = written(different, "different")
-    shared = leaf_templates(docs, different)
-    # A template is a leaf or a line of its own: both are two numbers, told apart by a third.
-    own = F.col("leaf_lead").isNull()
-    template = [own.alias("own"), F.when(own, F.col("h1")).otherwise(F.col("leaf_lead")).alias("t1"), F.when(own, F.col("h2")).otherwise(F.col("leaf_n_tokens")).alias("t2")]
-    templates = written(different.select("h1", "h2", "first_doc", "last_doc").join(shared, ["h1", "h2"], "left").select("h1", "h2", "first_doc", "last_doc", *template), "templates")
+    shared = leaf_templates(docs, different, min_tokens)
+    # A template is shared or a line of its own: both are two numbers, told apart by a third.
+    own = F.col("t1").isNull()
+    template = [own.alias("own"), F.when(own, F.col("h1")).otherwise(F.col("t1")).alias("t1"), F.when(own, F.col("h2")).otherwise(F.col("t2")).alias("t2")]
+    templates = written(different.select(*LINE, "first_doc", "last_doc").join(shared, LINE, "left").select(*LINE, "first_doc", "last_doc", *template), "templates")
     spread = templates.groupBy("own", "t1", "t2").agg(F.min("first_doc").alias("keeper"), F.max("last_doc").alias("last")).where("keeper < last")
-    dropped = templates.join(spread, ["own", "t1", "t2"]).where("last_doc > keeper").select("h1", "h2", "keeper")
-    return lines.select("doc_id", "line_no", "h1", "h2").join(dropped, ["h1", "h2"]).where("doc_id > keeper").select("doc_id", "line_no")
+    dropped = templates.join(spread, ["own", "t1", "t2"]).select(*LINE, "last_doc", (F.lit(None).cast("bigint") if everywhere else F.col("keeper")).alias("keeper"))
+    dropped = dropped.where("keeper IS NULL OR last_doc > keeper").drop("last_doc")
+    return lines.select("doc_id", "line_no", *LINE).join(dropped, LINE).where("keeper IS NULL OR doc_id > keeper").select("doc_id", "line_no")
 
 
-def drop_recurring_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, counts: bool = False, everywhere: bool = False, min_tokens: int = MIN_TOKENS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with text reduced to the lines that stay; with ``counts`` also n_lines and n_dropped,
     which replace columns of these names."""
-    gone = written(recurring_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("doc_id", "__doc"), "gone")
+    doc, gone_lines = free_name(docs, "line_doc"), free_name(docs, "line_gone")
+    gone = written(recurring_lines(docs, everywhere, min_tokens).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(gone_lines)), "gone")
     # what a broadcast would hold is the lines, not the documents
-    n_gone = gone.agg(F.sum(F.size("__gone"))).first()[0] or 0
-    gone = F.broadcast(gone) if n_gone <= BROADCAST_ROWS else gone
-    text, gone_lines, all_lines = F.col("text").cast("string"), F.col("__gone"), F.col("__lines")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), gone_lines)
-    some = F.col("__doc").isNotNull() & F.col("text").isNotNull()
-    out = docs.join(gone, docs["doc_id"] == F.col("__doc"), "left").withColumn("__lines", F.split(text, "\n", -1))
+    n_gone = gone.agg(F.sum(F.size(gone_lines))).first()[0] or 0
+    gone = F.broadcast(gone) if n_gone <= broadcast_rows else gone
+    out = docs.join(gone, docs["doc_id"].cast("bigint") == F.col(doc), "left")
+    all_lines = F.split(F.col("text").cast("string"), "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(gone_lines))
+    some = F.col(doc).isNotNull() & F.col("text").isNotNull()
     kept = F.when(some, F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n")).otherwise(F.col("text"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("bigint")
     n_dropped = F.when(some, F.size(gone_lines)).otherwise(0).cast("bigint")
@@ -103,6 +135,24 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_dedup_sql(docs: str = "documents") -> str:
     """The same in DuckDB, over the relation ``docs``: doc_id, text, n_lines, n_dropped."""
+    group, levels = "n_tokens, lead, part", []
+    for k in range(LEVELS):
+        if k == 0:
+            source = "SELECT n_tokens, lead, '' AS part, masked, unnest(string_split(masked, ' ')) AS token, unnest(range(n_tokens)) AS place FROM different JOIN leaves USING (n_tokens, lead)"
+            levels.append("leaves AS (SELECT n_tokens, lead FROM different GROUP BY n_tokens, lead HAVING count(*) > 1)")
+        else:
+            levels += [
+                f"rest{k} AS (SELECT * FROM places{k - 1} ANTI JOIN shared{k - 1} USING (masked))",
+                f"choice{k} AS (SELECT *, count(*) AS n FROM (SELECT {group}, place, token FROM rest{k}) GROUP BY ALL)",
+                f"chosen{k} AS (SELECT masked, arg_max(place || ' ' || token, (n, -place)) AS pick FROM rest{k} JOIN choice{k} USING ({group}, place, token) JOIN (SELECT {group}, sum(n) AS size FROM choice{k} WHERE place = 0 GROUP BY ALL) USING ({group}) WHERE n > 1 AND n < size GROUP BY masked)",
+            ]
+            source = f"SELECT n_tokens, lead, part || '/' || pick AS part, masked, token, place FROM rest{k} JOIN chosen{k} USING (masked)"
+        levels += [
+            f"places{k} AS ({source})",
+            f"size{k} AS (SELECT {group}, count(*) AS n_lines FROM places{k} WHERE place = 0 GROUP BY ALL HAVING count(*) > 1)",
+            f"constant{k} AS (SELECT {group}, place, token FROM places{k} JOIN size{k} USING ({group}) GROUP BY {group}, n_lines, place, token HAVING count(*) * 2 > n_lines)",
+            f"shared{k} AS (SELECT masked, {k} || part AS part FROM places{k} JOIN constant{k} USING ({group}, place, token) GROUP BY masked, {group} HAVING count(*) >= {SIMILAR}::DOUBLE * n_tokens)",
+        ]
     return rf"""
 WITH raw AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no
@@ -116,18 +166,11 @@ different AS (
   SELECT masked, n_tokens, array_to_string(string_split(masked, ' ')[1:{DEPTH}], ' ') AS lead,
          min(doc_id) AS first_doc, max(doc_id) AS last_doc
   FROM lines GROUP BY masked, n_tokens),
-leaves AS (SELECT n_tokens, lead, count(*) AS n_lines FROM different GROUP BY n_tokens, lead HAVING count(*) > 1),
-places AS (
-  SELECT n_tokens, lead, n_lines, masked, unnest(string_split(masked, ' ')) AS token, unnest(range(n_tokens)) AS place
-  FROM different JOIN leaves USING (n_tokens, lead)),
-constant AS (
-  SELECT n_tokens, lead, place, token FROM places GROUP BY n_tokens, lead, n_lines, place, token HAVING count(*) * 2 > n_lines),
-shared AS (
-  SELECT masked, n_tokens, lead FROM places JOIN constant USING (n_tokens, lead, place, token)
-  GROUP BY masked, n_tokens, lead HAVING count(*) >= {SIMILAR}::DOUBLE * n_tokens),
+{", ".join(levels)},
+shared AS ({" UNION ALL ".join(f"SELECT * FROM shared{k}" for k in range(LEVELS))}),
 templates AS (
   SELECT d.masked, d.first_doc, d.last_doc,
-         CASE WHEN s.masked IS NULL THEN 'line ' || d.masked ELSE 'leaf ' || d.n_tokens || ' ' || d.lead END AS template
+         CASE WHEN s.masked IS NULL THEN 'line ' || d.masked ELSE 'leaf ' || d.n_tokens || ' ' || d.lead || ' ' || s.part END AS template
   FROM different d LEFT JOIN shared s ON d.masked = s.masked),
 spread AS (SELECT template, min(first_doc) AS keeper FROM templates GROUP BY template HAVING min(first_doc) < max(last_doc)),
 gone AS (

@@ -2,7 +2,7 @@ import pytest
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Names that the operators use inside; extra columns of these names have to pass unharmed.
-CLASHING = "row row_ held lp bow g u v trusted fp rep anchor component_id h1 h2 masked lead line line_no lines n_tokens w h item_id shingle word block ids keep score threshold piece start length sequence_id node a b __x".split()
+CLASHING = "row row_ held lp bow g u v trusted fp rep anchor component_id h1 h2 masked lead line line_no lines n_tokens w h item_id shingle word block ids keep score threshold piece start length sequence_id node a b __x __gone __doc __lines gone line_doc line_gone part t1 t2 own keeper first_doc last_doc token n n_lines_ missing".split()
 
 
 @pytest.fixture(scope="session")

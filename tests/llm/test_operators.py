@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerline.llm import chat, decontaminate, lines, media, packing, pages, quality, secrets, simhash, token_counts
+from ledgerline.llm import lines as lines_module
 from tests.conftest import same_rows
 
 TEXTS = st.text(st.one_of(st.characters(max_codepoint=0x2FF), st.sampled_from(" \n\t'.,ab12<|>"), st.characters(exclude_categories=["Cs"])), max_size=60)
@@ -420,6 +421,23 @@ def test_templates_generalise(spark):
     assert out == {1: rows[0][1], 2: "only here is this line said", 3: "", 4: rows[3][1]}
 
 
+def test_a_leaf_holds_several_templates(spark):
+    rng = random.Random(5)
+    words = [a + b for a in "bcdfghklmnprst" for b in ("a", "e", "i", "o", "u")]
+    lead = "the server at node "
+    families = ["one answered the request of user {} in good time today", "two was seen by {} and then went out for ever", "four has {} on the list of all that ever was"]
+    lines = [lead + f.format(w) for f in families for w in rng.sample(words, 6)]
+    lines += [lead + " ".join(rng.sample(words, 11)) for _ in range(30)]  # unrelated lines of the same leaf
+    assert len({len(x.split()) for x in lines}) == 1
+    rows = list(enumerate(lines, 1))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r["doc_id"]: r["text"] for r in lines_module.drop_recurring_lines(docs).collect()}
+    stay = {1, 7, 13} | set(range(19, 49))
+    assert {d for d, t in out.items() if t} == stay and all(out[d] == dict(rows)[d] for d in stay)
+    every = {r["doc_id"] for r in lines_module.drop_recurring_lines(docs, everywhere=True, broadcast_rows=0).collect() if r["text"]}
+    assert every == set(range(19, 49))
+
+
 def test_leaks_match_sql(spark, sf, duck):
     same_rows(decontaminate.op9_decontaminate(spark, sf), duck.execute(decontaminate.leaks_sql()))
 
