@@ -9,7 +9,9 @@ lost. Candidates are verified by exact containment of the shingles' words.
 
 Words are lower-cased and end at white space. An item of fewer than five words has one shingle,
 its whole sequence; one without words never leaks. Null texts count as empty. Repeated rows of
-one id count as one document, or one item with the shingles of all its rows.
+one id count as one document, or one item with the shingles of all its rows. Rows without an id are
+each a document (or an item) of their own, known by a hash of their text: they leak like any other and come
+back with a null id, equal texts once.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, sized, written
+from .common import free_name, read, sized, written
 
 WORDS, CONTAINED = 5, 0.8
 #: Sketches and shingles of the test items are broadcast up to this many rows; beyond it they are shuffled.
@@ -43,60 +45,82 @@ def spelled(w: Column, n: int) -> Column:
     return grams(w, n, lambda i: F.array_join(F.slice(w, i, n), " "))
 
 
+def identity(rows: DataFrame, id_column: str) -> Column:
+    """What tells documents, or items, apart: their id, or a hash of the text where there is none."""
+    by_id = F.concat(F.lit("i"), rows[id_column].cast("bigint").cast("string"))
+    return F.coalesce(by_id, F.concat(F.lit("t"), F.sha2(F.coalesce(rows["text"].cast("string"), F.lit("")), 256)))
+
+
+def id_of(key: Column) -> Column:
+    return F.when(F.substring(key, 1, 1) == "i", F.substring(key, 2, 30).cast("bigint"))
+
+
 def item_shingles(items: DataFrame) -> DataFrame:
-    """item_id, shingle, n_words, h: the different shingles of each item, and n_shingles, their number."""
-    per = items.select(F.col("item_id").cast("bigint").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """item, shingle, n_words, h: the different shingles of each item, and n_shingles, their number."""
+    per = items.select(identity(items, "item_id").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(WORDS))
     places = F.sequence(F.lit(1), F.size("w") - n + 1)
-    rows = per.select("item_id", n.alias("n_words"), F.explode(F.transform(places, lambda i: F.slice("w", i, n))).alias("g"))
+    rows = per.select("item", n.alias("n_words"), F.explode(F.transform(places, lambda i: F.slice("w", i, n))).alias("g"))
     h = None
     for k in range(1, WORDS + 1):
         made = F.xxhash64(*(F.get("g", F.lit(j)) for j in range(k)))
         h = F.when(F.col("n_words") == k, made) if h is None else h.when(F.col("n_words") == k, made)
-    rows = rows.select("item_id", "n_words", F.array_join("g", " ").alias("shingle"), h.alias("h")).distinct()
-    sizes = rows.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
-    return rows.join(sizes, "item_id")
+    rows = rows.select("item", "n_words", F.array_join("g", " ").alias("shingle"), h.alias("h")).distinct()
+    sizes = rows.groupBy("item").agg(F.count("*").alias("n_shingles"))
+    return rows.join(sizes, "item")
 
 
 def sketches(shingles: DataFrame) -> DataFrame:
-    """item_id, n_words, h: the bottom-k hashes of each item; an item is small, so its rows can be ranked in one place."""
+    """item, n_words, h: the bottom-k hashes of each item; an item is small, so its rows can be ranked in one place."""
     from pyspark.sql import Window
 
     # the largest size in the partition [2^p, 2^(p+1)) that the item is in
     upper = F.pow(F.lit(2.0), F.floor(F.log2(F.col("n_shingles").cast("double"))) + 1) - 1
     k = upper - F.ceil(F.lit(CONTAINED) * upper) + 1
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("h", "shingle"))
-    return shingles.withColumn("rank", rank).where(F.col("rank") <= k).select("item_id", "n_words", "h")
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("h", "shingle"))
+    return shingles.withColumn("rank", rank).where(F.col("rank") <= k).select("item", "n_words", "h")
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_shingles, n_shared and containment of every pair at CONTAINED or more."""
+def keyed_leaks(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc and item (see ``identity``), n_shingles and n_shared of every pair at CONTAINED or more."""
     shingles = written(item_shingles(items), "items")
     lengths = sorted(r[0] for r in shingles.select("n_words").distinct().collect())  # 1 to WORDS
-    sketch = sized(written(sketches(shingles), "sketches"), BROADCAST_ROWS)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words(F.col("text")).alias("w")).where("doc_id IS NOT NULL")
+    sketch = sized(written(sketches(shingles), "sketches"), broadcast_rows)
+    doc = free_name(docs, "leak_doc")
+
+    def texts(rows: DataFrame) -> DataFrame:
+        return rows.select(identity(rows, "doc_id").alias("doc"), words(F.col("text")).alias("w"))
 
     def exploded(source: DataFrame, make, name: str) -> DataFrame:
         out = None
         for n in lengths:
-            part = source.select("doc_id", F.lit(n).alias("n_words"), F.explode(make(F.col("w"), n)).alias(name))
+            part = source.select("doc", F.lit(n).alias("n_words"), F.explode(make(F.col("w"), n)).alias(name))
             out = part if out is None else out.unionByName(part)
         return out
 
     if not lengths:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, n_shingles bigint, n_shared bigint, containment double")
-    pairs = written(exploded(texts, hashed, "h").join(sketch, ["n_words", "h"]).select("doc_id", "item_id").distinct(), "candidates")
-    suspects = docs.join(sized(written(pairs.select("doc_id").distinct(), "suspects")), "doc_id", "left_semi")
-    suspects = suspects.select(F.col("doc_id").cast("bigint").alias("doc_id"), words(F.col("text")).alias("w"))
-    found = exploded(suspects, spelled, "shingle").join(sized(shingles, BROADCAST_ROWS), ["n_words", "shingle"])
-    found = found.groupBy("doc_id", "item_id", "n_shingles", "shingle").agg(F.lit(1).alias("one")).groupBy("doc_id", "item_id", "n_shingles").agg(F.count("*").alias("n_shared"))
-    exact = found.where(F.col("n_shared") >= F.lit(CONTAINED) * F.col("n_shingles")).join(pairs, ["doc_id", "item_id"], "left_semi")
-    return exact.select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
+        return docs.sparkSession.createDataFrame([], "doc string, item string, n_shingles bigint, n_shared bigint")
+    pairs = written(exploded(texts(docs), hashed, "h").join(sketch, ["n_words", "h"]).select("doc", "item").distinct(), "candidates")
+    suspects = sized(written(pairs.select(F.col("doc").alias(doc)).distinct(), "suspects"), broadcast_rows)
+    suspects = texts(docs.withColumn(doc, identity(docs, "doc_id")).join(suspects, doc, "left_semi"))
+    found = exploded(suspects, spelled, "shingle").join(sized(shingles, broadcast_rows), ["n_words", "shingle"])
+    found = found.groupBy("doc", "item", "n_shingles", "shingle").agg(F.lit(1).alias("one")).groupBy("doc", "item", "n_shingles").agg(F.count("*").alias("n_shared"))
+    return found.where(F.col("n_shared") >= F.lit(CONTAINED) * F.col("n_shingles")).join(pairs, ["doc", "item"], "left_semi")
+
+
+def leaks(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, item_id, n_shingles, n_shared and containment of every pair at CONTAINED or more."""
+    found = keyed_leaks(docs, items, broadcast_rows)
+    return found.select(
+        id_of(F.col("doc")).alias("doc_id"), id_of(F.col("item")).alias("item_id"), "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment")
+    )
 
 
-def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The documents that no item leaks into."""
-    return docs.join(sized(written(leaks(docs, items).select("doc_id").distinct(), "leaks")), "doc_id", "left_anti")
+    doc = free_name(docs, "leak_doc")
+    leaking = written(keyed_leaks(docs, items, broadcast_rows).select(F.col("doc").alias(doc)).distinct(), "leaks")
+    return docs.withColumn(doc, identity(docs, "doc_id")).join(sized(leaking, broadcast_rows), doc, "left_anti").select(*docs.columns)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
