@@ -7,8 +7,9 @@ always takes 10 bits with its end-of-block code, and whole files are coded and d
 operations. Frames of other tables are decoded by the general baseline decoder.
 
 ``clips`` cuts a file into shots: a cut is where the histogram difference of neighbouring
-frames exceeds the mean of the differences around it by ``K`` deviations. Null payloads count as
-empty, and equal texts give equal values.
+frames exceeds the median of the differences around it by ``K`` deviations. Null payloads count as
+empty, and equal texts give equal values. Files that can't be decoded raise ValueError, whatever is wrong with
+them; no step goes beyond a file's own length.
 """
 
 from __future__ import annotations
@@ -36,6 +37,28 @@ SPREAD = 1.4826
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
 
 
+# Fixed values of the JPEG standard (annex K): the Huffman tables that motion-JPEG frames may leave out, each as the
+# number of codes of each length from 1 to 16 and their symbols.
+STANDARD_TABLES = {
+    0x00: ("00 01 05 01 01 01 01 01 01 00 00 00 00 00 00 00", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x01: ("00 03 01 01 01 01 01 01 01 01 01 00 00 00 00 00", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x10: (
+        "00 02 01 03 03 02 04 03 05 05 04 04 00 00 01 7d",
+        "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82 09 0a 16 17 18 19 1a 25 26 27 28"
+        " 29 2a 34 35 36 37 38 39 3a 43 44 45 46 47 48 49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 6a 73 74 75 76 77 78 79 7a 83 84 85 86 87 88 89"
+        " 8a 92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 ba c2 c3 c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da e1 e2"
+        " e3 e4 e5 e6 e7 e8 e9 ea f1 f2 f3 f4 f5 f6 f7 f8 f9 fa",
+    ),
+    0x11: (
+        "00 02 01 02 04 04 03 04 07 05 04 04 00 01 02 77",
+        "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1 17 18 19 1a 26"
+        " 27 28 29 2a 35 36 37 38 39 3a 43 44 45 46 47 48 49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 6a 73 74 75 76 77 78 79 7a 82 83 84 85 86 87"
+        " 88 89 8a 92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 ba c2 c3 c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da"
+        " e2 e3 e4 e5 e6 e7 e8 e9 ea f2 f3 f4 f5 f6 f7 f8 f9 fa",
+    ),
+}
+
+
 def segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
@@ -118,8 +141,11 @@ def parse_avi(data: bytes) -> tuple[float, np.ndarray, np.ndarray]:
         shift = movi[0] if len(video) and data[movi[0] + int(starts[0]) : movi[0] + int(starts[0]) + 4][2:] == b"dc" else 0
         return fps, starts + shift + 8, video[:, 3].astype(np.int64)
     found, at = [], movi[0] + 4
-    while at + 8 <= movi[1]:
+    while at + 8 <= min(movi[1], len(data)):
         size = int.from_bytes(data[at + 4 : at + 8], "little")
+        if data[at : at + 4] == b"LIST":  # a group of chunks
+            at += 12
+            continue
         if data[at + 2 : at + 4] == b"dc":
             found.append((at + 8, size))
         at += 8 + size + (size & 1)
@@ -127,9 +153,28 @@ def parse_avi(data: bytes) -> tuple[float, np.ndarray, np.ndarray]:
     return fps, got[:, 0], got[:, 1]
 
 
+def huffman_tables(body: bytes) -> dict[int, dict[tuple[int, int], int]]:
+    """The tables of a DHT segment: class and number to (length, code) to symbol."""
+    huff = {}
+    while body:
+        lengths, code, k, table = body[1:17], 0, 17, {}
+        for bits, count in enumerate(lengths, 1):
+            for _ in range(count):
+                table[bits, code] = body[k]
+                code, k = code + 1, k + 1
+            code <<= 1
+        huff[body[0]] = table
+        body = body[k:]
+    return huff
+
+
+STANDARD = huffman_tables(b"".join(bytes([k]) + bytes.fromhex(n) + bytes.fromhex(v) for k, (n, v) in STANDARD_TABLES.items()))
+
+
 def decode_jpeg(data: bytes) -> np.ndarray:
-    """The luma samples of a baseline JPEG, by the general way (any tables and sampling)."""
-    quant, huff, at = {}, {}, 2
+    """The luma samples of a baseline JPEG, by the general way (any tables and sampling, the standard's Huffman
+    tables where it brings none)."""
+    quant, huff, at = {}, dict(STANDARD), 2
     comps, restart, size = [], 0, (0, 0)
     while True:
         marker, n = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
@@ -141,15 +186,7 @@ def decode_jpeg(data: bytes) -> np.ndarray:
                 quant[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * wide], ">u2" if wide == 2 else "u1").astype(np.int32)
                 body = body[1 + 64 * wide :]
         elif marker == 0xC4:
-            while body:
-                lengths, code, k, table = body[1:17], 0, 17, {}
-                for bits, count in enumerate(lengths, 1):
-                    for _ in range(count):
-                        table[bits, code] = body[k]
-                        code, k = code + 1, k + 1
-                    code <<= 1
-                huff[body[0]] = table
-                body = body[k:]
+            huff |= huffman_tables(body)
         elif marker in (0xC0, 0xC1):
             size = struct.unpack(">HH", body[1:5])
             comps = [[body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]] for i in range(body[5])]
@@ -164,6 +201,9 @@ def decode_jpeg(data: bytes) -> np.ndarray:
         comps[0][1:3] = [1, 1]
     h, v = max(c[1] for c in comps), max(c[2] for c in comps)
     wide, high = -(-size[1] // (8 * h)), -(-size[0] // (8 * v))
+    # every block takes two bits at least, so a frame can't be larger than its data allow
+    if not wide or not high or wide * high * sum(c[1] * c[2] for c in comps) > 4 * max(len(data) - at, 0):
+        raise ValueError("fewer data than blocks")
     pos, buf, have = at, 0, 0
 
     def bit() -> int:
@@ -220,9 +260,18 @@ def decode_jpeg(data: bytes) -> np.ndarray:
 
 
 def decode_samples(data: bytes) -> tuple[float, np.ndarray]:
-    """Frames a second and one row of samples (one of each 8 x 8 block) for each frame."""
+    """Frames a second and one row of samples (one of each 8 x 8 block) for each frame. ValueError if the file is broken."""
+    try:
+        return frames_of(data)
+    except (LookupError, ArithmeticError, TypeError, struct.error) as error:
+        raise ValueError("broken file") from error
+
+
+def frames_of(data: bytes) -> tuple[float, np.ndarray]:
     fps, starts, sizes = parse_avi(data)
     n = len(starts)
+    if sizes.sum() > len(data):
+        raise ValueError("more frames than data")
     if not n:
         return fps, np.zeros((0, FRAME), np.uint8)
     spans = list(zip(starts.tolist(), (starts + sizes).tolist(), strict=True))
@@ -288,7 +337,7 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
             for i, data in zip(ids, files, strict=True):
                 try:
                     fps, frames = decode_samples(data or b"")
-                except (ValueError, IndexError, struct.error):
+                except ValueError:
                     rows.append((i, None, None, None, None, None, None))
                     continue
                 starts = shot_starts(frames)
