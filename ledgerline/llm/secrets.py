@@ -1,5 +1,11 @@
 """Secret scans: key patterns plus sliding-window Shannon entropy over candidate strings.
 
+Candidates are runs of 20 or more letters, digits and + / _ -. A window of WINDOW characters has a class: ``words``
+without a digit, else ``base64`` with one of + / _ = -, ``alnum`` with a letter beyond f, ``hex``; windows without any
+letter are numbers and have none. A window is a finding if its entropy reaches its class's threshold and it touches
+nothing on the allow-list; the rest of its candidate is judged by its own windows. Overlapping and adjoining findings
+are one span.
+
 ``find_secrets`` returns one row per span, ``scan_documents`` one row per document.
 Null and empty texts have no spans; repeated rows each get their own result.
 """
@@ -23,52 +29,53 @@ ASSIGN_HINT = re.compile(r"(?i:passw|secret|token|api_?key)", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-DIGIT = re.compile(r"[0-9]")
-
 #: Characters in an entropy window.
 WINDOW = 20
 #: Least entropy (bits a character) of a window of each class.
-THRESHOLDS = {"hex": 3.0, "alnum": 3.5, "base64": 3.8}
-#: Candidates that are known not to be secrets: examples in manuals, alphabets, identifiers.
-ALLOW = (
-    re.compile(r"(?i)example|sample|placeholder|changeme|dummy|xxxx|0123456789|abcdefghij"),
-    re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    re.compile(r"[0-9=_/+-]+\Z"),
-    re.compile(r"(?:[A-Za-z]+[_/=+-]+)*[A-Za-z]*[0-9]{0,4}\Z"),
+THRESHOLDS = {"hex": 3.0, "alnum": 3.5, "base64": 3.8, "words": 4.0}
+#: What is known not to be secret: examples in manuals, alphabets, identifiers in their usual layout.
+ALLOW = re.compile(
+    r"(?i:example|sample|placeholder|changeme|dummy|xxxx|0123456789|abcdefghij)|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 )
 
-_CLASS = {c: 0 for c in "0123456789abcdefABCDEF"} | {c: 1 for c in "ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ"} | {c: 2 for c in "+/_=-"}
-_CLOG = [0.0] + [k * log2(k) for k in range(1, WINDOW + 1)]
+_DIGIT, _HEX, _LETTER, _MARK = range(4)
+_CLASS = {c: _DIGIT for c in "0123456789"} | {c: _HEX for c in "abcdefABCDEF"} | {c: _LETTER for c in "ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ"} | {c: _MARK for c in "+/_=-"}
+# up to one more: a character comes in before another goes
+_CLOG = [0.0] + [k * log2(k) for k in range(1, WINDOW + 2)]
+#: For the last bits of the sums.
+_SLACK = 1e-9
 
 
 def entropy_spans(s: str, base: int = 0) -> list[tuple[int, int]]:
     """Spans of ``s`` (shifted by ``base``) covered by windows whose entropy reaches the
-    threshold of their character class. Counts are updated as the window moves."""
-    if len(s) < WINDOW or not DIGIT.search(s) or any(p.match(s) if p.pattern.endswith(r"\Z") else p.search(s) for p in ALLOW):
+    threshold of their class. Counts are updated as the window moves."""
+    if len(s) < WINDOW:
         return []
     counts: dict[str, int] = {}
-    classes, digits, total, spans = [0, 0, 0], 0, 0.0, []
+    classes, total, spans, allowed = [0, 0, 0, 0], 0.0, [], None
     for i, c in enumerate(s):
         k = counts.get(c, 0)
         total += _CLOG[k + 1] - _CLOG[k]
         counts[c] = k + 1
         classes[_CLASS[c]] += 1
-        digits += c.isdigit()
         if i >= WINDOW:
             old = s[i - WINDOW]
             k = counts[old]
             total += _CLOG[k - 1] - _CLOG[k]
             counts[old] = k - 1
             classes[_CLASS[old]] -= 1
-            digits -= old.isdigit()
-        if i >= WINDOW - 1 and digits:
-            kind = "base64" if classes[2] else "alnum" if classes[1] else "hex"
-            if log2(WINDOW) - total / WINDOW >= THRESHOLDS[kind]:
-                lo, hi = base + i - WINDOW + 1, base + i + 1
-                if spans and lo <= spans[-1][1]:
-                    spans[-1] = (spans[-1][0], hi)
+        if i >= WINDOW - 1 and (classes[_HEX] or classes[_LETTER]):
+            kind = "words" if not classes[_DIGIT] else "base64" if classes[_MARK] else "alnum" if classes[_LETTER] else "hex"
+            if log2(WINDOW) - total / WINDOW >= THRESHOLDS[kind] - _SLACK:
+                lo, hi = i - WINDOW + 1, i + 1
+                if allowed is None:
+                    allowed = [m.span() for m in ALLOW.finditer(s)]
+                if any(a < hi and lo < b for a, b in allowed):
+                    continue
+                if spans and base + lo <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], base + hi)
                 else:
-                    spans.append((lo, hi))
+                    spans.append((base + lo, base + hi))
     return spans
 
 
