@@ -6,8 +6,8 @@ groups of about GROUP pieces, so that neither a task nor the driver ever holds t
 group is packed by itself, which costs at most the last, partly filled sequence of each group.
 
 In a group, a sequence is filled greedily: the longest piece left, then again and again the
-longest that fits. If a gap remains, its smallest piece is replaced by the two unpacked pieces
-that fill the gap so expanded best, if they fill more. Pieces of one length are alike, so the
+longest that fits. If a gap remains, its smallest piece (its only one, maybe) is replaced by the two unpacked
+pieces that fill the gap so expanded best, if they fill more. Pieces of one length are alike, so the
 search runs over the 4096 lengths, kept as bits of an integer.
 
 Null texts count as empty (one id, the end id); repeated rows are packed each for itself.
@@ -149,7 +149,7 @@ def fill_sequences(lengths: list[int], capacity: int = CAPACITY) -> list[list[in
         while gap and (k := longest(gap)) > 0:
             bin_.append(take(k))
             gap -= k
-        if gap and len(bin_) > 1:
+        if gap:
             small = bin_[-1]
             if found := two(gap + lengths[small], lengths[small]):
                 bin_[-1:] = [take(found[0]), take(found[1])]
