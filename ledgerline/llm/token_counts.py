@@ -4,8 +4,8 @@ The byte-level BPE of ``byte_bpe_50k.json`` merges inside pre-tokens only. ``who
 proves offline, string by string, which vocabulary strings encode alone as one token;
 pre-tokens among them count one without any merging, and only the rest is merged by the library.
 Texts are cut before each space first, and counts of such chunks are kept in a bounded cache.
-Where a cut could change the pre-tokens (a space between white space), where a text holds a
-special string, or where it holds characters beyond U+02FF, the text goes another way: regular
+A chunk with characters beyond U+02FF goes to the library. Where a cut could change the pre-tokens (a space
+between white space), or where a text holds a special string, the whole text goes another way: regular
 expression over the whole text or the library itself. Null texts count as empty: 0 tokens.
 """
 
@@ -83,7 +83,8 @@ class Chunks(dict):
         self.counter = counter
 
     def __missing__(self, chunk: str) -> int:
-        n = self.counter.merged(self.counter.pre.findall(chunk))
+        c = self.counter
+        n = len(c.tok.encode(chunk, add_special_tokens=False)) if UNSAFE_CHAR.search(chunk) else c.merged(c.pre.findall(chunk))
         if len(self) < CACHE:
             self[chunk] = n
         return n
@@ -118,9 +119,11 @@ class Counter:
         return sum(map(self.pieces, tokens))
 
     def count(self, text: str) -> int:
-        if UNSAFE_CHAR.search(text) or (self.special and self.special.search(text)):
+        if self.special and self.special.search(text):
             return len(self.tok.encode(text, add_special_tokens=False))
         if "\x00" in text or UNSAFE_CUT.search(text):
+            if UNSAFE_CHAR.search(text):
+                return len(self.tok.encode(text, add_special_tokens=False))
             return self.merged(self.pre.findall(text))
         return sum(map(self.chunks.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
 
