@@ -11,6 +11,9 @@ Anchors that are home to many fingerprints (families of near copies) are compare
 bounded size, each of which yields a spanning forest of its links instead of all pairs. Links
 become components by alternating large-star and small-star rounds on written tables.
 
+With ``lanes`` over 1 a text has as many fingerprints, from independent mixtures of the same shingle hashes,
+and texts link where any of their fingerprints do: what one lane misses another finds.
+
 Null and empty texts have fingerprint zero and link like any other; repeated rows of one
 doc_id give repeated results; an empty table gives an empty result.
 """
@@ -29,35 +32,48 @@ THRESHOLD, SHINGLE, SEED = 3, 3, 42
 DENSE, BLOCK = 8, 2048
 
 
-def fingerprint(text: str) -> int:
-    """The signed 64 bits of a text's fingerprint."""
+def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """The hashes themselves in lane 0, and splitmix64 of them in the others."""
+    if lane == 0:
+        return hashes
+    x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def fingerprint(text: str, shingle: int = SHINGLE, lanes: int = 1) -> list[int]:
+    """The signed 64 bits of a text's fingerprint in each lane."""
     import xxhash
 
     words = text.encode().lower().split()  # A-Z only; words end at space and 09-0D
     if not words:
-        return 0
-    if len(words) < SHINGLE:
+        return [0] * lanes
+    if len(words) < shingle:
         shingles = [b" ".join(words)]
     else:
-        shingles = map(b" ".join, zip(words, words[1:], words[2:], strict=False))
+        shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     h = xxhash.xxh64_intdigest
     hashes = np.array([h(s, SEED) for s in shingles], "<u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 60_000):
-        part = np.unpackbits(hashes[at : at + 60_000].view(np.uint8), bitorder="little").reshape(-1, 64)
-        ones += part.sum(axis=0, dtype=np.uint16)
-    bits = np.packbits(ones * 2 > len(hashes), bitorder="little")
-    return int(bits.view("<i8")[0])
+    out = []
+    for lane in range(lanes):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 60_000):
+            part = np.unpackbits(mixed(hashes[at : at + 60_000], lane).view(np.uint8), bitorder="little").reshape(-1, 64)
+            ones += part.sum(axis=0, dtype=np.uint16)
+        bits = np.packbits(ones * 2 > len(hashes), bitorder="little")
+        out.append(int(bits.view("<i8")[0]))
+    return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, lanes: int = 1) -> DataFrame:
+    """doc_id and fps (one fingerprint a lane) of every row."""
 
     def make():
-        return lambda ids, texts: (ids, [fingerprint(t) for t in texts])
+        return lambda ids, texts: (ids, [fingerprint(t, shingle, lanes) for t in texts])
 
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return map_rows(src, ["doc_id", "text"], "doc_id bigint, fp bigint", make)
+    return map_rows(src, ["doc_id", "text"], "doc_id bigint, fps array<long>", make)
 
 
 def syndrome(half: Column) -> Column:
@@ -76,11 +92,11 @@ def flip(half: Column, bit: Column) -> Column:
 
 
 def with_halves(fps: DataFrame) -> DataFrame:
-    """Two rows per fingerprint: side 0 or 1 in bit 32 of what the anchors are built from."""
+    """Two rows per fingerprint: side 0 or 1, and its lane, in the bits from 32 of what the anchors are built from."""
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned("fp", 32)
     sides = F.array(F.struct(F.lit(0).alias("side"), low.alias("half")), F.struct(F.lit(1).alias("side"), high.alias("half")))
-    out = fps.select("*", F.explode(sides).alias("s")).select("fp", "rep", F.col("s.side").alias("side"), F.col("s.half").alias("half"))
+    out = fps.select("*", F.explode(sides).alias("s")).select("fp", "rep", (F.col("s.side") + 2 * F.col("lane")).alias("side"), F.col("s.half").alias("half"))
     return out.withColumn("syn", syndrome(F.col("half")))
 
 
@@ -125,15 +141,15 @@ def forest(home: np.ndarray, visit: np.ndarray, home_rep: np.ndarray, visit_rep:
     return own[changed], label[changed]
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) between the representatives of different fingerprints: their components are
-    those of all pairs with THRESHOLD or fewer differing bits. ``fps``: distinct fp and its rep."""
+def links(fps: DataFrame, dense_from: int = DENSE, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the representatives of different fingerprints of a lane: their components are
+    those of all pairs with THRESHOLD or fewer differing bits. ``fps``: distinct lane and fp, and rep."""
     halves = with_halves(fps)
     home, visit = homes(halves), replicas(halves)
-    dense = written(home.groupBy("anchor").agg(F.count("*").alias("n_home")).where(F.col("n_home") > DENSE), "dense")
+    dense = written(home.groupBy("anchor").agg(F.count("*").alias("n_home")).where(F.col("n_home") > dense_from), "dense")
 
     def blocks(rows: DataFrame) -> DataFrame:
-        size = rows.join(dense.select("anchor"), "anchor").groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n"))
+        size = rows.join(dense.select("anchor"), "anchor").groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
         return size
 
     x, y = home.alias("x"), visit.alias("y")
@@ -147,9 +163,9 @@ def links(fps: DataFrame) -> DataFrame:
 
     def dealt(rows: DataFrame, kind: int) -> DataFrame:
         own, other = ("nh", "nv") if kind == 0 else ("nv", "nh")
-        block = F.pmod(F.xxhash64("fp"), F.col(own)).cast("int")
+        at = F.pmod(F.xxhash64("fp"), F.col(own)).cast("int")
         return (
-            rows.join(grid, "anchor").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            rows.join(grid, "anchor").withColumn("own", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
             .select("anchor", (F.col("own") if kind == 0 else F.col("other")).alias("hb"), (F.col("other") if kind == 0 else F.col("own")).alias("vb"), F.lit(kind).alias("kind"), "fp", "rep")
         )
 
@@ -183,13 +199,20 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of every row."""
-    every = written(fingerprints(docs), "fingerprints")
-    fps = written(every.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    linked = components(links(fps.where("rep IS NOT NULL")))
-    classes = fps.join(linked, fps["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return every.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, lanes: int = 1) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits, of lane 0) and component_id (the smallest doc_id reachable) of every row."""
+    every = written(fingerprints(docs, shingle=shingle, lanes=lanes), "fingerprints")
+    classes = written(every.groupBy("fps").agg(F.min("doc_id").alias("rep")), "distinct")
+    rows = classes.where("rep IS NOT NULL").select("rep", F.posexplode("fps").alias("lane", "fp"))
+    if lanes == 1:
+        edges = links(rows)
+    else:  # different texts may be equal in some of the lanes
+        firsts = written(rows.groupBy("lane", "fp").agg(F.min("rep").alias("first")), "firsts")
+        equal = rows.join(firsts, ["lane", "fp"]).where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+        edges = links(firsts.withColumnRenamed("first", "rep")).unionByName(equal)
+    linked = components(edges)
+    found = classes.join(linked, classes["rep"] == linked["node"], "left").select("fps", F.coalesce("component", "rep").alias("component_id"))
+    return every.join(found, "fps").select("doc_id", F.lower(F.lpad(F.hex(F.get("fps", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
