@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import python_ready, map_rows, read, to_arrow
+from .common import map_rows, read, ship_code, slices, to_arrow
 from .token_counts import byte_alphabet, default_path, library
 
 CONTROL, ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
@@ -86,7 +86,7 @@ def format_chat(turns: DataFrame, tokenizer_path: str | None = None) -> DataFram
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, turn, at = object(), 0, 0
-        for batch in batches:
+        for batch in slices(batches):
             rows = [[], [], [], [], []]
             for conv, _, raw, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if conv != now:
@@ -117,7 +117,7 @@ def read_back(formatted: DataFrame, tokenizer_path: str | None = None) -> DataFr
         decode = lambda ids: b"".join(map(table.__getitem__, ids)).decode()
         marks = sum(map(len, MARKS))
         state = None
-        for batch in batches:
+        for batch in slices(batches):
             done = []
             for conv, turn, ids, mask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if turn == 0:
@@ -136,7 +136,7 @@ def read_back(formatted: DataFrame, tokenizer_path: str | None = None) -> DataFr
             yield arrow(done, out)
         yield arrow([state] if state else [], out)
 
-    python_ready(formatted.sparkSession)
+    ship_code(formatted.sparkSession)
     return formatted.select("conv_id", "turn_no", "ids", "loss_mask").mapInArrow(digests, schema)
 
 

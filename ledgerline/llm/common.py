@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.sources.staging import written
 
-__all__ = ["free_name", "map_rows", "python_ready", "read", "sized", "text_or_empty", "to_arrow", "written"]
+__all__ = ["free_name", "map_rows", "read", "ship_code", "sized", "slices", "text_or_empty", "to_arrow", "written"]
 
-#: Rows in one Arrow batch sent to Python; texts may be very long, so batches stay small.
+#: Rows that Python takes from an Arrow batch at a time; texts may be very long.
 BATCH_ROWS = 256
 #: Tables of ids and hashes are broadcast up to this many rows (some 50 MB), and shuffled beyond it.
 BROADCAST_ROWS = 1_000_000
@@ -39,12 +39,12 @@ def ship_code(spark: SparkSession) -> None:
     context._ledgerline_shipped = True
 
 
-def python_ready(spark: SparkSession) -> None:
-    """Code on the executors, and the session's Arrow batches at BATCH_ROWS rows at most."""
-    ship_code(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows. Spark bounds a batch by its bytes (spark.sql.execution.arrow.maxBytesPerBatch);
+    what Python makes of it is bounded by the part."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -65,12 +65,12 @@ def map_rows(
 ) -> DataFrame:
     """Send ``columns`` to Python in Arrow batches. ``make()`` runs once a task and returns a
     function from the columns' lists to the lists of the output columns."""
-    python_ready(df.sparkSession)
+    ship_code(df.sparkSession)
     arrow_schema = to_arrow(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
+        for batch in slices(batches):
             out = f(*(c.to_pylist() for c in batch.columns))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t.type) for x, t in zip(out, arrow_schema, strict=True)], schema=arrow_schema

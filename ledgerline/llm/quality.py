@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, python_ready, read, sized, to_arrow, written
+from .common import free_name, read, ship_code, sized, slices, to_arrow, written
 
 ORDER, PRIOR, QUANTILE, LEAST, HELD, UNIT = 4, 100, 0.99, 50, 5, 256
 #: Characters of a block, n-grams of a shard, blocks that ask one copy of a shard.
@@ -112,7 +112,7 @@ def batch_of(schema: pa.Schema, *columns: list) -> pa.RecordBatch:
 def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
     """The rows (whose last column is a text) in lists of about ``size`` characters."""
     rows, total = [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             rows.append(row)
             total += len(row[-1]) + 1
@@ -125,7 +125,7 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple]
 
 def trusted_counts(texts: DataFrame, order: int, block: int = BLOCK) -> DataFrame:
     """g (an n-gram of the highest order) and n of all of ``texts`` (text)."""
-    python_ready(texts.sparkSession)
+    ship_code(texts.sparkSession)
     schema = "g string, n long"
     out = to_arrow(texts.sparkSession, schema)
 
@@ -237,7 +237,7 @@ def answers(docs: DataFrame, model: Model, order: int, block: int = BLOCK, asker
             yield batch_of(ask_out, [digest(rows)] * len(at), list(at), [packed(keys[lo:hi]) for lo, hi in at.values()])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [[], [], [], []]
             for name, shard, want, have, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 want, have = unpacked(want), unpacked(have) if have else NOTHING
@@ -255,7 +255,7 @@ def answers(docs: DataFrame, model: Model, order: int, block: int = BLOCK, asker
 
 def scored(docs: DataFrame, model: Model, order: int, block: int = BLOCK, askers: int = ASKERS) -> DataFrame:
     """row, doc_id, lang, n_chars and nll (the sum, in units) of every row of ``docs`` (row, doc_id, lang, text)."""
-    python_ready(docs.sparkSession)
+    ship_code(docs.sparkSession)
     docs = docs.select("row", "doc_id", "lang", "text")
     n_shards, floor = model.n_shards, model.floor
     found = answers(docs, model, order, block, askers)
