@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerline.llm import chat, decontaminate, lines, media, packing, pages, quality, secrets, simhash, token_counts
-from ledgerline.llm import lines as lines_module
+from ledgerline.llm.common import sized
 from tests.conftest import same_rows
 
 TEXTS = st.text(st.one_of(st.characters(max_codepoint=0x2FF), st.sampled_from(" \n\t'.,ab12<|>"), st.characters(exclude_categories=["Cs"])), max_size=60)
@@ -37,6 +37,63 @@ def test_avi_round_trip_and_general_decoder():
         assert media.decode_samples(cut)[1].tobytes() == payload
 
 
+def test_clips_of_a_file(spark):
+    payload = b"".join(bytes([level]) * media.FRAME * n for level, n in ((20, 25), (220, 50), (90, 5)))
+    files = [(1, media.encode_samples(payload)), (2, None), (3, b"RIFF....AVI nothing"), (None, media.encode_samples(bytes(media.FRAME)))]
+    got = media.clips(spark.createDataFrame(files, "doc_id bigint, media binary")).collect()
+    want = [(1, 0, 0, 25, 0.0, 1.0, 20.0), (1, 1, 25, 50, 1.0, 3.0, 220.0), (1, 2, 75, 5, 3.0, 3.2, 90.0), (2, *[None] * 6), (3, *[None] * 6), (None, 0, 0, 1, 0.0, 0.04, 0.0)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_features_of_the_query_by_recount(spark, sf):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in media.op1_media_avi(spark, sf).collect():
+        raw = media.padded(texts[r["doc_id"]])
+        frames = [raw[k : k + 192] for k in range(0, len(raw), 192)]
+        hist = [[sum(b >> 4 == k for b in f) / 192 for k in range(16)] for f in frames]
+        d = [sum(abs(a - b) for a, b in zip(x, y, strict=True)) / 2 for x, y in zip(hist, hist[1:])]
+        cuts = [0]
+        for k, x in enumerate(d):
+            near = d[max(0, k - 8) : k] + d[k + 1 : k + 9]
+            middle = float(np.median(near)) if near else 0.0
+            spread = 1.4826 * float(np.median([abs(n - middle) for n in near])) if near else 0.0
+            if x >= 0.35 and x > middle + 2.5 * spread:
+                cuts.append(k + 1)
+        assert r["feature"] == f"frames={len(frames)};shots={len(cuts)};at={','.join(f'{c / 25:.2f}' for c in cuts)}"
+        data = media.encode_samples(raw)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+
+
+def test_standard_tables_serve_frames_without_any():
+    assert {k: len(v) for k, v in media.STANDARD.items()} == {0x00: 12, 0x01: 12, 0x10: 162, 0x11: 162}
+    pairs = {run << 4 | size for run in range(16) for size in range(1, 11)} | {0x00, 0xF0}
+    assert set(media.STANDARD[0x10].values()) == set(media.STANDARD[0x11].values()) == pairs
+    # one grey block of 8 x 8: the standard's code for a difference of category 6 is 1110, for the end of a block 1010
+    level = 40
+    bits = "1110" + format(level, "06b") + "1010"
+    scan = int((bits + "1" * (-len(bits) % 8)), 2).to_bytes(-(-len(bits) // 8), "big")
+    quant = media.segment(0xDB, b"\x00" + bytes([8] * 64))
+    frame = media.segment(0xC0, bytes([8, 0, 8, 0, 8, 1, 1, 0x11, 0])) + media.segment(0xDA, bytes([1, 1, 0, 0, 63, 0]))
+    assert (media.decode_jpeg(b"\xff\xd8" + quant + frame + scan + b"\xff\xd9") == 128 + level).all()
+
+
+def test_broken_files_only_raise_value_errors():
+    rng, good = random.Random(3), media.encode_samples(bytes(range(192)) * 6)
+    for k in range(600):
+        data = bytearray(good)
+        for _ in range(rng.randint(1, 6)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        data = bytes(data[: rng.randrange(1, len(data))] if k % 3 == 0 else data)
+        try:
+            media.decode_samples(data)
+        except ValueError:
+            pass
+    large = good.replace(bytes([8, 0, media.HIGH * 8, 0, media.WIDE * 8]), bytes([8, 255, 255, 255, 255]))
+    assert large != good
+    with pytest.raises(ValueError):
+        media.decode_samples(large)
+
+
 def test_zigzag_is_a_diagonal_walk():
     assert media.ZIGZAG[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(media.ZIGZAG) == list(range(64))
 
@@ -283,8 +340,8 @@ def brute_components(fps: dict[int, int]) -> dict[int, int]:
         label = new
 
 
-@pytest.mark.parametrize("dense", [0, 300])
-def test_links_lose_nothing(spark, dense):
+@pytest.mark.parametrize(("dense", "dense_from", "block"), [(0, 8, 2048), (300, 8, 2048), (300, 1, 16)])
+def test_links_lose_nothing(spark, dense, dense_from, block):
     rng = random.Random(dense)
     centres = [rng.getrandbits(64) for _ in range(40)]
     fps = set(centres) | {0}
@@ -294,8 +351,8 @@ def test_links_lose_nothing(spark, dense):
         fps.add(centres[0] ^ sum(1 << b for b in rng.sample(range(10), rng.randint(1, 5))))
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     reps = dict(zip(signed, rng.sample(range(10_000), len(signed)), strict=True))
-    df = spark.createDataFrame(list(reps.items()), "fp bigint, rep bigint")
-    got = {r["node"]: r["component"] for r in simhash.components(simhash.links(df)).collect()}
+    df = spark.createDataFrame([(0, *x) for x in reps.items()], "lane int, fp bigint, rep bigint")
+    got = {r["node"]: r["component"] for r in simhash.components(simhash.links(df, dense_from, block)).collect()}
     want = {reps[k]: c for k, c in brute_components(reps).items()}
     assert {n: got.get(n, n) for n in want} == want
 
@@ -316,6 +373,39 @@ def test_simhash_query(spark, sf):
     assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.op5_simhash(spark, sf).collect()} == {(d, f"{f:016x}", component[f]) for d, f in docs.items()}
 
 
+def brute_lanes(docs: dict[int, list[int]]) -> dict[int, int]:
+    """doc -> smallest doc reachable, where documents link if they are within 3 bits in any lane."""
+    ids = np.array(sorted(docs))
+    fps = np.array([docs[d] for d in ids.tolist()], np.int64).view(np.uint64)
+    label = ids.copy()
+    while True:
+        new = np.array([label[(np.bitwise_count(fps ^ fps[i]) <= 3).any(axis=1)].min() for i in range(len(ids))])
+        if (new == label).all():
+            return dict(zip(ids.tolist(), label.tolist(), strict=True))
+        label = new
+
+
+def test_lanes_find_more(spark):
+    rng = random.Random(9)
+    words = [a + b + c for a in "bdgklmnprst" for b in "aeiou" for c in "lmnrst"]
+    docs = {}
+    for k in range(30):
+        text = rng.choices(words, k=rng.randint(60, 300))
+        for j in range(4):
+            copy = list(text)
+            for _ in range(j):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            docs[10 * k + j] = " ".join(copy)
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    links = {}
+    for lanes in (1, 4):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, 5, lanes).collect()}
+        assert got == brute_lanes({d: simhash.fingerprint(t, 5, lanes) for d, t in docs.items()})
+        assert all(d // 10 == c // 10 for d, c in got.items())
+        links[lanes] = sum(d != c for d, c in got.items())
+    assert links[4] > links[1]
+
+
 # --- 6: packing -------------------------------------------------------------------------------
 
 
@@ -333,6 +423,10 @@ def test_two_pieces_replace_the_smallest():
     assert sorted(sorted([6, 3, 2, 2][i] for i in b) for b in packing.fill_sequences([6, 3, 2, 2], 10)) == [[2, 2, 6], [3]]
 
 
+def test_two_pieces_replace_a_single_one():
+    assert sorted(sorted([9, 6, 6][i] for i in b) for b in packing.fill_sequences([9, 6, 6], 12)) == [[6, 6], [9]]
+
+
 def test_groups_stay_small_without_ids(spark):
     rows = [(None, 0, 0, 5, k) for k in range(600)]
     pieces = spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
@@ -378,20 +472,32 @@ def test_base_spans():
     assert kinds == [("assign", 'Password: "abcdefghijkl'), ("access", "AKIAABCDEFGHIJKLMN"), ("hex", "0123456789abcdef")]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(st.sampled_from("abcdefXYZ0123456789+/_-"), min_size=20, max_size=70))
-def test_entropy_windows_by_recount(s):
+def entropy_by_recount(s: str) -> set[int]:
+    """The places of findings, by the rules of the module's docstring and its fixed values, window by window."""
+    allowed = [m.span() for m in re.finditer(r"(?i)example|sample|placeholder|changeme|dummy|xxxx|0123456789|abcdefghij|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", s)]
     hit = set()
-    for i in range(len(s) - secrets.WINDOW + 1):
-        w = s[i : i + secrets.WINDOW]
-        if re.search("[0-9]", w):
-            kind = "base64" if re.search("[+/_=-]", w) else "alnum" if re.search("[g-zG-Z]", w) else "hex"
-            h = -sum(w.count(c) / len(w) * log2(w.count(c) / len(w)) for c in set(w))
-            if h >= secrets.THRESHOLDS[kind] + 1e-9:
-                hit |= set(range(i, i + len(w)))
-    got = {p for lo, hi in secrets.entropy_spans(s) for p in range(lo, hi)}
-    allowed = not re.search("[0-9]", s) or any(p.match(s) if p.pattern.endswith(r"\Z") else p.search(s) for p in secrets.ALLOW)
-    assert got == set() if allowed else hit <= got
+    for i in range(len(s) - 20 + 1):
+        w = s[i : i + 20]
+        if not re.search("[A-Za-z]", w) or any(a < i + 20 and i < b for a, b in allowed):
+            continue
+        least = 4.0 if not re.search("[0-9]", w) else 3.8 if re.search("[+/_=-]", w) else 3.5 if re.search("[g-zG-Z]", w) else 3.0
+        h = -sum(w.count(c) / 20 * log2(w.count(c) / 20) for c in set(w))
+        if h >= least - 1e-9:
+            hit |= set(range(i, i + 20))
+    return hit
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(st.sampled_from("abcdefXYZghijk0123456789+/_-"), max_size=30), st.sampled_from(["dummy", "Example", "0123456789"])), max_size=4).map("".join))
+def test_entropy_windows_by_recount(s):
+    assert {p for lo, hi in secrets.entropy_spans(s) for p in range(lo, hi)} == entropy_by_recount(s)
+
+
+def test_an_allowed_word_hides_its_windows_only():
+    key = "k8Jq2LmZp0Xv7RtYw3Bn"
+    assert secrets.entropy_spans(key) == [(0, 20)]
+    assert secrets.entropy_spans(key + "dummy" + key) == [(0, 20), (25, 45)] and secrets.entropy_spans("QwErTyUiOpAsDfGhJkLzXcVbNmPoIu")
+    assert secrets.entropy_spans("a_rather_long_variable_name_2024") == [] and secrets.entropy_spans("1234567890-1234567890-12") == []
 
 
 def test_secrets_query(spark, sf):
@@ -407,6 +513,15 @@ def test_secrets_query(spark, sf):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in spans) for i in range(3)]
 
 
+def test_all_spans_of_the_query(spark, sf):
+    rows = {r["doc_id"]: r["spans"] for r in secrets.op7_secret_scan(spark, sf).collect()}
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        t = d["text"] or ""
+        want = {m.start() + p for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t) for p in entropy_by_recount(m[0])}
+        spans = [x.split(":") for x in rows[d["doc_id"]].split(",") if x.startswith("entropy")]
+        assert {p for _, lo, hi in spans for p in range(int(lo), int(hi))} == want
+
+
 # --- 8 and 9: lines and leaks -----------------------------------------------------------------
 
 
@@ -421,20 +536,30 @@ def test_templates_generalise(spark):
     assert out == {1: rows[0][1], 2: "only here is this line said", 3: "", 4: rows[3][1]}
 
 
+def test_large_tables_are_shuffled_with_the_same_result(spark, sf, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    runs = []
+    for rows in (1_000_000, 0):
+        for module in (lines, quality):
+            monkeypatch.setattr(module, "sized", lambda df, n=0, rows=rows: sized(df, rows))
+        runs.append([sorted(map(str, lines.drop_recurring_lines(docs, broadcast_rows=rows).collect())), sorted(r["doc_id"] for r in quality.keep_good(docs, labels).collect())])
+    assert runs[0] == runs[1] and len(runs[0][1]) < docs.count()
+
+
 def test_a_leaf_holds_several_templates(spark):
     rng = random.Random(5)
     words = [a + b for a in "bcdfghklmnprst" for b in ("a", "e", "i", "o", "u")]
     lead = "the server at node "
     families = ["one answered the request of user {} in good time today", "two was seen by {} and then went out for ever", "four has {} on the list of all that ever was"]
-    lines = [lead + f.format(w) for f in families for w in rng.sample(words, 6)]
-    lines += [lead + " ".join(rng.sample(words, 11)) for _ in range(30)]  # unrelated lines of the same leaf
-    assert len({len(x.split()) for x in lines}) == 1
-    rows = list(enumerate(lines, 1))
+    texts = [lead + f.format(w) for f in families for w in rng.sample(words, 6)]
+    texts += [lead + " ".join(rng.sample(words, 11)) for _ in range(30)]  # unrelated lines of the same leaf
+    assert len({len(x.split()) for x in texts}) == 1
+    rows = list(enumerate(texts, 1))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    out = {r["doc_id"]: r["text"] for r in lines_module.drop_recurring_lines(docs).collect()}
+    out = {r["doc_id"]: r["text"] for r in lines.drop_recurring_lines(docs).collect()}
     stay = {1, 7, 13} | set(range(19, 49))
     assert {d for d, t in out.items() if t} == stay and all(out[d] == dict(rows)[d] for d in stay)
-    every = {r["doc_id"] for r in lines_module.drop_recurring_lines(docs, everywhere=True, broadcast_rows=0).collect() if r["text"]}
+    every = {r["doc_id"] for r in lines.drop_recurring_lines(docs, everywhere=True, broadcast_rows=0).collect() if r["text"]}
     assert every == set(range(19, 49))
 
 
@@ -442,6 +567,16 @@ def test_leaks_match_sql(spark, sf, duck):
     same_rows(decontaminate.op9_decontaminate(spark, sf), duck.execute(decontaminate.leaks_sql()))
 
 
+def test_rows_without_ids_leak_too(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(None, f"say {item} now"), (None, "clean as ever it was before"), (1, item), (None, f"say {item} now")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, item), (4, item)], "item_id bigint, text string")
+    for rows in (1_000, 0):  # broadcast or shuffled
+        got = sorted((str(r["doc_id"]), str(r["item_id"])) for r in decontaminate.leaks(docs, items, rows).collect())
+        assert got == [("1", "4"), ("1", "None"), ("None", "4"), ("None", "None")]
+        assert [r["text"] for r in decontaminate.without_leaks(docs, items, rows).collect()] == ["clean as ever it was before"]
+
+
 def test_short_items_and_edges(spark):
     items = spark.createDataFrame([(1, "Alpha beta"), (2, " ".join(f"w{i}" for i in range(24))), (3, "")], "item_id bigint, text string")
     words = [f"w{i}" for i in range(24)]

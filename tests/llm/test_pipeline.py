@@ -7,7 +7,7 @@ import numpy as np
 import corpus_pipeline
 from ledgerline.llm import decontaminate, lines, packing, quality, token_counts
 from ledgerline.llm.simhash import fingerprint
-from tests.llm.test_operators import brute_components
+from tests.llm.test_operators import brute_lanes
 
 
 def test_pipeline_by_brute_force(spark, sf, duck):
@@ -15,11 +15,8 @@ def test_pipeline_by_brute_force(spark, sf, duck):
     con.execute(f"CREATE TEMP TABLE s1 AS SELECT d.* FROM documents d JOIN ({quality.quality_sql()}) q USING (doc_id) WHERE q.keep")
     con.execute(f"CREATE TEMP TABLE s2 AS {lines.line_dedup_sql('s1')}")
     texts = dict(con.execute("SELECT doc_id, text FROM s2").fetchall())
-    fps, reps = {d: fingerprint(t or "") for d, t in texts.items()}, {}
-    for d in sorted(texts):
-        reps.setdefault(fps[d], d)
-    component = brute_components(reps)
-    kept = [d for d in texts if component[fps[d]] == d]
+    component = brute_lanes({d: fingerprint(t or "", corpus_pipeline.WORDS, corpus_pipeline.LANES) for d, t in texts.items()})
+    kept = [d for d in texts if component[d] == d]
     con.execute("CREATE TEMP TABLE ids (doc_id BIGINT)")
     con.executemany("INSERT INTO ids VALUES (?)", [(d,) for d in kept])
     con.execute("CREATE TEMP TABLE s3 AS SELECT * FROM s2 WHERE doc_id IN (SELECT doc_id FROM ids)")
