@@ -25,10 +25,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+#: Words of a shingle, and fingerprints of a document: texts link where any of theirs are within 3 of 64 bits.
+WORDS, LANES = 5, 4
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays. Rows without
     doc_id stay; rows of one doc_id are one document."""
-    copies = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    copies = simhash.near_duplicates(docs, WORDS, LANES).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(sized(written(copies, "copies")), "doc_id", "left_anti").select(*docs.columns)
 
 
