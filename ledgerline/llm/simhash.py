@@ -11,8 +11,9 @@ Anchors that are home to many fingerprints (families of near copies) are compare
 bounded size, each of which yields a spanning forest of its links instead of all pairs. Links
 become components by alternating large-star and small-star rounds on written tables.
 
-With ``lanes`` over 1 a text has as many fingerprints, from independent mixtures of the same shingle hashes,
-and texts link where any of their fingerprints do: what one lane misses another finds.
+With ``lanes`` over 1 a text has as many fingerprints, from independent mixtures of the same shingle hashes.
+Texts then link where a half of any of them differs in at most 1 bit, which is what anchors find, and all of them
+together in at most FAR of their bits: the share that shingle sets of similarity 0.8 differ in on average.
 
 Null and empty texts have fingerprint zero and link like any other; repeated rows of one
 doc_id give repeated results; an empty table gives an empty result.
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import map_rows, read, text_or_empty, written
 
 THRESHOLD, SHINGLE, SEED = 3, 3, 42
+#: acos(c) / pi for the cosine c = 2 s / (1 + s) of sets of similarity s = 0.8, a little rounded up.
+FAR = 0.155
 #: Anchors that are home to more fingerprints are compared in blocks, of this many.
 DENSE, BLOCK = 8, 2048
 
@@ -91,13 +94,15 @@ def flip(half: Column, bit: Column) -> Column:
     return half.bitwiseXOR(one)
 
 
-def with_halves(fps: DataFrame) -> DataFrame:
-    """Two rows per fingerprint: side 0 or 1, and its lane, in the bits from 32 of what the anchors are built from."""
+def with_halves(fps: DataFrame, halves_only: bool) -> DataFrame:
+    """Two rows per fingerprint: side 0 or 1, and its lane, in the bits from 32 of what the anchors are built from;
+    and the bits to compare, which are the half or the whole fingerprint."""
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned("fp", 32)
     sides = F.array(F.struct(F.lit(0).alias("side"), low.alias("half")), F.struct(F.lit(1).alias("side"), high.alias("half")))
-    out = fps.select("*", F.explode(sides).alias("s")).select("fp", "rep", (F.col("s.side") + 2 * F.col("lane")).alias("side"), F.col("s.half").alias("half"))
-    return out.withColumn("syn", syndrome(F.col("half")))
+    out = fps.select("fp", "rep", "lane", F.explode(sides).alias("s"))
+    bits = F.col("s.half" if halves_only else "fp").alias("bits")
+    return out.select(bits, "rep", (F.col("s.side") + 2 * F.col("lane")).alias("side"), F.col("s.half").alias("half")).withColumn("syn", syndrome(F.col("half")))
 
 
 def anchor_key(side: Column, word: Column) -> Column:
@@ -106,7 +111,7 @@ def anchor_key(side: Column, word: Column) -> Column:
 
 def homes(halves: DataFrame) -> DataFrame:
     """The anchor nearest to each half."""
-    return halves.select("fp", "rep", anchor_key(F.col("side"), flip(F.col("half"), F.col("syn"))).alias("anchor"))
+    return halves.select("bits", "rep", anchor_key(F.col("side"), flip(F.col("half"), F.col("syn"))).alias("anchor"))
 
 
 def replicas(halves: DataFrame) -> DataFrame:
@@ -122,57 +127,80 @@ def replicas(halves: DataFrame) -> DataFrame:
     pairs = F.filter(F.sequence(F.lit(1), F.lit(31)), lambda i: i < i.bitwiseXOR(F.col("syn")))
     more = F.when(F.col("syn") > 0, F.transform(pairs, by_two)).otherwise(F.array().cast("array<bigint>"))
     words = F.concat(F.array(nearest, free), more)
-    return halves.select("fp", "rep", "side", F.explode(words).alias("word")).select("fp", "rep", anchor_key(F.col("side"), F.col("word")).alias("anchor"))
+    return halves.select("bits", "rep", "side", F.explode(words).alias("word")).select("bits", "rep", anchor_key(F.col("side"), F.col("word")).alias("anchor"))
 
 
-def forest(home: np.ndarray, visit: np.ndarray, home_rep: np.ndarray, visit_rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (rep, root rep) that connect what the pairs within the threshold connect."""
+def forest(home: np.ndarray, visit: np.ndarray, home_rep: np.ndarray, visit_rep: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
+    """Links (rep, root rep) that connect what the pairs that are near connect. ``near``: a row of ``home`` and all of ``visit``."""
     n, m = len(home), len(visit)
     label = np.concatenate([home_rep, visit_rep])
     own = label.copy()
     for i in range(n):
-        near = np.flatnonzero(np.bitwise_count(visit ^ home[i]) <= THRESHOLD)
-        if len(near) == 0:
+        found = np.flatnonzero(near(home[i], visit))
+        if len(found) == 0:
             continue
-        seen = np.unique(np.append(label[n + near], label[i]))
+        seen = np.unique(np.append(label[n + found], label[i]))
         if len(seen) > 1:
             label[np.isin(label, seen[1:])] = seen[0]
     changed = own != label
     return own[changed], label[changed]
 
 
-def links(fps: DataFrame, dense_from: int = DENSE, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between the representatives of different fingerprints of a lane: their components are
-    those of all pairs with THRESHOLD or fewer differing bits. ``fps``: distinct lane and fp, and rep."""
-    halves = with_halves(fps)
+def differing(a: Column, b: Column) -> Column:
+    """Bits in which two lists of fingerprints differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
+def links(fps: DataFrame, dense_from: int = DENSE, block: int = BLOCK, whole: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between the representatives of different fingerprints: their components are
+    those of all pairs with THRESHOLD or fewer differing bits. ``fps``: distinct lane and fp, and rep.
+
+    With ``whole`` (rep and fps, a text's fingerprints in all lanes) they are those of all pairs of which a
+    half differs in at most 1 bit and the whole in at most FAR of the bits; ``fps`` may then hold equal fingerprints."""
+    halves = with_halves(fps, whole is not None)
+    limit = THRESHOLD if whole is None else 1
     home, visit = homes(halves), replicas(halves)
     dense = written(home.groupBy("anchor").agg(F.count("*").alias("n_home")).where(F.col("n_home") > dense_from), "dense")
 
     def blocks(rows: DataFrame) -> DataFrame:
-        size = rows.join(dense.select("anchor"), "anchor").groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
-        return size
+        return rows.join(dense.select("anchor"), "anchor").groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n"))
 
     x, y = home.alias("x"), visit.alias("y")
-    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= THRESHOLD
+    near = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= limit
+    once = F.struct("x.bits", "x.rep") < F.struct("y.bits", "y.rep")
     sparse_homes = home.join(dense.select("anchor"), "anchor", "left_anti").alias("x")
-    sparse = sparse_homes.join(y, (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.fp") < F.col("y.fp")) & near).select(
-        F.col("x.rep").alias("a"), F.col("y.rep").alias("b")
-    )
+    sparse = sparse_homes.join(y, (F.col("x.anchor") == F.col("y.anchor")) & once & near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    if whole is not None:
+        of = lambda end: whole.select(F.col("rep").alias(end), F.col("fps").alias(f"fps_{end}"))
+        sparse = sparse.where("a <> b").distinct().join(of("a"), "a").join(of("b"), "b")
+        sparse = sparse.where(differing(F.col("fps_a"), F.col("fps_b")) <= F.lit(FAR * 64) * F.size("fps_a")).select("a", "b")
     home_blocks, visit_blocks = blocks(home), blocks(visit)
     grid = written(home_blocks.withColumnRenamed("n", "nh").join(visit_blocks.withColumnRenamed("n", "nv"), "anchor"), "grid")
 
     def dealt(rows: DataFrame, kind: int) -> DataFrame:
         own, other = ("nh", "nv") if kind == 0 else ("nv", "nh")
-        at = F.pmod(F.xxhash64("fp"), F.col(own)).cast("int")
+        at = F.pmod(F.xxhash64("bits", "rep"), F.col(own)).cast("int")
+        rows = rows.join(grid, "anchor")
+        if whole is not None:
+            rows = rows.join(whole, "rep")
         return (
-            rows.join(grid, "anchor").withColumn("own", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .select("anchor", (F.col("own") if kind == 0 else F.col("other")).alias("hb"), (F.col("other") if kind == 0 else F.col("own")).alias("vb"), F.lit(kind).alias("kind"), "fp", "rep")
+            rows.withColumn("own", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            .select("anchor", (F.col("own") if kind == 0 else F.col("other")).alias("hb"), (F.col("other") if kind == 0 else F.col("own")).alias("vb"), F.lit(kind).alias("kind"), "rep",
+                    (F.array("bits") if whole is None else F.concat(F.array("bits"), "fps")).alias("bits"))
         )
 
+    def close(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+        d = np.bitwise_count(others ^ one)
+        ok = d[:, 0] <= limit
+        return ok if d.shape[1] == 1 else ok & (d[:, 1:].sum(axis=1, dtype=np.int64) <= FAR * 64 * (d.shape[1] - 1))
+
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["kind", "rep"])
         h, v = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
-        a, b = forest(h["fp"].to_numpy("u8"), v["fp"].to_numpy("u8"), h["rep"].to_numpy(), v["rep"].to_numpy())
+        if h.empty or v.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        bits = [np.stack(list(p["bits"])).astype("i8").view("u8") for p in (h, v)]
+        a, b = forest(*bits, h["rep"].to_numpy(), v["rep"].to_numpy(), close)
         return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
     crowded = dealt(home, 0).unionByName(dealt(visit, 1)).groupBy("anchor", "hb", "vb").applyInPandas(compare, "a bigint, b bigint")
@@ -203,14 +231,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, lanes: int = 1) ->
     """doc_id, fingerprint (16 hex digits, of lane 0) and component_id (the smallest doc_id reachable) of every row."""
     every = written(fingerprints(docs, shingle=shingle, lanes=lanes), "fingerprints")
     classes = written(every.groupBy("fps").agg(F.min("doc_id").alias("rep")), "distinct")
-    rows = classes.where("rep IS NOT NULL").select("rep", F.posexplode("fps").alias("lane", "fp"))
-    if lanes == 1:
-        edges = links(rows)
-    else:  # different texts may be equal in some of the lanes
-        firsts = written(rows.groupBy("lane", "fp").agg(F.min("rep").alias("first")), "firsts")
-        equal = rows.join(firsts, ["lane", "fp"]).where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
-        edges = links(firsts.withColumnRenamed("first", "rep")).unionByName(equal)
-    linked = components(edges)
+    classes_with_id = classes.where("rep IS NOT NULL")
+    rows = classes_with_id.select("rep", F.posexplode("fps").alias("lane", "fp"))
+    linked = components(links(rows, whole=classes_with_id if lanes > 1 else None))
     found = classes.join(linked, classes["rep"] == linked["node"], "left").select("fps", F.coalesce("component", "rep").alias("component_id"))
     return every.join(found, "fps").select("doc_id", F.lower(F.lpad(F.hex(F.get("fps", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -374,36 +374,42 @@ def test_simhash_query(spark, sf):
 
 
 def brute_lanes(docs: dict[int, list[int]]) -> dict[int, int]:
-    """doc -> smallest doc reachable, where documents link if they are within 3 bits in any lane."""
+    """doc -> smallest doc reachable, where documents link if a half of a fingerprint differs in 1 bit at most, and all in 0.155 of their bits."""
     ids = np.array(sorted(docs))
     fps = np.array([docs[d] for d in ids.tolist()], np.int64).view(np.uint64)
+
+    def near(i: int) -> np.ndarray:
+        x = fps ^ fps[i]
+        halves = np.minimum(np.bitwise_count(x >> np.uint64(32)), np.bitwise_count(x & np.uint64(0xFFFFFFFF))).min(axis=1)
+        return (x == 0).all(axis=1) | (halves <= 1) & (np.bitwise_count(x).sum(axis=1) <= 0.155 * 64 * fps.shape[1])
+
     label = ids.copy()
     while True:
-        new = np.array([label[(np.bitwise_count(fps ^ fps[i]) <= 3).any(axis=1)].min() for i in range(len(ids))])
+        new = np.array([label[near(i)].min() for i in range(len(ids))])
         if (new == label).all():
             return dict(zip(ids.tolist(), label.tolist(), strict=True))
         label = new
 
 
-def test_lanes_find_more(spark):
+@pytest.mark.parametrize(("dense_from", "block"), [(simhash.DENSE, simhash.BLOCK), (1, 4)])
+def test_lanes_find_more(spark, dense_from, block, monkeypatch):
+    monkeypatch.setattr(simhash.links, "__defaults__", (dense_from, block, None))
     rng = random.Random(9)
     words = [a + b + c for a in "bdgklmnprst" for b in "aeiou" for c in "lmnrst"]
     docs = {}
     for k in range(30):
-        text = rng.choices(words, k=rng.randint(60, 300))
+        text = rng.choices(words, k=rng.randint(100, 300))
         for j in range(4):
             copy = list(text)
-            for _ in range(j):
+            for _ in range(2 * j):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
             docs[10 * k + j] = " ".join(copy)
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
-    links = {}
-    for lanes in (1, 4):
-        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, 5, lanes).collect()}
-        assert got == brute_lanes({d: simhash.fingerprint(t, 5, lanes) for d, t in docs.items()})
-        assert all(d // 10 == c // 10 for d, c in got.items())
-        links[lanes] = sum(d != c for d, c in got.items())
-    assert links[4] > links[1]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, 5, 4).collect()}
+    assert got == brute_lanes({d: simhash.fingerprint(t, 5, 4) for d, t in docs.items()})
+    assert all(d // 10 == c // 10 for d, c in got.items())
+    one = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, 5, 1).collect()}
+    assert sum(d != c for d, c in got.items()) > 1.3 * sum(d != c for d, c in one.items())
 
 
 # --- 6: packing -------------------------------------------------------------------------------
