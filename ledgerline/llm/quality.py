@@ -259,14 +259,15 @@ def scored(docs: DataFrame, model: Model, order: int, block: int = BLOCK, askers
     docs = docs.select("row", "doc_id", "lang", "text")
     n_shards, floor = model.n_shards, model.floor
     found = answers(docs, model, order, block, askers)
-    schema = "block string, rows array<long>, docs array<long>, langs array<string>, lengths array<int>, texts binary"
+    schema = "block string, rows array<long>, docs binary, no_doc array<boolean>, langs array<string>, lengths array<int>, texts binary"
     out = to_arrow(docs.sparkSession, schema)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in chunks(batches, block):
             ids, doc, lang, texts = (list(x) for x in zip(*rows, strict=True))
             raw = zlib.compress("".join(texts).encode("utf-8", "surrogatepass"), 6)
-            yield batch_of(out, [digest(rows)], [ids], [doc], [lang], [list(map(len, texts))], [raw])
+            docs_ = np.array([d or 0 for d in doc], "<i8").tobytes()
+            yield batch_of(out, [digest(rows)], [ids], [docs_], [[d is None for d in doc]], [lang], [list(map(len, texts))], [raw])
 
     def score(payload: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if payload.empty:
@@ -274,7 +275,7 @@ def scored(docs: DataFrame, model: Model, order: int, block: int = BLOCK, askers
         row = payload.iloc[0]  # blocks of equal digests are equal
         text, ends = zlib.decompress(row["texts"]).decode("utf-8", "surrogatepass"), np.cumsum(row["lengths"])
         grams = Grams([text[hi - n : hi] for hi, n in zip(ends, row["lengths"], strict=True)], order)
-        doc = pd.array([None if pd.isna(x) else int(x) for x in row["docs"]], "Int64")
+        doc = pd.arrays.IntegerArray(np.frombuffer(row["docs"], "<i8").copy(), np.array(row["no_doc"], bool))
         out = pd.DataFrame({"row": row["rows"], "doc_id": doc, "lang": row["langs"], "n_chars": grams.lengths, "nll": nll_of(grams, found, n_shards, floor)})
         return pd.concat([out] * len(payload))
 

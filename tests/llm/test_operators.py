@@ -178,7 +178,7 @@ def test_perplexity_by_dictionaries(spark, block, askers, monkeypatch):
     rng = random.Random(4)
     words = ["river", "green", "hill", "ran", "tö", "日本", "the", "of", "\x02", "🙂"]
     texts = [" ".join(rng.choices(words, k=rng.randint(1, 15))) for _ in range(40)] + ["", "unseen Ж %%", texts_twice := "the river ran", texts_twice]
-    rows = [(k, t, "en") for k, t in enumerate(texts)] + [(None, "of the hill", "en")] * 2
+    rows = [(k, t, "en") for k, t in enumerate(texts)] + [(None, "of the hill", "en")] * 2 + [(2**62 + 1, "the ran", None)]
     labels = spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id bigint, quality int, toxic int")
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1)
     for order in (2, 4):
