@@ -21,6 +21,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from ledgerline.sources.staging import clean_up
+
+    clean_up(session)
     session.stop()
 
 
