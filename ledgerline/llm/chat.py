@@ -103,6 +103,12 @@ def format_chat(turns: DataFrame, tokenizer_path: str | None = None) -> DataFram
     return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "ids").mapInArrow(assemble, schema)
 
 
+def views(lists: pa.ListArray) -> Iterator[np.ndarray]:
+    """Each row's list as an array."""
+    values, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return (values[lo:hi] for lo, hi in zip(at, at[1:]))
+
+
 def read_back(formatted: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """One row per conversation, decoded from the ids and masks that ``format_chat`` returned."""
     path = tokenizer_path or default_path()
@@ -119,20 +125,22 @@ def read_back(formatted: DataFrame, tokenizer_path: str | None = None) -> DataFr
         state = None
         for batch in slices(batches):
             done = []
-            for conv, turn, ids, mask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            convs, turns, *lists = batch.columns
+            for conv, turn, ids, mask in zip(convs.to_pylist(), turns.to_pylist(), *map(views, lists), strict=True):
                 if turn == 0:
                     done += [state] if state else []
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                if ids[0] != start or start + 1 not in ids:
+                ends = np.flatnonzero(ids == start + 1)
+                if ids[0] != start or not len(ends):
                     raise ValueError(f"conversation {conv}: a turn without its marks")
-                end = ids.index(start + 1)
-                head, _, body = decode(ids[1:end]).partition(SEP)
-                learnt = unescape(decode([i for i, m in zip(ids, mask, strict=True) if m]))
+                end = ends[0]
+                head, _, body = decode(ids[1:end].tolist()).partition(SEP)
+                learnt = unescape(decode(ids[mask].tolist()))
                 state[1] += 1
                 state[2].update(f"{unescape_role(head)}\n{unescape(body)}\n".encode())
                 state[3] += len(learnt)
                 state[4].update(learnt.encode())
-                state[5] += marks + len(head) + len(SEP) + len(body) + len(decode(ids[end + 1 :]))
+                state[5] += marks + len(head) + len(SEP) + len(body) + len(decode(ids[end + 1 :].tolist()))
             yield arrow(done, out)
         yield arrow([state] if state else [], out)
 
