@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgerline.operators import specs
-from ledgerline.plans.queries import CAPITAL, CUSTOM, FAULTS, LATE_DAY, PATHS, RF, TICKERS, WINDOW
+from ledgerline.plans.queries import BRANDS_FROM, CAPITAL, CUSTOM, FAULTS, LATE_DAY, PATHS, RF, TICKERS, WINDOW
 
 TAIL = "0.050000000000000044::DOUBLE"
 RATE = f"(pow(1 + {RF}::DOUBLE, 1 / 252::DOUBLE) - 1)"
@@ -272,7 +272,7 @@ SELECT CAST(start AS VARCHAR) AS panel_id, ticker FROM asked WHERE NOT EXISTS (S
     "clean_panel": f"WITH {BRANDS} SELECT 'BRAND' AS panel_id, ticker, date, round(close, 8) AS close FROM c_clean",
     "dropped_tickers": f"WITH {BRANDS} SELECT 'BRAND' AS panel_id, ticker, round(missing_share, 8) AS missing_share, missing_share <= 0.10::DOUBLE AS kept FROM c_share",
     "coverage_violations": f"""WITH brands AS ({prices("p_brand")}) SELECT 'BRAND' AS panel_id, ticker, min(date) AS first_date, 'starts late' AS reason
-FROM brands GROUP BY ticker HAVING min(date) > (SELECT min(date) FROM brands)""",
+FROM brands GROUP BY ticker HAVING min(date) > DATE '{BRANDS_FROM}' + 7""",
     "panel_facts": f"""WITH {BRANDS}, by_date AS (SELECT date, count(*) FILTER (WHERE kept) AS a, count(*) FILTER (WHERE kept AND close IS NOT NULL) AS have, count(*) AS n FROM c_marked GROUP BY date)
 SELECT 'BRAND' AS panel_id, count(*) AS dates, max(n) AS tickers, max(a) AS tickers_kept, count(*) FILTER (WHERE a > 0 AND have = a) AS complete_dates, count(*) FILTER (WHERE a > 0 AND have < a) AS dropped_dates FROM by_date""",
     "panel_violations": """WITH day AS (SELECT CAST(user_id AS VARCHAR) AS panel_id, event_type AS ticker, CAST(ts AS DATE) AS date, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY 1, 2, 3),
