@@ -85,15 +85,14 @@ def checked(definitions: DataFrame, prices: DataFrame, benchmark: DataFrame) ->
     series = filled.groupBy("panel_id", "ticker").agg(first, F.max("kept").alias("kept")).select("panel_id.*", "ticker", "first_date", "kept")
     series = written(series, "series")
     panel, other = unstacked(written(stacked(*clean.aligned(*unstacked(clean.complete(filled)))), "aligned"))
-    violations = specs.violations(definitions)
-    valid = written(definitions.join(violations.select("run_id").distinct(), "run_id", "left_anti"), "valid")
+    valid = specs.sound(definitions)
     trades, targets = valuation.planned(valuation.strategies(valid), panel)
     refused = targets.where("weight IS NULL").select(F.col("run_id").alias("strategy_id"), "rebalance_date").distinct()
     refused = valuation.with_strategy(valid).select("run_id", "strategy_id").join(refused, "strategy_id")
     by_panel = left_over(series, unstacked(filled)[0], panel).unionByName(clean.panel_violations(panel, other))
     no_panel = definitions.join(series.where("NOT is_benchmark"), "panel_id", "left_anti")
     problems = (
-        problem(violations, F.col("rule"), F.lit(None))
+        problem(specs.violations(definitions), F.col("rule"), F.lit(None))
         .unionByName(problem(no_panel, "panel without prices", F.col("panel_id")))
         .unionByName(series_problems(definitions, series))
         .unionByName(problem(definitions.select("run_id", "panel_id").join(by_panel, "panel_id"), F.col("rule"), F.col("panel_id")))

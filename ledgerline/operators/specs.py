@@ -37,8 +37,8 @@ def normalised(specs: DataFrame) -> DataFrame:
     })
 
 
-def violations(specs: DataFrame) -> DataFrame:
-    """run_id and rule of every rule that a normalised run breaks; a run without rows is sound."""
+def broken_rules(specs: DataFrame) -> Column:
+    """The names of the rules that a normalised run breaks, as an array."""
     c = F.col
     custom, inverse = c("weighting") == "custom", c("weighting") == "inverse_vol"
     given = c("custom_weights").isNotNull() & (F.size("custom_weights") > 0)
@@ -64,13 +64,17 @@ def violations(specs: DataFrame) -> DataFrame:
     }
     if "unknown_keys" in specs.columns:
         rules["unknown keys"] = F.size("unknown_keys") > 0
-    found = F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())))
-    return specs.select("run_id", F.explode(found).alias("rule"))
+    return F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())))
+
+
+def violations(specs: DataFrame) -> DataFrame:
+    """run_id and rule of every rule that a normalised run breaks; a run without rows is sound."""
+    return specs.select("run_id", F.explode(broken_rules(specs)).alias("rule"))
 
 
 def sound(specs: DataFrame) -> DataFrame:
     """The runs that break no rule."""
-    return specs.join(violations(specs).select("run_id").distinct(), "run_id", "left_anti")
+    return specs.where(F.size(broken_rules(specs)) == 0)
 
 
 def require_none(found: DataFrame) -> None:
