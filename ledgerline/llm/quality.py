@@ -40,7 +40,7 @@ from .common import free_name, read, ship_code, sized, slices, to_arrow, written
 
 ORDER, PRIOR, QUANTILE, LEAST, HELD, UNIT = 4, 100, 0.99, 50, 5, 256
 #: Characters of a block, n-grams of a shard, blocks that ask one copy of a shard.
-BLOCK, SHARD, ASKERS = 3_000_000, 16_384, 512
+BLOCK, SHARD, ASKERS = 1_500_000, 16_384, 1_024
 #: Stands before a text, ORDER - 1 times.
 START = "\x02"
 #: In place of a log probability, which is never positive: the n-gram is known as a context only.
