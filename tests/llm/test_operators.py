@@ -181,7 +181,7 @@ def test_perplexity_by_dictionaries(spark, block, askers, monkeypatch):
     rows = [(k, t, "en") for k, t in enumerate(texts)] + [(None, "of the hill", "en")] * 2 + [(2**62 + 1, "the ran", None)]
     labels = spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id bigint, quality int, toxic int")
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1)
-    for order in (2, 4):
+    for order in (2, 4) if askers > 1 else (4,):
         got = quality.perplexities(docs, labels, order, block, askers).collect()
         train = [texts[r["doc_id"]] for r in quality.label_folds(labels).collect() if not r["held"]]
         want = sorted(((d, kneser_ney(train, t, order)) for d, t, _ in rows), key=str)
