@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lines, media, packing, pages, quality, secrets, simhash, token_counts
+from . import chat, decontaminate, divergence, filter_audit, lines, media, packing, pages, personal, quality, secrets, simhash, token_counts
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_line_dedup": lines.op8_line_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_personal_data": personal.op11_personal_data,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
@@ -25,4 +28,7 @@ def oracle_sql() -> dict:
         "op2_quality": quality.quality_sql(),
         "op8_line_dedup": lines.line_dedup_sql(),
         "op9_decontaminate": decontaminate.leaks_sql(),
+        "op11_personal_data": personal.personal_sql(),
+        "op12_source_divergence": divergence.divergence_sql(),
+        "op13_filter_audit": filter_audit.filter_audit_sql(),
     }
