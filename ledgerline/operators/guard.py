@@ -1,7 +1,9 @@
-"""One guarded way from run definitions and raw prices to valued runs: validate, clean, align, check.
+"""One guarded way from run definitions and raw prices to valued runs: validate, cut, clean, align, check.
 
-What is wrong with a run comes back as rows (run_id, rule, subject); a run with any such row is left out
-of ``runs``, and the others go on. Nothing that a rule names is ever valued.
+Each run is valued on its own tickers and benchmark from its start to its end (operators/universe.py). What is wrong
+with a run comes back as rows (run_id, rule, subject); a run with any such row is left out of ``runs``, and the others go
+on. Nothing that a rule names is ever valued. A definition without an id, or with another's, is never valued either: its
+values could not be told apart. Series with infinite prices or several rows of a day are refused, not mended.
 """
 
 from __future__ import annotations
@@ -11,14 +13,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators import clean, specs, valuation
+from ledgerline.operators import clean, specs, universe, valuation
 from ledgerline.sources.staging import written
 
 
 @dataclass(frozen=True)
 class Checked:
-    """``runs`` without problems, their aligned ``panel`` and ``benchmark``, the trades and target weights of all valid
-    strategies, and all ``problems``."""
+    """``runs`` without problems, the aligned ``panel`` and ``benchmark`` of each window, the trades and target weights of all
+    valid strategies, and all ``problems``. In all of them panel_id is the window's id; ``runs`` have their own as source_panel."""
 
     runs: DataFrame
     panel: DataFrame
@@ -36,43 +38,39 @@ def problem(rows: DataFrame, rule: Column | str, subject: Column) -> DataFrame:
     return rows.select("run_id", rule.alias("rule"), subject.cast("string").alias("subject"))
 
 
+def series_facts(days: DataFrame, rows: DataFrame) -> DataFrame:
+    """window_id, is_benchmark, ticker, first_date, kept, and whether the series has infinite prices or repeated days."""
+    odd = days.groupBy(*clean.SERIES).agg(F.max("infinite").alias("infinite"), (F.max("n_rows") > 1).alias("repeated"))
+    facts = odd.join(clean.shares_of(days, rows), [*clean.SERIES])
+    return facts.select(F.col("panel_id.panel_id").alias("window_id"), "panel_id.is_benchmark", "ticker", "first_date", "kept", "infinite", "repeated")
+
+
 def series_problems(definitions: DataFrame, series: DataFrame) -> DataFrame:
-    """Tickers and benchmarks without prices, or that start more than START_SLACK days after the run, and benchmarks
-    that cleaning drops. ``series``: panel_id, is_benchmark, ticker, first_date, kept."""
-    names = F.concat(
-        F.transform("tickers", lambda t: F.struct(F.lit(False).alias("is_benchmark"), t.alias("ticker"))),
-        F.array(F.struct(F.lit(True).alias("is_benchmark"), F.col("benchmark").alias("ticker"))),
-    )
-    wanted = definitions.select("run_id", "panel_id", "start", F.inline(names))
-    rows = wanted.join(series, ["panel_id", "is_benchmark", "ticker"], "left")
+    """Tickers and benchmarks without prices, that start more than START_SLACK days after the run, that have infinite prices or
+    several rows of a day, and benchmarks that cleaning drops."""
+    wanted = definitions.select("run_id", "window_id").join(universe.members(definitions).select("window_id", "start", "is_benchmark", "ticker"), "window_id")
+    rows = wanted.join(series, ["window_id", "is_benchmark", "ticker"], "left")
     what, late = F.when(F.col("is_benchmark"), "benchmark").otherwise("ticker"), F.col("first_date") > F.date_add("start", clean.START_SLACK)
     rules = [
         F.when(F.col("first_date").isNull(), F.concat(what, F.lit(" without prices"))).when(late, F.concat(what, F.lit(" starts late"))),
         F.when(F.col("is_benchmark") & ~F.col("kept"), "benchmark dropped"),
+        F.when(F.col("infinite"), F.concat(what, F.lit(" with infinite prices"))), F.when(F.col("repeated"), F.concat(what, F.lit(" with repeated days"))),
     ]
     return problem(rows.withColumn("rule", F.explode(F.array_compact(F.array(*rules)))), F.col("rule"), F.col("ticker"))
 
 
-def left_over(series: DataFrame, filled: DataFrame, aligned: DataFrame) -> DataFrame:
-    """panel_id and rule of panels of which cleaning or aligning leaves too little."""
-    kept = series.where("NOT is_benchmark").groupBy("panel_id").agg(F.count_if("kept").alias("kept"))
-    gaps = filled.where("kept").groupBy("panel_id", "date").agg(F.count_if(F.col("close").isNull()).alias("gaps"))
-    complete = gaps.groupBy("panel_id").agg(F.count_if(F.col("gaps") == 0).alias("complete"))
-    shared = aligned.groupBy("panel_id").agg(F.count_distinct("date").alias("shared"))
-    facts = kept.join(complete, "panel_id", "left").join(shared, "panel_id", "left").na.fill(0)
+def left_over(series: DataFrame, complete: DataFrame, shared: DataFrame) -> DataFrame:
+    """window_id and rule of windows of which cleaning or aligning leaves too little."""
+    kept = series.where("NOT is_benchmark").groupBy("window_id").agg(F.count_if("kept").alias("kept"))
+    count = lambda rows, name: rows.groupBy("window_id").agg(F.count(F.lit(1)).alias(name))
+    own = complete.where("NOT panel_id.is_benchmark").select(F.col("panel_id.panel_id").alias("window_id"))
+    facts = kept.join(count(own, "complete"), "window_id", "left").join(count(shared, "shared"), "window_id", "left").na.fill(0)
     rule = F.when(F.col("kept") == 0, "no ticker left").when(F.col("complete") == 0, "no date left").when(F.col("shared") < 2, "fewer than two shared dates")
-    return facts.select("panel_id", rule.alias("rule")).where("rule IS NOT NULL")
-
-
-def stacked(panel: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Both as one table whose panel_id tells them apart, so that one pass serves both."""
-    kinds = ((panel, False), (benchmark, True))
-    a, b = (x.select(F.struct("panel_id", F.lit(k).alias("is_benchmark")).alias("panel_id"), "ticker", "date", "close") for x, k in kinds)
-    return a.unionByName(b)
+    return facts.select("window_id", rule.alias("rule")).where("rule IS NOT NULL")
 
 
 def unstacked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The panel and the benchmark of ``stacked`` rows."""
+    """The panel and the benchmark of rows whose panel_id tells them apart."""
     of = lambda k: rows.where(F.col("panel_id.is_benchmark") == k).withColumn("panel_id", F.col("panel_id.panel_id"))
     return of(False), of(True)
 
@@ -80,25 +78,30 @@ def unstacked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def checked(definitions: DataFrame, prices: DataFrame, benchmark: DataFrame) -> Checked:
     """``definitions`` are normalised; ``prices`` and ``benchmark`` (panel_id, ticker, date, close) are raw. The
     benchmark of a run is the series of its panel in ``benchmark`` that has its name."""
-    filled = written(clean.marked(stacked(prices, benchmark)), "filled")
-    first = F.min(F.when(F.col("close").isNotNull(), F.col("date"))).alias("first_date")
-    series = filled.groupBy("panel_id", "ticker").agg(first, F.max("kept").alias("kept")).select("panel_id.*", "ticker", "first_date", "kept")
-    series = written(series, "series")
-    panel, other = unstacked(written(stacked(*clean.aligned(*unstacked(clean.complete(filled)))), "aligned"))
-    valid = specs.sound(definitions)
+    definitions = universe.with_window(definitions)
+    days, dates, spans = clean.spanned(universe.dealt(prices, benchmark, written(universe.members(definitions), "members")))
+    complete = written(clean.complete_dates(spans, dates), "complete")
+    shared = complete.groupBy(F.col("panel_id.panel_id").alias("window_id"), "date").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2").drop("sides")
+    both = complete.withColumn("window_id", F.col("panel_id.panel_id")).join(shared, ["window_id", "date"], "left_semi")
+    panel, other = unstacked(written(clean.carried(spans, both), "aligned"))
+    series = series_facts(days, spans)
+
+    valid = specs.sound(definitions).withColumnsRenamed({"panel_id": "source_panel", "window_id": "panel_id"})
     trades, targets = valuation.planned(valuation.strategies(valid), panel)
     refused = targets.where("weight IS NULL").select(F.col("run_id").alias("strategy_id"), "rebalance_date").distinct()
     refused = valuation.with_strategy(valid).select("run_id", "strategy_id").join(refused, "strategy_id")
-    by_panel = left_over(series, unstacked(filled)[0], panel).unionByName(clean.panel_violations(panel, other))
-    no_panel = definitions.join(series.where("NOT is_benchmark"), "panel_id", "left_anti")
+    named = definitions.where("window_id IS NOT NULL")
+    by_window = left_over(series, complete, shared).unionByName(clean.panel_violations(panel, other).withColumnRenamed("panel_id", "window_id"))
+    no_panel = named.join(series.where("NOT is_benchmark"), "window_id", "left_anti")
     problems = (
         problem(specs.violations(definitions), F.col("rule"), F.lit(None))
         .unionByName(problem(no_panel, "panel without prices", F.col("panel_id")))
-        .unionByName(series_problems(definitions, series))
-        .unionByName(problem(definitions.select("run_id", "panel_id").join(by_panel, "panel_id"), F.col("rule"), F.col("panel_id")))
+        .unionByName(series_problems(named, series))
+        .unionByName(problem(named.select("run_id", "panel_id", "window_id").join(by_window, "window_id"), F.col("rule"), F.col("panel_id")))
         .unionByName(valuation.run_violations(valid, panel))
         .unionByName(problem(refused, "no ticker with a usable deviation", F.col("rebalance_date")))
     )
     problems = written(problems.distinct(), "problems")
-    runs = written(definitions.join(problems.select("run_id").distinct(), "run_id", "left_anti"), "runs")
+    # every valid run has an id, so none slips through the anti join
+    runs = written(valid.join(problems.select("run_id").distinct(), "run_id", "left_anti"), "runs")
     return Checked(runs, panel, other, trades, targets, problems)

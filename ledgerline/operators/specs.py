@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The names that a run definition may use.
@@ -43,7 +43,9 @@ def broken_rules(specs: DataFrame) -> Column:
     custom, inverse = c("weighting") == "custom", c("weighting") == "inverse_vol"
     given = c("custom_weights").isNotNull() & (F.size("custom_weights") > 0)
     total = F.aggregate("custom_weights", F.lit(0.0), lambda a, x: a + x)
+    finite = lambda x: F.coalesce(F.abs(c(x)) < float("inf"), F.lit(True)) | F.isnan(x)
     rules = {
+        "run_id missing": c("run_id").isNull(),
         "tickers missing": c("tickers").isNull() | (F.size("tickers") == 0),
         "tickers blank": F.exists("tickers", lambda t: t.isNull() | (t == "")),
         "tickers duplicated": F.size(F.array_distinct("tickers")) < F.size("tickers"),
@@ -51,6 +53,9 @@ def broken_rules(specs: DataFrame) -> Column:
         "end not a date": c("end").isNull(),
         "start not before end": c("start") >= c("end"),
         "initial_capital not positive": c("initial_capital").isNull() | F.isnan("initial_capital") | (c("initial_capital") <= 0),
+        "initial_capital not finite": ~finite("initial_capital"),
+        "transaction_cost_bps not finite": ~finite("transaction_cost_bps"),
+        "risk_free_rate not finite": ~finite("risk_free_rate"),
         "transaction_cost_bps negative": c("transaction_cost_bps").isNull() | F.isnan("transaction_cost_bps") | (c("transaction_cost_bps") < 0),
         "risk_free_rate missing": c("risk_free_rate").isNull() | F.isnan("risk_free_rate"),
         "weighting unknown": c("weighting").isNull() | ~c("weighting").isin(*WEIGHTINGS),
@@ -62,19 +67,33 @@ def broken_rules(specs: DataFrame) -> Column:
         "lookback_days missing": inverse & c("lookback_days").isNull(),
         "lookback_days below two": inverse & (c("lookback_days") < 2),
     }
+    if COPIES in specs.columns:
+        rules["run_id duplicated"] = c("run_id").isNotNull() & (c(COPIES) > 1)
     if "unknown_keys" in specs.columns:
         rules["unknown keys"] = F.size("unknown_keys") > 0
     return F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())))
 
 
+#: The number of definitions with a definition's run_id, while rules are looked at.
+COPIES = "copies_"
+
+
+def with_copies(specs: DataFrame) -> DataFrame:
+    """Definitions without an id are dealt by all they hold, as they may be many."""
+    unnamed = F.when(F.col("run_id").isNull(), F.xxhash64(*specs.columns))
+    return specs.withColumn(COPIES, F.count(F.lit(1)).over(Window.partitionBy("run_id", unnamed)))
+
+
 def violations(specs: DataFrame) -> DataFrame:
     """run_id and rule of every rule that a normalised run breaks; a run without rows is sound."""
-    return specs.select("run_id", F.explode(broken_rules(specs)).alias("rule"))
+    counted = with_copies(specs)
+    return counted.select("run_id", F.explode(broken_rules(counted)).alias("rule")).distinct()
 
 
 def sound(specs: DataFrame) -> DataFrame:
-    """The runs that break no rule."""
-    return specs.where(F.size(broken_rules(specs)) == 0)
+    """The runs that break no rule: each has an id, and no other run has it."""
+    counted = with_copies(specs)
+    return counted.where(F.size(broken_rules(counted)) == 0).drop(COPIES)
 
 
 def require_none(found: DataFrame) -> None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgerline.operators import specs
-from ledgerline.plans.queries import BRANDS_FROM, CAPITAL, CUSTOM, FAULTS, LATE_DAY, PATHS, RF, TICKERS, WINDOW
+from ledgerline.plans.queries import BRANDS_FROM, CAPITAL, CUSTOM, FAULTS, LATE_DAY, PATHS, RF, SPANS, SUBSETS, TICKERS, WINDOW
 
 TAIL = "0.050000000000000044::DOUBLE"
 RATE = f"(pow(1 + {RF}::DOUBLE, 1 / 252::DOUBLE) - 1)"
@@ -77,55 +77,91 @@ FROM (SELECT {keys},
   GROUP BY {keys})"""
 
 
-PANEL = f"""types AS ({prices("p_type")}), bench AS ({BENCHMARK}),{cleaning("types", "t")},{cleaning("bench", "b")},
-panel AS (SELECT * FROM t_clean WHERE date IN (SELECT date FROM b_clean)),
-other AS (SELECT * FROM b_clean WHERE date IN (SELECT date FROM t_clean))"""
+def cleaned_by_panel(rel: str, p: str) -> str:
+    """As ``cleaning``, for a relation panel_id, ticker, date, close."""
+    return f"""
+{p}_grid AS (SELECT d.panel_id, d.date, t.ticker, s.close FROM (SELECT DISTINCT panel_id, date FROM {rel}) d JOIN (SELECT DISTINCT panel_id, ticker FROM {rel}) t USING (panel_id) LEFT JOIN {rel} s USING (panel_id, date, ticker)),
+{p}_filled AS (SELECT panel_id, date, ticker, last_value(close IGNORE NULLS) OVER (PARTITION BY panel_id, ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS close FROM {p}_grid),
+{p}_share AS (SELECT panel_id, ticker, avg(CASE WHEN close IS NULL THEN 1.0::DOUBLE ELSE 0.0 END) <= 0.10::DOUBLE AS kept FROM {p}_filled GROUP BY panel_id, ticker),
+{p}_left AS (SELECT * FROM {p}_filled JOIN {p}_share USING (panel_id, ticker) WHERE kept),
+{p}_clean AS (SELECT panel_id, ticker, date, close FROM {p}_left JOIN (SELECT panel_id, date FROM {p}_left GROUP BY panel_id, date HAVING count(close) = count(*)) USING (panel_id, date))"""
+
+
 
-_ticker_rows = ", ".join(f"('{t}', {w}::DOUBLE)" for t, w in zip(TICKERS, CUSTOM, strict=True))
-RUNS = f"""custom_weights(ticker, w) AS (VALUES {_ticker_rows}),
-specs AS (SELECT weighting || '-' || rebalance || '-' || bps AS run_id, weighting, rebalance, bps / 10000::DOUBLE AS rate, CASE WHEN weighting = 'inverse_vol' THEN 63 END AS lookback
-  FROM (SELECT unnest({list(specs.WEIGHTINGS)}) AS weighting), (SELECT unnest({list(specs.REBALANCES)}) AS rebalance), (SELECT unnest([0, 10]) AS bps)),
-runs AS (SELECT * FROM specs WHERE
-  NOT (weighting = 'custom' AND EXISTS (SELECT 1 FROM custom_weights WHERE ticker NOT IN (SELECT ticker FROM panel)))
-  AND NOT (weighting = 'inverse_vol' AND (SELECT count(DISTINCT date) FROM panel) <= lookback + 1)),
-places AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS place FROM (SELECT DISTINCT date FROM panel)),
-dates AS (SELECT r.*, date FROM runs r, places WHERE place >= coalesce(lookback, 0)),
+def windows(panel: str, bench: str) -> str:
+    """CTEs panel and other, clean and aligned, of the windows of the relation r, whose runs name tickers, benchmark, start and end; ``panel`` and
+    ``bench`` have source, ticker, date, close. A window's key is panel_id."""
+    return f"""
+asked AS (SELECT DISTINCT panel_id, source, tickers, benchmark, start, "end" FROM r WHERE start <= "end" AND len(tickers) > 0),
+p AS (SELECT DISTINCT a.panel_id, x.ticker, x.date, CASE WHEN NOT isnan(x.close) THEN x.close END AS close FROM {panel} x JOIN asked a ON a.source = x.source AND list_contains(a.tickers, x.ticker) AND x.date BETWEEN a.start AND a."end"),
+b AS (SELECT DISTINCT a.panel_id, x.ticker, x.date, x.close FROM {bench} x JOIN asked a ON a.source = x.source AND a.benchmark = x.ticker AND x.date BETWEEN a.start AND a."end"),{cleaned_by_panel("p", "p")},{cleaned_by_panel("b", "b")},
+panel AS (SELECT * FROM p_clean SEMI JOIN b_clean USING (panel_id, date)),
+other AS (SELECT * FROM b_clean SEMI JOIN p_clean USING (panel_id, date))"""
+
+
+#: A run's window as text.
+KEY = """concat_ws('|', source, list_sort(tickers)::VARCHAR, benchmark, start, "end") AS panel_id"""
+SWEEP = f"""r AS (SELECT *, {KEY} FROM (SELECT weighting || '-' || rebalance || '-' || bps AS run_id, 'TYPE' AS source, {list(TICKERS)} AS tickers, {list(CUSTOM)}::DOUBLE[] AS weights, 'ALL' AS benchmark,
+  DATE '1995-01-01' AS start, DATE '2001-12-31' AS "end", {CAPITAL} AS capital, weighting, rebalance, bps / 10000::DOUBLE AS rate, CASE WHEN weighting = 'inverse_vol' THEN 63 END AS lookback
+  FROM (SELECT unnest({list(specs.WEIGHTINGS)}) AS weighting), (SELECT unnest({list(specs.REBALANCES)}) AS rebalance), (SELECT unnest([0, 10]) AS bps)))"""
+SOURCES = f"""types AS (SELECT 'TYPE' AS source, * FROM ({prices("p_type")})), bench AS (SELECT 'TYPE' AS source, * FROM ({BENCHMARK}))"""
+
+#: Trades and weights of the runs of r on the panels of their windows.
+RUNS = f"""
+runs AS (SELECT * FROM r WHERE NOT (weighting = 'custom' AND EXISTS (SELECT 1 FROM (SELECT unnest(r.tickers) AS ticker) t WHERE NOT EXISTS (SELECT 1 FROM panel p WHERE p.panel_id = r.panel_id AND p.ticker = t.ticker)))
+  AND (SELECT count(DISTINCT date) FROM panel p WHERE p.panel_id = r.panel_id) > CASE WHEN weighting = 'inverse_vol' THEN lookback + 1 ELSE 1 END),
+places AS (SELECT panel_id, date, row_number() OVER (PARTITION BY panel_id ORDER BY date) - 1 AS place FROM (SELECT DISTINCT panel_id, date FROM panel)),
+dates AS (SELECT r.*, date, place FROM runs r JOIN places USING (panel_id) WHERE place >= coalesce(lookback, 0)),
 periods AS (SELECT run_id, max(date) AS rebalance_date FROM dates WHERE rebalance <> 'none'
   GROUP BY run_id, date_trunc(CASE rebalance WHEN 'monthly' THEN 'month' WHEN 'quarterly' THEN 'quarter' ELSE 'year' END, date)),
 ends AS (SELECT run_id, min(date) AS lo, max(date) AS hi FROM dates GROUP BY run_id),
 trades AS (SELECT run_id, lo AS rebalance_date FROM ends UNION ALL SELECT run_id, rebalance_date FROM periods JOIN ends USING (run_id) WHERE rebalance_date > lo AND rebalance_date < hi),
-sigmas AS (SELECT ticker, date, stddev_samp(ret) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) AS sigma FROM ({returns_of("panel")})),
+rets AS (SELECT panel_id, ticker, place, close / lag(close) OVER (PARTITION BY panel_id, ticker ORDER BY date) - 1 AS ret FROM panel JOIN places USING (panel_id, date)),
+sigmas AS (SELECT t.run_id, rebalance_date, ticker, stddev_samp(ret) AS sigma FROM trades t JOIN dates d ON d.run_id = t.run_id AND d.date = t.rebalance_date
+  JOIN rets x ON x.panel_id = d.panel_id AND x.place BETWEEN d.place - d.lookback + 1 AND d.place WHERE weighting = 'inverse_vol' GROUP BY ALL),
 raw_weights AS (
-  SELECT run_id, rebalance_date, ticker, CASE weighting WHEN 'equal' THEN 1::DOUBLE WHEN 'custom' THEN coalesce(w, 0) ELSE CASE WHEN sigma > 0 THEN 1 / sigma ELSE 0 END END AS raw
-  FROM trades JOIN runs USING (run_id) CROSS JOIN (SELECT DISTINCT ticker FROM panel) LEFT JOIN custom_weights USING (ticker)
-  LEFT JOIN (SELECT ticker, date AS rebalance_date, sigma FROM sigmas) USING (ticker, rebalance_date)),
-targets AS (SELECT run_id, rebalance_date, ticker, raw / sum(raw) OVER (PARTITION BY run_id, rebalance_date) AS weight FROM raw_weights)"""
+  SELECT run_id, panel_id, rebalance_date, ticker, CASE weighting WHEN 'equal' THEN 1::DOUBLE WHEN 'custom' THEN weights[list_position(tickers, ticker)] ELSE CASE WHEN sigma > 0 THEN 1 / sigma ELSE 0 END END AS raw
+  FROM trades JOIN runs USING (run_id) JOIN (SELECT DISTINCT panel_id, ticker FROM panel) USING (panel_id) LEFT JOIN sigmas USING (run_id, rebalance_date, ticker)),
+targets AS (SELECT *, raw / sum(raw) OVER (PARTITION BY run_id, rebalance_date) AS weight FROM raw_weights)"""
+
 
-NAV = f"""{PANEL}, {RUNS},
-units AS (SELECT t.*, weight / close AS units FROM targets t JOIN panel p ON p.ticker = t.ticker AND p.date = t.rebalance_date),
+def valued(r: str, sources: str = SOURCES, panel: str = "types", bench: str = "bench") -> str:
+    """CTEs up to nav, the daily values of the runs ``r``."""
+    return f"""{r}, {sources}, {windows(panel, bench)}, {RUNS},
+units AS (SELECT t.*, weight / close AS units FROM targets t JOIN panel p ON p.panel_id = t.panel_id AND p.ticker = t.ticker AND p.date = t.rebalance_date),
 days AS (
-  SELECT d.run_id, d.date, d.rate, t.rebalance_date IS NOT NULL AS is_trade,
+  SELECT d.run_id, d.panel_id, d.date, d.rate, d.capital, t.rebalance_date IS NOT NULL AS is_trade,
          max(t.rebalance_date) OVER (PARTITION BY d.run_id ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS in_force
   FROM dates d LEFT JOIN trades t ON t.run_id = d.run_id AND t.rebalance_date = d.date),
-held AS (SELECT d.run_id, d.date, d.is_trade, u.ticker, u.units * p.close AS part FROM days d JOIN units u ON u.run_id = d.run_id AND u.rebalance_date = d.in_force JOIN panel p ON p.ticker = u.ticker AND p.date = d.date),
+held AS (SELECT d.run_id, d.date, d.is_trade, u.ticker, u.units * p.close AS part FROM days d JOIN units u ON u.run_id = d.run_id AND u.rebalance_date = d.in_force
+  JOIN panel p ON p.panel_id = d.panel_id AND p.ticker = u.ticker AND p.date = d.date),
 growth AS (SELECT run_id, date, sum(part) AS growth FROM held GROUP BY run_id, date),
 turn AS (SELECT h.run_id, h.date, 0.5 * sum(abs(t.weight - h.part / g.growth)) AS turnover FROM held h JOIN growth g USING (run_id, date)
   JOIN targets t ON t.run_id = h.run_id AND t.ticker = h.ticker AND t.rebalance_date = h.date WHERE h.is_trade GROUP BY h.run_id, h.date),
 steps AS (SELECT d.*, growth, CASE WHEN in_force IS NULL THEN 1::DOUBLE ELSE coalesce(turnover, 0) END AS turnover FROM days d LEFT JOIN growth USING (run_id, date) LEFT JOIN turn USING (run_id, date)),
-based AS (SELECT *, product(CASE WHEN in_force IS NULL THEN {CAPITAL} * (1 - rate * turnover) WHEN is_trade THEN growth * (1 - rate * turnover) ELSE 1 END) OVER (PARTITION BY run_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS base FROM steps),
+based AS (SELECT *, product(CASE WHEN in_force IS NULL THEN capital * (1 - rate * turnover) WHEN is_trade THEN growth * (1 - rate * turnover) ELSE 1 END) OVER (PARTITION BY run_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS base FROM steps),
 worth AS (SELECT *, CASE WHEN in_force IS NULL OR is_trade THEN base ELSE base * growth END AS portfolio_value,
-  CASE WHEN turnover > 0 THEN coalesce(lag(base) OVER (PARTITION BY run_id ORDER BY date), {CAPITAL}) * coalesce(growth, 1) * turnover * rate ELSE 0 END AS costs_paid FROM based),
+  CASE WHEN turnover > 0 THEN coalesce(lag(base) OVER (PARTITION BY run_id ORDER BY date), capital) * coalesce(growth, 1) * turnover * rate ELSE 0 END AS costs_paid FROM based),
 nav AS (
   SELECT w.run_id, w.date, portfolio_value, coalesce(portfolio_value / lag(portfolio_value) OVER v - 1, 0) AS portfolio_return,
-         {CAPITAL} * o.close / first_value(o.close) OVER v AS benchmark_value, coalesce(o.close / lag(o.close) OVER v - 1, 0) AS benchmark_return, turnover, costs_paid
-  FROM worth w JOIN other o USING (date) WINDOW v AS (PARTITION BY w.run_id ORDER BY w.date))"""
+         capital * o.close / first_value(o.close) OVER v AS benchmark_value, coalesce(o.close / lag(o.close) OVER v - 1, 0) AS benchmark_return, turnover, costs_paid
+  FROM worth w JOIN other o USING (panel_id, date) WINDOW v AS (PARTITION BY w.run_id ORDER BY w.date))"""
+
+
+NAV = valued(SWEEP)
+_window_runs = ", ".join(
+    f"('{i}-{j}-{w}', {[TICKERS[k] for k in places]}, {[float(k + 1) / sum(range(len(places) + 1)) for k in range(len(places))]}::DOUBLE[], DATE '{start}', DATE '{end}', '{w}', {21 + 21 * j if w == 'inverse_vol' else 'NULL'})"
+    for i, places in enumerate(SUBSETS) for j, (start, end) in enumerate(SPANS) for w in specs.WEIGHTINGS
+)
+WINDOW_RUNS = f"""r AS (SELECT *, {KEY} FROM (SELECT v.*, 'TYPE' AS source, 'ALL' AS benchmark, {CAPITAL} AS capital, 'monthly' AS rebalance, 10 / 10000::DOUBLE AS rate
+  FROM (VALUES {_window_runs}) v(run_id, tickers, weights, start, "end", weighting, lookback)))"""
 
 BOTH = """both_series AS (SELECT run_id, 'portfolio' AS series, date, portfolio_return AS ret, benchmark_return AS other FROM nav
   UNION ALL SELECT run_id, 'benchmark', date, benchmark_return, benchmark_return FROM nav)"""
 
 
 def weights_sql(scheme: str) -> str:
-    return f"WITH {PANEL}, {RUNS} SELECT run_id, rebalance_date, ticker, round(weight, 8) AS weight FROM targets WHERE run_id LIKE '{scheme}-%-0'"
+    return f"WITH {SWEEP}, {SOURCES}, {windows('types', 'bench')}, {RUNS} SELECT run_id, rebalance_date, ticker, round(weight, 8) AS weight FROM targets WHERE run_id LIKE '{scheme}-%-0'"
 
 
 def ticks_sql(column: str) -> str:
@@ -196,51 +232,60 @@ _panels = ("TYPE", *FAULTS)
 _odd = "(date - DATE '1990-01-01') % 20 < 10"
 
 
-def cleaned_by_panel(rel: str, p: str) -> str:
-    """As ``cleaning``, for a relation panel_id, ticker, date, close."""
-    return f"""
-{p}_grid AS (SELECT d.panel_id, d.date, t.ticker, s.close FROM (SELECT DISTINCT panel_id, date FROM {rel}) d JOIN (SELECT DISTINCT panel_id, ticker FROM {rel}) t USING (panel_id) LEFT JOIN {rel} s USING (panel_id, date, ticker)),
-{p}_filled AS (SELECT panel_id, date, ticker, last_value(close IGNORE NULLS) OVER (PARTITION BY panel_id, ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS close FROM {p}_grid),
-{p}_share AS (SELECT panel_id, ticker, avg(CASE WHEN close IS NULL THEN 1.0::DOUBLE ELSE 0.0 END) <= 0.10::DOUBLE AS kept FROM {p}_filled GROUP BY panel_id, ticker),
-{p}_left AS (SELECT * FROM {p}_filled JOIN {p}_share USING (panel_id, ticker) WHERE kept),
-{p}_clean AS (SELECT panel_id, ticker, date, close FROM {p}_left JOIN (SELECT panel_id, date FROM {p}_left GROUP BY panel_id, date HAVING count(close) = count(*)) USING (panel_id, date))"""
-
-
-PROBLEMS = f"""types AS ({prices("p_type")}), bench AS ({BENCHMARK}), kinds AS (SELECT unnest({list(_panels)}) AS panel_id),
-p AS (SELECT panel_id, ticker, date, CASE WHEN panel_id = 'FLAT' THEN 100 WHEN panel_id = 'SUNK' THEN close - 105 WHEN panel_id = 'NONE' OR panel_id = 'THIN' AND {_odd} THEN NULL ELSE close END AS close
-  FROM types, kinds WHERE panel_id <> 'LATE' OR date >= DATE '{LATE_DAY}'),
-b AS (SELECT panel_id, ticker, CASE WHEN panel_id = 'APART' THEN date + 36500 ELSE date END AS date, CASE WHEN panel_id = 'BENCH' AND {_odd} THEN NULL ELSE close END AS close
-  FROM bench, kinds WHERE panel_id <> 'SHORT' OR date = DATE '{WINDOW[0]}'),{cleaned_by_panel("p", "p")},{cleaned_by_panel("b", "b")},
-panel AS (SELECT * FROM p_clean SEMI JOIN b_clean USING (panel_id, date)),
-r AS (SELECT k || '-' || w AS run_id, k AS panel_id, w AS weighting, {list(TICKERS)} AS tickers, 'ALL' AS benchmark, DATE '1995-01-01' AS start, 100000 AS capital, 63 AS lookback
+_promo = "ticker = 'PROMO' AND date_trunc('month', date) = DATE '1996-01-01'"
+_list = list(TICKERS)
+FAULTY = f"""kinds AS (SELECT unnest({list(_panels)}) AS source),
+faulty AS (SELECT source, ticker, date, CASE WHEN source = 'FLAT' THEN 100 WHEN source = 'SUNK' THEN close - 105 WHEN source = 'NONE' OR source = 'THIN' AND {_odd} THEN NULL
+    WHEN source = 'HOLES' AND (date - DATE '1990-01-01') % 20 = 0 THEN 'nan'::DOUBLE WHEN source = 'ENDLESS' AND {_promo} THEN 'inf'::DOUBLE ELSE close END AS close,
+    source = 'TWICE' AND {_promo} AS twice FROM ({prices("p_type")}), kinds WHERE source <> 'LATE' OR date >= DATE '{LATE_DAY}'),
+faulty_bench AS (SELECT source, ticker, CASE WHEN source = 'APART' THEN date + 36500 ELSE date END AS date, CASE WHEN source = 'BENCH' AND {_odd} THEN NULL ELSE close END AS close
+  FROM ({BENCHMARK}), kinds WHERE source <> 'SHORT' OR date = DATE '{WINDOW[0]}')"""
+#: Those of the faulty runs that are sound.
+SOUND_RUNS = f"""r AS (SELECT *, {KEY} FROM (SELECT v.*, {_list} AS tickers, {list(CUSTOM)}::DOUBLE[] AS weights, 'ALL' AS benchmark, {CAPITAL} AS capital, 'monthly' AS rebalance, 10 / 10000::DOUBLE AS rate, 63 AS lookback_
+    FROM (SELECT k || '-' || w AS run_id, k AS source, w AS weighting, DATE '1995-01-01' AS start, DATE '2001-12-31' AS "end" FROM (SELECT unnest(['TYPE', 'FLAT', 'HOLES']) AS k), (SELECT unnest({list(specs.WEIGHTINGS)}) AS w)
+      WHERE k <> 'FLAT' OR w <> 'inverse_vol'
+    UNION ALL VALUES ('own-order', 'TYPE', 'equal', DATE '1995-01-01', DATE '2001-12-31')
+    UNION ALL SELECT 'own-window-' || w, 'TYPE', w, DATE '{WINDOW[0]}', DATE '{WINDOW[1]}' FROM (SELECT unnest({list(specs.WEIGHTINGS)}) AS w)) v),
+  LATERAL (SELECT CASE WHEN weighting = 'inverse_vol' THEN lookback_ END AS lookback))"""
+PROBLEMS = f"""{FAULTY},
+own AS (SELECT * FROM (VALUES ('own-ticker', ['PROMO', 'GONE'], 'ALL', DATE '1995-01-01', DATE '2001-12-31', 100000, 'equal', NULL), ('own-benchmark', {_list}, 'GONE', DATE '1995-01-01', DATE '2001-12-31', 100000, 'equal', NULL),
+    ('own-start', {_list}, 'ALL', DATE '1990-01-01', DATE '2001-12-31', 100000, 'equal', NULL), ('own-capital', {_list}, 'ALL', DATE '1995-01-01', DATE '2001-12-31', 0, 'equal', NULL),
+    ('own-lookback', {_list}, 'ALL', DATE '1995-01-01', DATE '2001-12-31', 100000, 'inverse_vol', 4000), ('own-infinite', {_list}, 'ALL', DATE '1995-01-01', DATE '2001-12-31', 100000, 'equal', NULL),
+    ('own-order', {_list}, 'ALL', DATE '1995-01-01', DATE '2001-12-31', 100000, 'equal', NULL), ('own-window-equal', {_list}, 'ALL', DATE '{WINDOW[0]}', DATE '{WINDOW[1]}', 100000, 'equal', NULL),
+    ('own-window-custom', {_list}, 'ALL', DATE '{WINDOW[0]}', DATE '{WINDOW[1]}', 100000, 'custom', NULL), ('own-window-inverse_vol', {_list}, 'ALL', DATE '{WINDOW[0]}', DATE '{WINDOW[1]}', 100000, 'inverse_vol', 63)
+  ) v(run_id, tickers, benchmark, start, "end", capital, weighting, lookback)),
+r AS (SELECT *, {KEY} FROM (SELECT k || '-' || w AS run_id, k AS source, {_list} AS tickers, 'ALL' AS benchmark, DATE '1995-01-01' AS start, DATE '2001-12-31' AS "end", 100000 AS capital, w AS weighting, CASE WHEN w = 'inverse_vol' THEN 63 END AS lookback
       FROM (SELECT unnest({[*_panels, "ABSENT"]}) AS k), (SELECT unnest({list(specs.WEIGHTINGS)}) AS w)
-  UNION ALL SELECT 'own-ticker', 'TYPE', 'equal', ['PROMO', 'GONE'], 'ALL', DATE '1995-01-01', 100000, NULL UNION ALL SELECT 'own-benchmark', 'TYPE', 'equal', {list(TICKERS)}, 'GONE', DATE '1995-01-01', 100000, NULL
-  UNION ALL SELECT 'own-start', 'TYPE', 'equal', {list(TICKERS)}, 'ALL', DATE '1990-01-01', 100000, NULL UNION ALL SELECT 'own-capital', 'TYPE', 'equal', {list(TICKERS)}, 'ALL', DATE '1995-01-01', 0, NULL
-  UNION ALL SELECT 'own-lookback', 'TYPE', 'inverse_vol', {list(TICKERS)}, 'ALL', DATE '1995-01-01', 100000, 4000),
-wanted AS (SELECT run_id, panel_id, start, 'ticker' AS what, unnest(tickers) AS ticker FROM r UNION ALL SELECT run_id, panel_id, start, 'benchmark', benchmark FROM r),
+  UNION ALL SELECT run_id, 'TYPE', tickers, benchmark, start, "end", capital, weighting, lookback FROM own)),{windows("faulty", "faulty_bench")},
+wanted AS (SELECT run_id, panel_id, source, start, "end", 'ticker' AS what, unnest(tickers) AS ticker FROM r UNION ALL SELECT run_id, panel_id, source, start, "end", 'benchmark', benchmark FROM r),
 firsts AS (SELECT 'ticker' AS what, panel_id, ticker, min(date) FILTER (WHERE close IS NOT NULL) AS first FROM p GROUP BY ALL UNION ALL SELECT 'benchmark', panel_id, ticker, min(date) FILTER (WHERE close IS NOT NULL) FROM b GROUP BY ALL),
+odd AS (SELECT DISTINCT w.run_id, w.ticker, CASE WHEN twice THEN 'ticker with repeated days' ELSE 'ticker with infinite prices' END AS rule
+  FROM wanted w JOIN faulty f ON w.what = 'ticker' AND f.source = w.source AND f.ticker = w.ticker AND f.date BETWEEN w.start AND w."end" WHERE twice OR close = 'inf'::DOUBLE),
 kept AS (SELECT panel_id, count(*) FILTER (WHERE kept) AS kept FROM p_share GROUP BY panel_id),
-shared AS (SELECT panel_id, count(DISTINCT date) AS shared, count(*) FILTER (WHERE close <= 0) AS bad FROM panel GROUP BY panel_id),
+shared AS (SELECT panel_id, count(DISTINCT date) AS shared, count(*) FILTER (WHERE close <= 0) AS bad, count(*) FILTER (WHERE close = 'inf'::DOUBLE) AS endless FROM panel GROUP BY panel_id),
 complete AS (SELECT panel_id, count(*) AS complete FROM p_clean GROUP BY panel_id),
 by_panel AS (
   SELECT panel_id, CASE WHEN kept = 0 THEN 'no ticker left' WHEN complete IS NULL THEN 'no date left' WHEN coalesce(shared, 0) < 2 THEN 'fewer than two shared dates' END AS rule
   FROM kept LEFT JOIN complete USING (panel_id) LEFT JOIN shared USING (panel_id)
-  UNION ALL SELECT panel_id, 'non-positive prices' FROM shared WHERE bad > 0 UNION ALL SELECT panel_id, 'fewer than two dates' FROM shared WHERE shared < 2),
-days AS (SELECT run_id, panel_id, lookback, date, place FROM r JOIN (SELECT panel_id, date, row_number() OVER (PARTITION BY panel_id ORDER BY date) - 1 AS place FROM (SELECT DISTINCT panel_id, date FROM panel)) USING (panel_id)
+  UNION ALL SELECT panel_id, 'non-positive prices' FROM shared WHERE bad > 0 UNION ALL SELECT panel_id, 'fewer than two dates' FROM shared WHERE shared < 2 UNION ALL SELECT panel_id, 'infinite prices' FROM shared WHERE endless > 0),
+valid AS (SELECT * FROM r WHERE run_id NOT IN ('own-capital', 'own-infinite')),
+days AS (SELECT run_id, panel_id, lookback, date, place FROM valid JOIN (SELECT panel_id, date, row_number() OVER (PARTITION BY panel_id ORDER BY date) - 1 AS place FROM (SELECT DISTINCT panel_id, date FROM panel)) USING (panel_id)
   WHERE weighting = 'inverse_vol' AND place >= lookback),
 trades AS (SELECT run_id, panel_id, lookback, date FROM (SELECT *, max(date) OVER (PARTITION BY run_id, date_trunc('month', date)) AS month_end, min(date) OVER (PARTITION BY run_id) AS lo, max(date) OVER (PARTITION BY run_id) AS hi FROM days)
   WHERE date = lo OR date = month_end AND date < hi),
-rets AS (SELECT panel_id, ticker, date, close / lag(close) OVER (PARTITION BY panel_id, ticker ORDER BY date) - 1 AS ret FROM panel WHERE panel_id <> 'SUNK'),
+rets AS (SELECT panel_id, ticker, date, close / lag(close) OVER (PARTITION BY panel_id, ticker ORDER BY date) - 1 AS ret FROM panel SEMI JOIN (SELECT panel_id FROM r WHERE source NOT IN ('SUNK', 'ENDLESS')) USING (panel_id)),
 sigmas AS (SELECT panel_id, date, max(sigma) AS sigma FROM (SELECT panel_id, date, stddev_samp(ret) OVER (PARTITION BY panel_id, ticker ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW) AS sigma FROM rets) GROUP BY ALL),
 sizes AS (SELECT panel_id, count(DISTINCT date) AS n FROM panel GROUP BY panel_id),
 problems AS (
   SELECT run_id, 'initial_capital not positive' AS rule, NULL AS subject FROM r WHERE capital <= 0
-  UNION ALL SELECT run_id, 'panel without prices', panel_id FROM r WHERE panel_id NOT IN (SELECT panel_id FROM p)
+  UNION ALL SELECT * FROM (VALUES ('own-twice', 'run_id duplicated', NULL), (NULL, 'run_id missing', NULL), ('own-infinite', 'initial_capital not finite', NULL))
+  UNION ALL SELECT run_id, 'panel without prices', source FROM r WHERE panel_id NOT IN (SELECT panel_id FROM p)
   UNION ALL SELECT run_id, what || CASE WHEN first IS NULL THEN ' without prices' ELSE ' starts late' END, ticker FROM wanted LEFT JOIN firsts USING (what, panel_id, ticker) WHERE first IS NULL OR first > start + 7
   UNION ALL SELECT run_id, 'benchmark dropped', benchmark FROM r JOIN b_share s ON s.panel_id = r.panel_id AND s.ticker = r.benchmark WHERE NOT kept
-  UNION ALL SELECT run_id, rule, panel_id FROM r JOIN by_panel USING (panel_id) WHERE rule IS NOT NULL
-  UNION ALL SELECT run_id, 'a ticker of a custom run was dropped', ticker FROM (SELECT run_id, panel_id, unnest(tickers) AS ticker FROM r WHERE weighting = 'custom') ANTI JOIN panel USING (panel_id, ticker)
-  UNION ALL SELECT run_id, 'history too short for the lookback', coalesce(n, 0)::VARCHAR FROM r LEFT JOIN sizes USING (panel_id) WHERE weighting = 'inverse_vol' AND coalesce(n, 0) <= lookback + 1
+  UNION ALL SELECT run_id, rule, ticker FROM odd
+  UNION ALL SELECT run_id, rule, source FROM r JOIN by_panel USING (panel_id) WHERE rule IS NOT NULL
+  UNION ALL SELECT run_id, 'a ticker of a custom run was dropped', ticker FROM (SELECT run_id, panel_id, unnest(tickers) AS ticker FROM valid WHERE weighting = 'custom') ANTI JOIN panel USING (panel_id, ticker)
+  UNION ALL SELECT run_id, 'history too short for the lookback', coalesce(n, 0)::VARCHAR FROM valid LEFT JOIN sizes USING (panel_id) WHERE weighting = 'inverse_vol' AND coalesce(n, 0) <= lookback + 1
   UNION ALL SELECT run_id, 'no ticker with a usable deviation', date::VARCHAR FROM trades JOIN sigmas USING (panel_id, date) WHERE coalesce(sigma, 0) <= 0)"""
 
 BRANDS = f"brands AS ({prices('p_brand')}),{cleaning('brands', 'c')}"
@@ -305,6 +350,7 @@ last AS (SELECT calendar_id, frequency, max(date) AS rebalance_date FROM d GROUP
 SELECT calendar_id, frequency, rebalance_date FROM last JOIN ends USING (calendar_id) WHERE rebalance_date > lo AND rebalance_date < hi""",
     "weights_equal": weights_sql("equal"), "weights_custom": weights_sql("custom"), "weights_inverse_vol": weights_sql("inverse_vol"),
     "nav_daily": f"""WITH {NAV} SELECT run_id, date, {rounds({"portfolio_value": 2, "portfolio_return": 8, "benchmark_value": 2, "benchmark_return": 8, "turnover": 8, "costs_paid": 4})} FROM nav""",
+    "windowed_nav": f"""WITH {valued(WINDOW_RUNS)} SELECT run_id, date, {rounds({"portfolio_value": 2, "portfolio_return": 8, "benchmark_value": 2, "benchmark_return": 8, "turnover": 8, "costs_paid": 4})} FROM nav""",
     "comparison_table": f"WITH {NAV}, {BOTH} SELECT run_id, series, {rounds(dict.fromkeys(MEASURE_DIGITS, 6))} FROM ({measures('both_series', 'run_id, series')})",
     "headline": f"""WITH {NAV}, {BOTH}, m AS ({measures("both_series", "run_id, series")}),
 facts AS (SELECT run_id, max_by(portfolio_value, date) AS final_value, max_by(benchmark_value, date) AS benchmark_final, max_by(portfolio_value, date) / min_by(portfolio_value, date) - 1 AS total_return,
@@ -317,8 +363,8 @@ SELECT run_id, round(sum(costs_paid), 4) AS total_cost, round(min_by(costs_paid,
   round(coalesce(avg(turnover) FILTER (WHERE turnover > 0 AND date > lo), 0), 8) AS mean_turnover, round(sum(costs_paid) / {CAPITAL}, 8) AS cost_share FROM nav JOIN firsts USING (run_id) GROUP BY run_id""",
     "run_window": f"WITH {NAV} SELECT run_id, min(date) AS first_date, max(date) AS last_date, count(*) AS days, min(date) > DATE '1995-01-01' AS starts_late FROM nav GROUP BY run_id",
     "run_problems": f"WITH {PROBLEMS} SELECT DISTINCT run_id, rule, subject FROM problems",
-    "sound_run_values": f"""WITH {NAV}, t AS (SELECT split_part(run_id, '-', 1) AS w, max(date) AS last_date, round(max_by(portfolio_value, date), 2) AS final_value, round(min(portfolio_value), 2) AS least_value FROM nav WHERE run_id LIKE '%-monthly-10' GROUP BY 1)
-SELECT 'TYPE-' || w AS run_id, last_date, final_value, least_value FROM t UNION ALL SELECT 'FLAT-' || w, last_date, {CAPITAL} * 0.999, {CAPITAL} * 0.999 FROM t WHERE w <> 'inverse_vol'""",
+    "sound_run_values": f"""WITH {valued(SOUND_RUNS, FAULTY, "faulty", "faulty_bench")}
+SELECT run_id, max(date) AS last_date, round(max_by(portfolio_value, date), 2) AS final_value, round(min(portfolio_value), 2) AS least_value FROM nav GROUP BY run_id""",
     "measures_of_runs": f"""WITH {NAV}, {BOTH}, wide AS ({measures("both_series", "run_id, series")}), long AS (
   {" UNION ALL ".join(f"SELECT run_id, series, '{m}' AS measure, round({m}, 6) AS value FROM wide" for m in MEASURE_DIGITS)})
 SELECT run_id, measure, max(value) FILTER (WHERE series = 'portfolio') AS portfolio, max(value) FILTER (WHERE series = 'benchmark') AS benchmark FROM long GROUP BY run_id, measure""",

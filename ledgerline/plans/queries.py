@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from functools import partial
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,7 +96,7 @@ def universe_window(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def missing_tickers(spark: SparkSession, sf: str) -> DataFrame:
-    return P.missing_tickers(T.prices_by(spark, sf, "p_name"), weekly_universe(spark, sf))
+    return P.missing_tickers(T.prices_by(spark, sf, "p_name"), written(weekly_universe(spark, sf), "universe"))
 
 
 def brand_panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +108,7 @@ def clean_panel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dropped_tickers(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(clean.ticker_shares(clean.filled(clean.grid(brand_panel(spark, sf)))))
+    return rounded(clean.ticker_shares(brand_panel(spark, sf)))
 
 
 #: The configured start of the brands' panel: prices may begin a week later.
@@ -124,12 +125,18 @@ def panel_facts(spark: SparkSession, sf: str) -> DataFrame:
     return clean.panel_facts(brand_panel(spark, sf))
 
 
+def every_day(panel: DataFrame) -> DataFrame:
+    """A row for each of a panel's dates and tickers; close is NULL where there is none."""
+    dates, tickers = panel.select("panel_id", "date").distinct(), panel.select("panel_id", "ticker").distinct()
+    return dates.join(tickers, "panel_id").join(panel, ["panel_id", "ticker", "date"], "left")
+
+
 def panel_violations(spark: SparkSession, sf: str) -> DataFrame:
     """Users as panels of event types: their grids have missing and zero values and odd dates."""
     raw = T.table(spark, sf, "events").select("user_id", "event_type", "ts", "value", "event_id")
     day = raw.groupBy(F.col("user_id").cast("string").alias("panel_id"), F.col("event_type").alias("ticker"), F.to_date("ts").alias("date")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("close"))
     day = written(day, "days")
-    return clean.panel_violations(clean.grid(day.where("ticker <> 'error'")), day.where("ticker = 'error'"))
+    return clean.panel_violations(every_day(day.where("ticker <> 'error'")), day.where("ticker = 'error'"))
 
 
 def aligned_dates(spark: SparkSession, sf: str) -> DataFrame:
@@ -237,18 +244,23 @@ def run_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Panels that are wrong in one way each, and the day from which the late one has prices.
-FAULTS, LATE_DAY = ("FLAT", "SUNK", "LATE", "THIN", "SHORT", "APART", "NONE", "BENCH"), dt.date(1995, 6, 1)
+FAULTS, LATE_DAY = ("FLAT", "SUNK", "LATE", "THIN", "SHORT", "APART", "NONE", "BENCH", "HOLES", "ENDLESS", "TWICE"), dt.date(1995, 6, 1)
 
 
 def faulty_prices(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Prices of part types, and their benchmark, once as they are (TYPE) and once for each of FAULTS: FLAT never
     moves, SUNK goes below zero, LATE begins in LATE_DAY's month, THIN lacks every other day of each ticker, SHORT has
-    a benchmark on one day only and APART one on other days, NONE has no price at all, BENCH lacks much of its benchmark."""
+    a benchmark on one day only and APART one on other days, NONE has no price at all, BENCH lacks much of its benchmark, HOLES has NaN for
+    every 20th day's price (which is no fault: the day before's is carried on), ENDLESS an infinite price and TWICE two prices of PROMO in January 1996."""
     kind, odd = F.col("panel_id"), F.pmod(F.datediff("date", F.lit(dt.date(1990, 1, 1))), F.lit(20)) < 10
     panels = F.explode(F.array(*map(F.lit, ("TYPE", *FAULTS)))).alias("panel_id")
     prices = type_prices(spark, sf).select(panels, "ticker", "date", "close")
     close = F.when(kind == "FLAT", 100.0).when(kind == "SUNK", F.col("close") - 105).when((kind == "THIN") & odd, None).when(kind == "NONE", None).otherwise(F.col("close"))
+    close = F.when((kind == "HOLES") & (F.pmod(F.datediff("date", F.lit(dt.date(1990, 1, 1))), F.lit(20)) == 0), float("nan")).otherwise(close)
+    promo = (F.col("ticker") == "PROMO") & (F.trunc("date", "month") == WINDOW[0])
+    close = F.when((kind == "ENDLESS") & promo, float("inf")).otherwise(close)
     prices = prices.withColumn("close", close).where((kind != "LATE") | (F.col("date") >= LATE_DAY))
+    prices = prices.withColumn("again", F.explode(F.sequence(F.lit(1), F.when((kind == "TWICE") & promo, 2).otherwise(1)))).drop("again")
     other = T.benchmark_prices(spark, sf).select(panels, "ticker", "date", "close")
     other = other.where((kind != "SHORT") | (F.col("date") == WINDOW[0])).withColumn("date", F.when(kind == "APART", F.date_add("date", 36_500)).otherwise(F.col("date")))
     return prices, other.withColumn("close", F.when((kind == "BENCH") & odd, None).otherwise(F.col("close")))
@@ -264,6 +276,9 @@ def faulty_runs(spark: SparkSession) -> DataFrame:
         equal.withColumns({"run_id": F.lit("own-ticker"), "tickers": F.array(F.lit("PROMO"), F.lit("GONE"))}), equal.withColumns({"run_id": F.lit("own-benchmark"), "benchmark": F.lit("GONE")}),
         equal.withColumns({"run_id": F.lit("own-start"), "start": F.lit(dt.date(1990, 1, 1))}), equal.withColumns({"run_id": F.lit("own-capital"), "initial_capital": F.lit(0.0)}),
         base.where("weighting = 'inverse_vol'").withColumns({"run_id": F.lit("own-lookback"), "lookback_days": F.lit(4000)}),
+        equal.withColumn("run_id", F.lit("own-twice")), equal.withColumns({"run_id": F.lit("own-twice"), "initial_capital": F.lit(5000.0)}), equal.withColumn("run_id", F.lit(None).cast("string")),
+        equal.withColumns({"run_id": F.lit("own-infinite"), "initial_capital": F.lit(float("inf"))}), equal.withColumns({"run_id": F.lit("own-order"), "tickers": F.reverse("tickers")}),
+        base.where("panel_id = 'TYPE'").withColumns({"run_id": F.concat(F.lit("own-window-"), "weighting"), "start": F.lit(WINDOW[0]), "end": F.lit(WINDOW[1])}),
     ]
     for rows in own:
         panels = panels.unionByName(rows)
@@ -329,6 +344,27 @@ def benchmark_value(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows.select("date", (CAPITAL * F.col("close") / first).alias("benchmark_value"), F.coalesce("ret", F.lit(0.0)).alias("benchmark_return")), {"benchmark_value": 4})
 
 
+#: Tickers that runs on windows of their own ask for, by place in TICKERS, and their days.
+SUBSETS = ((0, 1, 2, 3, 4, 5), (0, 2, 4), (5, 1), (3,))
+SPANS = ((dt.date(1995, 1, 1), dt.date(2001, 12, 31)), (dt.date(1996, 3, 15), dt.date(1996, 12, 31)), WINDOW)
+
+
+def window_runs(spark: SparkSession) -> DataFrame:
+    """Runs of every scheme on several sets of tickers and several windows of one stored panel."""
+    rows = []
+    for (i, places), (j, (start, end)), w in product(enumerate(SUBSETS), enumerate(SPANS), specs.WEIGHTINGS):
+        tickers = [TICKERS[k] for k in places]
+        custom = [(k + 1) / sum(range(len(tickers) + 1)) for k in range(len(tickers))] if w == "custom" else None
+        rows.append((f"{i}-{j}-{w}", "TYPE", tickers, "ALL", start, end, CAPITAL, w, "monthly", RF, 10.0, custom, 21 + 21 * j if w == "inverse_vol" else None))
+    return spark.createDataFrame(rows, schemas.RUN_SPEC)
+
+
+def windowed_nav(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily values of runs that differ in tickers and days, from one table of prices."""
+    checked = guard.checked(window_runs(spark), panel_of(type_prices(spark, sf), "TYPE"), panel_of(T.benchmark_prices(spark, sf), "TYPE"))
+    return rounded(checked.nav_daily(), NAV_DIGITS)
+
+
 # --- stored tables ----------------------------------------------------------------------------
 
 
@@ -391,7 +427,7 @@ QUERIES = {
     for f in (
         instrument_summary, universe_window, missing_tickers, clean_panel, dropped_tickers, coverage_violations, panel_facts, panel_violations, aligned_dates,
         daily_returns, drawdown_curve, drawdown_episodes, top_drawdowns, rolling_sharpe, monthly_grid, instrument_measures, instrument_measures_long,
-        rebalance_calendar, nav_daily, comparison_table, headline, cost_summary, run_window, run_violations, run_problems, sound_run_values, measures_of_runs, spec_keys, spec_violations, spec_normalised, stored_prices, stored_nav, stored_horizons, safe_names, benchmark_value,
+        rebalance_calendar, nav_daily, windowed_nav, comparison_table, headline, cost_summary, run_window, run_violations, run_problems, sound_run_values, measures_of_runs, spec_keys, spec_violations, spec_normalised, stored_prices, stored_nav, stored_horizons, safe_names, benchmark_value,
         bootstrap_draws, bootstrap_horizons, bootstrap_fan,
     )
 } | {

@@ -62,13 +62,29 @@ def write_result(df: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
+def in_windows(rows: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (keys, date, ...) joined with each of ``windows`` (keys, start, end, ...) that holds their date.
+
+    A window of up to 2^k days has level k and lies in at most two of that level's buckets of 2^k days. Rows are looked up in
+    their bucket of every level in use, so a key's rows meet the windows of their own time and length only, however many there
+    are of others, and a key that most windows ask for is many join keys. ``windows`` is read twice: write it before if it is dear."""
+    days = F.datediff("end", "start") + 1
+    level = F.when(days > 1, F.ceil(F.log2(days.cast("double"))).cast("int")).otherwise(0)
+    bucket = lambda day, of: F.floor(F.unix_date(day) / F.pow(F.lit(2.0), of)).cast("int")
+    asked = windows.where("start <= end").withColumn("level_", level)
+    levels = sorted(r[0] for r in asked.select("level_").distinct().collect())  # 23 at most: dates have 4-digit years
+    asked = asked.withColumn("bucket_", F.explode(F.array_distinct(F.array(bucket("start", F.col("level_")), bucket("end", F.col("level_"))))))
+    places = F.array(*(F.struct(F.lit(k).alias("level_"), bucket("date", F.lit(k)).alias("bucket_")) for k in levels))
+    found = rows.select("*", F.inline(places if levels else places.cast("array<struct<level_:int,bucket_:int>>"))).join(asked, [*keys, "level_", "bucket_"])
+    return found.where(F.col("date").between(F.col("start"), F.col("end"))).drop("level_", "bucket_")
+
+
 def universe_prices(prices: DataFrame, universe: DataFrame) -> DataFrame:
     """Prices of the requested tickers in their window. ``universe``: panel_id, ticker, start, end."""
-    rows = prices.join(universe, "ticker").where(F.col("date").between(F.col("start"), F.col("end")))
-    return rows.select("panel_id", "ticker", "date", "close")
+    return in_windows(prices, universe, ["ticker"]).select("panel_id", "ticker", "date", "close")
 
 
 def missing_tickers(prices: DataFrame, universe: DataFrame) -> DataFrame:
     """Requested tickers without any price in their window."""
-    have = universe_prices(prices, universe).where(F.col("close").isNotNull()).select("panel_id", "ticker").distinct()
+    have = universe_prices(prices.where("close IS NOT NULL"), universe).select("panel_id", "ticker").distinct()
     return universe.join(have, ["panel_id", "ticker"], "left_anti").select("panel_id", "ticker")

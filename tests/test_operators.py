@@ -184,7 +184,7 @@ def test_cleaning(spark):
     full = [10.0] * 100
     gap = lambda at, n: [None if at <= i < at + n else 10.0 for i in range(100)]
     panel = panel_frame(spark, {"FULL": full, "GAP5": gap(10, 5), "GAP6": gap(30, 6), "TEN": gap(50, 15), "MORE": gap(50, 16), "LEAD": gap(0, 3), "LATE": gap(0, 9), "NONE": [None] * 100}, days)
-    share = {r["ticker"]: (round(r["missing_share"], 4), r["kept"]) for r in clean.ticker_shares(clean.filled(clean.grid(panel))).collect()}
+    share = {r["ticker"]: (round(r["missing_share"], 4), r["kept"]) for r in clean.ticker_shares(panel).collect()}
     assert share["GAP5"] == (0, True) and share["GAP6"] == (0.01, True) and share["TEN"] == (0.10, True) and share["MORE"] == (0.11, False) and share["NONE"] == (1, False)
     kept = {(r["ticker"], r["date"]) for r in clean.cleaned(panel).collect()}
     assert {t for t, _ in kept} == {"FULL", "GAP5", "GAP6", "TEN", "LEAD", "LATE"}
@@ -196,6 +196,118 @@ def test_cleaning(spark):
     assert (facts["dates"], facts["tickers"], facts["tickers_kept"], facts["complete_dates"]) == (100, 8, 6, 80)
 
 
+def cleaned_by_hand(rows, fill=clean.FILL_ROWS, limit=clean.MISSING_LIMIT):
+    """The rows that cleaning keeps, from a full grid. ``rows``: panel, ticker, date, close."""
+    out = {}
+    for panel in {p for p, *_ in rows}:
+        mine = [(t, d, c) for p, t, d, c in rows if p == panel]
+        dates, tickers = sorted({d for _, d, _ in mine}), sorted({t for t, _, _ in mine})
+        grid = {(t, d): None for t in tickers for d in dates} | {(t, d): c for t, d, c in mine}
+        full = {}
+        for t in tickers:
+            last, age = None, 0
+            for d in dates:
+                if grid[t, d] is not None:
+                    last, age = grid[t, d], 0
+                else:
+                    age += 1
+                full[t, d] = last if age <= fill else None
+        kept = [t for t in tickers if sum(full[t, d] is None for d in dates) / len(dates) <= limit]
+        for d in dates if kept else []:
+            if all(full[t, d] is not None for t in kept):
+                out |= {(panel, t, d): full[t, d] for t in kept}
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_spans_are_the_grid(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for panel, n, tickers in (("P", 90, 6), ("Q", 40, 3), ("ONE", 1, 1), ("EMPTY", 5, 2)):
+        days = b_days("2020-01-01", n)
+        for t in range(tickers):
+            hole = rng.choice([0.0, 0.02, 0.3])
+            gap = rng.randrange(n)
+            for i, d in enumerate(days):
+                if gap <= i < gap + rng.choice([4, 6, 9]) or rng.random() < hole / 2:
+                    continue
+                rows.append((panel, f"T{t}", d, None if panel == "EMPTY" or rng.random() < hole else float(i + t)))
+    frame = spark.createDataFrame(rows, "panel_id string, ticker string, date date, close double").repartition(5)
+    got = {(r["panel_id"], r["ticker"], r["date"]): r["close"] for r in clean.cleaned(frame).collect()}
+    assert got == cleaned_by_hand(rows) and len(got) == clean.cleaned(frame).count()
+    holes = frame.withColumn("close", F.coalesce("close", F.lit(float("nan"))))
+    assert {(r["panel_id"], r["ticker"], r["date"]): r["close"] for r in clean.cleaned(holes).collect()} == got
+
+
+def test_rows_in_windows(spark):
+    rng = random.Random(4)
+    day = lambda k: dt.date(1969, 12, 1) + dt.timedelta(k)
+    rows = [(rng.choice("AB"), day(rng.randrange(400)), i) for i in range(300)]
+    asked = [(w, rng.choice("ABC"), day(lo), day(lo + n)) for w, (lo, n) in enumerate((rng.randrange(380), rng.choice([-2, 0, 1, 6, 7, 8, 31, 200, 4000])) for _ in range(60))]
+    left = spark.createDataFrame(rows, "ticker string, date date, x int")
+    right = spark.createDataFrame(asked, "w int, ticker string, start date, end date")
+    got = sorted((r["w"], r["x"]) for r in P.in_windows(left, right, ["ticker"]).collect())
+    assert got == sorted((w, x) for w, t, lo, hi in asked for u, d, x in rows if t == u and lo <= d <= hi)
+    assert P.in_windows(left, right.where("false"), ["ticker"]).collect() == []
+
+
+def test_each_run_has_its_own_universe_and_window(spark):
+    rng = random.Random(8)
+    days = b_days("2020-01-01", 400)
+    prices = {t: [100.0] for t in "ABC"} | {"OTHER": [100.0]}
+    for p in prices.values():
+        while len(p) < len(days):
+            p.append(p[-1] * (1 + rng.gauss(0, 0.01)))
+    late = days.index(dt.date(2020, 6, 1))
+    sparse = {t: [v if t != "C" or i >= late else None for i, v in enumerate(p)] for t, p in prices.items()}  # C would be late, or drop dates, elsewhere
+    panel, bench = panel_frame(spark, sparse, days), panel_frame(spark, {"BM": [50 + i for i in range(400)], "B2": [1.0] * 400}, days)
+    lo, hi = dt.date(2020, 6, 1), dt.date(2020, 9, 30)
+    runs = spec(
+        spark, {"run_id": "ab", "tickers": ["A", "B"], "end": days[-1]}, {"run_id": "ba", "tickers": ["B", "A"], "end": days[-1]}, {"run_id": "a", "tickers": ["A"], "end": days[-1]},
+        {"run_id": "summer", "tickers": ["A", "B", "C"], "start": lo, "end": hi}, {"run_id": "c", "tickers": ["C"], "end": days[-1]}, {"run_id": "b2", "tickers": ["A"], "end": days[-1], "benchmark": "B2"},
+        {"run_id": "custom", "tickers": ["C", "A"], "start": lo, "end": hi, "weighting": "custom", "custom_weights": [0.8, 0.2]},
+    )
+    checked = guard.checked(runs, panel, bench)
+    assert {tuple(r) for r in checked.problems.collect()} == {("c", "ticker starts late", "C"), ("c", "no ticker left", "P")}
+    got = {(r["run_id"], r["date"]): r for r in checked.nav_daily().collect()}
+    for run, tickers, a, b, scheme, custom in (
+        ("ab", "AB", days[0], days[-1], "equal", None), ("ba", "AB", days[0], days[-1], "equal", None), ("a", "A", days[0], days[-1], "equal", None), ("summer", "ABC", lo, hi, "equal", None), ("custom", "AC", lo, hi, "custom", [0.2, 0.8]),
+    ):
+        inside = [i for i, d in enumerate(days) if a <= d <= b]
+        want = by_loop({t: [prices[t][i] for i in inside] for t in tickers}, [days[i] for i in inside], scheme, "monthly", 0.001, 0, custom)
+        assert [d for r, d in sorted(got) if r == run] == [d for d, *_ in want]
+        for day, value, turnover in want:
+            assert got[run, day]["portfolio_value"] == pytest.approx(value, rel=1e-12) and got[run, day]["turnover"] == pytest.approx(turnover, abs=1e-12)
+    assert got["b2", days[-1]]["benchmark_value"] == 100_000 and got["a", days[-1]]["benchmark_value"] == pytest.approx(100_000 * 449 / 50)
+    windows = {r["run_id"]: r["panel_id"] for r in checked.runs.collect()}
+    assert windows["ab"] == windows["ba"] and len(set(windows.values())) == 5
+
+
+def test_what_the_guard_refuses(spark, toy):
+    panel, other = toy
+    day = F.col("date") == "2020-01-10"
+    twice = panel.unionByName(panel.where(day & (F.col("ticker") == "A")).withColumn("close", F.lit(1.0)))
+    runs = spec(
+        spark, {"run_id": "good"}, {"run_id": "r"}, {"run_id": "r", "initial_capital": 5000.0}, {"run_id": None}, {"run_id": None, "initial_capital": 0.0}, {"run_id": "endless", "initial_capital": float("inf")},
+        {"run_id": "nan", "risk_free_rate": float("nan")}, {"run_id": "b", "tickers": ["B"]}, {"run_id": "no days", "start": None}, {"run_id": "no tickers", "tickers": None},
+    )
+    checked = guard.checked(runs, panel, other)
+    rules = {(r["run_id"], r["rule"]) for r in checked.problems.collect()}
+    assert rules == {
+        ("r", "run_id duplicated"), (None, "run_id missing"), (None, "initial_capital not positive"), ("endless", "initial_capital not finite"), ("nan", "risk_free_rate missing"),
+        ("no days", "start not a date"), ("no tickers", "tickers missing"),
+    }
+    assert {r["run_id"] for r in checked.runs.collect()} == {r["run_id"] for r in checked.nav_daily().collect()} == {"good", "b"}
+    for bad, rule in ((twice, "ticker with repeated days"), (panel.withColumn("close", F.when(day & (F.col("ticker") == "A"), float("inf")).otherwise(F.col("close"))), "ticker with infinite prices")):
+        checked = guard.checked(runs, bad, other)
+        assert ("good", rule, "A") in {tuple(r) for r in checked.problems.collect()} and {r["run_id"] for r in checked.nav_daily().collect()} == {"b"}
+    hole = panel.withColumn("close", F.when(day, float("nan")).otherwise(F.col("close")))
+    value = lambda c: {(r["run_id"], r["date"]): r["portfolio_value"] for r in c.nav_daily().collect()}
+    assert value(guard.checked(runs, hole, other)) == value(guard.checked(runs, panel, other))  # carried on from the day before
+    found = {r["rule"] for r in clean.panel_violations(twice.withColumn("close", F.when(day & (F.col("ticker") == "B"), float("inf")).when(F.col("date") == "2020-01-13", float("nan")).otherwise(F.col("close"))), other).collect()}
+    assert found == {"repeated prices", "infinite prices", "missing prices"}
+
+
 def test_panels_do_not_mix(spark):
     days = b_days("2020-01-01", 20)
     one, two = panel_frame(spark, {"A": [1.0] * 20}, days, "one"), panel_frame(spark, {"A": [1.0] * 5}, days[:5], "two")
