@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.sources.prices import UNREADABLE
+
 # The names that a run definition may use.
 WEIGHTINGS = ("equal", "custom", "inverse_vol")
 REBALANCES = ("none", "monthly", "quarterly", "annual")
 DEFAULT_BENCHMARK = "SPY"
 SUM_TOLERANCE = 1e-6
+#: The column of the rules of types that a definition breaks, as sources.prices.parsed_specs finds them.
+WRONG = "wrong_types"
 
 
 def iso_date(text: Column) -> Column:
@@ -71,7 +75,17 @@ def broken_rules(specs: DataFrame) -> Column:
         rules["run_id duplicated"] = c("run_id").isNotNull() & (c(COPIES) > 1)
     if "unknown_keys" in specs.columns:
         rules["unknown keys"] = F.size("unknown_keys") > 0
-    return F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())))
+    found = lambda names: F.array_compact(F.array(*(F.when(rules[name], F.lit(name)) for name in names)))
+    if WRONG not in specs.columns:
+        return found(rules)
+    # A value of the wrong type breaks that rule and no other of its key, and matters only where its key does.
+    wrong, always = c(WRONG), ("initial_capital", "risk_free_rate", "transaction_cost_bps", "tickers")
+    of_key = {name: next((k for k in (*always, "custom_weights", "lookback_days") if name.startswith(k)), None) for name in rules}
+    for name, key in of_key.items():
+        if key:
+            rules[name] = rules[name] & ~F.exists(wrong, lambda w: w.startswith(f"{key} not a"))  # noqa: B023
+    needed = F.filter(wrong, lambda w: (custom | ~w.startswith("custom_weights")) & (inverse | ~w.startswith("lookback_days")))
+    return F.when(F.array_contains(wrong, UNREADABLE), wrong).otherwise(F.concat(found(rules), needed))
 
 
 #: The number of definitions with a definition's run_id, while rules are looked at.

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgerline.operators import specs
-from ledgerline.plans.queries import BRANDS_FROM, CAPITAL, CUSTOM, FAULTS, LATE_DAY, PATHS, RF, SPANS, SUBSETS, TICKERS, WINDOW
+from ledgerline.plans.queries import BRANDS_FROM, CAPITAL, CORRECTED, CUSTOM, FAULTS, LATE_DAY, PATHS, RF, SPANS, SUBSETS, TICKERS, WINDOW
 
 TAIL = "0.050000000000000044::DOUBLE"
 RATE = f"(pow(1 + {RF}::DOUBLE, 1 / 252::DOUBLE) - 1)"
@@ -217,7 +217,7 @@ _customer = """SELECT c_name AS run_id, CASE WHEN c_custkey % 17 = 3 THEN [] WHE
   CASE c_custkey % 3 WHEN 0 THEN 'monthly' WHEN 1 THEN 'annual' ELSE 'weekly' END AS rebalance, c_nationkey - 2 AS bps, c_custkey % 23 <> 6 AS has_rate,
   CASE WHEN c_custkey % 24 = 9 THEN [0.5, 0.5] WHEN c_custkey % 8 = 1 THEN [0.25, 0.25, 0.25, 0.25] WHEN c_custkey % 8 = 5 THEN [0.5, 0.25, 0.5, -0.5] END AS w,
   CASE WHEN c_custkey % 12 <> 10 THEN c_custkey % 6 END AS lookback,
-  list_filter([CASE WHEN c_custkey % 10 = 0 THEN 'colour' END, CASE WHEN c_custkey % 15 = 0 THEN 'currency' END], lambda k: k IS NOT NULL) AS keys FROM customer"""
+  list_filter([CASE WHEN c_custkey % 10 = 0 THEN 'colour' END, CASE WHEN c_custkey % 15 = 0 THEN 'currency' END], lambda k: k IS NOT NULL) AS keys, c_custkey % 29 AS odd FROM customer WHERE c_custkey % 29 NOT IN (19, 23)"""
 _rules = {
     "tickers missing": "len(tickers) = 0", "tickers blank": "list_contains(tickers, '')", "tickers duplicated": "len(list_distinct(tickers)) < len(tickers)",
     "start not a date": "start IS NULL", "end not a date": '"end" IS NULL', "start not before end": 'start >= "end"', "risk_free_rate missing": "NOT has_rate",
@@ -228,6 +228,17 @@ _rules = {
     "lookback_days below two": "weighting = 'inverse_vol' AND lookback < 2", "unknown keys": "len(keys) > 0",
 }
 
+# Definitions of the wrong type: each breaks its own rule and no other of its key.
+_wrong = {
+    "initial_capital not a number": ("initial_capital", "odd = 3"), "risk_free_rate not a number": ("risk_free_rate", "odd = 7 AND has_rate"), "lookback_days not a whole number": ("lookback_days", "odd = 11 AND lookback IS NOT NULL"),
+    "tickers not a list": ("tickers", "odd = 13"), "custom_weights not a list of numbers": ("custom_weights", "odd = 17 AND w IS NOT NULL"),
+}
+for _rule, (_key, _odd_type) in _wrong.items():
+    _rules |= {name: f"({rule}) AND NOT ({_odd_type})" for name, rule in _rules.items() if name.startswith(_key)}
+_rules |= {
+    rule: f"{odd}" + {"lookback_days": " AND weighting = 'inverse_vol'", "custom_weights": " AND weighting = 'custom'"}.get(key, "") for rule, (key, odd) in _wrong.items()
+} | {"custom_weights not one per ticker": f"{_rules['custom_weights not one per ticker']} AND odd <> 13"}
+
 _panels = ("TYPE", *FAULTS)
 _odd = "(date - DATE '1990-01-01') % 20 < 10"
 
@@ -369,7 +380,10 @@ SELECT run_id, max(date) AS last_date, round(max_by(portfolio_value, date), 2) A
   {" UNION ALL ".join(f"SELECT run_id, series, '{m}' AS measure, round({m}, 6) AS value FROM wide" for m in MEASURE_DIGITS)})
 SELECT run_id, measure, max(value) FILTER (WHERE series = 'portfolio') AS portfolio, max(value) FILTER (WHERE series = 'benchmark') AS benchmark FROM long GROUP BY run_id, measure""",
     "spec_keys": f"SELECT run_id, array_to_string(keys, '|') AS unknown_keys FROM ({_customer}) WHERE len(keys) > 0",
-    "stored_prices": f"""WITH brands AS ({prices("p_brand")}) SELECT ticker, date, round(CASE WHEN year(date) IN (1996, 1998) THEN 2 ELSE 1 END * close, 8) AS close FROM brands WHERE date BETWEEN DATE '1995-07-01' AND DATE '{WINDOW[1]}'""",
+    "stored_prices": f"""WITH brands AS ({prices("p_brand")}), stored AS (
+  SELECT ticker, date, CASE WHEN year(date) IN (1995, 1998) THEN 2 * close WHEN date = DATE '{CORRECTED}' THEN close + 1 ELSE close END AS close, close AS first_close FROM brands
+  UNION ALL SELECT DISTINCT 'NEW', date, 7, NULL FROM brands WHERE date = DATE '{CORRECTED}')
+SELECT ticker, date, round(close, 8) AS close, round(first_close, 8) AS first_close FROM stored WHERE date BETWEEN DATE '1995-07-01' AND DATE '{WINDOW[1]}'""",
     "stored_nav": f"WITH {NAV} SELECT run_id, count(*) AS days, round(sum(costs_paid), 2) AS costs, max(date) AS last_date FROM nav GROUP BY run_id",
     "stored_horizons": f"WITH {TYPE_RETURNS} SELECT ticker, year(date)::INTEGER AS year, round(product(1 + ret) - 1, 8) AS ret FROM rets WHERE ret IS NOT NULL GROUP BY 1, 2",
     "safe_names": """SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'ticker' ELSE trim(regexp_replace(replace(c_name, '#', '/') || '_' || c_mktsegment, '[^A-Za-z0-9]+', '_', 'g'), '_') || '_X' END AS name FROM customer""",
@@ -377,8 +391,9 @@ SELECT run_id, measure, max(value) FILTER (WHERE series = 'portfolio') AS portfo
 specs AS (SELECT w || '-' || f || '-' || b AS run_id, w FROM (SELECT unnest({list(specs.WEIGHTINGS)}) AS w), (SELECT unnest({list(specs.REBALANCES)}) AS f), (SELECT unnest([0, 10]) AS b))
 SELECT run_id, 'a ticker of a custom run was dropped' AS rule, ticker AS subject FROM specs, (SELECT unnest({list(TICKERS)}) AS ticker) WHERE w = 'custom' AND ticker NOT IN (SELECT ticker FROM y_clean)
 UNION ALL SELECT run_id, 'history too short for the lookback', CAST(n AS VARCHAR) FROM specs, (SELECT count(DISTINCT date) AS n FROM y_clean) WHERE w = 'inverse_vol' AND n <= 4001""",
-    "spec_violations": f"WITH s AS ({_customer}) " + " UNION ALL ".join(f"SELECT run_id, '{name}' AS rule FROM s WHERE {rule}" for name, rule in _rules.items()),
-    "spec_normalised": f"""WITH s AS ({_customer}) SELECT run_id, array_to_string(tickers, '|') AS tickers, benchmark, start, "end", weighting, rebalance FROM s""",
+    "spec_violations": f"WITH s AS ({_customer}) " + " UNION ALL ".join(f"SELECT run_id, '{name}' AS rule FROM s WHERE {rule}" for name, rule in _rules.items()) + " UNION ALL SELECT DISTINCT NULL, 'line unreadable' FROM customer WHERE c_custkey % 29 IN (19, 23)",
+    "spec_unreadable": """SELECT left(CASE WHEN c_custkey % 29 = 23 THEN '[' ELSE '' END || '{"run_id":"' || c_name || '","panel_id":"P"', 40) AS line FROM customer WHERE c_custkey % 29 IN (19, 23)""",
+    "spec_normalised": f"""WITH s AS ({_customer}) SELECT run_id, CASE WHEN odd <> 13 THEN array_to_string(tickers, '|') END AS tickers, benchmark, start, "end", weighting, rebalance FROM s""",
     "benchmark_value": f"""WITH bench AS ({BENCHMARK}) SELECT date, round({CAPITAL} * close / first_value(close) OVER v, 4) AS benchmark_value, round(coalesce(close / lag(close) OVER v - 1, 0), 8) AS benchmark_return FROM bench WINDOW v AS (ORDER BY date)""",
     "bootstrap_draws": f"""WITH {NUMBERED}, {draws_sql(50, 252, "SELECT DISTINCT n_obs FROM numbered")} SELECT n_obs, path, sum(idx)::BIGINT AS sum_idx, min(idx) AS low, max(idx) AS high FROM draws GROUP BY n_obs, path""",
     "daily_close_from_ticks": ticks_sql("event_type"), "daily_close_by_user": ticks_sql("user_id"),

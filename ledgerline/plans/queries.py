@@ -13,6 +13,7 @@ from ledgerline import schemas
 from ledgerline.functions import measures as M
 from ledgerline.operators import calendar, clean, guard, resample, series, specs, valuation, weights
 from ledgerline.sources import prices as P
+from ledgerline.sources import store
 from ledgerline.sources import tables as T
 from ledgerline.sources.staging import fresh_path, written
 
@@ -311,13 +312,18 @@ def customer_lines(spark: SparkSession, sf: str) -> DataFrame:
     doubles = lambda *x: F.array(*map(F.lit, x))
     custom = F.when(key % 24 == 9, doubles(0.5, 0.5)).when(key % 8 == 1, doubles(0.25, 0.25, 0.25, 0.25)).when(key % 8 == 5, doubles(0.5, 0.25, 0.5, -0.5))
     start = F.get(F.array(*map(F.lit, STARTS)), (key % len(STARTS)).cast("int"))
-    return T.table(spark, sf, "customer").select(F.to_json(F.struct(
+    lines = T.table(spark, sf, "customer").select(key.alias("key"), F.to_json(F.struct(
         F.col("c_name").alias("run_id"), F.lit("P").alias("panel_id"), names.alias("tickers"), F.when(key % 2 == 0, "spx ").alias("benchmark"),
         start.alias("start"), F.when(key % 19 == 5, "never").when(key % 5 == 0, "1994-01-01").otherwise("2000-12-31").alias("end"),
         F.col("c_acctbal").alias("initial_capital"), weighting.alias("weighting"), rebalance.alias("rebalance"), F.when(key % 23 != 6, F.lit(RF)).alias("risk_free_rate"),
         (F.col("c_nationkey") - 2).cast("double").alias("transaction_cost_bps"), custom.alias("custom_weights"), F.when(key % 12 != 10, key % 6).cast("int").alias("lookback_days"),
         F.when(key % 10 == 0, "blue").alias("colour"), F.when(key % 15 == 0, 1).alias("currency"),
     )).alias("line"))
+    k, line = F.col("key"), F.col("line")
+    wrong = F.when(k % 29 == 3, F.regexp_replace(line, '"initial_capital":[-0-9.E]+', '"initial_capital":true')).when(k % 29 == 7, F.regexp_replace(line, '"risk_free_rate":[0-9.]+', '"risk_free_rate":"0.02"'))
+    wrong = wrong.when(k % 29 == 11, F.regexp_replace(line, '"lookback_days":([0-9]+)', '"lookback_days":$1.5')).when(k % 29 == 13, F.regexp_replace(line, '"tickers":[^\\]]*\\]', '"tickers":"A"'))
+    wrong = wrong.when(k % 29 == 17, F.regexp_replace(line, '"custom_weights":\\[', '"custom_weights":[null,')).when(k % 29 == 19, F.substring(line, 1, 70)).when(k % 29 == 23, F.concat(F.lit("["), line, F.lit("]")))
+    return lines.select(F.coalesce(wrong, line).alias("line"))
 
 
 def customer_specs(spark: SparkSession, sf: str) -> DataFrame:
@@ -325,7 +331,7 @@ def customer_specs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spec_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """The keys that definitions must not have."""
+    """The keys that readable definitions must not have."""
     return customer_specs(spark, sf).select("run_id", F.array_join("unknown_keys", "|").alias("unknown_keys")).where("unknown_keys <> ''")
 
 
@@ -333,8 +339,15 @@ def spec_violations(spark: SparkSession, sf: str) -> DataFrame:
     return specs.violations(specs.normalised(customer_specs(spark, sf)))
 
 
+def spec_unreadable(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of a written file that hold no JSON object."""
+    path = fresh_path(spark, "lines")
+    customer_lines(spark, sf).withColumnRenamed("line", "value").write.text(path)
+    return P.read_unreadable(spark, path).select(F.left("value", F.lit(40)).alias("line"))
+
+
 def spec_normalised(spark: SparkSession, sf: str) -> DataFrame:
-    out = specs.normalised(customer_specs(spark, sf))
+    out = specs.normalised(customer_specs(spark, sf)).where("run_id IS NOT NULL")
     return out.select("run_id", F.array_join("tickers", "|").alias("tickers"), "benchmark", "start", "end", "weighting", "rebalance")
 
 
@@ -368,14 +381,22 @@ def windowed_nav(spark: SparkSession, sf: str) -> DataFrame:
 # --- stored tables ----------------------------------------------------------------------------
 
 
+#: The day of which stored prices are corrected.
+CORRECTED = dt.date(1996, 7, 4)
+
+
 def stored_prices(spark: SparkSession, sf: str) -> DataFrame:
-    """Prices of brands written by year, two of the years replaced, and a range of dates read again."""
+    """Prices of brands stored by year, two of the years replaced, one day of a third corrected and a new ticker's day added; a
+    range of dates of the last version, beside what the first version has there."""
     path = fresh_path(spark, "stored-prices")
     prices = T.prices_by(spark, sf, "p_brand")
-    P.write_prices(prices, path)
-    again = prices.where(F.year("date").isin(1996, 1998)).withColumn("close", F.col("close") * 2)
-    P.write_prices(again, path)
-    return rounded(P.read_prices(spark, path, dt.date(1995, 7, 1), WINDOW[1]))
+    first = store.upsert(prices, path)
+    store.upsert(prices.where(F.year("date").isin(1995, 1998)).withColumn("close", F.col("close") * 2), path)
+    day = prices.where(F.col("date") == CORRECTED)
+    store.upsert(day.withColumn("close", F.col("close") + 1).unionByName(day.limit(1).withColumns({"ticker": F.lit("NEW"), "close": F.lit(7.0)})), path)
+    last = store.read_prices(spark, path, dt.date(1995, 7, 1), WINDOW[1])
+    before = store.read_prices(spark, path, dt.date(1995, 7, 1), WINDOW[1], first).withColumnRenamed("close", "first_close")
+    return rounded(last.join(before, ["ticker", "date"], "left"))
 
 
 def stored_nav(spark: SparkSession, sf: str) -> DataFrame:
@@ -427,7 +448,7 @@ QUERIES = {
     for f in (
         instrument_summary, universe_window, missing_tickers, clean_panel, dropped_tickers, coverage_violations, panel_facts, panel_violations, aligned_dates,
         daily_returns, drawdown_curve, drawdown_episodes, top_drawdowns, rolling_sharpe, monthly_grid, instrument_measures, instrument_measures_long,
-        rebalance_calendar, nav_daily, windowed_nav, comparison_table, headline, cost_summary, run_window, run_violations, run_problems, sound_run_values, measures_of_runs, spec_keys, spec_violations, spec_normalised, stored_prices, stored_nav, stored_horizons, safe_names, benchmark_value,
+        rebalance_calendar, nav_daily, windowed_nav, comparison_table, headline, cost_summary, run_window, run_violations, run_problems, sound_run_values, measures_of_runs, spec_keys, spec_violations, spec_unreadable, spec_normalised, stored_prices, stored_nav, stored_horizons, safe_names, benchmark_value,
         bootstrap_draws, bootstrap_horizons, bootstrap_fan,
     )
 } | {

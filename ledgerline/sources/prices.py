@@ -1,9 +1,7 @@
-"""Price tables: normalise, select, read and write."""
+"""Prices and run definitions: normalise, select and read (sources/store.py stores prices)."""
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,36 +22,54 @@ def safe_name(ticker: Column) -> Column:
     return F.coalesce(F.nullif(name, F.lit("")), F.lit("ticker"))
 
 
-#: Tasks that write one year, each a bucket of tickers.
-WRITERS_PER_YEAR = 16
+def read_specs(spark: SparkSession, path: str) -> DataFrame:
+    """Run definitions, one JSON object per line, as ``parsed_specs`` has them; blank lines are none."""
+    return parsed_specs(spec_lines(spark, path), "value")
 
 
-def write_prices(prices: DataFrame, path: str, writers: int = WRITERS_PER_YEAR) -> None:
-    """One folder per year; only the years present in ``prices`` are replaced. A year is written by up to ``writers`` tasks."""
-    out = prices.withColumn("year", F.year("date"))
-    bucket = F.pmod(F.xxhash64("ticker"), F.lit(writers))
-    out = out.repartition("year", bucket).sortWithinPartitions("year", "ticker", "date")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+def spec_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
 
 
-def read_prices(spark: SparkSession, path: str, start: dt.date, end: dt.date) -> DataFrame:
-    """Stored prices from ``start`` to ``end``, both included; only the years needed are read."""
-    rows = spark.read.schema(schemas.PRICES + ", year int").parquet(path)
-    wanted = F.col("year").between(start.year, end.year) & F.col("date").between(F.lit(start), F.lit(end))
-    return rows.where(wanted).select("ticker", "date", "close")
+def read_unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """file and value of the lines that hold no JSON object."""
+    return spec_lines(spark, path).where(~is_object(F.try_parse_json("value"))).select("file", "value")
 
 
-def read_specs(spark: SparkSession, path: str) -> DataFrame:
-    """Run definitions, one JSON object per line; unknown_keys has the keys that are none of a definition's."""
-    return parsed_specs(spark.read.text(path), "value")
+#: Rule of a line that holds no JSON object.
+UNREADABLE = "line unreadable"
+NUMBER = "^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"
+
+
+def is_object(value: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
 
 
 def parsed_specs(lines: DataFrame, column: str) -> DataFrame:
-    """The definitions in a column of JSON objects; a line that is none gives a row of NULLs."""
+    """The definitions in a column of JSON objects. A value of the wrong type is NULL, and wrong_types has the rule that it
+    breaks: a boolean or a text is no number, 63.5 and 63.0 are no whole numbers, a null is neither. unknown_keys has the keys that
+    are none of a definition's. A text that is no object gives a row of NULLs with the rule UNREADABLE."""
     known = [field.split()[0] for field in schemas.RUN_SPEC_RAW.split(", ")]
-    rows = lines.select(F.from_json(column, schemas.RUN_SPEC_RAW).alias("s"), F.json_object_keys(column).alias("keys"))
+    rows = lines.select(F.try_parse_json(column).alias("v"), F.json_object_keys(column).alias("keys"))
+    get = lambda key, kind: F.try_variant_get("v", f"$.{key}", kind)
+    kind = lambda key: F.schema_of_variant(get(key, "variant"))
+    is_list = lambda key: kind(key).startswith("ARRAY")
+    numbers = is_list("custom_weights") & F.forall(get("custom_weights", "array<variant>"), lambda x: F.coalesce(F.schema_of_variant(x).rlike(NUMBER), F.lit(False)))
+    typed = {name: kind(name).rlike(NUMBER) for name in ("initial_capital", "risk_free_rate", "transaction_cost_bps")}
+    wrong = {f"{name} not a number": ~ok for name, ok in typed.items()} | {
+        "tickers not a list": ~is_list("tickers"), "custom_weights not a list of numbers": (kind("custom_weights") != "VOID") & ~numbers,
+        "lookback_days not a whole number": kind("lookback_days") != "BIGINT",
+    }
+    found = F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in wrong.items())))
+    values = {field.split()[0]: get(*field.split()) for field in schemas.RUN_SPEC_RAW.split(", ")}
+    values |= {name: F.when(ok, values[name]) for name, ok in typed.items()} | {"tickers": F.when(is_list("tickers"), values["tickers"]), "custom_weights": F.when(numbers, values["custom_weights"])}
+    values["lookback_days"] = F.when(kind("lookback_days") == "BIGINT", F.least(get("lookback_days", "bigint"), F.lit(2**31 - 1)).cast("int"))
     unknown = F.array_sort(F.array_except("keys", F.array(*map(F.lit, known))))
-    return rows.select("s.*", F.coalesce(unknown, F.array().cast("array<string>")).alias("unknown_keys"))
+    none = F.array().cast("array<string>")
+    return rows.select(
+        *(values[name].alias(name) for name in known), F.when(is_object(F.col("v")), F.coalesce(unknown, none)).otherwise(none).alias("unknown_keys"),
+        F.when(is_object(F.col("v")), found).otherwise(F.array(F.lit(UNREADABLE))).alias("wrong_types"),
+    )
 
 
 def write_result(df: DataFrame, path: str, by: str | None = None) -> None:

@@ -1,6 +1,7 @@
 """Hand-derived cases, a day-by-day loop, and invariants."""
 
 import datetime as dt
+import json
 import math
 import random
 
@@ -11,6 +12,7 @@ from ledgerline import schemas
 from ledgerline.functions import measures as M
 from ledgerline.operators import calendar, clean, guard, resample, series, specs, valuation, weights
 from ledgerline.sources import prices as P
+from ledgerline.sources import store
 
 
 def b_days(start: str, n: int) -> list[dt.date]:
@@ -431,9 +433,9 @@ def test_ticks_sources_and_sinks(spark, tmp_path):
     rows = [("A", dt.datetime(2020, 1, 1, 9), 1.0, 1), ("A", dt.datetime(2020, 1, 1, 23, 59), 2.0, 2), ("A", dt.datetime(2020, 1, 1, 10), 3.0, 3), ("B", dt.datetime(2021, 5, 5), float("nan"), 1)]
     got = P.normalised_ticks(spark.createDataFrame(rows, schemas.PRICES_RAW))
     assert {tuple(r) for r in got.collect()} == {("A", dt.date(2020, 1, 1), 3.0), ("B", dt.date(2021, 5, 5), None)}
-    P.write_prices(got, f"{tmp_path}/prices")
-    P.write_prices(got.where("ticker = 'B'"), f"{tmp_path}/prices")  # 2020 stays
-    assert P.read_prices(spark, f"{tmp_path}/prices", dt.date(2020, 1, 1), dt.date(2020, 12, 31)).count() == 1
+    store.upsert(got, f"{tmp_path}/prices")
+    store.upsert(got.where("ticker = 'B'"), f"{tmp_path}/prices")  # 2020 stays
+    assert store.read_prices(spark, f"{tmp_path}/prices", dt.date(2020, 1, 1), dt.date(2020, 12, 31)).count() == 1
     universe = spark.createDataFrame([("P", "A", dt.date(2020, 1, 1), dt.date(2020, 1, 1)), ("P", "B", dt.date(2020, 1, 1), dt.date(2022, 1, 1)), ("P", "C", dt.date(2020, 1, 1), dt.date(2022, 1, 1))], "panel_id string, ticker string, start date, end date")
     assert {r["ticker"] for r in P.missing_tickers(got, universe).collect()} == {"B", "C"}
     names = {"^BRK/B=X ": "BRK_B_X", "BRK-B": "BRK_B", "^^": "ticker", "": "ticker", "a.b": "a_b"}
@@ -447,6 +449,65 @@ def test_ticks_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
 
 
+def test_typed_definitions(spark, tmp_path):
+    good = dict(run_id="g", panel_id="P", tickers=["A", "B"], start="2020-01-01", end="2020-12-31", initial_capital=1000, weighting="inverse_vol", rebalance="none", risk_free_rate=0.02, transaction_cost_bps=5, lookback_days=63)
+    cases = {
+        "g": ({}, set()), "bool": ({"initial_capital": True}, {"initial_capital not a number"}), "text": ({"risk_free_rate": "0.02"}, {"risk_free_rate not a number"}), "null": ({"transaction_cost_bps": None}, {"transaction_cost_bps not a number"}),
+        "half": ({"lookback_days": 63.5}, {"lookback_days not a whole number"}), "float": ({"lookback_days": 63.0}, {"lookback_days not a whole number"}), "unused": ({"weighting": "equal", "lookback_days": "x", "custom_weights": "x"}, set()),
+        "list": ({"tickers": "A"}, {"tickers not a list"}), "mixed": ({"weighting": "custom", "custom_weights": [0.5, "x"]}, {"custom_weights not a list of numbers"}), "two": ({"initial_capital": [], "lookback_days": 1}, {"initial_capital not a number", "lookback_days below two"}),
+        "numbers": ({"tickers": [1, 2]}, set()), "huge": ({"lookback_days": 10**15}, set()), "whole": ({"weighting": "custom", "custom_weights": [1, 0]}, set()), "big": ({"initial_capital": 1e300}, set()),
+    }
+    lines = [json.dumps(good | change | {"run_id": name}) for name, (change, _) in cases.items()] + ['{"run_id": "cut", "initial', "[1]", "3", "  ", '{"run_id": 1, "run_id": 2}']
+    (tmp_path / "runs.json").write_text("\n".join(lines))
+    normal = specs.normalised(P.read_specs(spark, f"{tmp_path}/runs.json"))
+    found = {}
+    for r in specs.violations(normal).collect():
+        found.setdefault(r["run_id"], set()).add(r["rule"])
+    assert found == {name: rules for name, (_, rules) in cases.items() if rules} | {None: {"line unreadable"}}
+    assert {r["run_id"] for r in specs.sound(normal).collect()} == {name for name, (_, rules) in cases.items() if not rules}
+    bad = P.read_unreadable(spark, f"{tmp_path}/runs.json").collect()
+    assert [r["value"] for r in bad] == [lines[-5], "[1]", "3", lines[-1]] and bad[0]["file"].endswith("runs.json")
+    assert {r["run_id"]: r["lookback_days"] for r in normal.collect()}["huge"] == 2**31 - 1
+
+
+def test_upserts_keep_all_other_rows(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/store"
+    day = lambda y, k: dt.date(y, 3, 1) + dt.timedelta(k)
+    frame = lambda rows: spark.createDataFrame(rows, schemas.PRICES)
+    rows = {(t, day(y, k)): float(k) for t in "AB" for y in (2019, 2020) for k in range(5)}
+    read = lambda n=None: {(r["ticker"], r["date"]): r["close"] for r in store.read_prices(spark, path, dt.date(2019, 1, 1), dt.date(2021, 12, 31), n).collect()}
+    assert read() == {} and store.upsert(frame([]), path) == 0
+    assert store.upsert(frame([(*k, v) for k, v in rows.items()]), path) == 1
+    fixed = store.read_prices(spark, path, dt.date(2019, 1, 1), dt.date(2021, 12, 31))
+    assert store.upsert(frame([("A", day(2020, 2), 99.0), ("C", day(2021, 0), None), ("B", day(2020, 1), 5.0), ("B", day(2020, 1), 6.0), (None, day(2018, 0), 1.0)]), path) == 2
+    after = rows | {("A", day(2020, 2)): 99.0, ("C", day(2021, 0)): None, ("B", day(2020, 1)): 6.0}
+    assert read() == after and read(1) == rows and fixed.count() == len(rows)
+    # a job that dies before its version is made
+    with monkeypatch.context() as m:
+        m.setattr(store.Files, "create", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.upsert(frame([("A", day(2019, 0), -1.0)]), path)
+    assert read() == after and store.version(spark, path).number == 2
+    # another writer comes first: both changes are in
+    create, rival = store.Files.create, [True]
+
+    def slower(self, name, text):
+        if rival:
+            rival.clear()
+            store.upsert(frame([("A", day(2019, 1), 1.5)]), path)
+        return create(self, name, text)
+
+    with monkeypatch.context() as m:
+        m.setattr(store.Files, "create", slower)
+        assert store.upsert(frame([("A", day(2019, 0), -1.0)]), path) == 4
+    after |= {("A", day(2019, 1)): 1.5, ("A", day(2019, 0)): -1.0}
+    assert read() == after
+    store.remove_unused(spark, path)
+    assert read() == after and len(list((tmp_path / "store" / "data").iterdir())) == 2
+    with pytest.raises(ValueError, match="no version 1"):
+        read(1)
+
+
 def test_streaming_closes(spark, tmp_path):
     from ledgerline.streaming.ticks import streaming_closes
 
