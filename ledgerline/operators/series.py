@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import measures as M
+from ledgerline.operators import moments
 
 ROLLING_DAYS, TOP = 252, 3
 MEASURES = (
@@ -57,10 +58,10 @@ def top_episodes(returns: DataFrame, keys: list[str], n: int = TOP) -> DataFrame
 
 def rolling_sharpe(returns: DataFrame, keys: list[str], rf: Column, days: int = ROLLING_DAYS) -> DataFrame:
     """NULL until the window holds ``days`` returns, and where its deviation is zero."""
-    w = Window.partitionBy(*keys).orderBy("date").rowsBetween(-(days - 1), 0)
-    excess = F.col("ret") - M.daily_rate(rf)
-    value = F.try_divide(F.avg(excess).over(w), F.stddev_samp(excess).over(w)) * sqrt(M.DAYS)
-    return returns.withColumn("rolling_sharpe", F.when(F.count("ret").over(w) == days, value))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("date"))
+    rows = moments.trailing(returns.withColumn("place", place), keys, F.col("ret") - M.daily_rate(rf), days)
+    value = F.try_divide(F.col("state.mean"), moments.deviation(F.col("state"))) * sqrt(M.DAYS)
+    return rows.withColumn("rolling_sharpe", F.when(F.col("state.n") == days, value)).drop("place", "state")
 
 
 def monthly_returns(returns: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators import moments
 from ledgerline.operators.series import daily_returns
 
 
@@ -25,14 +26,14 @@ def custom_weights(trades: DataFrame, specs: DataFrame) -> DataFrame:
 
 def trailing_volatility(asked: DataFrame, panel: DataFrame) -> DataFrame:
     """``asked`` (panel_id, rebalance_date, lookback_days) with ticker and sigma, the sample deviation of the ticker's
-    last ``lookback_days`` returns up to the date. Only the rows in the windows asked for are joined, each window as
-    so many places, so any number of settings goes through one plan."""
-    w = Window.partitionBy("panel_id", "ticker").orderBy("date")
-    rets = daily_returns(panel, ["panel_id", "ticker"]).select("panel_id", "ticker", "date", "ret", F.row_number().over(w).alias("place"))
-    at = asked.distinct().join(rets.select("panel_id", "ticker", F.col("date").alias("rebalance_date"), F.col("place").alias("last")), ["panel_id", "rebalance_date"])
-    places = F.sequence(F.greatest(F.col("last") - F.col("lookback_days") + 1, F.lit(1)), F.col("last"))
-    rows = at.where("lookback_days > 0").withColumn("place", F.explode(places)).join(rets.drop("date"), ["panel_id", "ticker", "place"])
-    return rows.groupBy("panel_id", "rebalance_date", "lookback_days", "ticker").agg(F.stddev_samp("ret").alias("sigma"))
+    last ``lookback_days`` returns up to the date; any number of lookbacks goes through one plan (operators/moments.py)."""
+    series = ["panel_id", "ticker"]
+    w = Window.partitionBy(*series).orderBy("date")
+    asked = asked.distinct()
+    rets = daily_returns(panel.join(asked.select("panel_id").distinct(), "panel_id", "left_semi"), series).select(*series, "date", "ret", F.row_number().over(w).alias("place"))
+    at = asked.join(rets.select(*series, F.col("date").alias("rebalance_date"), "place"), ["panel_id", "rebalance_date"])
+    states = moments.trailing_at(at.withColumnRenamed("lookback_days", "length"), rets.drop("date"), series, F.col("ret"))
+    return states.select("panel_id", "rebalance_date", F.col("length").alias("lookback_days"), "ticker", moments.deviation(F.col("state")).alias("sigma"))
 
 
 def refused_dates(trades: DataFrame, panel: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ import datetime as dt
 import json
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline import schemas
 from ledgerline.functions import measures as M
-from ledgerline.operators import calendar, clean, guard, resample, series, specs, valuation, weights
+from ledgerline.operators import calendar, clean, guard, moments, resample, series, specs, valuation, weights
 from ledgerline.sources import prices as P
 from ledgerline.sources import store
 
@@ -181,6 +182,36 @@ def test_rolling_and_months(spark):
     assert grid[2020]["m1"] == pytest.approx(math.prod(1 + x for x in jan) - 1) and grid[2021]["m12"] is None
 
 
+def test_trailing_moments(spark):
+    rng = random.Random(9)
+    wild = lambda i: 1e6 if i % 97 == 5 else 0.25 if 100 <= i < 150 else None if i % 41 == 7 else rng.gauss(1e-4, 1e-2)
+    values = {k: [wild(i) for i in range(n)] for k, n in (("a", 400), ("b", 30), ("c", 1))}
+    rows = spark.createDataFrame([(k, i + 1, v) for k, vs in values.items() for i, v in enumerate(vs)], "id string, place int, x double").repartition(3)
+
+    def want(k, place, length):
+        x = [v for v in values[k][max(0, place - length) : place] if v is not None]
+        mean = sum(map(Fraction, x)) / len(x) if x else 0
+        return len(x), mean, math.sqrt(sum((Fraction(v) - mean) ** 2 for v in x) / (len(x) - 1)) if len(x) > 1 else None
+
+    def same(r, length):
+        n, mean, sd = want(r["id"], r["place"], length)
+        assert (r["n"] or 0) == n and (n == 0 or r["mean"] == pytest.approx(float(mean), rel=1e-12, abs=1e-15))
+        assert r["sd"] is None if sd is None else r["sd"] == 0 if sd == 0 else r["sd"] == pytest.approx(sd, rel=1e-12)
+
+    told = ["id", "place", "state.n", "state.mean", moments.deviation(F.col("state")).alias("sd")]
+    for length in (1, 2, 7, 63):
+        got = moments.trailing(rows, ["id"], F.col("x"), length).select(*told).collect()
+        assert len(got) == 431
+        for r in got:
+            same(r, length)
+    asked = [(k, length, p) for k, vs in values.items() for length in (2, 21, 50, 500) for p in rng.sample(range(1, len(vs) + 1), min(len(vs), 25))]
+    got = moments.trailing_at(spark.createDataFrame(asked, "id string, length int, place int"), rows, ["id"], F.col("x")).select("length", *told).collect()
+    assert sorted((r["id"], r["length"], r["place"]) for r in got) == sorted(asked)
+    for r in got:
+        same(r, r["length"])
+    assert want("a", 150, 21)[2] == 0  # among them a window of equal values
+
+
 def test_cleaning(spark):
     days = b_days("2020-01-01", 100)
     full = [10.0] * 100
