@@ -52,7 +52,7 @@ def entropy_spans(s: str, base: int = 0) -> list[tuple[int, int]]:
     if len(s) < WINDOW:
         return []
     counts: dict[str, int] = {}
-    classes, total, spans, allowed = [0, 0, 0, 0], 0.0, [], None
+    classes, total, spans, allowed, near = [0, 0, 0, 0], 0.0, [], None, 0
     for i, c in enumerate(s):
         k = counts.get(c, 0)
         total += _CLOG[k + 1] - _CLOG[k]
@@ -70,7 +70,9 @@ def entropy_spans(s: str, base: int = 0) -> list[tuple[int, int]]:
                 lo, hi = i - WINDOW + 1, i + 1
                 if allowed is None:
                     allowed = [m.span() for m in ALLOW.finditer(s)]
-                if any(a < hi and lo < b for a, b in allowed):
+                while near < len(allowed) and allowed[near][1] <= lo:  # windows move to the right only
+                    near += 1
+                if near < len(allowed) and allowed[near][0] < hi:
                     continue
                 if spans and base + lo <= spans[-1][1]:
                     spans[-1] = (spans[-1][0], base + hi)
