@@ -10,7 +10,8 @@ longest that fits. If a gap remains, its smallest piece (its only one, maybe) is
 pieces that fill the gap so expanded best, if they fill more. Pieces of one length are alike, so the
 search runs over the 4096 lengths, kept as bits of an integer.
 
-Null texts count as empty (one id, the end id); repeated rows are packed each for itself.
+Null texts count as empty (one id, the end id). Every row is a document of its own: repeated rows, and rows without an id
+(whose pieces have a null doc_id), are packed each for itself. An empty table gives no pieces, and other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from .common import map_rows, read, text_or_empty, written
 from .token_counts import as_letters, byte_letters, library
 
 CAPACITY, END_ID, GROUP = 4096, 1, 50_000
-#: Chunks, and words, whose ids a task keeps: the first ones it meets, among which the frequent ones are.
-CACHE = 250_000
+#: Chunks, and words, whose ids a task keeps: the first ones it meets, among which the frequent ones are. Longer ones (texts
+#: without spaces, say) are encoded each time, so what a task keeps is bounded in bytes.
+CACHE, SHORT = 250_000, 32
 #: Texts with other characters, or with what may be a special string, are encoded whole by the library.
 UNSAFE = re.compile("[^\x00-\x1b\x20-˿]|<\\|")
 
@@ -48,7 +50,7 @@ class Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         got = b"".join(map(self.word, self.pre.findall(chunk)))
-        if len(self) < CACHE:
+        if len(chunk) <= SHORT and len(self) < CACHE:
             self[chunk] = got
         return got
 
@@ -69,7 +71,7 @@ class Encoder:
         got = self.words.get(w)
         if got is None:
             got = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(as_letters(w, self.letters)))
-            if len(self.words) < CACHE:
+            if len(w) <= SHORT and len(self.words) < CACHE:
                 self.words[w] = got
         return got
 

@@ -6,7 +6,8 @@ pre-tokens among them count one without any merging, and only the rest is merged
 Texts are cut before each space first, and counts of such chunks are kept in a bounded cache.
 A chunk with characters beyond U+02FF goes to the library. Where a cut could change the pre-tokens (a space
 between white space), or where a text holds a special string, the whole text goes another way: regular
-expression over the whole text or the library itself. Null texts count as empty: 0 tokens.
+expression over the whole text or the library itself. Null texts count as empty: 0 tokens. Each row has its own result,
+repeated rows and rows without an id too; an empty table gives none, and other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, read, text_or_empty
 
-#: Chunks, and pre-tokens, whose counts a task keeps: the first ones it meets, among which the frequent ones are.
-CACHE = 300_000
+#: Chunks, and pre-tokens, whose counts a task keeps: the first ones it meets, among which the frequent ones are. Longer ones
+#: (texts without spaces, say) are counted each time, so what a task keeps is bounded in bytes: CACHE * SHORT characters twice.
+CACHE, SHORT = 300_000, 32
 #: A space where cutting before it could split one pre-token.
 UNSAFE_CUT = re.compile(r"\s (?:\s|\Z)")
 #: Outside this range letters' classes may differ between Unicode versions.
@@ -85,7 +87,7 @@ class Chunks(dict):
     def __missing__(self, chunk: str) -> int:
         c = self.counter
         n = len(c.tok.encode(chunk, add_special_tokens=False)) if UNSAFE_CHAR.search(chunk) else c.merged(c.pre.findall(chunk))
-        if len(self) < CACHE:
+        if len(chunk) <= SHORT and len(self) < CACHE:
             self[chunk] = n
         return n
 
@@ -111,7 +113,7 @@ class Counter:
         n = self.kept.get(token)
         if n is None:
             n = len(self.model.tokenize(as_letters(token, self.letters)))
-            if len(self.kept) < CACHE:
+            if len(token) <= SHORT and len(self.kept) < CACHE:
                 self.kept[token] = n
         return n
 
