@@ -1,11 +1,13 @@
 """Benchmark decontamination by size-partitioned MinHash containment, by DataFrame functions only.
 
 A test item with n different five-word shingles leaks into a document that holds at least
-CONTAINED of them. Items are partitioned by size, in powers of two; an item's sketch is its
-bottom-k MinHash: the k shingles of smallest hash, with k the same in a partition and so large
-that an item above the threshold can't miss all of them (n - ceil(0.8 n) + 1 at its largest n).
-Documents are searched for the sketches' hashes only, however long they are, and no leak is
-lost. Candidates are verified by exact containment of the shingles' words.
+CONTAINED of them, so of any k of its shingles the document lacks n - ceil(0.8 n) at most. Items are
+partitioned by size, in powers of two; an item's sketch is its bottom-k MinHash with k the same in a
+partition: n - ceil(0.8 n) at its largest n, and n / MORE + 1 above that. A document is a candidate for an item if it holds all but
+n - ceil(0.8 n) of the sketch. Shingles that many items share (a phrase that all questions begin with) come last in the
+order of hashes, by powers of two of the number of items, so that a stock phrase is searched for only where an item
+has hardly anything else. No leak is lost by either: any order of the shingles would do. Documents are searched for the
+sketches' hashes only, however long they are. Candidates are verified by exact containment of the shingles' words.
 
 Words are lower-cased and end at white space. An item of fewer than five words has one shingle,
 its whole sequence; one without words never leaks. Null texts count as empty. Repeated rows of
@@ -16,12 +18,16 @@ back with a null id, equal texts once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, read, sized, written
 
 WORDS, CONTAINED = 5, 0.8
+#: A candidate holds about a MOREth of an item's shingles beyond the first.
+MORE = 8
 #: Sketches and shingles of the test items are broadcast up to this many rows; beyond it they are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -70,15 +76,43 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return rows.join(sizes, "item")
 
 
-def sketches(shingles: DataFrame) -> DataFrame:
-    """item, n_words, h: the bottom-k hashes of each item; an item is small, so its rows can be ranked in one place."""
-    from pyspark.sql import Window
+def may_lack(n: Column) -> Column:
+    """How many of an item's n shingles a document that it leaks into can lack."""
+    return n - F.ceil(F.lit(CONTAINED) * n)
 
+
+def sketches(shingles: DataFrame) -> DataFrame:
+    """item, n_words, h and n_hits: the sketch of each item, and how many of its hashes a candidate has to hold. An item
+    is small, so its rows can be ranked in one place; the items of a shingle are counted before."""
+    spread = shingles.groupBy("n_words", "h").agg(F.floor(F.log2(F.count_distinct("item").cast("double"))).alias("spread"))
     # the largest size in the partition [2^p, 2^(p+1)) that the item is in
     upper = F.pow(F.lit(2.0), F.floor(F.log2(F.col("n_shingles").cast("double"))) + 1) - 1
-    k = upper - F.ceil(F.lit(CONTAINED) * upper) + 1
-    rank = F.row_number().over(Window.partitionBy("item").orderBy("h", "shingle"))
-    return shingles.withColumn("rank", rank).where(F.col("rank") <= k).select("item", "n_words", "h")
+    k = F.least(may_lack(upper) + F.floor(upper / MORE) + 1, F.col("n_shingles"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("spread", "h", "shingle"))
+    rows = shingles.join(spread, ["n_words", "h"]).withColumn("rank", rank).where(F.col("rank") <= k)
+    # Two shingles of one hash are one hit; hashes, not ranks, are counted, so that none is asked for twice.
+    rows = rows.withColumn("same", F.row_number().over(Window.partitionBy("item", "n_words", "h").orderBy("shingle")))
+    hashes = F.count_if(F.col("same") == 1).over(Window.partitionBy("item"))
+    n_hits = F.greatest(hashes - may_lack(F.col("n_shingles")), F.lit(1)).cast("int")
+    return rows.withColumn("n_hits", n_hits).where("same = 1").select("item", "n_words", "h", "n_hits")
+
+
+def document_words(docs: DataFrame) -> DataFrame:
+    return docs.select(identity(docs, "doc_id").alias("doc"), words(F.col("text")).alias("w"))
+
+
+def exploded(source: DataFrame, lengths: list[int], make, name: str) -> DataFrame:
+    """doc, n_words and a row for each shingle of the lengths in use."""
+    parts = [source.select("doc", F.lit(n).alias("n_words"), F.explode(make(F.col("w"), n)).alias(name)) for n in lengths]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def candidates(docs: DataFrame, sketch: DataFrame, lengths: list[int]) -> DataFrame:
+    """doc and item of every document that holds as many hashes of an item's sketch as a leak must."""
+    hits = exploded(document_words(docs), lengths, hashed, "h").join(sketch, ["n_words", "h"])
+    different = hits.groupBy("doc", "item", "n_hits", "n_words", "h").agg(F.lit(1).alias("one"))
+    held = different.groupBy("doc", "item", "n_hits").agg(F.count("*").alias("held"))
+    return held.where(F.col("held") >= F.col("n_hits")).select("doc", "item")
 
 
 def keyed_leaks(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -87,25 +121,15 @@ def keyed_leaks(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCA
     lengths = sorted(r[0] for r in shingles.select("n_words").distinct().collect())  # 1 to WORDS
     sketch = sized(written(sketches(shingles), "sketches"), broadcast_rows)
     doc = free_name(docs, "leak_doc")
-
-    def texts(rows: DataFrame) -> DataFrame:
-        return rows.select(identity(rows, "doc_id").alias("doc"), words(F.col("text")).alias("w"))
-
-    def exploded(source: DataFrame, make, name: str) -> DataFrame:
-        out = None
-        for n in lengths:
-            part = source.select("doc", F.lit(n).alias("n_words"), F.explode(make(F.col("w"), n)).alias(name))
-            out = part if out is None else out.unionByName(part)
-        return out
-
     if not lengths:
         return docs.sparkSession.createDataFrame([], "doc string, item string, n_shingles bigint, n_shared bigint")
-    pairs = written(exploded(texts(docs), hashed, "h").join(sketch, ["n_words", "h"]).select("doc", "item").distinct(), "candidates")
+    pairs = written(candidates(docs, sketch, lengths), "candidates")
     suspects = sized(written(pairs.select(F.col("doc").alias(doc)).distinct(), "suspects"), broadcast_rows)
-    suspects = texts(docs.withColumn(doc, identity(docs, "doc_id")).join(suspects, doc, "left_semi"))
-    found = exploded(suspects, spelled, "shingle").join(sized(shingles, broadcast_rows), ["n_words", "shingle"])
+    suspects = document_words(docs.withColumn(doc, identity(docs, "doc_id")).join(suspects, doc, "left_semi"))
+    found = exploded(suspects, lengths, spelled, "shingle").join(sized(shingles, broadcast_rows), ["n_words", "shingle"])
+    found = found.join(pairs, ["doc", "item"], "left_semi")
     found = found.groupBy("doc", "item", "n_shingles", "shingle").agg(F.lit(1).alias("one")).groupBy("doc", "item", "n_shingles").agg(F.count("*").alias("n_shared"))
-    return found.where(F.col("n_shared") >= F.lit(CONTAINED) * F.col("n_shingles")).join(pairs, ["doc", "item"], "left_semi")
+    return found.where(F.col("n_shared") >= F.lit(CONTAINED) * F.col("n_shingles"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
