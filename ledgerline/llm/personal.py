@@ -50,21 +50,32 @@ RAISED_BY = {
 }
 LOWERED_BY = r"\b(?:order|invoice|isbn|part no|serial|version|ticket)"
 #: What may not stand right before and right after.
-NOT_BEFORE = {"iban": "[A-Za-z0-9]$", "ssn": "[A-Za-z0-9-]$", "local": r"[A-Za-z0-9+][\x20().-]*$"}
+NOT_BEFORE = {"iban": "[A-Za-z0-9]$", "ssn": "[A-Za-z0-9-]$", "local": r"(?:[A-Za-z]|[0-9+][\x20().-]*)$"}
 NOT_AFTER = {"iban": "^[A-Za-z0-9]", "ssn": "^[A-Za-z0-9-]", "local": "^[A-Za-z0-9-]"}
 #: Cheap to look for, and in every text with a proposal.
 HINTS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 KINDS = tuple(PATTERNS)
 
 
+def held(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once: what a lambda mentions is otherwise computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running_sums(values: Column) -> Column:
     """The sum of ``values`` (an array of int) up to and including each place, by chunks of about sqrt(n)."""
     zero, add = F.lit(0), lambda a, x: a + x
-    c = F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(1))
-    chunks = F.transform(F.sequence(zero, F.floor((F.size(values) - 1) / c).cast("int")), lambda j: F.aggregate(F.slice(values, j * c + 1, c), zero, add))
-    before = F.transform(chunks, lambda _, j: F.aggregate(F.slice(chunks, F.lit(1), j), zero, add))
-    of = lambda _, i: F.get(before, F.floor(i / c).cast("int")) + F.aggregate(F.slice(values, F.floor(i / c).cast("int") * c + 1, i % c + 1), zero, add)
-    return F.when(F.size(values) > 0, F.transform(values, of)).otherwise(F.array().cast("array<int>"))
+
+    def by_chunks(v: Column, c: Column) -> Column:
+        chunk_of = lambda i: F.floor(i / c).cast("int")
+        places = F.sequence(zero, F.floor((F.size(v) - 1) / c).cast("int"))
+        of_chunks = F.transform(places, lambda j: F.aggregate(F.slice(v, j * c + 1, c), zero, add))
+        before = held(of_chunks, lambda sums: F.transform(sums, lambda _, j: F.aggregate(F.slice(sums, F.lit(1), j), zero, add)))
+        return held(before, lambda b: F.transform(v, lambda _, i: F.get(b, chunk_of(i)) + F.aggregate(F.slice(v, chunk_of(i) * c + 1, i % c + 1), zero, add)))
+
+    length = lambda v: F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+    sums = held(values, lambda v: held(length(v), lambda c: by_chunks(v, c)))
+    return F.when(F.size(values) > 0, sums).otherwise(F.array().cast("array<int>"))
 
 
 def digits(hit: Column) -> Column:
@@ -115,17 +126,17 @@ def proposals(rows: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumns({f"{k}_gaps": F.when(F.size(f"{k}_hits") > 0, F.split(text, p, -1)).otherwise(none) for k, p in PATTERNS.items()}).drop(text)
 
     def sizes(k: str) -> Column:
-        return F.transform(f"{k}_hits", lambda h, i: F.length(h) + F.length(F.get(f"{k}_gaps", i)))
+        return held(F.col(f"{k}_gaps"), lambda gaps: F.transform(f"{k}_hits", lambda h, i: F.length(h) + F.length(F.get(gaps, i))))
 
     rows = rows.withColumns({f"{k}_sizes": sizes(k) for k in KINDS})
     rows = rows.withColumns({f"{k}_ends": running_sums(F.col(f"{k}_sizes")) for k in KINDS})
 
     def spans(k: str) -> Column:
-        gaps = F.col(f"{k}_gaps")
-        return F.transform(f"{k}_hits", lambda h, i: F.struct(
-            (F.get(f"{k}_ends", i) - F.length(h)).alias("start_pos"), F.get(f"{k}_ends", i).alias("end_pos"), h.alias("hit"),
+        make = lambda ends, gaps: F.transform(f"{k}_hits", lambda h, i: F.struct(
+            (F.get(ends, i) - F.length(h)).alias("start_pos"), F.get(ends, i).alias("end_pos"), h.alias("hit"),
             F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(CONTEXT)).alias("after"),
         ))
+        return held(F.col(f"{k}_ends"), lambda ends: held(F.col(f"{k}_gaps"), lambda gaps: make(ends, gaps)))
 
     used = [f"{k}_{part}" for k in KINDS for part in ("hits", "gaps", "sizes", "ends")]
     return rows.withColumns({k: spans(k) for k in KINDS}).drop(*used)

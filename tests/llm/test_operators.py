@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from math import log2
 
@@ -506,6 +507,16 @@ def test_an_allowed_word_hides_its_windows_only():
     assert secrets.entropy_spans("a_rather_long_variable_name_2024") == [] and secrets.entropy_spans("1234567890-1234567890-12") == []
 
 
+def test_long_candidates_take_linear_time():
+    seconds = {}
+    for n in (50_000, 400_000):
+        for text in ("0123456789abcdefghij" * (n // 20), "0123456789abcdefghijKLMNOPQRSTUVWXYZ98765+/qwertZUIOP" * (n // 53)):
+            began = time.time()
+            secrets.all_spans(text)
+            seconds[n, text[20:21]] = time.time() - began
+    assert all(seconds[400_000, c] < 25 * seconds[50_000, c] + 0.5 for _, c in seconds)
+
+
 def test_secrets_query(spark, sf):
     rows = {r["doc_id"]: r for r in secrets.op7_secret_scan(spark, sf).collect()}
     for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
@@ -583,6 +594,41 @@ def test_rows_without_ids_leak_too(spark):
         assert [r["text"] for r in decontaminate.without_leaks(docs, items, rows).collect()] == ["clean as ever it was before"]
 
 
+def test_a_stock_phrase_makes_no_candidates(spark):
+    rng = random.Random(1)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    stock = "which of the following statements is true about the"
+    items = [(i, f"{stock} {own(12)}") for i in range(300)] + [(300, stock), (301, f"{stock} end")]
+    docs = [(d, f"{own(20)} {stock} {own(20)}") for d in range(400)] + [(400, f"{own(5)} {items[7][1]} {own(5)}"), (401, stock)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    shingles = decontaminate.item_shingles(spark.createDataFrame(items, "item_id bigint, text string"))
+    pairs = decontaminate.candidates(frame, decontaminate.sketches(shingles), [5]).collect()
+    # the two items that are the phrase itself are in every document; the others in theirs only
+    assert {(r["doc"], r["item"]) for r in pairs if r["item"] not in ("i300", "i301")} == {("i400", "i7")}
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert found == {(400, 7)} | {(d, i) for d in range(402) for i in (300, 301)}
+
+
+def test_leaks_by_brute_force(spark):
+    rng = random.Random(2)
+    vocabulary = [f"v{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choices(vocabulary[: rng.choice([3, 12])], k=rng.choice([1, 3, 5, 6, 9, 15, 40])))) for i in range(60)]
+    docs = []
+    for d in range(120):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        docs.append((d, " ".join(rng.choices(vocabulary, k=3) + w + rng.choices(vocabulary, k=3))))
+    grams = lambda t, n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
+    want = set()
+    for i, text in items:
+        mine = grams(text.split(), min(5, len(text.split())))
+        n = len(next(iter(mine)))
+        want |= {(d, i) for d, t in docs if len(grams(t.split(), n) & mine) >= 0.8 * len(mine)}
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) > 100
+
+
 def test_short_items_and_edges(spark):
     items = spark.createDataFrame([(1, "Alpha beta"), (2, " ".join(f"w{i}" for i in range(24))), (3, "")], "item_id bigint, text string")
     words = [f"w{i}" for i in range(24)]
@@ -611,6 +657,17 @@ def test_counts_are_the_librarys(texts):
     assert list(map(counter.count, texts)) == [len(counter.tok.encode(t, add_special_tokens=False)) for t in texts]
 
 
+def test_caches_are_bounded_by_bytes():
+    texts = ["".join(chr(0x4E00 + (i * 7919 + k) % 20_000) for k in range(5000)) for i in range(20)] + ["é" * 3000 + "x" * k for k in range(20)] + ["some plain words"]
+    counter, encoder = token_counts.Counter(token_counts.default_path(), token_counts.whole_tokens(token_counts.default_path())), packing.Encoder(packing.default_path())
+    tok = token_counts.library(token_counts.default_path())
+    for t in texts:
+        assert counter.count(t) == len(tok.encode(t, add_special_tokens=False).ids)
+        encoder.encode(t)
+    kept = [*counter.chunks, *counter.kept, *encoder.kept, *encoder.words]
+    assert 0 < max(map(len, kept)) <= token_counts.SHORT and len(kept) < 50
+
+
 def test_token_query(spark, sf):
     tok = token_counts.library(token_counts.default_path())
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
