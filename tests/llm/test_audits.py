@@ -7,6 +7,7 @@ import time
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,11 +132,10 @@ def by_hand(docs, min_docs, top):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 7, "TILE": 2, "SLICE": 20, "HELD": 50, "BAND_ROWS": 12, "BUFFERED": 60}])
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK": 7, "TILE": 2, "BAND_ROWS": 1}])
 def test_divergence_by_hand(spark, monkeypatch, sizes):
     for name, value in sizes.items():
         monkeypatch.setattr(divergence, name, value)
-    monkeypatch.setattr("ledgerline.llm.common.BATCH_ROWS", 16)
     rng = random.Random(2)
     words = [f"{a}{b}" for a in "abcÉΩ日Z" for b in "xyzÀß"]
     docs = [
@@ -147,6 +147,24 @@ def test_divergence_by_hand(spark, monkeypatch, sizes):
     assert got == by_hand(docs, 8, 6) and len({g for g in got if g[2] == "term"}) > 40
 
 
+def test_buffers_lose_no_term_that_may_rank(monkeypatch):
+    for name, value in {"SLICE": 20, "BAND_ROWS": 12, "BUFFERED": 60}.items():
+        monkeypatch.setattr(divergence, name, value)
+    text = "Ab cde9fgh É日本 " * 9 + "x" * 50 + " end"
+    assert sum(divergence.term_slices(text.encode()), []) == [t.encode() for t in re.findall("[a-z\x80-\U0010ffff]+", text.lower().replace("é", "É"))]
+    rng, rows = random.Random(5), []
+    for i in range(900):
+        n = rng.randrange(1, 40)
+        rows.append((rng.choice("ab"), rng.choice("xyz"), f"t{i}", n, n + rng.choice([0, 1, 40])))
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("lang_n", pa.int64())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[at : at + 100], strict=True), schema, strict=True)], schema=schema) for at in range(0, 900, 100)]
+    left = [tuple(r.values()) for b in divergence.bands(iter(batches), schema, 3) for r in b.to_pylist()]
+    assert len(left) == len(set(left)) < 900 and set(left) <= set(rows)
+    for r in rows:
+        above = sum(o[:2] == r[:2] and o[3] >= r[3] and o[4] <= r[4] and o[2] < r[2] for o in rows)
+        assert above >= 3 or r in set(left)
+
+
 def test_skyband_holds_every_term_that_may_rank():
     rng = np.random.default_rng(3)
     for k in (1, 3, 50):
