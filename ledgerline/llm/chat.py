@@ -7,7 +7,7 @@ escaped reversibly: a backslash goes between ``<`` and ``|`` (and one more where
 The loss mask covers exactly the texts of assistant turns and comes from prefix sums over +1/-1
 marks at the segment borders.
 
-``format_chat`` returns one row per turn in the order (conv_id, turn, then the ids for ties):
+``format_chat`` returns one row per turn in the order (conv_id, turn, then the ids for ties), which ``read_back`` needs:
 conv_id, turn_no from 0, token_from (the turn's offset in its conversation), ids, loss_mask.
 Null roles and texts count as empty, a null conv_id is a conversation of its own, and repeated
 rows are turns of their own. The tokens are made before the shuffle, on rows; after it each

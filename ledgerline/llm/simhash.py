@@ -16,7 +16,8 @@ Texts then link where a half of any of them differs in at most 1 bit, which is w
 together in at most FAR of their bits: the share that shingle sets of similarity 0.8 differ in on average.
 
 Null and empty texts have fingerprint zero and link like any other; repeated rows of one
-doc_id give repeated results; an empty table gives an empty result.
+doc_id give repeated results; an empty table gives an empty result. A row without doc_id links nothing: its component is that of
+the rows with its fingerprint that have an id, and NULL if there is none.
 """
 
 from __future__ import annotations
