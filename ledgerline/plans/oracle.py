@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgerline.operators import specs
-from ledgerline.plans.queries import BRANDS_FROM, CAPITAL, CORRECTED, CUSTOM, FAULTS, LATE_DAY, PATHS, RF, SPANS, SUBSETS, TICKERS, WINDOW
+from ledgerline.plans.queries import BRANDS_FROM, CAPITAL, CONFIDENCES, CORRECTED, CUSTOM, FAULTS, LATE_DAY, PATHS, RF, SPANS, SUBSETS, TICKERS, WINDOW
 
 TAIL = "0.050000000000000044::DOUBLE"
 RATE = f"(pow(1 + {RF}::DOUBLE, 1 / 252::DOUBLE) - 1)"
@@ -209,6 +209,11 @@ episodes AS (SELECT ticker, min(before) AS peak, arg_min(date, (drawdown, date))
   FROM islands WHERE under GROUP BY ticker, episode),
 closed AS (SELECT ticker, peak, trough, nullif(after, DATE '9999-12-31') AS recovery, depth, CASE WHEN after < DATE '9999-12-31' THEN days END AS days_to_recover FROM episodes)"""
 
+TAPE = f"""lines AS (SELECT 'TAPE' AS ticker, year(l_shipdate)::INTEGER AS year, (l_discount - 0.05::DOUBLE) / 100 AS ret,
+  row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount) AS date FROM lineitem)"""
+TAPE_EPISODES = f"""{TAPE}, curves AS ({curve("lines", "ticker")}), dry AS (SELECT *, max(CASE WHEN drawdown >= 0 THEN date END) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM curves),
+wet AS (SELECT ticker, peak, arg_min(date, (drawdown, date)) AS trough, min(drawdown) AS depth, count(*) AS days, max(date) + 1 AS after FROM dry WHERE drawdown < 0 GROUP BY ticker, peak)"""
+
 _customer = """SELECT c_name AS run_id, CASE WHEN c_custkey % 17 = 3 THEN [] WHEN c_custkey % 17 = 4 THEN ['A', '', 'B', 'C']
     ELSE [trim(upper(c_mktsegment)), 'ALL', 'N' || (c_nationkey % 5), CASE WHEN c_custkey % 7 = 0 THEN 'ALL' ELSE 'X' END] END AS tickers,
   CASE WHEN c_custkey % 2 = 0 THEN 'SPX' ELSE 'SPY' END AS benchmark, CASE WHEN c_custkey % 11 < 5 THEN DATE '1995-01-02' END AS start,
@@ -355,6 +360,16 @@ FROM rets WINDOW v AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 251 PRECED
 SELECT ticker, year, {", ".join(f"round(max(ret) FILTER (WHERE month = {k}), 8) AS m{k}" for k in range(1, 13))} FROM m GROUP BY ticker, year""",
     "instrument_measures": f"WITH {TYPE_RETURNS} SELECT ticker, {rounds(MEASURE_DIGITS)} FROM ({measures('rets', 'ticker')})",
     "instrument_measures_long": f"""WITH {TYPE_RETURNS}, wide AS ({measures("rets", "ticker")}) {" UNION ALL ".join(f"SELECT ticker, '{m}' AS measure, round({m}, 8) AS value FROM wide" for m in MEASURE_DIGITS)}""",
+    "tape_episodes": f"""WITH {TAPE_EPISODES} SELECT ticker, peak, trough, CASE WHEN after <= (SELECT max(date) FROM lines) THEN after END AS recovery, round(depth, 8) AS depth,
+  CASE WHEN after <= (SELECT max(date) FROM lines) THEN days END AS days_to_recover FROM wet""",
+    "tape_rolling": f"""WITH {TAPE}, r AS (SELECT ticker, year, CASE WHEN count(ret) OVER v = 252 THEN avg(ret - {RATE}) OVER v / nullif(stddev_samp(ret - {RATE}) OVER v, 0) * sqrt(252::DOUBLE) END AS s
+  FROM lines WINDOW v AS (ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW))
+SELECT ticker, year, count(s) AS ticks, round(min(s), 5) AS least, round(max(s), 5) AS most, round(avg(s), 5) AS mean FROM r GROUP BY ticker, year""",
+    "tail_risk": f"""WITH r AS (SELECT l_returnflag AS ticker, l_extendedprice * (l_discount - 0.05::DOUBLE) / 100000::DOUBLE AS ret FROM lineitem),
+c AS (SELECT unnest({list(CONFIDENCES)}::DOUBLE[]) AS confidence), q AS (SELECT ticker, 0.95::DOUBLE AS confidence, quantile_cont(ret, {TAIL}) AS tail FROM r GROUP BY ticker
+  UNION ALL SELECT ticker, 0.99::DOUBLE, quantile_cont(ret, 0.010000000000000009::DOUBLE) FROM r GROUP BY ticker)
+SELECT ticker, confidence, round(-max(tail), 8) AS value_at_risk, round(-avg(ret), 8) AS expected_shortfall FROM r JOIN q USING (ticker) JOIN c USING (confidence) WHERE ret <= tail GROUP BY ticker, confidence""",
+    "measures_by_state": f"WITH {TYPE_RETURNS} SELECT ticker, {rounds({m: d for m, d in MEASURE_DIGITS.items() if m not in ('var_95', 'cvar_95')})} FROM ({measures('rets', 'ticker')})",
     "rebalance_calendar": f"""WITH brands AS ({prices("p_brand")}), d AS (SELECT ticker AS calendar_id, date, f AS frequency FROM brands, (SELECT unnest(['monthly', 'quarterly', 'annual']) AS f)),
 ends AS (SELECT calendar_id, min(date) AS lo, max(date) AS hi FROM d GROUP BY calendar_id),
 last AS (SELECT calendar_id, frequency, max(date) AS rebalance_date FROM d GROUP BY calendar_id, frequency, date_trunc(CASE frequency WHEN 'monthly' THEN 'month' WHEN 'quarterly' THEN 'quarter' ELSE 'year' END, date))

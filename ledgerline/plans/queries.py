@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import schemas
 from ledgerline.functions import measures as M
-from ledgerline.operators import calendar, clean, guard, resample, series, specs, valuation, weights
+from ledgerline.operators import calendar, clean, guard, quantiles, resample, scans, series, specs, states, valuation, weights
 from ledgerline.sources import prices as P
 from ledgerline.sources import store
 from ledgerline.sources import tables as T
@@ -185,6 +185,58 @@ def instrument_measures_long(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(series.long_measures(series.measure_table(type_returns(spark, sf), ["ticker"], F.lit(RF)), ["ticker"]))
 
 
+# --- long series ------------------------------------------------------------------------------
+
+
+#: What orders the lines of the tape; lines that are equal in all of it have equal returns.
+TAPE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount"]
+
+
+def tape(spark: SparkSession, sf: str) -> DataFrame:
+    """All lines as the ticks of one series, in the order of TAPE_ORDER: place, chunk, year, ret, curve, drawdown."""
+    lines = T.table(spark, sf, "lineitem").select(F.lit("TAPE").alias("ticker"), *TAPE_ORDER).withColumn("ret", (F.col("l_discount") - 0.05) / 100)
+    return scans.with_drawdown(lines, ["ticker"], TAPE_ORDER)
+
+
+def tape_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stretch under water of the one long series, by places in it."""
+    return rounded(scans.episodes(tape(spark, sf), ["ticker"], "place"))
+
+
+def tape_rolling(spark: SparkSession, sf: str) -> DataFrame:
+    """The rolling Sharpe ratio of the one long series, summed up by year."""
+    rows = scans.rolling_sharpe(tape(spark, sf), ["ticker"], F.lit(RF), series.ROLLING_DAYS)
+    value = F.col("rolling_sharpe")
+    out = rows.groupBy("ticker", F.year("l_shipdate").alias("year")).agg(F.count(value).alias("ticks"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
+    return rounded(out, 5)
+
+
+CONFIDENCES = (0.95, 0.99)
+
+
+def tail_risk(spark: SparkSession, sf: str) -> DataFrame:
+    """Value at risk and expected shortfall of all lines by return flag: few groups of very many values."""
+    ret = F.col("l_extendedprice") * (F.col("l_discount") - 0.05) / 1e5
+    rows = written(T.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("ticker"), ret.alias("ret")), "returns")
+    return rounded(quantiles.tail_measures(rows, ["ticker"], CONFIDENCES))
+
+
+#: Years that come in batches of their own, after all before them.
+LATER_YEARS = (1999, 2000, 2001)
+
+
+def measures_by_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Measures from stored states, into which the states of each later year were merged."""
+    rows, batch = written(type_returns(spark, sf), "returns"), F.greatest(F.year("date"), F.lit(LATER_YEARS[0] - 1))
+    made = states.of_returns(rows.withColumn("batch", batch), ["ticker", "batch"], F.lit(RF))
+    made = written(made, "states")
+    stored = made.where(F.col("batch") < LATER_YEARS[0]).drop("batch")
+    for year in LATER_YEARS:
+        later = F.col("batch") == year if year != LATER_YEARS[-1] else F.col("batch") >= year
+        stored = written(states.merged(stored, made.where(later).drop("batch"), ["ticker"]), "states")
+    return rounded(states.measures(stored, ["ticker"], F.lit(RF)))
+
+
 # --- portfolios -------------------------------------------------------------------------------
 
 
@@ -448,6 +500,7 @@ QUERIES = {
     for f in (
         instrument_summary, universe_window, missing_tickers, clean_panel, dropped_tickers, coverage_violations, panel_facts, panel_violations, aligned_dates,
         daily_returns, drawdown_curve, drawdown_episodes, top_drawdowns, rolling_sharpe, monthly_grid, instrument_measures, instrument_measures_long,
+        tape_episodes, tape_rolling, tail_risk, measures_by_state,
         rebalance_calendar, nav_daily, windowed_nav, comparison_table, headline, cost_summary, run_window, run_violations, run_problems, sound_run_values, measures_of_runs, spec_keys, spec_violations, spec_unreadable, spec_normalised, stored_prices, stored_nav, stored_horizons, safe_names, benchmark_value,
         bootstrap_draws, bootstrap_horizons, bootstrap_fan,
     )
