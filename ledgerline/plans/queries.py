@@ -13,7 +13,7 @@ from ledgerline import schemas
 from ledgerline.functions import measures as M
 from ledgerline.operators import calendar, clean, guard, quantiles, resample, scans, series, specs, states, valuation, weights
 from ledgerline.sources import prices as P
-from ledgerline.sources import store
+from ledgerline.sources import files, store
 from ledgerline.sources import tables as T
 from ledgerline.sources.staging import fresh_path, written
 
@@ -451,6 +451,20 @@ def stored_prices(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(last.join(before, ["ticker", "date"], "left"))
 
 
+#: Files of other things among those of prices.
+STRAY_FILES = 3
+
+
+def readable_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """Days of each brand, read from a folder in which some files hold customers' lines instead, and how many files have which fault."""
+    path = fresh_path(spark, "files")
+    T.prices_by(spark, sf, "p_brand").write.parquet(f"{path}/prices")
+    customer_lines(spark, sf).withColumnRenamed("line", "value").repartition(STRAY_FILES).write.text(f"{path}/lines")
+    prices, bad = files.checked(spark, path, "part-*")
+    days = prices.groupBy(F.col("ticker").alias("subject")).agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"))
+    return days.unionByName(bad.groupBy(F.col("reason").alias("subject")).agg(F.count(F.lit(1)).alias("n")), allowMissingColumns=True)
+
+
 def stored_nav(spark: SparkSession, sf: str) -> DataFrame:
     """The daily result written in folders by run and read again."""
     path = fresh_path(spark, "stored-nav")
@@ -501,7 +515,7 @@ QUERIES = {
         instrument_summary, universe_window, missing_tickers, clean_panel, dropped_tickers, coverage_violations, panel_facts, panel_violations, aligned_dates,
         daily_returns, drawdown_curve, drawdown_episodes, top_drawdowns, rolling_sharpe, monthly_grid, instrument_measures, instrument_measures_long,
         tape_episodes, tape_rolling, tail_risk, measures_by_state,
-        rebalance_calendar, nav_daily, windowed_nav, comparison_table, headline, cost_summary, run_window, run_violations, run_problems, sound_run_values, measures_of_runs, spec_keys, spec_violations, spec_unreadable, spec_normalised, stored_prices, stored_nav, stored_horizons, safe_names, benchmark_value,
+        rebalance_calendar, nav_daily, windowed_nav, comparison_table, headline, cost_summary, run_window, run_violations, run_problems, sound_run_values, measures_of_runs, spec_keys, spec_violations, spec_unreadable, spec_normalised, stored_prices, readable_prices, stored_nav, stored_horizons, safe_names, benchmark_value,
         bootstrap_draws, bootstrap_horizons, bootstrap_fan,
     )
 } | {
