@@ -365,6 +365,8 @@ SELECT ticker, year, {", ".join(f"round(max(ret) FILTER (WHERE month = {k}), 8)
     "tape_rolling": f"""WITH {TAPE}, r AS (SELECT ticker, year, CASE WHEN count(ret) OVER v = 252 THEN avg(ret - {RATE}) OVER v / nullif(stddev_samp(ret - {RATE}) OVER v, 0) * sqrt(252::DOUBLE) END AS s
   FROM lines WINDOW v AS (ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW))
 SELECT ticker, year, count(s) AS ticks, round(min(s), 5) AS least, round(max(s), 5) AS most, round(avg(s), 5) AS mean FROM r GROUP BY ticker, year""",
+    "asof_quotes": """WITH q AS (SELECT user_id, ts, max(event_id) AS quote_id, arg_max(value, event_id) AS quote_value FROM events WHERE event_type = 'error' GROUP BY user_id, ts)
+SELECT e.user_id, e.event_id, q.quote_id, q.quote_value FROM events e ASOF LEFT JOIN q ON e.user_id = q.user_id AND e.ts >= q.ts WHERE e.event_type <> 'error'""",
     "tail_risk": f"""WITH r AS (SELECT l_returnflag AS ticker, l_extendedprice * (l_discount - 0.05::DOUBLE) / 100000::DOUBLE AS ret FROM lineitem),
 c AS (SELECT unnest({list(CONFIDENCES)}::DOUBLE[]) AS confidence), q AS (SELECT ticker, 0.95::DOUBLE AS confidence, quantile_cont(ret, {TAIL}) AS tail FROM r GROUP BY ticker
   UNION ALL SELECT ticker, 0.99::DOUBLE, quantile_cont(ret, 0.010000000000000009::DOUBLE) FROM r GROUP BY ticker)

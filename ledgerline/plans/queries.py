@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import schemas
 from ledgerline.functions import measures as M
-from ledgerline.operators import calendar, clean, guard, quantiles, resample, scans, series, specs, states, valuation, weights
+from ledgerline.operators import asof, calendar, clean, guard, quantiles, resample, scans, series, specs, states, valuation, weights
 from ledgerline.sources import prices as P
 from ledgerline.sources import files, store
 from ledgerline.sources import tables as T
@@ -211,6 +211,14 @@ def tape_rolling(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, 5)
 
 
+def asof_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every other event of a user with the user's last error at or before it."""
+    events = T.table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    asked, quotes = events.where("event_type <> 'error'"), events.where("event_type = 'error'")
+    rows = asof.asof(asked.select("user_id", "ts", "event_id"), quotes.select("user_id", "ts", "event_id", "value"), ["user_id"], "ts", ["event_id"])
+    return rows.select("user_id", "event_id", F.col("quote.event_id").alias("quote_id"), F.col("quote.value").alias("quote_value"))
+
+
 CONFIDENCES = (0.95, 0.99)
 
 
@@ -514,7 +522,7 @@ QUERIES = {
     for f in (
         instrument_summary, universe_window, missing_tickers, clean_panel, dropped_tickers, coverage_violations, panel_facts, panel_violations, aligned_dates,
         daily_returns, drawdown_curve, drawdown_episodes, top_drawdowns, rolling_sharpe, monthly_grid, instrument_measures, instrument_measures_long,
-        tape_episodes, tape_rolling, tail_risk, measures_by_state,
+        tape_episodes, tape_rolling, asof_quotes, tail_risk, measures_by_state,
         rebalance_calendar, nav_daily, windowed_nav, comparison_table, headline, cost_summary, run_window, run_violations, run_problems, sound_run_values, measures_of_runs, spec_keys, spec_violations, spec_unreadable, spec_normalised, stored_prices, readable_prices, stored_nav, stored_horizons, safe_names, benchmark_value,
         bootstrap_draws, bootstrap_horizons, bootstrap_fan,
     )
