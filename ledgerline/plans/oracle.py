@@ -401,6 +401,8 @@ SELECT run_id, measure, max(value) FILTER (WHERE series = 'portfolio') AS portfo
   SELECT ticker, date, CASE WHEN year(date) IN (1995, 1998) THEN 2 * close WHEN date = DATE '{CORRECTED}' THEN close + 1 ELSE close END AS close, close AS first_close FROM brands
   UNION ALL SELECT DISTINCT 'NEW', date, 7, NULL FROM brands WHERE date = DATE '{CORRECTED}')
 SELECT ticker, date, round(close, 8) AS close, round(first_close, 8) AS first_close FROM stored WHERE date BETWEEN DATE '1995-07-01' AND DATE '{WINDOW[1]}'""",
+    "bucketed_summary": f"""WITH brands AS ({prices("p_brand")}), rets AS ({returns_of("brands")}), dd AS ({curve("rets", "ticker")})
+SELECT ticker, count(*) AS days, round(max_by(curve, date), 7) AS growth, round(min(drawdown), 7) AS max_drawdown FROM dd GROUP BY ticker""",
     "readable_prices": f"""SELECT ticker AS subject, count(*) AS n, min(date) AS first_date FROM ({prices("p_brand")}) GROUP BY ticker UNION ALL SELECT 'unreadable', {STRAY_FILES}, NULL""",
     "stored_nav": f"WITH {NAV} SELECT run_id, count(*) AS days, round(sum(costs_paid), 2) AS costs, max(date) AS last_date FROM nav GROUP BY run_id",
     "stored_horizons": f"WITH {TYPE_RETURNS} SELECT ticker, year(date)::INTEGER AS year, round(product(1 + ret) - 1, 8) AS ret FROM rets WHERE ret IS NOT NULL GROUP BY 1, 2",

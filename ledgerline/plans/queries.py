@@ -13,7 +13,7 @@ from ledgerline import schemas
 from ledgerline.functions import measures as M
 from ledgerline.operators import asof, calendar, clean, guard, quantiles, resample, scans, series, specs, states, valuation, weights
 from ledgerline.sources import prices as P
-from ledgerline.sources import files, store
+from ledgerline.sources import bucketed, files, store
 from ledgerline.sources import tables as T
 from ledgerline.sources.staging import fresh_path, written
 
@@ -459,6 +459,13 @@ def stored_prices(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(last.join(before, ["ticker", "date"], "left"))
 
 
+def bucketed_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Days, growth and worst fall of every brand from a table in buckets, whose plan has no shuffle."""
+    rows = bucketed.staged(T.prices_by(spark, sf, "p_brand"))
+    rows = series.with_drawdown(series.daily_returns(rows, ["ticker"]), ["ticker"])
+    return rounded(rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("days"), F.max_by("curve", "date").alias("growth"), F.min("drawdown").alias("max_drawdown")), 7)
+
+
 #: Files of other things among those of prices.
 STRAY_FILES = 3
 
@@ -523,7 +530,7 @@ QUERIES = {
         instrument_summary, universe_window, missing_tickers, clean_panel, dropped_tickers, coverage_violations, panel_facts, panel_violations, aligned_dates,
         daily_returns, drawdown_curve, drawdown_episodes, top_drawdowns, rolling_sharpe, monthly_grid, instrument_measures, instrument_measures_long,
         tape_episodes, tape_rolling, asof_quotes, tail_risk, measures_by_state,
-        rebalance_calendar, nav_daily, windowed_nav, comparison_table, headline, cost_summary, run_window, run_violations, run_problems, sound_run_values, measures_of_runs, spec_keys, spec_violations, spec_unreadable, spec_normalised, stored_prices, readable_prices, stored_nav, stored_horizons, safe_names, benchmark_value,
+        rebalance_calendar, nav_daily, windowed_nav, comparison_table, headline, cost_summary, run_window, run_violations, run_problems, sound_run_values, measures_of_runs, spec_keys, spec_violations, spec_unreadable, spec_normalised, stored_prices, readable_prices, bucketed_summary, stored_nav, stored_horizons, safe_names, benchmark_value,
         bootstrap_draws, bootstrap_horizons, bootstrap_fan,
     )
 } | {
