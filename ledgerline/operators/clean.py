@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators import datesets
 from ledgerline.sources.staging import written
 
 #: Rows of the panel that a price is carried on, the largest share of missing rows of a ticker, and how many days late it may start.
@@ -121,10 +122,9 @@ def panel_facts(panel: DataFrame) -> DataFrame:
 
 
 def aligned(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both panels on the dates that they share."""
-    key = ["panel_id", "date"]
-    a, b = left.select(*key).distinct(), right.select(*key).distinct()
-    return left.join(b, key, "left_semi"), right.join(a, key, "left_semi")
+    """Both panels on the dates that they share. Rows without a date go."""
+    both = datesets.shared(left, right, ["panel_id"])
+    return datesets.at_dates(left, both, ["panel_id"]), datesets.at_dates(right, both, ["panel_id"])
 
 
 def panel_violations(panel: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -137,9 +137,12 @@ def panel_violations(panel: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sum("missing").alias("missing"), F.sum("bad").alias("bad"), F.sum("infinite").alias("infinite"), F.count_if(F.col("n_rows") > 1).alias("repeated"), F.count_distinct("date").alias("dates")
     )
     other = benchmark.groupBy("panel_id").agg(F.count_distinct("ticker").alias("series"))
-    a, b = panel.select("panel_id", "date").distinct(), benchmark.select("panel_id", "date").distinct()
-    only = a.withColumn("side", F.lit(1)).unionByName(b.withColumn("side", F.lit(2))).groupBy("panel_id", "date").agg(F.sum("side").alias("sides"))
-    odd = only.groupBy("panel_id").agg(F.count_if(F.col("sides") != 3).alias("odd_dates"))
+    # A date is odd if one side alone has it; a missing date is one too.
+    a, b = datesets.of(panel, ["panel_id"]), datesets.of(benchmark, ["panel_id"])
+    counts = datesets.sizes(a.unionByName(b), ["panel_id"], "either").join(datesets.sizes(datesets.common(a.unionByName(b), ["panel_id"], 2), ["panel_id"], "both"), "panel_id", "left")
+    undated = panel.where("date IS NULL").select("panel_id", F.lit(1).alias("side")).unionByName(benchmark.where("date IS NULL").select("panel_id", F.lit(2).alias("side")))
+    one_sided = undated.groupBy("panel_id").agg((F.count_distinct("side") == 1).cast("bigint").alias("undated"))
+    odd = counts.join(one_sided, "panel_id", "full").select("panel_id", (F.coalesce("either", F.lit(0)) - 2 * F.coalesce("both", F.lit(0)) + F.coalesce("undated", F.lit(0))).alias("odd_dates"))
     every = facts.join(other, "panel_id", "full").join(odd, "panel_id", "full")
     rules = {
         "no prices": F.col("dates").isNull(), "missing prices": F.col("missing") > 0, "non-positive prices": F.col("bad") > 0, "infinite prices": F.col("infinite") > 0,

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators import clean, specs, universe, valuation
+from ledgerline.operators import clean, datesets, specs, universe, valuation
 from ledgerline.sources.staging import written
 
 
@@ -60,11 +60,11 @@ def series_problems(definitions: DataFrame, series: DataFrame) -> DataFrame:
 
 
 def left_over(series: DataFrame, complete: DataFrame, shared: DataFrame) -> DataFrame:
-    """window_id and rule of windows of which cleaning or aligning leaves too little."""
+    """window_id and rule of windows of which cleaning or aligning leaves too little. ``shared`` are sets of dates."""
     kept = series.where("NOT is_benchmark").groupBy("window_id").agg(F.count_if("kept").alias("kept"))
-    count = lambda rows, name: rows.groupBy("window_id").agg(F.count(F.lit(1)).alias(name))
     own = complete.where("NOT panel_id.is_benchmark").select(F.col("panel_id.panel_id").alias("window_id"))
-    facts = kept.join(count(own, "complete"), "window_id", "left").join(count(shared, "shared"), "window_id", "left").na.fill(0)
+    count = own.groupBy("window_id").agg(F.count(F.lit(1)).alias("complete"))
+    facts = kept.join(count, "window_id", "left").join(datesets.sizes(shared, ["window_id"], "shared"), "window_id", "left").na.fill(0)
     rule = F.when(F.col("kept") == 0, "no ticker left").when(F.col("complete") == 0, "no date left").when(F.col("shared") < 2, "fewer than two shared dates")
     return facts.select("window_id", rule.alias("rule")).where("rule IS NOT NULL")
 
@@ -81,8 +81,10 @@ def checked(definitions: DataFrame, prices: DataFrame, benchmark: DataFrame) ->
     definitions = universe.with_window(definitions)
     days, dates, spans = clean.spanned(universe.dealt(prices, benchmark, written(universe.members(definitions), "members")))
     complete = written(clean.complete_dates(spans, dates), "complete")
-    shared = complete.groupBy(F.col("panel_id.panel_id").alias("window_id"), "date").agg(F.count(F.lit(1)).alias("sides")).where("sides = 2").drop("sides")
-    both = complete.withColumn("window_id", F.col("panel_id.panel_id")).join(shared, ["window_id", "date"], "left_semi")
+    by_side = complete.select(F.col("panel_id.panel_id").alias("window_id"), "panel_id", "date", "place")
+    sets = datesets.of(by_side.withColumn("is_benchmark", F.col("panel_id.is_benchmark")), ["window_id", "is_benchmark"])
+    shared = written(datesets.common(sets, ["window_id"], 2), "shared")
+    both = datesets.at_dates(by_side, shared, ["window_id"])
     panel, other = unstacked(written(clean.carried(spans, both), "aligned"))
     series = series_facts(days, spans)
 
