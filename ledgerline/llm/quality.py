@@ -15,8 +15,9 @@ same rows in the same order again, such as a scan; if it does not, the job fails
 
 A document's score is its mean negative log probability a character, drawn towards its language's
 median by PRIOR characters, so that short texts need more evidence. A document is rejected if its score,
-rounded to three digits, is above the QUANTILE of the held-out documents of its language. All held-out
-documents count as one language for languages with fewer than LEAST of them.
+rounded to three digits, is above the QUANTILE of the held-out documents of its language. A language's median and
+quantile are drawn toward those of all held-out documents as by SHRINK documents more of these, so that a language
+goes over from the shared values to its own by degrees; one without held-out documents has the shared ones.
 
 Null and empty texts have a null perplexity and are kept; null languages are one language. Repeated
 rows are scored each, rows without doc_id like any other, but they are never trusted. A document with
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, read, ship_code, sized, slices, to_arrow, written
 
-ORDER, PRIOR, QUANTILE, LEAST, HELD, UNIT = 4, 100, 0.99, 50, 5, 256
+ORDER, PRIOR, QUANTILE, SHRINK, HELD, UNIT = 4, 100, 0.99, 50, 5, 256
 #: Characters of a block, n-grams of a shard, blocks that ask one copy of a shard.
 BLOCK, SHARD, ASKERS = 1_500_000, 16_384, 1_024
 #: Stands before a text, ORDER - 1 times.
@@ -337,7 +338,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, block:
     return scored(rows, model, order, block, askers).join(small, "doc_id", "left").withColumn("held", F.coalesce("held", F.lit(False)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, prior: float = PRIOR, least: int = LEAST, order: int = ORDER) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, prior: float = PRIOR, shrink: float = SHRINK, order: int = ORDER) -> DataFrame:
     """row, doc_id, lang, n_chars, perplexity, score, threshold and keep of every row of ``docs``."""
     every = written(perplexities(docs, labels, order), "perplexities")
     held = every.where("held AND n_chars > 0")
@@ -346,15 +347,22 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, pri
     # Rounded, so that the counts which percentile keeps are bounded by the range of scores.
     middle = held.groupBy("lang").agg(F.percentile(F.round(mean, 3), F.lit(0.5)).alias("middle"), F.count("*").alias("n_held"))
     middle = written(middle, "medians")  # one row per language
-    star, own_middle = middle.where("lang = '*'"), middle.where(F.col("lang") != "*").where(F.col("n_held") >= least)
+
+    def shrunk(rows: DataFrame, name: str) -> DataFrame:
+        """lang and name: each language's own value, drawn toward the shared one (lang '*') as by ``shrink`` documents more of that."""
+        own, shared = rows.where("lang <> '*'"), rows.where("lang = '*'").select(F.col(name).alias("shared"))
+        value = (F.col("n_held") * F.col(name) + shrink * F.col("shared")) / (F.col("n_held") + shrink)
+        return own.join(F.broadcast(shared), F.lit(True)).select("lang", F.round(value, 6).alias(name))
+
+    star, own_middle = middle.where("lang = '*'"), shrunk(middle, "middle")
 
     def drawn(rows: DataFrame) -> DataFrame:
-        out = rows.join(own_middle.select("lang", "middle"), "lang", "left").join(F.broadcast(star.select(F.col("middle").alias("other"))), F.lit(True), "left")
+        out = rows.join(own_middle, "lang", "left").join(F.broadcast(star.select(F.col("middle").alias("other"))), F.lit(True), "left")
         score = (F.col("nll") / UNIT + prior * F.coalesce("middle", "other")) / (F.col("n_chars") + prior)
         return out.withColumn("score", F.round(score, 3)).drop("middle", "other")
 
     limits = written(drawn(held).groupBy("lang").agg(F.percentile("score", F.lit(quantile)).alias("threshold"), F.count("*").alias("n_held")), "thresholds")
-    own = limits.where(F.col("lang") != "*").where(F.col("n_held") >= least).select("lang", F.col("threshold").alias("own"))
+    own = shrunk(limits, "threshold").withColumnRenamed("threshold", "own")
     default = limits.where("lang = '*'").select(F.col("threshold").alias("other"))
     out = drawn(every).join(own, "lang", "left").join(F.broadcast(default), F.lit(True), "left").withColumn("threshold", F.coalesce("own", "other"))
     return out.select(
@@ -379,6 +387,7 @@ def quality_sql(docs: str = "documents") -> str:
     """The same in DuckDB, over the relation ``docs``."""
     discount = "CASE WHEN least(n1, n2, n3, n4) = 0 THEN [0.5::DOUBLE, 0.5, 0.5] ELSE [1 - 2.0::DOUBLE * n1 / (n1 + 2 * n2) * n2 / n1, 2 - 3.0::DOUBLE * n1 / (n1 + 2 * n2) * n3 / n2, 3 - 4.0::DOUBLE * n1 / (n1 + 2 * n2) * n4 / n3] END"
     units = lambda p: f"round(ln({p}) * {UNIT})::INTEGER"
+    shrunk = lambda rows, name: f"SELECT lang, round((n * {name} + {SHRINK} * (SELECT {name} FROM {rows} WHERE lang = '*')) / (n + {SHRINK}), 6) AS {name} FROM {rows} WHERE lang <> '*'"
     levels, value = [], "coalesce(m1.lp, floor)"
     for k in range(ORDER, 0, -1):
         count = "SELECT g, count(*) AS n FROM places WHERE train GROUP BY g" if k == ORDER else f"SELECT g[2:] AS g, count(*) AS n FROM c{k + 1} GROUP BY 1"
@@ -415,9 +424,9 @@ held_out AS (SELECT * FROM every WHERE held AND n_chars > 0 UNION ALL SELECT * R
 middle AS (SELECT lang, quantile_cont(round(nll / {UNIT}::DOUBLE / n_chars, 3), 0.5) AS middle, count(*) AS n FROM held_out GROUP BY lang),
 drawn AS (
   SELECT e.*, round((nll / {UNIT}::DOUBLE + {PRIOR} * coalesce(m.middle, (SELECT middle FROM middle WHERE lang = '*'))) / (n_chars + {PRIOR}), 3) AS score
-  FROM (SELECT *, true AS is_doc FROM every UNION ALL SELECT *, false FROM held_out) e LEFT JOIN (SELECT * FROM middle WHERE n >= {LEAST} AND lang <> '*') m USING (lang)),
+  FROM (SELECT *, true AS is_doc FROM every UNION ALL SELECT *, false FROM held_out) e LEFT JOIN ({shrunk("middle", "middle")}) m USING (lang)),
 limits AS (SELECT lang, quantile_cont(score, {QUANTILE}) AS edge, count(*) AS n FROM drawn WHERE NOT is_doc GROUP BY lang),
-judged AS (SELECT e.*, coalesce(o.edge, (SELECT edge FROM limits WHERE lang = '*')) AS threshold FROM drawn e LEFT JOIN (SELECT * FROM limits WHERE n >= {LEAST} AND lang <> '*') o USING (lang) WHERE is_doc)
+judged AS (SELECT e.*, coalesce(o.edge, (SELECT edge FROM limits WHERE lang = '*')) AS threshold FROM drawn e LEFT JOIN ({shrunk("limits", "edge")}) o USING (lang) WHERE is_doc)
 SELECT doc_id, lang, n_chars, CASE WHEN n_chars > 0 THEN round(exp(nll / {UNIT}::DOUBLE / n_chars), 4) END AS perplexity, score, round(threshold, 4) AS threshold,
        coalesce(n_chars = 0 OR score <= threshold, true) AS keep FROM judged
 """

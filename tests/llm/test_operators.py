@@ -199,6 +199,30 @@ def test_threshold_is_the_quantile_of_held_out_scores(spark):
     assert 30 < len(held) < 100 and {round(r["threshold"], 9) for r in out} == {round(float(np.quantile(scores, quality.QUANTILE)), 9)}
 
 
+def test_languages_go_over_to_their_own_threshold_by_degrees(spark):
+    words = "the old river ran past green hills and small towns until it met a wide grey sea".split()
+    other = "le vieux fleuve passait par des collines vertes".split()
+    lang = lambda k: "en" if k % 10 else "fr"
+    rows = [(k, " ".join((words if k % 10 else other)[(k * j) % (15 if k % 10 else 8)] for j in range(1, 30 + k)), lang(k)) for k in range(1, 301)]
+    docs = spark.createDataFrame([*rows, (900, "the old river", "de")], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id bigint, quality int, toxic int")
+    held = {r["doc_id"] for r in quality.label_folds(labels).collect() if r["held"]}
+    limit = lambda out: {r["lang"]: r["threshold"] for r in out}
+    for shrink in (0, quality.SHRINK, 1_000_000):
+        out = quality.classify(docs, labels, shrink=shrink).collect()
+        mean = lambda r: math.log(r["perplexity"])
+        trusted = [r for r in out if r["doc_id"] in held]
+        scores = {k: [r["score"] for r in trusted if r["lang"] == k] for k in ("en", "fr")}
+        # the shared scores are drawn toward the shared median
+        middle = float(np.median([round(mean(r), 3) for r in trusted]))
+        shared = float(np.quantile([round((mean(r) * r["n_chars"] + quality.PRIOR * middle) / (r["n_chars"] + quality.PRIOR), 3) for r in trusted], quality.QUANTILE))
+        got = limit(out)
+        assert got["de"] == pytest.approx(shared, abs=2e-3)
+        for k, own in scores.items():
+            n = len(own)
+            assert got[k] == pytest.approx((n * float(np.quantile(own, quality.QUANTILE)) + shrink * got["de"]) / (n + shrink), abs=2e-6)
+
+
 def test_who_is_trusted_and_rows_without_ids(spark):
     labels = [(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, None), (5, None, 0), (6, 1, 0), (6, 0, 0), (7, 1, 0), (7, 1, 0), (None, 1, 0)]
     folds = quality.label_folds(spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
