@@ -10,7 +10,7 @@ has differ by the two sources' shares of a term they never use, times their numb
 
 ``term`` rows hold the TOP terms by p - q, by a dominance skyband: a term comes before another if its source count is at
 least as high, its language's count at least as low and it is earlier in UTF-8, whatever N and V are, so a term with TOP such
-others in the same source can't be ranked. Partitions drop these terms in buffers of bounded size, bands are dealt together by source
+others in the same source can't be ranked. Terms that no other source has take part like all others. Partitions drop these terms in buffers of bounded size, bands are dealt together by source
 and term bucket and pruned again, and a window ranks the rest exactly. A source that holds most of its language has many terms of
 which none dominates another; its band stays long, and the window, which keeps TOP a partition first, ranks it all the same.
 
@@ -224,7 +224,7 @@ def skyband(words: DataFrame, k: int) -> DataFrame:
 def top_terms(kept: DataFrame, groups: DataFrame, top: int) -> DataFrame:
     """lang, source, item, value, rank: the terms with the highest p - q above zero."""
     sizes = groups.select("lang", "source", "total", "lang_total", "terms").where("total < lang_total")
-    parts = skyband(kept.where("term <> '' AND n > 0 AND n < lang_n").select("lang", "source", "term", "n", "lang_n"), top)
+    parts = skyband(kept.where("term <> '' AND n > 0").select("lang", "source", "term", "n", "lang_n"), top)
     merged = skyband(parts.join(sizes, ["lang", "source"]).withColumn("bucket", F.pmod(F.xxhash64("term"), blocks(F.col("terms"), 16 * BAND_ROWS))), top)
     rows = merged.join(sizes, ["lang", "source"])
     value = share(F.col("n"), F.col("total"), F.col("terms")) - share(F.col("lang_n"), F.col("lang_total"), F.col("terms"))

@@ -147,6 +147,22 @@ def test_divergence_by_hand(spark, monkeypatch, sizes):
     assert got == by_hand(docs, 8, 6) and len({g for g in got if g[2] == "term"}) > 40
 
 
+@pytest.mark.parametrize("sizes", [{}, {"BAND_ROWS": 1, "BUFFERED": 20}])
+def test_terms_that_only_one_source_has_are_ranked(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(divergence, name, value)
+    rng = random.Random(4)
+    shared, own = [f"common{a}" for a in "abcdefgh"], {s: [f"{s}{a}{b}" for a in "abcd" for b in "xyz"] for s in ("left", "right", "mid")}
+    docs = [(lang, s, " ".join(rng.choices(shared, k=8) + rng.choices(own[s], k=12) + ["evenly"])) for lang in ("en", "de") for s in own for _ in range(12)] + [("en", "empty", "")]
+    docs += [("fr", "all", "seul seule")] * 9 + [("fr", "none", None)]  # of the whole language in one source p is q
+    frame = spark.createDataFrame(docs, "lang string, source string, text string").repartition(3)
+    got = {(r["lang"], r["source"], r["part"], r["item"], r["value"], r["rank"]) for r in divergence.audit(frame, min_docs=4, top=6).collect()}
+    assert got == by_hand(docs, 4, 6)
+    for lang in ("en", "de"):
+        for s in own:
+            assert [g[3] in own[s] for g in got if g[:3] == (lang, s, "term") and g[5] == 1] == [True]
+
+
 def test_buffers_lose_no_term_that_may_rank(monkeypatch):
     for name, value in {"SLICE": 20, "BAND_ROWS": 12, "BUFFERED": 60}.items():
         monkeypatch.setattr(divergence, name, value)
