@@ -19,27 +19,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, free_name, read, sized, written
+from .personal import held
 
 DEPTH, MIN_TOKENS, SIMILAR, LEVELS = 4, 4, 0.7, 3
 FIELD = "<*>"
 
 
-def normal_line(line: Column) -> Column:
-    """One space between tokens and none at the ends; most lines are so already."""
-    odd = line.contains("\t") | line.contains("\r") | line.contains("  ")
-    return F.trim(F.when(odd, F.regexp_replace(line, "[ \t\r]+", " ")).otherwise(line))
+def normal_text(text: Column) -> Column:
+    """One space between the tokens of each line; most texts are so already."""
+    odd = text.contains("\t") | text.contains("\r") | text.contains("  ")
+    return F.when(odd, F.regexp_replace(text, "[ \t\r]{2,}|[\t\r]", " ")).otherwise(text)
+
+
+def masked(line: Column) -> Column:
+    """Tokens with a digit are FIELD. A match starts where a token does and never steps back, so long tokens cost no more."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(line)
 
 
 def template_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc_id, line_no, n_tokens, masked (tokens with a digit are FIELD) and lead (the hash of the
-    leading tokens) of lines that can be templates."""
-    lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
-    lines = lines.select("doc_id", "line_no", normal_line(F.col("line")).alias("norm"))
-    tokens = F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("n_tokens", tokens).where(F.col("n_tokens") >= min_tokens)
-    masked = F.when(F.col("norm").rlike("[0-9]"), F.regexp_replace("norm", "[^ 0-9]*[0-9][^ ]*", FIELD)).otherwise(F.col("norm"))
-    lines = lines.select("doc_id", "line_no", "n_tokens", masked.alias("masked"))
-    return lines.withColumn("lead", F.xxhash64(F.substring_index("masked", " ", DEPTH)))
+    """doc_id, line_no, n_tokens, norm (the line with single spaces) and lead (the hash of the leading tokens, masked) of
+    lines that can be templates."""
+    text = normal_text(F.col("text").cast("string"))
+    lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+    lines = lines.select("doc_id", "line_no", F.trim("line").alias("norm"))
+    if min_tokens > 1:  # looks at the first tokens only, as Spark computes what a filter uses once more below it
+        lines = lines.where(F.octet_length(F.substring_index("norm", " ", min_tokens - 1)) < F.octet_length("norm"))
+    tokens = F.octet_length("norm") - F.octet_length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1
+    return lines.select("doc_id", "line_no", tokens.alias("n_tokens"), "norm", F.xxhash64(masked(F.substring_index("norm", " ", DEPTH))).alias("lead"))
 
 
 def hashes() -> list[Column]:
@@ -78,7 +84,7 @@ def leaf_templates(docs: DataFrame, different: DataFrame, min_tokens: int = MIN_
     """h1, h2, t1, t2 of the lines that share a template with others of their leaf. The texts are read again for
     the lines of leaves that hold several different ones, one copy of each."""
     shared = written(different.groupBy(*LEAF).agg(F.count("*").alias("n_lines")).where("n_lines > 1").select(*LEAF), "leaves")
-    rows = template_lines(docs, min_tokens).join(sized(shared), LEAF).select(*LEAF, "masked", *hashes())
+    rows = template_lines(docs, min_tokens).join(sized(shared), LEAF).withColumn("masked", masked(F.col("norm"))).select(*LEAF, "masked", *hashes())
     rows = rows.groupBy(*LINE).agg(F.any_value("masked").alias("masked"), *(F.any_value(c).alias(c) for c in LEAF))
     tokens = rows.select(*LEAF, F.lit(0).cast("bigint").alias("part"), *LINE, F.posexplode(F.split("masked", " ")).alias("place", "token"))
     tokens = written(tokens.withColumn("token", F.xxhash64("token")), "tokens")
@@ -93,7 +99,8 @@ def leaf_templates(docs: DataFrame, different: DataFrame, min_tokens: int = MIN_
 
 def recurring_lines(docs: DataFrame, everywhere: bool = False, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id and line_no of every line whose template recurs, except in the first document that has it."""
-    lines = written(template_lines(docs, min_tokens).select("doc_id", "line_no", "n_tokens", "lead", *hashes()), "lines")
+    lines = template_lines(docs, min_tokens).withColumn("masked", masked(F.col("norm")))
+    lines = written(lines.select("doc_id", "line_no", "n_tokens", "lead", *hashes()), "lines")
     different = lines.groupBy(*LINE).agg(
         F.max("n_tokens").alias("n_tokens"), F.max("lead").alias("lead"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
     )
@@ -118,11 +125,12 @@ def drop_recurring_lines(docs: DataFrame, counts: bool = False, everywhere: bool
     n_gone = gone.agg(F.sum(F.size(gone_lines))).first()[0] or 0
     gone = F.broadcast(gone) if n_gone <= broadcast_rows else gone
     out = docs.join(gone, docs["doc_id"].cast("bigint") == F.col(doc), "left")
-    all_lines = F.split(F.col("text").cast("string"), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(gone_lines))
+    text = F.col("text").cast("string")
     some = F.col(doc).isNotNull() & F.col("text").isNotNull()
-    kept = F.when(some, F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n")).otherwise(F.col("text"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("bigint")
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_lines))
+    left = held(F.split(text, "\n", -1), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))
+    kept = F.when(some, left).otherwise(F.col("text"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint")
     n_dropped = F.when(some, F.size(gone_lines)).otherwise(0).cast("bigint")
     more = {"n_lines": n_lines, "n_dropped": n_dropped} if counts else {}
     columns = [kept.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in more]

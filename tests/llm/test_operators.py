@@ -9,6 +9,7 @@ import zlib
 from math import log2
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -604,6 +605,26 @@ def test_a_leaf_holds_several_templates(spark):
     assert every == set(range(19, 49))
 
 
+def test_lines_of_odd_spaces_and_fields_match_sql(spark, duck):
+    rng = random.Random(8)
+    token = lambda: "".join(rng.choices("ab7é<*>", k=rng.randrange(1, 5)))
+    line = lambda: "".join(t for _ in range(rng.randrange(7)) for t in (token(), rng.choice([" ", " ", "  ", "\t", "\r", " \r\t ", ""])))
+    known = [line() for _ in range(150)]
+    rows = [(i, None if i % 50 == 0 else "\n".join(rng.choice(["", " "]) + rng.choice(known) + rng.choice(["", "\r"]) for _ in range(rng.randrange(6)))) for i in range(400)]
+    duck.register("odd_lines", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    same_rows(lines.drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), counts=True), duck.execute(lines.line_dedup_sql("odd_lines")))
+
+
+def test_a_text_of_many_lines_is_split_once(spark):
+    own = [f"line {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghijklmn'[i // 1000]} of this text alone and of no other text" for i in range(10_000)]
+    rows = [(1, "a line that comes again and again"), (2, "\n".join(["a line that comes again and again", *own]))]
+    frame = lines.drop_recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), counts=True)
+    began = time.time()  # of the last step alone
+    out = {r["doc_id"]: r for r in frame.collect()}
+    assert time.time() - began < 10
+    assert out[1]["text"] == rows[0][1] and out[2]["text"] == "\n".join(own) and (out[2]["n_lines"], out[2]["n_dropped"]) == (10_001, 1)
+
+
 def test_leaks_match_sql(spark, sf, duck):
     same_rows(decontaminate.op9_decontaminate(spark, sf), duck.execute(decontaminate.leaks_sql()))
 
